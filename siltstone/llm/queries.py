@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, quality, urls, warc
+from . import bpe, jaccard, packing, quality, suffix, urls, warc
 
 #: The rules of the URL filter: fixed values.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -26,6 +26,11 @@ def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.deduplicate(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,6 +49,6 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_tiktoken_bpe, op5_warc_segments, op7_certified_packing, op8_jaccard_join, op9_url_rules, op10_line_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_tiktoken_bpe, op5_warc_segments, op6_suffix_dedup, op7_certified_packing, op8_jaccard_join, op9_url_rules, op10_line_quality)}
 
 ORACLES: dict[str, str] = {}
