@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, quality, secrets, suffix, urls, warc
+from . import bpe, graph, jaccard, packing, pii, quality, secrets, suffix, urls, warc
 
 #: The rules of the URL filter: fixed values.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -22,6 +22,15 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op3_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(documents, pii.fit(documents)).drop("text")
+
+
 def op4_tiktoken_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
@@ -53,6 +62,6 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_ownership, op4_tiktoken_bpe, op5_warc_segments, op6_suffix_dedup, op7_certified_packing, op8_jaccard_join, op9_url_rules, op10_line_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_ownership, op2_graph_ann, op3_pii_lstm_crf, op4_tiktoken_bpe, op5_warc_segments, op6_suffix_dedup, op7_certified_packing, op8_jaccard_join, op9_url_rules, op10_line_quality)}
 
 ORACLES: dict[str, str] = {}
