@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, signed, small, stage, text_bytes
+from .common import Rolling, signed, stage, text_bytes
 
 LENGTH = 400
 STRETCH = 64
@@ -27,7 +27,7 @@ STRETCH = 64
 SEGMENT = 1 << 19
 
 #: Bytes in a block whose transform is built, and neighbourhoods of an anchor above which they don't meet in a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 BLOCK_NEIGHBOURS = 1500
 
 
@@ -126,7 +126,7 @@ def suffix_array(codes: np.ndarray, separators: int, depth: int) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - span] = rank[span:] + 1
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         value = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, value[1:] != value[:-1]])
@@ -158,7 +158,7 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, stop: int) -> np.ndarr
         owner = np.repeat(np.arange(len(low)), sizes)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
         key = owner * span + before[at]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key = key[by]
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         count = np.diff(np.r_[begin, len(key)])
@@ -215,7 +215,6 @@ def _slices(df: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)))
 
     lists = stage(wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last", "neighbours")).alias("cuts")), "cuts")
-    lists = small(lists, 512)
     return df.join(lists, "key").select("key", "text", "cuts").mapInArrow(run, "anchor bigint, neighbours bigint, key bigint, first bigint, bytes binary")
 
 
@@ -252,19 +251,19 @@ def _string_by_string(slices: DataFrame, length: int) -> DataFrame:
 
     strings = slices.mapInArrow(run, "string bigint, key bigint, start bigint")
     again = stage(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "strings")
-    return strings.join(small(again, 32), "string", "left_semi").select("key", "start", (F.col("start") + length).alias("end"))
+    return strings.join(again, "string", "left_semi").select("key", "start", (F.col("start") + length).alias("end"))
 
 
 def recurring_spans(df: DataFrame, length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
     """(key, start, end), overlapping still, of all bytes in strings of `length` bytes that start at two places in the texts of df (key, text)."""
     found = stage(_find_anchors(df, length, stretch), "anchors")
     often = stage(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
-    again = stage(found.join(small(often, 32), "anchor"), "again")
+    again = stage(found.join(often, "anchor"), "again")
     # a neighbourhood that recurs as a whole is settled; for the others' sake one of each kind still takes part
     kinds = stage(again.where("mixed").groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("one")), "kinds")
     neighbours = stage(kinds.groupBy("anchor").agg(F.count("*").alias("neighbours")), "neighbours")
-    wanted = kinds.join(small(neighbours, 32), "anchor").select("anchor", "one.*", "neighbours")
-    settled = again.join(small(stage(kinds.where("n > 1").select("anchor", "around"), "whole"), 48), ["anchor", "around"], "left_semi").unionByName(again.where("not mixed"))
+    wanted = kinds.join(neighbours, "anchor").select("anchor", "one.*", "neighbours")
+    settled = again.join(stage(kinds.where("n > 1").select("anchor", "around"), "whole"), ["anchor", "around"], "left_semi").unionByName(again.where("not mixed"))
     settled = settled.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     slices = stage(_slices(df, wanted, length), "slices")
     blocks = _in_blocks(slices.where(F.col("neighbours") <= BLOCK_NEIGHBOURS), length)
@@ -272,17 +271,18 @@ def recurring_spans(df: DataFrame, length: int = LENGTH, stretch: int = STRETCH)
     return settled.unionByName(blocks).unionByName(hot)
 
 
-def deduplicate(df: DataFrame, text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
-    """All columns, with n_bytes, n_removed, n_spans, kept (binary: the bytes that are left) and kept_sha256 added or replaced.
+def deduplicate(df: DataFrame, text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH, replace: bool = False) -> DataFrame:
+    """All columns, with n_bytes, n_removed, n_spans, kept (binary: the bytes that are left; null with replace) and kept_sha256 added or replaced.
 
     Every byte in a string of `length` bytes that also starts anywhere else goes, judged on the input; strings don't cross
-    texts. Null texts are empty. Repeated rows are equal texts: each is a place of its own. An empty table gives none."""
+    texts. With replace the text column gets what is left, without bytes of characters that were cut in two (nulls stay).
+    Null texts are empty. Repeated rows are equal texts: each is a place of its own. An empty table gives none."""
     names = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
     keyed = df.drop(*names).withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), *(F.col(c).cast("string") for c in df.columns if c not in (text_col, *names))))
     texts = keyed.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = recurring_spans(texts, length, stretch)
     spans = spans.groupBy("key", "start").agg(F.max("end").alias("end")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    spans = small(stage(spans, "spans").withColumnRenamed("key", "__key"), 256)
+    spans = stage(spans, "spans").withColumnRenamed("key", "__key")
     joined = keyed.join(spans, "__key", "left").drop("__key")
     at = joined.columns.index(text_col)
 
@@ -307,7 +307,12 @@ def deduplicate(df: DataFrame, text_col: str = "text", length: int = LENGTH, str
                 out.append((b - a, removed, runs, kept, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names[:-1], *names])
+            own = batch.columns[:-1]
+            if replace:
+                null = batch.column(at).is_null().to_pylist()
+                own[at] = pa.array([None if gone else k.decode("utf-8", "ignore") for gone, k in zip(null, columns[3], strict=True)], pa.string())
+                columns[3] = [None] * len(null)
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names[:-1], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
     return joined.mapInArrow(run, f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
