@@ -13,6 +13,7 @@ SHARD_ROWS = 2048
 BLOCK_QUERIES = 4096
 DEGREE = 28
 BEAM = 64
+SEARCH_BEAM = 128
 ALPHA = 1.2
 BATCH = 128
 EXPAND = 4
@@ -115,7 +116,31 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
             ids, _, trail = beam_search(vectors, graph, entry, vectors[nodes], beam)
             graph[nodes] = robust_prune(vectors, nodes, np.concatenate([ids, trail, graph[nodes]], axis=1), degree, factor)
             _link_back(vectors, graph, nodes, degree, factor)
-    return graph, entry
+    return _connect(vectors, graph, entry), entry
+
+
+def _reached(graph: np.ndarray, entry: int) -> np.ndarray:
+    reached = np.zeros(len(graph), bool)
+    reached[entry] = True
+    edge = np.array([entry])
+    while len(edge):
+        near = np.unique(graph[edge])
+        edge = near[(near >= 0) & ~reached[near]]
+        reached[edge] = True
+    return reached
+
+
+def _connect(vectors: np.ndarray, graph: np.ndarray, entry: int) -> np.ndarray:
+    """Adds a column of edges to nodes that pruning has cut off, each from the nearest reached node that has none yet."""
+    extra = np.full((len(graph), 1), -1)
+    reached = _reached(graph, entry)
+    for node in np.flatnonzero(~reached):
+        if not reached[node]:
+            free = np.flatnonzero(reached & (extra[:, 0] < 0))
+            from_node = free[_squared(vectors, free[None, :], vectors[node][None, :])[0].argmin()]
+            extra[from_node] = node
+            reached |= _reached(np.concatenate([graph, extra], axis=1), node)
+    return np.concatenate([graph, extra], axis=1)
 
 
 def _link_back(vectors: np.ndarray, graph: np.ndarray, nodes: np.ndarray, degree: int, alpha: float) -> None:
@@ -169,7 +194,7 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return stage(dealt.groupBy("shard").applyInPandas(run, "shard string, node int, vec_id bigint, vector array<float>, neighbours array<int>, entry int"), "index")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH_BEAM, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query (query_id, vector), but its own id; by Euclidean distance in double precision, ties to the smaller id.
 
     Each query's beam searches each shard of its dimension; queries are dealt to blocks of bounded size, and a task holds one
@@ -188,7 +213,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM,
         first = np.searchsorted(node, np.arange(node[-1] + 2))
         vectors = np.array(shard["vector"].iloc[first[:-1]].tolist(), np.float32)
         ids = shard["vec_id"].to_numpy()
-        graph = np.full((len(vectors), DEGREE), -1)
+        graph = np.full((len(vectors), DEGREE + 1), -1)
         own = shard[shard["neighbours"].map(len) > 0]
         for at, row in zip(own["node"], own["neighbours"], strict=True):
             graph[at, : len(row)] = row
