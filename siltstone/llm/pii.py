@@ -239,7 +239,8 @@ def find(df: DataFrame, tagger: Tagger, text_col: str = "text", mask: bool = Fal
     names are replaced. Repeated rows give equal rows; an empty table gives none."""
     added = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", *(["masked"] if mask else [])]
     kept = df.drop(*added)
-    at = kept.columns.index(text_col)
+    names = kept.columns
+    at = names.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_added bigint" + ", masked string" * mask
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +258,7 @@ def find(df: DataFrame, tagger: Tagger, text_col: str = "text", mask: bool = Fal
                 if mask:
                     given = batch.column(at).is_null().to_pylist()
                     columns.append(pa.array([None if null else masked(t, x) for null, t, x in zip(given, texts, every, strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*kept.columns, *added])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *added])
 
     return kept.mapInArrow(run, fields)
 
