@@ -287,7 +287,7 @@ def _verify(sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, kept columns, n_shingles, class, n_links (linked classes), component_id: the smallest id that is reached by links.
+    """id, kept columns, n_shingles, class, n_links (linked classes), component_id: the smallest id that is reached by links, and component: a class that stands for all of them.
 
     1. Each text becomes a set of shingle hashes; texts with equal sets are one class.
     2. Each class gets keys (see Plan); the rows of a key are read in order and give candidate edges to its first class.
@@ -315,12 +315,29 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     groups = of_class.join(linked.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
     groups = stage(groups.select("class", "first", F.coalesce("component", "class").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
     least = stage(groups.groupBy("component").agg(F.min("first").alias("component_id")), "least")
-    of_class = stage(groups.join(small(least, 48), "component").select("class", "component_id", "n_links"), "result")
+    of_class = stage(groups.join(small(least, 48), "component").select("class", "component", "component_id", "n_links"), "result")
     found = found.drop("of_text")
-    lone = found.where(F.col("class").isNull()).select("*", F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
+    lone = found.where(F.col("class").isNull()).select("*", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
     return found.where(F.col("class").isNotNull()).join(small(of_class, 64), "class").select(*lone.columns).unionByName(lone)
 
 
+def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without near duplicates: of each component the row with the smallest id (null ids last, then by a hash of the text). Of rows that repeat one stays. Rows without a set all stay."""
+    keyed = df.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = stage(join(keyed, rule, id_col, text_col, ("__text",)), "joined")
+    first = joined.where(F.col("class").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__text").alias("text"))).alias("one"))
+    chosen = stage(first.select("one.id", "one.text"), "chosen")
+    # rows with the id and text of a chosen one are that one again
+    again = joined.where(F.col("class").isNotNull()).groupBy(id_col, "__text").count().where("count > 1")
+    lone = joined.where(F.col("class").isNull()).select(F.col(id_col).alias("id"), F.col("__text").alias("text")).distinct()
+    stay = small(stage(chosen.unionByName(lone), "stay"), 64)
+    out = keyed.join(stay, F.col(id_col).eqNullSafe(stay["id"]) & (F.col("__text") == stay["text"]), "left_semi")
+    if not again.isEmpty():
+        empty = F.coalesce(F.col(text_col), F.lit("")) == ""
+        out = out.where(~empty).dropDuplicates([id_col, "__text"]).unionByName(out.where(empty))
+    return out.drop("__text")
+
+
 def _elements(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()

@@ -60,8 +60,12 @@ def _normal(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), f"[0-9{WORD_SPACE}]+", " ")
 
 
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(F.trim(_normal(line)))
+
+
 def line_removals(df: DataFrame, host_col: str = "source", text_col: str = "text", share: float = LINE_SHARE, least: int = LINE_DOCUMENTS) -> DataFrame:
-    """host, text_hash, words_removed: the words in lines above the limits, for each distinct text of a host that has such lines.
+    """host, text_hash, words_removed, lines_removed: the words in lines above the limits and the hashes of these lines, for each distinct text of a host that has such lines.
 
     Copies of a text on one host are one document. First each distinct text is kept once with the hashes and word counts of
     its distinct lines (partial aggregation drops copies before the shuffle); from these the lines are counted by host and
@@ -69,7 +73,7 @@ def line_removals(df: DataFrame, host_col: str = "source", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: _letters(x) != "")
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(F.trim(_normal(x))).alias("line"), F.size(_words(x)).alias("words")))
+    hashed = F.transform(lines, lambda x: F.struct(_line_hash(x).alias("line"), F.size(_words(x)).alias("words")))
     texts = df.select(host.alias("host"), F.xxhash64(text).alias("text_hash"), hashed.alias("lines")).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
     texts = stage(texts, "lines")
     hosts = texts.groupBy("host").agg(F.count("*").alias("documents"))
@@ -78,17 +82,20 @@ def line_removals(df: DataFrame, host_col: str = "source", text_col: str = "text
     limits = stage(hosts, "hosts")
     often = stage(counts.join(small(limits, 64), "host").where(F.col("n") > share * F.col("documents")).select("host", "line"), "often")
     all_lines = texts.select("host", "text_hash", F.explode("lines").alias("x")).select("host", "text_hash", "x.line", "x.words")
-    removed = all_lines.join(small(often, 64), ["host", "line"], "left_semi").groupBy("host", "text_hash").agg(F.sum("words").alias("words_removed"))
+    removed = all_lines.join(small(often, 64), ["host", "line"], "left_semi").groupBy("host", "text_hash").agg(F.sum("words").alias("words_removed"), F.collect_set("line").alias("lines_removed"))
     return stage(removed, "removed")
 
 
 def judge(df: DataFrame, host_col: str = "source", text_col: str = "text", share: float = LINE_SHARE, least: int = LINE_DOCUMENTS, left: int = LEFT_PERCENT) -> DataFrame:
-    """All columns, the statistics, words_left and kept: false if the base rules fail or too few words are left (a depleted document).
+    """All columns, the statistics, words_left, text_left (without the lines above the limits) and kept: false if the base rules fail or too few words are left (a depleted document).
 
     Columns of these names in the input are replaced. Repeated rows are judged alike; an empty table gives none."""
     removed = line_removals(df, host_col, text_col, share, least)
     judged = statistics(df, text_col).withColumns({"__host": F.coalesce(F.col(host_col).cast("string"), F.lit("\0")), "__text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    removed = small(removed.select(F.col("host").alias("__host"), F.col("text_hash").alias("__text"), F.col("words_removed").alias("__removed")), 64)
+    removed = small(removed.select(F.col("host").alias("__host"), F.col("text_hash").alias("__text"), F.col("words_removed").alias("__removed"), F.col("lines_removed").alias("__lines")), 256)
     out = judged.join(removed, ["__host", "__text"], "left").withColumn("words_left", F.col("n_words") - F.coalesce(F.col("__removed"), F.lit(0)))
-    out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("words_left") >= left * F.col("n_words")))
-    return out.drop("__host", "__text", "__removed")
+    # one expression over both sides of the join: a filter on it stays above the join and doesn't repeat the statistics
+    out = out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(100 * F.col("words_left") >= left * F.col("n_words")))
+    rest = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x: (_letters(x) == "") | ~F.array_contains("__lines", _line_hash(x))), "\n")
+    out = out.withColumn("text_left", F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(rest))
+    return out.drop("__host", "__text", "__removed", "__lines")
