@@ -20,6 +20,10 @@ from .components import components
 #: Sets that are compared at once in a task.
 BLOCK_SETS = 256
 
+#: Bits of the maps that large clusters are narrowed down by, and maps in a block.
+BITMAP_BITS = 1024
+BITMAP_SETS = 768
+
 #: Bytes of text whose words are hashed at once.
 PIECE_BYTES = 1 << 20
 
@@ -291,9 +295,9 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
 
     1. Each text becomes a set of shingle hashes; texts with equal sets are one class.
     2. Each class gets keys (see Plan); the rows of a key are read in order and give candidate edges to its first class.
-    3. Components of the candidate edges are searched for links: small ones whole, many to a task; the sets of large ones are
-       ordered by size and cut into blocks, and only blocks whose sizes can link are compared. Sets come from the texts again,
-       one text for each class of such a component.
+    3. Components of the candidate edges are searched for links: small ones whole, many to a task. Large ones are narrowed
+       down first by bitmaps, which bound how much two sets differ; what is still large is ordered by size and cut into
+       blocks, and only blocks whose sizes can link are compared. Sets come from the texts again, one for each class.
     4. Components of the links give the result. Each link is found and none that isn't one.
     Null and empty texts have an empty set, no class and no link, and their own id as component. A null id is never the
     smallest. Repeated rows are a class of their own kind; an empty table gives none."""
@@ -352,27 +356,72 @@ def _elements(rule: Rule):
     return run
 
 
-def _links(sets: DataFrame, rule: Rule) -> DataFrame:
-    few = sets.where(F.col("sets") <= BLOCK_SETS)
-    n = max(1, few.count() // BLOCK_SETS)
-    # small clusters: whole, many to a bin
-    whole = few.select("class", "elements", F.col("cluster").alias("task"), F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(n)).alias("bin"))
-    out = _verify(whole, rule)
-    large = sets.where(F.col("sets") > BLOCK_SETS)
-    if large.isEmpty():
-        return out
-    # large clusters: blocks of sets of like sizes; sizes with more than a block's worth are dealt to blocks of their own
-    by_size = large.groupBy("cluster", "n").agg(F.count("*").alias("m"))
+def _paired(rows: DataFrame, rule: Rule, block_sets: int, payload: str) -> DataFrame:
+    """class, n, payload, task, side of the rows of large clusters (class, cluster, n, payload): every two rows of a cluster whose sizes can link meet in one task of at most about two blocks.
+
+    Blocks hold sets of like sizes; a size with more than a block's worth is dealt to blocks of its own. A block meets itself
+    and the blocks that reach into its range of sizes."""
+    by_size = rows.groupBy("cluster", "n").agg(F.count("*").alias("m"))
     earlier = F.coalesce(F.sum("m").over(Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = F.when(F.col("m") > BLOCK_SETS, F.ceil(F.col("m") / BLOCK_SETS)).otherwise(1).cast("int")
-    by_size = stage(by_size.withColumn("parts", parts).withColumn("at", F.when(F.col("parts") > 1, -F.col("n")).otherwise((earlier / BLOCK_SETS).cast("long"))), "sizes")
+    parts = F.when(F.col("m") > block_sets, F.ceil(F.col("m") / block_sets)).otherwise(1).cast("int")
+    by_size = stage(by_size.withColumn("parts", parts).withColumn("at", F.when(F.col("parts") > 1, -F.col("n")).otherwise((earlier / block_sets).cast("long"))), "sizes")
     blocks = by_size.select("cluster", "n", "at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).groupBy("cluster", "at", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     blocks = stage(blocks.withColumn("block", F.struct("lo", "hi", "part")), "blocks")
     a, b = blocks.select("cluster", F.col("block").alias("one")), blocks.select("cluster", F.col("block").alias("other"))
     pairs = a.join(b, "cluster").where((F.col("one") <= F.col("other")) & (F.lit(rule.num) * F.col("other.lo") <= F.lit(rule.den) * F.col("one.hi")))
     pairs = stage(pairs.withColumn("task", F.xxhash64("cluster", "one", "other")), "pairs")
-    placed = large.join(small(by_size, 48), ["cluster", "n"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    placed = placed.join(small(blocks, 64), ["cluster", "at", "part"]).select("class", "elements", "cluster", "block")
-    left = placed.join(small(pairs.select("cluster", F.col("one").alias("block"), "task"), 64), ["cluster", "block"]).select("class", "elements", "task", F.lit(0).alias("side"))
-    right = placed.join(small(pairs.where("one <> other").select("cluster", F.col("other").alias("block"), "task"), 64), ["cluster", "block"]).select("class", "elements", "task", F.lit(1).alias("side"))
-    return out.unionByName(_verify(left.unionByName(right).withColumn("bin", F.col("task")), rule))
+    placed = rows.join(small(by_size, 48), ["cluster", "n"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    placed = placed.join(small(blocks, 64), ["cluster", "at", "part"]).select("class", "n", payload, "cluster", "block")
+    left = placed.join(small(pairs.select("cluster", F.col("one").alias("block"), "task"), 64), ["cluster", "block"]).select("class", "n", payload, "task", F.lit(0).alias("side"))
+    right = placed.join(small(pairs.where("one <> other").select("cluster", F.col("other").alias("block"), "task"), 64), ["cluster", "block"]).select("class", "n", payload, "task", F.lit(1).alias("side"))
+    return left.unionByName(right)
+
+
+def _bitmap(elements: np.ndarray) -> bytes:
+    """For each of BITMAP_BITS classes of elements whether it has an odd number of them. Two sets differ in at least as many elements as their bitmaps in bits."""
+    return np.packbits(np.bincount((mix(elements ^ np.uint64(3)) % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1).tobytes()
+
+
+def _refined(large: DataFrame, rule: Rule) -> DataFrame:
+    """Sets of large clusters in smaller ones: joined only where sizes and bitmaps allow a link. Only bitmaps are dealt to blocks. Sets that can't link with any other go."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                maps = [_bitmap(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(maps, pa.binary())], ["class", "cluster", "n", "bits"])
+
+    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "class"])
+        n, own = pdf["n"].to_numpy(np.int64), pdf["class"].to_numpy()
+        maps = np.stack([np.frombuffer(x, np.uint64) for x in pdf["bits"]])
+        both = n[:, None] + n[None, :]
+        apart = np.zeros(both.shape, np.int64)
+        for k in range(maps.shape[1]):
+            apart += np.bitwise_count(maps[:, None, k] ^ maps[None, :, k])
+        fits = apart <= both - 2 * -(-rule.num * both // (rule.num + rule.den))
+        np.fill_diagonal(fits, False)
+        some = fits.any(axis=1)
+        return pd.DataFrame({"a": own, "b": own[_roots(fits)]})[some]
+
+    maps = stage(large.select("class", "cluster", "n", "elements").mapInArrow(bits, "class bigint, cluster bigint, n int, bits binary"), "bitmaps")
+    edges = _paired(maps, rule, BITMAP_SETS, "bits").groupBy("task").applyInPandas(join_up, "a bigint, b bigint")
+    found = stage(components(edges.where("a <> b")).withColumnsRenamed({"node": "class", "component": "cluster"}), "refined")
+    sizes = stage(found.groupBy("cluster").agg(F.count("*").alias("sets")), "sizes")
+    found = stage(found.join(small(sizes, 48), "cluster"), "refined")
+    return stage(large.drop("cluster", "sets").join(small(found, 64), "class"), "sets")
+
+
+def _links(sets: DataFrame, rule: Rule) -> DataFrame:
+    large = sets.where(F.col("sets") > BLOCK_SETS)
+    few = sets.where(F.col("sets") <= BLOCK_SETS)
+    if not large.isEmpty():
+        large = _refined(large, rule)
+        few = few.unionByName(large.where(F.col("sets") <= BLOCK_SETS).select(*few.columns))
+        large = large.where(F.col("sets") > BLOCK_SETS)
+    n = max(1, few.count() // BLOCK_SETS)
+    # small clusters: whole, many to a bin
+    out = _verify(few.select("class", "elements", F.col("cluster").alias("task"), F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(n)).alias("bin")), rule)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_verify(_paired(large, rule, BLOCK_SETS, "elements").withColumn("bin", F.col("task")), rule))
