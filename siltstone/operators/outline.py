@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,18 +117,18 @@ def _tiny(rows: list[dict], settings: Settings) -> list[dict]:
     return out
 
 
-def _fold(measured_blocks: DataFrame, merge, doc: str) -> DataFrame:
+def _fold(measured_blocks: DataFrame, merge: Callable[[list[dict]], Iterable[dict]], doc: str) -> DataFrame:
+    """Folds each document's blocks; a row holds one document's, and a batch of rows is worked on at a time."""
     names = [x.split()[0] for x in BLOCK.split(", ")]
     kind = measured_blocks.schema[doc].dataType.simpleString()
+    listed = measured_blocks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start_line", "block_no", *(n for n in names if n != "start_line")))).alias("blocks"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("start_line")[names].to_dict("records")
-        out = pd.DataFrame(list(merge(rows)), columns=names)
-        out.insert(0, "block_no", range(len(out)))
-        out.insert(0, doc, pdf[doc].iloc[0])
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(own, k, *(row[n] for n in names)) for own, rows in zip(batch[doc], batch["blocks"], strict=True) for k, row in enumerate(merge(list(rows)))]
+            yield pd.DataFrame(out, columns=[doc, "block_no", *names])
 
-    return measured_blocks.groupBy(doc).applyInPandas(run, f"`{doc}` {kind}, block_no int, {BLOCK}")
+    return listed.mapInPandas(run, f"`{doc}` {kind}, block_no int, {BLOCK}")
 
 
 def merge_shells(measured_blocks: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:

@@ -45,9 +45,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, settings: Settings = DEFAU
     return top(scored, k, ["query_id", *names[1:]], "score", "rank", "chunk_id")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def measured(vectors: DataFrame, name: str, *keys: str) -> DataFrame:
+    """keys, the vector in double precision and its length, so that pairs don't work them out again; rows without a vector go."""
+    wide = vectors.where(F.col("vector").isNotNull()).select(*keys, F.col("vector").cast("array<double>").alias(name))
+    return wide.withColumn(f"{name}_length", F.sqrt(dot(F.col(name), F.col(name))))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, role: str | None = None) -> DataFrame:
@@ -55,8 +60,9 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, role: str | None = Non
 
     The stated queries are the small side and meet all rows; the best k are kept in each task before the shuffle."""
     names = ["chunk_id", *([role] if role else [])]
-    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").alias("asked"))
-    scored = vectors.where(F.col("vector").isNotNull()).crossJoin(sent(asked)).select("query_id", *names, F.round(cosine(F.col("asked"), F.col("vector")), 9).alias("score"))
+    asked, every = measured(queries, "a", "query_id"), measured(vectors, "b", *names)
+    score = F.round(dot(F.col("a"), F.col("b")) / (F.col("a_length") * F.col("b_length")), 9)
+    scored = every.crossJoin(sent(asked)).select("query_id", *names, score.alias("score"))
     return top(scored, k, ["query_id", *names[1:]], "score", "rank", "chunk_id")
 
 
