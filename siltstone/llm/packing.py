@@ -48,8 +48,8 @@ class WordIds:
         self.memo: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        """Encodes the words in one call, with the separator's token between them; words that hold its text, one by one."""
-        plain = [w for w in words if SEPARATOR not in w]
+        """Encodes the words in one call, with the separator's token between them; words that may hold a special token's text, one by one."""
+        plain = [w for w in words if b"<|" not in w]
         if plain:
             joined = SEPARATOR.join(plain).decode()
             ids = np.asarray(self.separating.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
