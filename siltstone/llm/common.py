@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -23,12 +24,16 @@ def scratch(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/") + "/siltstone"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+def stage(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """Cuts the lineage: writes a table into the shared folder and reads it back.
 
-    Lost executors cost only the tasks that were running; what is written stays."""
+    Lost executors cost only the tasks that were running; what is written stays. With release, Spark is led to drop the
+    shuffle files behind it at once (it does so when their plans are collected as garbage)."""
     path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

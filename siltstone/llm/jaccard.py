@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -22,7 +22,7 @@ BLOCK_SETS = 256
 
 #: Bits of the maps that large clusters are narrowed down by, and maps in a block.
 BITMAP_BITS = 1024
-BITMAP_SETS = 768
+BITMAP_SETS = 384
 
 #: Bytes of text whose words are hashed at once.
 PIECE_BYTES = 1 << 20
@@ -295,23 +295,31 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
 
     1. Each text becomes a set of shingle hashes; texts with equal sets are one class.
     2. Each class gets keys (see Plan); the rows of a key are read in order and give candidate edges to its first class.
-    3. Components of the candidate edges are searched for links: small ones whole, many to a task. Large ones are narrowed
-       down first by bitmaps, which bound how much two sets differ; what is still large is ordered by size and cut into
-       blocks, and only blocks whose sizes can link are compared. Sets come from the texts again, one for each class.
+    3. Components of the candidate edges are narrowed down by bitmaps, which bound how much two sets differ, and what is left
+       is searched for links by the sets themselves: small components whole, many to a task; large ones are ordered by size
+       and cut into blocks, and only blocks whose sizes can link are compared. Bitmaps and sets come from the texts again,
+       one for each class that is still in question.
     4. Components of the links give the result. Each link is found and none that isn't one.
     Null and empty texts have an empty set, no class and no link, and their own id as component. A null id is never the
     smallest. Repeated rows are a class of their own kind; an empty table gives none."""
     keyed = df.withColumn("of_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     found = stage(classes_of(keyed, rule, tuple(dict.fromkeys((id_col, *keep, "of_text"))), text_col), "classes")
-    candidates = stage(components(_scan_lists(_keys(df, rule, text_col)).distinct()), "candidates")
+    edges = stage(_scan_lists(_keys(df, rule, text_col)).distinct(), "candidates", release=True)
+    candidates = stage(components(edges), "clusters")
     sizes = stage(candidates.groupBy("component").agg(F.count("*").alias("sets")), "clusters")
     wanted = stage(candidates.join(small(sizes, 64), "component").select(F.col("node").alias("class"), F.col("component").alias("cluster"), "sets"), "wanted")
+    one_text = found.groupBy("class").agg(F.min("of_text").alias("of_text"))
+    texts = keyed.select("of_text", F.col(text_col).alias("text"))
 
-    # the text of each wanted class
-    chosen = stage(found.groupBy("class").agg(F.min("of_text").alias("of_text")).join(small(wanted, 64), "class"), "chosen")
-    texts = keyed.select("of_text", F.col(text_col).alias("text")).join(small(chosen, 96), "of_text").select("class", "cluster", "sets", "text")
-    sets = stage(texts.mapInArrow(_elements(rule), "class bigint, cluster bigint, sets bigint, n int, elements binary").dropDuplicates(["class"]), "sets")
-    links = stage(_links(sets, rule), "links")
+    def of_each(clusters: DataFrame, make: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+        """class, cluster, sets, n and what is made of the set of each class, from the text that stands for it."""
+        chosen = stage(one_text.join(small(clusters, 64), "class"), "chosen")
+        rows = texts.join(small(chosen, 96), "of_text").select("class", "cluster", "sets", "text")
+        return stage(rows.mapInArrow(_made(rule, make, name), f"class bigint, cluster bigint, sets bigint, n int, {name} binary").dropDuplicates(["class"]), name, release=True)
+
+    refined = _refined(of_each(wanted, _bitmap, "bits"), rule)
+    sets = of_each(refined, lambda elements: elements.tobytes(), "elements")
+    links = stage(_links(sets, rule), "links", release=True)
 
     linked = components(links.select("a", "b"))
     degree = links.groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "class")
@@ -342,16 +350,20 @@ def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
     return out.drop("__text")
 
 
-def _elements(rule: Rule):
+def _made(rule: Rule, make: Callable[[np.ndarray], bytes], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             own = batch.column(0).to_pylist()
             new = [k for k, c in enumerate(own) if c not in seen and not seen.add(c)]
-            batch = batch.take(pa.array(new, pa.int64()))
-            sets = [x.tobytes() for x in _sets(batch, 3, rule.words)]
-            n = pa.array([len(x) // 8 for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n, pa.array(sets, pa.binary())], ["class", "cluster", "sets", "n", "elements"])
+            for k in range(0, len(new), 500):
+                part = batch.take(pa.array(new[k : k + 500], pa.int64()))
+                n, made = [], []
+                for elements in _sets(part, 3, rule.words):
+                    n.append(len(elements))
+                    with np.errstate(over="ignore"):
+                        made.append(make(elements))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int32()), pa.array(made, pa.binary())], ["class", "cluster", "sets", "n", name])
 
     return run
 
@@ -382,46 +394,43 @@ def _bitmap(elements: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(elements ^ np.uint64(3)) % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1).tobytes()
 
 
-def _refined(large: DataFrame, rule: Rule) -> DataFrame:
-    """Sets of large clusters in smaller ones: joined only where sizes and bitmaps allow a link. Only bitmaps are dealt to blocks. Sets that can't link with any other go."""
+def _refined(maps: DataFrame, rule: Rule) -> DataFrame:
+    """class, cluster, sets: candidate clusters made smaller. Within each (class, cluster, sets, n, bits) sets are joined only where sizes and bitmaps allow a link; those that can't link with any other go.
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                maps = [_bitmap(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(maps, pa.binary())], ["class", "cluster", "n", "bits"])
+    Small clusters are compared whole, many to a task; of large ones blocks of bitmaps."""
 
     def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "class"])
-        n, own = pdf["n"].to_numpy(np.int64), pdf["class"].to_numpy()
-        maps = np.stack([np.frombuffer(x, np.uint64) for x in pdf["bits"]])
-        both = n[:, None] + n[None, :]
-        apart = np.zeros(both.shape, np.int64)
-        for k in range(maps.shape[1]):
-            apart += np.bitwise_count(maps[:, None, k] ^ maps[None, :, k])
-        fits = apart <= both - 2 * -(-rule.num * both // (rule.num + rule.den))
-        np.fill_diagonal(fits, False)
-        some = fits.any(axis=1)
-        return pd.DataFrame({"a": own, "b": own[_roots(fits)]})[some]
-
-    maps = stage(large.select("class", "cluster", "n", "elements").mapInArrow(bits, "class bigint, cluster bigint, n int, bits binary"), "bitmaps")
-    edges = _paired(maps, rule, BITMAP_SETS, "bits").groupBy("task").applyInPandas(join_up, "a bigint, b bigint")
+        out = []
+        for _, task in pdf.sort_values(["task", "side", "class"]).groupby("task", sort=False):
+            n, own = task["n"].to_numpy(np.int64), task["class"].to_numpy()
+            maps = np.stack([np.frombuffer(x, np.uint64) for x in task["bits"]])
+            both = n[:, None] + n[None, :]
+            apart = np.zeros(both.shape, np.int16)
+            for k in range(maps.shape[1]):
+                apart += np.bitwise_count(maps[:, None, k] ^ maps[None, :, k])
+            fits = apart <= both - 2 * -(-rule.num * both // (rule.num + rule.den))
+            np.fill_diagonal(fits, False)
+            out.append(pd.DataFrame({"a": own, "b": own[_roots(fits)]})[fits.any(axis=1)])
+        return pd.concat(out)
+
+    few = maps.where(F.col("sets") <= BITMAP_SETS)
+    n = max(1, few.count() // BITMAP_SETS)
+    whole = few.select("class", "n", "bits", F.col("cluster").alias("task"), F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(n)).alias("bin"))
+    edges = whole.groupBy("bin").applyInPandas(join_up, "a bigint, b bigint")
+    large = maps.where(F.col("sets") > BITMAP_SETS)
+    if not large.isEmpty():
+        edges = edges.unionByName(_paired(large, rule, BITMAP_SETS, "bits").groupBy("task").applyInPandas(join_up, "a bigint, b bigint"))
     found = stage(components(edges.where("a <> b")).withColumnsRenamed({"node": "class", "component": "cluster"}), "refined")
     sizes = stage(found.groupBy("cluster").agg(F.count("*").alias("sets")), "sizes")
-    found = stage(found.join(small(sizes, 48), "cluster"), "refined")
-    return stage(large.drop("cluster", "sets").join(small(found, 64), "class"), "sets")
+    return stage(found.join(small(sizes, 48), "cluster"), "refined", release=True)
 
 
 def _links(sets: DataFrame, rule: Rule) -> DataFrame:
-    large = sets.where(F.col("sets") > BLOCK_SETS)
     few = sets.where(F.col("sets") <= BLOCK_SETS)
-    if not large.isEmpty():
-        large = _refined(large, rule)
-        few = few.unionByName(large.where(F.col("sets") <= BLOCK_SETS).select(*few.columns))
-        large = large.where(F.col("sets") > BLOCK_SETS)
     n = max(1, few.count() // BLOCK_SETS)
     # small clusters: whole, many to a bin
     out = _verify(few.select("class", "elements", F.col("cluster").alias("task"), F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(n)).alias("bin")), rule)
+    large = sets.where(F.col("sets") > BLOCK_SETS)
     if large.isEmpty():
         return out
     return out.unionByName(_verify(_paired(large, rule, BLOCK_SETS, "elements").withColumn("bin", F.col("task")), rule))

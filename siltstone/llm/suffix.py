@@ -257,15 +257,15 @@ def _string_by_string(slices: DataFrame, length: int) -> DataFrame:
 def recurring_spans(df: DataFrame, length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
     """(key, start, end), overlapping still, of all bytes in strings of `length` bytes that start at two places in the texts of df (key, text)."""
     found = stage(_find_anchors(df, length, stretch), "anchors")
-    often = stage(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
-    again = stage(found.join(often, "anchor"), "again")
+    often = stage(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "often", release=True)
+    again = stage(found.join(often, "anchor"), "again", release=True)
     # a neighbourhood that recurs as a whole is settled; for the others' sake one of each kind still takes part
     kinds = stage(again.where("mixed").groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("one")), "kinds")
     neighbours = stage(kinds.groupBy("anchor").agg(F.count("*").alias("neighbours")), "neighbours")
     wanted = kinds.join(neighbours, "anchor").select("anchor", "one.*", "neighbours")
     settled = again.join(stage(kinds.where("n > 1").select("anchor", "around"), "whole"), ["anchor", "around"], "left_semi").unionByName(again.where("not mixed"))
     settled = settled.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    slices = stage(_slices(df, wanted, length), "slices")
+    slices = stage(_slices(df, wanted, length), "slices", release=True)
     blocks = _in_blocks(slices.where(F.col("neighbours") <= BLOCK_NEIGHBOURS), length)
     hot = _string_by_string(slices.where(F.col("neighbours") > BLOCK_NEIGHBOURS), length)
     return settled.unionByName(blocks).unionByName(hot)
@@ -282,7 +282,7 @@ def deduplicate(df: DataFrame, text_col: str = "text", length: int = LENGTH, str
     texts = keyed.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = recurring_spans(texts, length, stretch)
     spans = spans.groupBy("key", "start").agg(F.max("end").alias("end")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    spans = stage(spans, "spans").withColumnRenamed("key", "__key")
+    spans = stage(spans, "spans", release=True).withColumnRenamed("key", "__key")
     joined = keyed.join(spans, "__key", "left").drop("__key")
     at = joined.columns.index(text_col)
 
