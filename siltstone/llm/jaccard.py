@@ -291,7 +291,7 @@ def _verify(sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, kept columns, n_shingles, class, n_links (linked classes), component_id: the smallest id that is reached by links, and component: a class that stands for all of them.
+    """id, kept columns, n_shingles, class, class_id (its smallest id), n_links (linked classes), component_id: the smallest id that is reached by links, and component: a class that stands for all of them.
 
     1. Each text becomes a set of shingle hashes; texts with equal sets are one class.
     2. Each class gets keys (see Plan); the rows of a key are read in order and give candidate edges to its first class.
@@ -327,9 +327,9 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     groups = of_class.join(linked.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
     groups = stage(groups.select("class", "first", F.coalesce("component", "class").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
     least = stage(groups.groupBy("component").agg(F.min("first").alias("component_id")), "least")
-    of_class = stage(groups.join(small(least, 48), "component").select("class", "component", "component_id", "n_links"), "result")
+    of_class = stage(groups.join(small(least, 48), "component").select("class", F.col("first").alias("class_id"), "component", "component_id", "n_links"), "result")
     found = found.drop("of_text")
-    lone = found.where(F.col("class").isNull()).select("*", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
+    lone = found.where(F.col("class").isNull()).select("*", F.col(id_col).alias("class_id"), F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
     return found.where(F.col("class").isNotNull()).join(small(of_class, 64), "class").select(*lone.columns).unionByName(lone)
 
 

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, graph, jaccard, packing, pii, quality, secrets, suffix, urls, warc
 
@@ -50,7 +49,7 @@ def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return jaccard.join(documents, jaccard.Rule(words=3, num=90, den=100)).select("doc_id", "n_shingles", "component_id", F.col("class").alias("class_id"), "n_links")
+    return jaccard.join(documents, jaccard.Rule(words=3, num=90, den=100)).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +63,34 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_ownership, op2_graph_ann, op3_pii_lstm_crf, op4_tiktoken_bpe, op5_warc_segments, op6_suffix_dedup, op7_certified_packing, op8_jaccard_join, op9_url_rules, op10_line_quality)}
 
-ORACLES: dict[str, str] = {}
+RULES_SQL = ", ".join(f"('{verdict}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{rule}')" for verdict, rule in URL_RULES)
+WORDS_SQL = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op5_warc_segments": """WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages), w AS (SELECT digest, max(page_id) AS last FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to, 'ok' AS status FROM d LEFT JOIN w USING (digest)""",
+    "op8_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+class AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(b), d.doc_id)) AS class_id FROM documents d LEFT JOIN l ON a = d.doc_id AND same GROUP BY d.doc_id),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+linked AS (SELECT a, count(DISTINCT class_id) AS n FROM l JOIN class ON class.doc_id = b WHERE NOT same GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id, any_value(class_id) AS class_id, CAST(coalesce(any_value(linked.n), 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id LEFT JOIN class USING (doc_id) LEFT JOIN linked ON linked.a = d.doc_id GROUP BY d.doc_id""",
+    "op9_url_rules": rf"""WITH rules(verdict, host, path, rule) AS (VALUES {RULES_SQL}), u AS (SELECT page_id, coalesce(lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, any_value(u.host) AS host, any_value(u.path) AS path, max_by(rule, length(rule)) AS rule, coalesce(max_by(verdict, length(rule)), 'allow') AS verdict FROM u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY page_id""",
+    "op10_line_quality": rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORDS_SQL.format("coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' '))) AS x FROM d WHERE len(w) >= 8),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(8) t(k) GROUP BY doc_id),
+lines AS (SELECT DISTINCT source, text, unnest(l) AS raw, unnest(range(len(l))) AS at FROM d),
+normal AS (SELECT source, text, trim(regexp_replace(lower(raw), '[0-9\x20\x09-\x0D]+', ' ', 'g')) AS line, len({WORDS_SQL.format('raw')}) AS words FROM lines),
+hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
+often AS (SELECT source, line FROM normal JOIN hosts USING (source) GROUP BY source, line, n HAVING count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.2 * n),
+removed AS (SELECT source, text, sum(words) AS n FROM normal SEMI JOIN often USING (source, line) GROUP BY source, text),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(w) - coalesce(r.n, 0) AS BIGINT) AS words_left FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN removed r USING (source, text)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND 100 * words_left >= 30 * n_words AS kept FROM judged""",
+}

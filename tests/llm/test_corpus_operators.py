@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from siltstone.llm import components, graph, jaccard, packing, suffix, urls, warc
+from siltstone.llm import components, graph, jaccard, packing, queries, suffix, urls, warc
 
 WORDS = P.path("word_bpe_49k.json")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -366,6 +368,28 @@ def test_url_rules(spark):
         urls.rule_table(spark, [("block", "a/b")])
 
 
+# ------------------------------------------------------------------ queries
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries(spark, name):
+    frame = queries.QUERIES[name](spark, str(DATA))
+    got = frame.collect()
+    if name not in queries.ORACLES:
+        assert got
+        return
+    duck = duckdb.connect()
+    for path in DATA.glob("*.parquet"):
+        duck.execute(f"create view {path.stem} as select * from '{path}'")
+    result = duck.execute(queries.ORACLES[name])
+    names = [c[0] for c in result.description]
+    assert sorted(names) == sorted(frame.columns)
+    assert sorted(repr(tuple(r[n] for n in names)) for r in got) == sorted(map(repr, result.fetchall()))
+
+
 # ------------------------------------------------------------------ pipeline
 
 
