@@ -37,6 +37,13 @@ def stage(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all staged tables. For the end of an application: frames that were built on them can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(*cols: str) -> Column:
     """A key of a row's content. Rows that repeat share it, so that joins on it must have one row a key on the other side."""
     return F.xxhash64(*(F.col(c).cast("string") for c in cols), *(F.col(c).isNull() for c in cols))

@@ -46,6 +46,7 @@ class WordIds:
         self.separating = Tokenizer.from_file(path)
         self.separator = self.separating.token_to_id(SEPARATOR.decode())
         self.memo: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
         """Encodes the words in one call, with the separator's token between them; words that may hold a special token's text, one by one."""
@@ -62,10 +63,14 @@ class WordIds:
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+        # two generations: words that are met again stay, others go
+        if len(self.memo) > MEMO_WORDS // 2:
+            self.memo, self.before = {}, self.memo
         split = [(t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        new = {w for words in split for w in words if w not in self.memo}
+        new = set().union(*split).difference(self.memo)
+        known = new.intersection(self.before)
+        self.memo.update(zip(known, map(self.before.__getitem__, known), strict=True))
+        new -= known
         # a comma or full stop after an ASCII letter is a token of its own; the rest is looked up by itself
         tails = {w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
         self.learn([w for w in {w[:-1] for w in tails} | (new - tails) | {b".", b","} if w not in self.memo])

@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
 REVISIT_BYTES = 1000
 RECORDS_A_FILE = 2048
+BATCH_CHARS = 4 << 20
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -96,15 +98,19 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     marked = marked.withColumn("refers", F.when(F.col("last") != F.col("ordinal"), F.col("last")))
     marked = marked.select("page_id", "url", F.when(F.col("refers").isNull(), F.col("html")).alias("html"), "digest", "ordinal", "refers")
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.astype(object).where(batch.notna(), None)
-            rows = ((p, u, (h or "").encode(), d, o, None if r is None else int(r)) for p, u, h, d, o, r in batch.itertuples(index=False))
-            for row in rows:
-                row = (None if row[0] is None else int(row[0]), *row[1:])
-                yield pd.DataFrame({"value": list(records(row, segment_bytes))})
-
-    marked.mapInPandas(render, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+            lines: list[str] = []
+            size = 0
+            for page, url, html, digest, ordinal, refers in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                lines += records((page, url, (html or "").encode(), digest, ordinal, refers), segment_bytes)
+                size += len(html or "")
+                if size > BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+                    lines, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+
+    marked.mapInArrow(render, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
 
 
 def _unzip(data: bytes) -> bytes:
