@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import token_half
+from ..functions.text import ordered_join, token_half, tokens_of
 from ..operators import chunks as ch
 from ..operators import lines as ln
 from ..operators import outline, roles, tables
 from ..operators.lines import latest_before
 
 
-def _lines_of(found: DataFrame, lines: DataFrame) -> DataFrame:
+def lines_of(found: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of each block by its span, as an as-of join: no pairs of lines and blocks."""
     starts = found.select("source_file", F.col("first_line").alias("line_no"), F.struct("block_no", "last_line").alias("__b"))
     out = latest_before(lines, starts, ["source_file"], ["line_no"], "__b").where(F.col("line_no") <= F.col("__b.last_line"))
@@ -28,7 +28,7 @@ def text_chunks(docs: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFram
     found = outline.split_oversized(lines, found, settings=settings)
     found = outline.merge_tiny(found, settings=settings)
     keys = ["source_file", "block_no"]
-    raw = ch.in_order(ch.raw_chunks(_lines_of(found, lines), keys, settings), keys)
+    raw = ch.in_order(ch.raw_chunks(lines_of(found, lines), keys, settings), keys)
     sized = ch.sized(raw, settings).join(found.select(*keys, "breadcrumb"), keys)
     sized = sized.withColumn("chunks", ch.with_breadcrumb(F.col("chunks"), F.col("breadcrumb")))
     return found, ch.exploded(sized, keys)
@@ -50,10 +50,27 @@ def table_chunks(docs: DataFrame, blocks: DataFrame, settings: Settings = DEFAUL
     rows = grouped.withColumn("content", content).withColumn("hint", F.when(hint == "", F.concat(F.lit("#"), (F.col("record_no") + 1).cast("string"))).otherwise(hint)).join(placed, keys)
     raw = rows.select(*keys, F.col("record_no").alias("chunk_no"), ch._chunk(F.concat_ws(" | ", "table_name", "hint"), F.col("content"), F.col("line_no"), F.col("line_no"), F.lit(99), token_half(F.col("content"))).alias("chunk"))
     sized = ch.sized(ch.in_order(raw, keys), settings)
-    tokens = F.transform("chunks", lambda c: (F.floor(c["half"] / 2) + 1).cast("long"))
-    sized = sized.withColumn("bins", ch.bins_in_order(tokens, settings.block_max)).join(placed.select(*keys, "table_name", "__trail"), keys)
-    out = sized.select(*keys, F.concat(F.coalesce("__trail", F.array().cast("array<string>")), F.array("table_name")).alias("breadcrumb"), F.posexplode(F.arrays_zip("chunks", "bins")).alias("chunk_idx", "x"))
-    return out.select(*keys, F.col("x.bins").alias("part"), "chunk_idx", "x.chunks.title", "x.chunks.content", (F.floor(F.col("x.chunks.half") / 2) + 1).alias("token_estimate"), "breadcrumb")
+    tokens = F.transform("chunks", lambda c: tokens_of(c["half"]).cast("long"))
+    sized = sized.withColumn("bins", ch.bins_in_order(tokens, settings.block_max)).join(placed.select(*keys, "table_name", "line_no", "__trail"), keys)
+    out = sized.withColumn("parts", F.array_max("bins") + 1)
+    out = out.select(*keys, "parts", "line_no", F.concat(F.coalesce("__trail", F.array().cast("array<string>")), F.array("table_name")).alias("breadcrumb"), "table_name", F.posexplode(F.arrays_zip("chunks", "bins")).alias("chunk_idx", "x"))
+    part = F.col("x.bins")
+    block = F.when(F.col("parts") > 1, F.concat("table_name", F.lit("(第"), (part + 1).cast("string"), F.lit("部分)"))).otherwise(F.col("table_name"))
+    return out.select(*keys, part.alias("part"), block.alias("block_title"), "chunk_idx", "x.chunks.title", "x.chunks.content", F.col("line_no").alias("start_line"), tokens_of(F.col("x.chunks.half")).alias("token_estimate"), "breadcrumb")
+
+
+def all_chunks(text: DataFrame, text_blocks: DataFrame, table: DataFrame) -> DataFrame:
+    """Text and table chunks of a document in one order: by start, text before tables, then their own order. source_file, chunk_no, is_table, title, content, token_estimate, breadcrumb."""
+    a = text.join(text_blocks.select("source_file", "block_no", "breadcrumb"), ["source_file", "block_no"]).select("source_file", "start_line", F.lit(False).alias("is_table"), F.col("block_no").alias("__a"), "chunk_idx", "title", "content", "token_estimate", "breadcrumb")
+    b = table.select("source_file", "start_line", F.lit(True).alias("is_table"), F.col("table_index").alias("__a"), "chunk_idx", "title", "content", "token_estimate", "breadcrumb")
+    order = Window.partitionBy("source_file").orderBy("start_line", "is_table", "__a", "chunk_idx")
+    return a.unionByName(b).withColumn("chunk_no", F.row_number().over(order) - 1).select("source_file", "chunk_no", "is_table", "title", "content", "token_estimate", "breadcrumb")
+
+
+def tree(blocks: DataFrame) -> DataFrame:
+    """source_file, outline: a report of each document's blocks, indented by level."""
+    line = F.concat(F.repeat(F.lit("  "), F.size("breadcrumb") - 1), F.lit("- "), "title", F.lit(" ["), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("]"))
+    return blocks.withColumn("__line", line).groupBy("source_file").agg(ordered_join("start_line", "__line", "\n").alias("outline"))
 
 
 def tagged(blocks: DataFrame, chunks: DataFrame, words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import text as tx
 from ..operators import catalog, chunks, fusion, lines, outline, prompts, roles, routing, search, tables
-from . import retrieve
+from . import ingest, retrieve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,12 +168,10 @@ def oversize_split(spark, sf_dir):
 @query()
 def chunk_pipeline(spark, sf_dir):
     """Lines of an outline to chunks: blocks, shells, tiny blocks, chunk boundaries and sizes."""
-    from .ingest import _lines_of
-
     parsed, found = _measured(spark, sf_dir)
     found = outline.merge_tiny(outline.merge_shells(found, doc="doc"), doc="doc").withColumnRenamed("doc", "source_file")
     keys = ["source_file", "block_no"]
-    placed = _lines_of(found, parsed.withColumnRenamed("doc", "source_file"))
+    placed = ingest.lines_of(found, parsed.withColumnRenamed("doc", "source_file"))
     sized = chunks.sized(chunks.in_order(chunks.raw_chunks(placed, keys), keys)).join(found.select(*keys, "breadcrumb"), keys)
     out = chunks.exploded(sized.withColumn("chunks", chunks.with_breadcrumb(F.col("chunks"), F.col("breadcrumb"))), keys)
     return out.select(F.col("source_file").alias("doc"), *_long("block_no", "chunk_idx", "start_line", "end_line", "token_estimate"), F.sha2("content", 256).alias("content_sha256"))

@@ -1,5 +1,9 @@
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from siltstone.config import Settings
 from siltstone.operators import catalog, tables
 from siltstone.plans import ingest
 
@@ -48,6 +52,36 @@ def test_table_chunks(spark):
     assert got and got[0].breadcrumb == ["Top", "Prices"] and "No: 1" in got[0].content and "子项1: " in "".join(r.content for r in got)
 
 
+def test_parts_order_and_tree(spark):
+    rows = "".join(f"<tr><td>{k}</td><td>{'word ' * 150}</td></tr>" for k in range(1, 6))
+    docs = spark.createDataFrame([("d", f"# Top\ntext before\nNames\n<table><tr><td>No</td><td>Text</td></tr>{rows}</table>\n## Next\n" + "more " * 120)], "source_file string, text string")
+    blocks, text = ingest.text_chunks(docs)
+    table = ingest.table_chunks(docs, blocks, Settings(block_max=320))
+    titles = [r.block_title for r in table.orderBy("chunk_idx").collect()]
+    assert titles == ["Names(第1部分)"] * 2 + ["Names(第2部分)"] * 2 + ["Names(第3部分)"]
+    kinds = [r.is_table for r in ingest.all_chunks(text, blocks, table).orderBy("chunk_no").collect()]
+    assert kinds[0] is False and kinds.count(True) == 5
+    assert "- Next [1-" in ingest.tree(blocks).first().outline
+
+
+def test_store(spark, tmp_path):
+    from siltstone.operators import store
+
+    store.drop(spark, "chunk_store")
+    assert store.count(spark, "chunk_store") == 0
+    assert store.ensure(spark, "chunk_store") and not store.ensure(spark, "chunk_store")
+    chunks = spark.createDataFrame([(f"c{k}", "text", "sop" if k % 2 else "notice", 1, "b", "it's \"f\"", ["a"], "a", 1, 2, 3, "rule") for k in range(6)], "chunk_id string, content string, role string, role_confidence long, block_id string, source_file string, breadcrumb array<string>, heading_path string, start_line long, end_line long, token_estimate long, tagged_by string")
+    vectors = chunks.select("chunk_id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    assert store.insert(store.with_vectors(chunks, vectors), "chunk_store") == 6 == store.count(spark, "chunk_store")
+    assert store.scan(spark, "chunk_store", {"role": "sop", "source_file": "it's \"f\""}, ("chunk_id",)).count() == 3
+    assert store.scan(spark, "chunk_store", {"chunk_id": ["c0", "c1"]}, limit=1).count() == 1
+    plan = store.scan(spark, "chunk_store", {"role": "sop"})._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*role", plan)
+    with pytest.raises(Exception, match="no vector for c"):
+        store.insert(store.with_vectors(chunks, vectors.limit(0)), "chunk_store")
+    store.drop(spark, "chunk_store")
+
+
 def test_catalog(spark):
     rows = [
         ({"病毒名称/中文名": "甲病毒a", "病毒名称/英文名": "Alpha virus", "实验活动所需实验室等级/病毒培养a": "BSL-3", "实验活动所需实验室等级/灭活材料的操作": "BSL-2f", "运输/A/B": "A", "UN编号": "2814", "危害程度分类": "第二类"}, 0),
