@@ -14,15 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, pieces, signed, small, stage, text_bytes
+from .common import BROADCAST_BYTES, Rolling, mix, pieces, signed, small, stage, text_bytes
 from .components import components
 
 #: Sets that are compared at once in a task.
 BLOCK_SETS = 256
 
-#: Bits of the maps that large clusters are narrowed down by, and maps in a block.
+#: Bits of the maps that large clusters are narrowed down by, maps that are compared at once, and in a block.
 BITMAP_BITS = 1024
 BITMAP_SETS = 384
+BITMAP_BLOCK = 2048
 
 #: Bytes of text whose words are hashed at once.
 PIECE_BYTES = 1 << 20
@@ -237,14 +238,18 @@ def _scan_lists(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "a bigint, b bigint")
 
 
-def links_within(sets: list[np.ndarray], rule: Rule, split: int | None = None) -> np.ndarray:
-    """Which of the sets link, as a symmetric table; with split, only those before it with those after it."""
-    sizes = np.array([len(s) for s in sets])
+def links_within(sets: list[np.ndarray], rule: Rule, split: int | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Which of the sets link, as a symmetric table; with split, only those before it with those after it.
+
+    With sizes, what is given of each set is its difference to one set that is common to all: two sets differ in as many
+    elements as these differences do."""
+    given = np.array([len(s) for s in sets])
+    sizes = given if sizes is None else sizes
     flat = np.concatenate(sets)
     _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count > 1  # an element of one set only adds nothing to an intersection
     place = np.cumsum(shared) - 1
-    row = np.repeat(np.arange(len(sets)), sizes)
+    row = np.repeat(np.arange(len(sets)), given)
     pick = shared[column]
     row, column = row[pick], place[column[pick]]
     width = int(shared.sum())
@@ -254,7 +259,8 @@ def links_within(sets: list[np.ndarray], rule: Rule, split: int | None = None) -
         table = np.zeros((len(sets), min(16384, width - a)), np.float32)
         table[row[part], column[part] - a] = 1
         common += table @ table.T
-    fits = rule.links(common.astype(np.int64), sizes[:, None], sizes[None, :])
+    apart = given[:, None] + given[None, :] - 2 * common.astype(np.int64)
+    fits = rule.links((sizes[:, None] + sizes[None, :] - apart) // 2, sizes[:, None], sizes[None, :])
     np.fill_diagonal(fits, False)
     if split is not None:
         fits[:split, :split] = False
@@ -282,7 +288,7 @@ def _verify(sets: DataFrame, rule: Rule) -> DataFrame:
         for _, task in pdf.groupby("task", sort=False):
             side, own = task["side"].to_numpy(), task["class"].to_numpy()
             split = int((side == 0).sum()) if (side > 0).any() else None
-            fits = links_within([np.frombuffer(x, np.uint64) for x in task["elements"]], rule, split)
+            fits = links_within([np.frombuffer(x, np.uint64) for x in task["elements"]], rule, split, task["n"].to_numpy(np.int64))
             n = fits.sum(axis=1)
             out.append(pd.DataFrame({"a": own, "b": own[_roots(fits)], "n": n})[n > 0])
         return pd.concat(out)
@@ -394,6 +400,42 @@ def _bitmap(elements: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(elements ^ np.uint64(3)) % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1).tobytes()
 
 
+def _near(n: np.ndarray, maps: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the first one that it is joined with where sizes and bitmaps allow links, and whether it can link at all. Rows are compared with all others some at a time."""
+    root, some = np.arange(len(n)), np.zeros(len(n), bool)
+    for a in range(0, len(n), 256):
+        part = slice(a, a + 256)
+        apart = np.zeros((len(n[part]), len(n)), np.int16)
+        for k in range(maps.shape[1]):
+            apart += np.bitwise_count(maps[part, None, k] ^ maps[None, :, k])
+        both = n[part, None] + n[None, :]
+        fits = apart <= both - 2 * -(-rule.num * both // (rule.num + rule.den))
+        fits[np.arange(len(fits)), a + np.arange(len(fits))] = False
+        some[part] = fits.any(axis=1)
+        for row in np.flatnonzero(some[part]):
+            met = np.unique(np.r_[root[a + row], root[fits[row]]])
+            if len(met) > 1:
+                root[np.isin(root, met[1:])] = met[0]
+    return root, some
+
+
+def _from_pivot(large: DataFrame) -> DataFrame:
+    """Sets of large clusters as their differences to one set of the cluster: near copies then take few bytes."""
+    first = large.groupBy("cluster").agg(F.min("class").alias("class"))
+    pivots = stage(large.join(small(stage(first, "first"), 32), ["cluster", "class"], "left_semi").select("cluster", F.col("elements").alias("pivot")), "pivots")
+    weight = pivots.agg(F.sum(F.octet_length("pivot"))).first()[0] or 0
+    pivots = F.broadcast(pivots) if weight <= BROADCAST_BYTES else pivots
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(3), batch.column(4), strict=True)
+            made = [np.setxor1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(p.as_py(), np.uint64), assume_unique=True).tobytes() for x, p in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["class", "cluster", "n", "elements"])
+
+    rows = large.join(pivots, "cluster").select("class", "cluster", "n", "elements", "pivot")
+    return stage(rows.mapInArrow(run, "class bigint, cluster bigint, n int, elements binary"), "differences")
+
+
 def _refined(maps: DataFrame, rule: Rule) -> DataFrame:
     """class, cluster, sets: candidate clusters made smaller. Within each (class, cluster, sets, n, bits) sets are joined only where sizes and bitmaps allow a link; those that can't link with any other go.
 
@@ -402,15 +444,9 @@ def _refined(maps: DataFrame, rule: Rule) -> DataFrame:
     def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, task in pdf.sort_values(["task", "side", "class"]).groupby("task", sort=False):
-            n, own = task["n"].to_numpy(np.int64), task["class"].to_numpy()
-            maps = np.stack([np.frombuffer(x, np.uint64) for x in task["bits"]])
-            both = n[:, None] + n[None, :]
-            apart = np.zeros(both.shape, np.int16)
-            for k in range(maps.shape[1]):
-                apart += np.bitwise_count(maps[:, None, k] ^ maps[None, :, k])
-            fits = apart <= both - 2 * -(-rule.num * both // (rule.num + rule.den))
-            np.fill_diagonal(fits, False)
-            out.append(pd.DataFrame({"a": own, "b": own[_roots(fits)]})[fits.any(axis=1)])
+            own = task["class"].to_numpy()
+            root, some = _near(task["n"].to_numpy(np.int64), np.stack([np.frombuffer(x, np.uint64) for x in task["bits"]]), rule)
+            out.append(pd.DataFrame({"a": own, "b": own[root]})[some])
         return pd.concat(out)
 
     few = maps.where(F.col("sets") <= BITMAP_SETS)
@@ -419,7 +455,7 @@ def _refined(maps: DataFrame, rule: Rule) -> DataFrame:
     edges = whole.groupBy("bin").applyInPandas(join_up, "a bigint, b bigint")
     large = maps.where(F.col("sets") > BITMAP_SETS)
     if not large.isEmpty():
-        edges = edges.unionByName(_paired(large, rule, BITMAP_SETS, "bits").groupBy("task").applyInPandas(join_up, "a bigint, b bigint"))
+        edges = edges.unionByName(_paired(large, rule, BITMAP_BLOCK, "bits").groupBy("task").applyInPandas(join_up, "a bigint, b bigint"))
     found = stage(components(edges.where("a <> b")).withColumnsRenamed({"node": "class", "component": "cluster"}), "refined")
     sizes = stage(found.groupBy("cluster").agg(F.count("*").alias("sets")), "sizes")
     return stage(found.join(small(sizes, 48), "cluster"), "refined", release=True)
@@ -429,8 +465,8 @@ def _links(sets: DataFrame, rule: Rule) -> DataFrame:
     few = sets.where(F.col("sets") <= BLOCK_SETS)
     n = max(1, few.count() // BLOCK_SETS)
     # small clusters: whole, many to a bin
-    out = _verify(few.select("class", "elements", F.col("cluster").alias("task"), F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(n)).alias("bin")), rule)
+    out = _verify(few.select("class", "n", "elements", F.col("cluster").alias("task"), F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(n)).alias("bin")), rule)
     large = sets.where(F.col("sets") > BLOCK_SETS)
     if large.isEmpty():
         return out
-    return out.unionByName(_verify(_paired(large, rule, BLOCK_SETS, "elements").withColumn("bin", F.col("task")), rule))
+    return out.unionByName(_verify(_paired(_from_pivot(large), rule, BLOCK_SETS, "elements").withColumn("bin", F.col("task")), rule))

@@ -259,6 +259,7 @@ def near_texts():
 def test_join_against_all_pairs(spark, monkeypatch, rule, block):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
     monkeypatch.setattr(jaccard, "BITMAP_SETS", 2 * block)
+    monkeypatch.setattr(jaccard, "BITMAP_BLOCK", 3 * block)
     rows = list(enumerate(near_texts()))
     frame = clash(spark.createDataFrame(rows, "doc_id long, text string"), "class", "key", "n", "cluster", "of_text", "component")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame.repartition(3), rule).collect()}
