@@ -396,8 +396,17 @@ def _paired(rows: DataFrame, rule: Rule, block_sets: int, payload: str) -> DataF
 
 
 def _bitmap(elements: np.ndarray) -> bytes:
-    """For each of BITMAP_BITS classes of elements whether it has an odd number of them. Two sets differ in at least as many elements as their bitmaps in bits."""
-    return np.packbits(np.bincount((mix(elements ^ np.uint64(3)) % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1).tobytes()
+    """For each of a number of classes of elements (by hash) whether it has an odd number of them. Two sets differ in at least as many elements as their bitmaps in bits. Larger sets get more bits, a power of two."""
+    bits = BITMAP_BITS
+    while bits < 1.6 * len(elements):
+        bits *= 2
+    return np.packbits(np.bincount((mix(elements ^ np.uint64(3)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _same_width(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of words, folded to the width of the smallest: classes modulo half the number are unions of two."""
+    width = min(map(len, maps))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in maps])
 
 
 def _near(n: np.ndarray, maps: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -405,7 +414,7 @@ def _near(n: np.ndarray, maps: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.n
     root, some = np.arange(len(n)), np.zeros(len(n), bool)
     for a in range(0, len(n), 256):
         part = slice(a, a + 256)
-        apart = np.zeros((len(n[part]), len(n)), np.int16)
+        apart = np.zeros((len(n[part]), len(n)), np.int32)
         for k in range(maps.shape[1]):
             apart += np.bitwise_count(maps[part, None, k] ^ maps[None, :, k])
         both = n[part, None] + n[None, :]
@@ -445,7 +454,7 @@ def _refined(maps: DataFrame, rule: Rule) -> DataFrame:
         out = []
         for _, task in pdf.sort_values(["task", "side", "class"]).groupby("task", sort=False):
             own = task["class"].to_numpy()
-            root, some = _near(task["n"].to_numpy(np.int64), np.stack([np.frombuffer(x, np.uint64) for x in task["bits"]]), rule)
+            root, some = _near(task["n"].to_numpy(np.int64), _same_width(list(task["bits"])), rule)
             out.append(pd.DataFrame({"a": own, "b": own[root]})[some])
         return pd.concat(out)
 

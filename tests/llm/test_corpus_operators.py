@@ -296,10 +296,11 @@ def test_components(spark):
 
 def test_bitmaps_bound_differences():
     rng = np.random.default_rng(1)
-    for _ in range(50):
-        a, b = (np.unique(rng.integers(0, 300, 120).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
-        bits = int(np.bitwise_count(np.frombuffer(jaccard._bitmap(a), np.uint64) ^ np.frombuffer(jaccard._bitmap(b), np.uint64)).sum())
-        assert bits <= len(np.setxor1d(a, b))
+    for size in (120, 120, 900, 5000):
+        for _ in range(10):
+            a, b = (np.unique(rng.integers(0, 3 * size, k * size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (1, 2))
+            maps = jaccard._same_width([jaccard._bitmap(a), jaccard._bitmap(b)])
+            assert int(np.bitwise_count(maps[0] ^ maps[1]).sum()) <= len(np.setxor1d(a, b))
 
 
 # ------------------------------------------------------------------ neighbours
