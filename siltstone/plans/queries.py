@@ -478,7 +478,7 @@ def rrf_fusion(spark, sf_dir):
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return docs.select(F.expr("doc_id div 4").alias("block_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("role"), F.col("source").alias("heading_path"), F.col("lang").alias("source_file"), F.lit(1).alias("start_line"), F.col("doc_id").alias("chunk_idx"), F.substring("text", 1, 2000).alias("content"), tx.token_estimate(F.substring("text", 1, 2000)).alias("token_estimate"))
+    return docs.select(F.expr("doc_id div 4").alias("block_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("role"), F.col("source").alias("heading_path"), F.col("lang").alias("source_file"), F.lit(1).alias("start_line"), F.col("doc_id").alias("chunk_idx"), F.col("text").alias("content"), tx.token_estimate(F.col("text")).alias("token_estimate"))
 
 
 CHUNKS_SQL = f"chunks AS (SELECT doc_id // 4 AS block_id, doc_id, lang, content, {half('content')} // 2 + 1 AS tokens, {half('content')} AS half FROM (SELECT *, left(text, 2000) AS content FROM documents)), able AS (SELECT block_id, count(*) AS n, count(DISTINCT lang) AS r, sum(tokens) AS t, sum(half) // 2 + 1 AS whole FROM chunks GROUP BY block_id)"
