@@ -36,6 +36,12 @@ MARGIN = 40
 #: Only around these can the tagger find anything: every kind has a digit, an @ or a spelt-out one.
 TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]", re.IGNORECASE | re.ASCII)
 
+#: A spelt-out dot carries a domain on; the tagger looks around it too, but doesn't learn from it.
+SEARCH = re.compile(TRIGGER.pattern + r"|[(\[{] ?dot ?[)\]}]", re.IGNORECASE | re.ASCII)
+
+#: The sign of an address and the domain behind it.
+AT_DOMAIN = re.compile(r"(?:@|[(\[{] ?at ?[)\]}]) ?[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?)[A-Za-z0-9-]+)*", re.IGNORECASE | re.ASCII)
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -95,10 +101,19 @@ def _plausible(kind: str, value: str) -> bool:
     return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?\(?[0-9][  ()./0-9-]+[0-9]", value)) and bool(re.search(r"[  ()./-]", value))
 
 
-def _regions(text: str) -> list[tuple[int, int]]:
+def _regions(text: str, trigger: re.Pattern = TRIGGER, whole: bool = False) -> list[tuple[int, int]]:
+    """The surroundings of the triggers; with whole, on to where the run of characters of an address at their edges ends."""
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
+    for m in trigger.finditer(text):
+        if whole and out and m.end() + MARGIN <= out[-1][1]:
+            continue
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        if whole:
+            least = out[-1][1] if out else 0
+            while a > least and text[a - 1] in LOCAL:
+                a -= 1
+            while b < len(text) and text[b] in LOCAL:
+                b += 1
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -115,7 +130,7 @@ def _windows(a: int, b: int) -> list[tuple[int, int]]:
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
     """Spans that the tagger sees in each text. The windows of all texts are decoded together; where windows overlap, each
     character has the tag from the window in whose middle it lies nearest; spans are then read over the whole region."""
-    places = [(k, a, b, _windows(a, b)) for k, text in enumerate(texts) for a, b in _regions(text)]
+    places = [(k, a, b, _windows(a, b)) for k, text in enumerate(texts) for a, b in _regions(text, SEARCH, whole=True)]
     decoded = iter(tagger.decode([codes(texts[k][s:e]) for k, _, _, windows in places for s, e in windows]))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for k, a, b, windows in places:
@@ -139,16 +154,28 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int,
     return out
 
 
+def _grown(text: str, a: int, b: int) -> tuple[int, int]:
+    """A tagged address to its ends: all of its local part, and all of its domain behind the sign."""
+    m = AT_DOMAIN.search(text, a)
+    if not m or m.start() >= b:
+        return a, b
+    while a > 0 and text[a - 1] in LOCAL:
+        a -= 1
+    return a, max(b, m.end())
+
+
 def all_spans(text: str, base: list[tuple[int, int, str]], tagged: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The base spans, and plausible tagged ones that touch none of them; by kind, then start."""
-    added = []
+    """The base spans, and plausible tagged ones that touch none of them, addresses to their ends; by kind, then start."""
+    added: list[tuple[int, int, str]] = []
     for a, b, kind in tagged:
         while b > a and text[b - 1] in " .,;:":
             b -= 1
         while a < b and text[a] in " ":
             a += 1
-        if all(b <= s or a >= e for s, e, _ in base) and _plausible(kind, text[a:b]):
-            added.append((a, b, kind))
+        for start, end in dict.fromkeys([_grown(text, a, b), (a, b)] if kind == "email" else [(a, b)]):
+            if all(end <= s or start >= e for s, e, _ in (*base, *added)) and _plausible(kind, text[start:end]):
+                added.append((start, end, kind))
+                break
     return sorted([*base, *added], key=lambda x: (KINDS.index(x[2]), x[0]))
 
 
