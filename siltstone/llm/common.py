@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import bisect
+import ctypes
 import gc
+import re
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Where nothing is named and all runs in one process (tests).
 LOCAL_SCRATCH = "/tmp/checkpoints/siltstone"
 
 #: A side of a join is broadcast only when its measured size is below this; otherwise the join shuffles.
@@ -18,23 +24,41 @@ BROADCAST_BYTES = 16 << 20
 
 WORD_SPACE = "\x20\x09-\x0d"
 
+#: Rows of a batch that a task turns into Python objects at a time.
+SLICE_ROWS = 500
+
+_STAGED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a local one where none is named (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/") + "/siltstone"
+    """The shared folder of the cluster; a local one only where driver and tasks are one process. Without a shared folder a cluster can't go on: tasks would read files that others wrote to their own disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SCRATCH).rstrip("/") + "/siltstone"
 
 
 def stage(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """Cuts the lineage: writes a table into the shared folder and reads it back.
 
-    Lost executors cost only the tasks that were running; what is written stays. With release, Spark is led to drop the
-    shuffle files behind it at once (it does so when their plans are collected as garbage)."""
+    Lost executors cost only the tasks that were running; what is written stays until it is discarded. With release, Spark is
+    led to drop the shuffle files behind it at once (it does so when their plans are collected as garbage)."""
     path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if release:
+    jvm = getattr(df.sparkSession, "_jvm", None)
+    if release and jvm is not None:
         gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STAGED[out] = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Empties staged tables that nothing will read again: what was built on them must be staged itself."""
+    for df in staged:
+        if path := _STAGED.pop(df, None):
+            df.sparkSession.range(0).write.mode("overwrite").parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
@@ -45,13 +69,60 @@ def clear(spark: SparkSession) -> None:
 
 
 def row_key(*cols: str) -> Column:
-    """A key of a row's content. Rows that repeat share it, so that joins on it must have one row a key on the other side."""
-    return F.xxhash64(*(F.col(c).cast("string") for c in cols), *(F.col(c).isNull() for c in cols))
+    """128 bits that stand for a row's content. Rows that repeat share them, so that joins on it must have one row a key on the other side."""
+    parts = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in cols]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null texts are empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _width(name: str, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        return 8 * F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)) + 24
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return 2 * F.octet_length(F.to_json(F.struct(name))) + 32
+    return F.lit(8)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marks a staged table for broadcasting if its measured bytes, twice for the hash table, stay below the bound."""
+    total = F.sum(sum((_width(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(24)).cast("long"))
+    return F.broadcast(df) if 2 * (df.agg(total).first()[0] or 0) <= BROADCAST_BYTES else df
+
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Marks a staged table for broadcasting if its measured row count times the given row size stays below the bound."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+def release() -> None:
+    """Gives back to the system what numpy and Arrow have freed in this process."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that starts and ends without memory that was freed but is held: Python workers go on from task to task and from stage to stage."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return clean
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most so many rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,23 +151,28 @@ class Rolling:
 
     base = np.uint64(0x9E3779B97F4A7C15)
     inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    powers = np.ones(1, np.uint64)
-    inverses = np.ones(1, np.uint64)
+    #: Powers that a process keeps; those for longer arrays go with them.
+    most = 1 << 20
+    kept = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        if n > len(Rolling.powers):
-            m = max(n, 1 << 16)
-            for name, factor in (("powers", self.base), ("inverses", self.inverse)):
-                row = np.full(m, factor, np.uint64)
-                row[0] = 1
-                setattr(Rolling, name, np.multiply.accumulate(row))
+        powers, self.inverses = Rolling.kept
+        if n > len(powers):
+            powers, self.inverses = made = tuple(self._powers(f, max(n, 1 << 16)) for f in (self.base, self.inverse))
+            if n <= self.most:
+                Rolling.kept = made
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * Rolling.powers[:n], out=self.prefix[1:])
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[:n], out=self.prefix[1:])
+
+    @staticmethod
+    def _powers(factor: np.uint64, n: int) -> np.ndarray:
+        row = np.full(n, factor, np.uint64)
+        row[0] = 1
+        return np.multiply.accumulate(row)
 
     def of(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-        inverses = Rolling.inverses[start]
-        return mix((self.prefix[end] - self.prefix[start]) * inverses)
+        return mix((self.prefix[end] - self.prefix[start]) * self.inverses[start])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,3 +186,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+class Taken:
+    """Stretches of a text that are taken, kept in order; a question takes the logarithm of their number."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        """Takes a stretch if nothing of it is taken; whether it did."""
+        k = bisect.bisect_left(self.starts, b)
+        if k and self.ends[k - 1] > a:
+            return False
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True

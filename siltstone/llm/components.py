@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 MOST_ROUNDS = 60
 
@@ -19,13 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = stage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        nearest = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = stage(both.where("b > a").join(nearest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         least = stage(large.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x")), "least")
         down = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stage(least.select("a", F.col("m").alias("b")).unionByName(down).distinct(), "edges")
         # done when every node has one neighbour, and no neighbour has a smaller one itself
         open_ends = not least.where("m <> x").isEmpty() or not after.join(after.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+        discard(now, nearest, large, least)
         now = after
         if not open_ends:
             break
