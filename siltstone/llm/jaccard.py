@@ -13,8 +13,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from .common import BROADCAST_BYTES, Rolling, mix, pieces, signed, small, stage, text_bytes
+from .common import BROADCAST_BYTES, Rolling, discard, mix, pieces, signed, small, stage, text_bytes, text_key, tidy
 from .components import components
 
 #: Sets that are compared at once in a task.
@@ -162,8 +163,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarr
     return out
 
 
-def set_hash(elements: np.ndarray) -> np.uint64:
-    return mix(np.array([np.sum(mix(elements + np.uint64(7)), dtype=np.uint64) + np.uint64(len(elements))]))[0]
+def set_digest(elements: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return xxh3_128_digest(np.ascontiguousarray(elements))
 
 
 def _sets(batch: pa.RecordBatch, column: int, words: int) -> Iterator[np.ndarray]:
@@ -173,69 +175,69 @@ def _sets(batch: pa.RecordBatch, column: int, words: int) -> Iterator[np.ndarray
             yield from shingles(data, offsets[a : b + 1], words)
 
 
-def classes_of(df: DataFrame, rule: Rule, keep: tuple[str, ...], text_col: str) -> DataFrame:
-    """The kept columns, n_shingles and class: a hash of the set, null where it is empty. Texts with equal sets are one class."""
+def digests_of(df: DataFrame, rule: Rule, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """The kept columns, n_shingles and digest: 128 bits of the set, null where it is empty."""
     kept = df.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    names = [*keep, "n_shingles", "class"]
+    names = [*keep, "n_shingles", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, found = [], []
-            for elements in _sets(batch, len(keep), rule.words):
-                n.append(len(elements))
-                found.append(set_hash(elements) if len(elements) else np.uint64(0))
-            n = np.array(n, np.int64)
-            by = pa.array(np.array(found, np.uint64).view(np.int64), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n), by], names)
+            sets = [(len(elements), set_digest(elements) if len(elements) else None) for elements in _sets(batch, len(keep), rule.words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([n for n, _ in sets], pa.int64()), pa.array([d for _, d in sets], pa.binary())], names)
 
-    return df.select(*keep, text_col).mapInArrow(run, f"{fields}, n_shingles bigint, class bigint")
+    return df.select(*keep, text_col).mapInArrow(tidy(run), f"{fields}, n_shingles bigint, digest binary")
 
 
 def _keys(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """(key, class), each class once in a task."""
+    """(key, digest), each set once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Plan(rule), set()
+
+        def out(keys: list[np.ndarray], owners: list[bytes]) -> pa.RecordBatch:
+            rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            return pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(owners, pa.binary()).take(pa.array(rows))], ["key", "digest"])
+
         for batch in batches:
             keys, owners, count = [], [], 0
             for elements in _sets(batch, 0, rule.words):
+                if not len(elements) or (own := set_digest(elements)) in seen:
+                    continue
+                seen.add(own)
                 with np.errstate(over="ignore"):
-                    if not len(elements) or (own := set_hash(elements)) in seen:
-                        continue
-                    seen.add(own)
-                    found = plan.keys(elements)
-                keys.append(found)
-                owners.append(np.full(len(found), own, np.uint64))
-                count += len(found)
-                if count > 500_000:
-                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(owners))], ["key", "class"])
+                    keys.append(plan.keys(elements))
+                owners.append(own)
+                count += len(keys[-1])
+                if count > 250_000:
+                    yield out(keys, owners)
                     keys, owners, count = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(owners))], ["key", "class"])
+                yield out(keys, owners)
 
-    return df.select(text_col).mapInArrow(run, "key bigint, class bigint")
+    return df.select(text_col).mapInArrow(tidy(run), "key bigint, digest binary")
 
 
 def _scan_lists(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) from each list's first class to its others. The rows of a list come one after the other; none is held."""
+    """Edges (a, b) from each list's first set to its others, as digests. The rows of a list come one after the other; none is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_first = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, own = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
             new = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
             at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            first = np.where(at >= 0, own[np.maximum(at, 0)], last_first if last_first is not None else 0)
+            first = own[np.maximum(at, 0)]
+            first[at < 0] = last_first
             last_key, last_first = key[-1], first[-1]
             links = own != first
             if links.any():
-                a, b = np.unique(np.stack([own[links], first[links]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                edges = set(zip(own[links], first[links], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def links_within(sets: list[np.ndarray], rule: Rule, split: int | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
@@ -308,20 +310,27 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     4. Components of the links give the result. Each link is found and none that isn't one.
     Null and empty texts have an empty set, no class and no link, and their own id as component. A null id is never the
     smallest. Repeated rows are a class of their own kind; an empty table gives none."""
-    keyed = df.withColumn("of_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = stage(classes_of(keyed, rule, tuple(dict.fromkeys((id_col, *keep, "of_text"))), text_col), "classes")
-    edges = stage(_scan_lists(_keys(df, rule, text_col)).distinct(), "candidates", release=True)
-    candidates = stage(components(edges), "clusters")
+    keyed = df.withColumn("of_text", text_key(F.col(text_col)))
+    digests = stage(digests_of(keyed, rule, tuple(dict.fromkeys((id_col, *keep, "of_text"))), text_col), "digests")
+    # a class is a number from here on, one for each digest
+    numbers = digests.where(F.col("digest").isNotNull()).select("digest").distinct().withColumn("class", F.monotonically_increasing_id())
+    numbers = small(stage(numbers, "numbers"))
+    found = stage(digests.join(numbers, "digest", "left").drop("digest"), "classes")
+    candidates = stage(_scan_lists(_keys(df, rule, text_col)).distinct(), "candidates", release=True)
+    for side in ("a", "b"):
+        candidates = candidates.withColumnRenamed(side, "digest").join(numbers, "digest").drop("digest").withColumnRenamed("class", side)
+    candidates = stage(components(candidates), "clusters")
+    discard(digests)
     sizes = stage(candidates.groupBy("component").agg(F.count("*").alias("sets")), "clusters")
-    wanted = stage(candidates.join(small(sizes, 64), "component").select(F.col("node").alias("class"), F.col("component").alias("cluster"), "sets"), "wanted")
+    wanted = stage(candidates.join(small(sizes), "component").select(F.col("node").alias("class"), F.col("component").alias("cluster"), "sets"), "wanted")
     one_text = found.groupBy("class").agg(F.min("of_text").alias("of_text"))
     texts = keyed.select("of_text", F.col(text_col).alias("text"))
 
     def of_each(clusters: DataFrame, make: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
         """class, cluster, sets, n and what is made of the set of each class, from the text that stands for it."""
-        chosen = stage(one_text.join(small(clusters, 64), "class"), "chosen")
-        rows = texts.join(small(chosen, 96), "of_text").select("class", "cluster", "sets", "text")
-        return stage(rows.mapInArrow(_made(rule, make, name), f"class bigint, cluster bigint, sets bigint, n int, {name} binary").dropDuplicates(["class"]), name, release=True)
+        chosen = stage(one_text.join(small(clusters), "class"), "chosen")
+        rows = texts.join(small(chosen), "of_text").select("class", "cluster", "sets", "text")
+        return stage(rows.mapInArrow(tidy(_made(rule, make, name)), f"class bigint, cluster bigint, sets bigint, n int, {name} binary").dropDuplicates(["class"]), name, release=True)
 
     refined = _refined(of_each(wanted, _bitmap, "bits"), rule)
     sets = of_each(refined, lambda elements: elements.tobytes(), "elements")
@@ -333,22 +342,22 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     groups = of_class.join(linked.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
     groups = stage(groups.select("class", "first", F.coalesce("component", "class").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
     least = stage(groups.groupBy("component").agg(F.min("first").alias("component_id")), "least")
-    of_class = stage(groups.join(small(least, 48), "component").select("class", F.col("first").alias("class_id"), "component", "component_id", "n_links"), "result")
+    of_class = stage(groups.join(small(least), "component").select("class", F.col("first").alias("class_id"), "component", "component_id", "n_links"), "result")
     found = found.drop("of_text")
     lone = found.where(F.col("class").isNull()).select("*", F.col(id_col).alias("class_id"), F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
-    return found.where(F.col("class").isNotNull()).join(small(of_class, 64), "class").select(*lone.columns).unionByName(lone)
+    return found.where(F.col("class").isNotNull()).join(small(of_class), "class").select(*lone.columns).unionByName(lone)
 
 
 def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near duplicates: of each component the row with the smallest id (null ids last, then by a hash of the text). Of rows that repeat one stays. Rows without a set all stay."""
-    keyed = df.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = df.withColumn("__text", text_key(F.col(text_col)))
     joined = stage(join(keyed, rule, id_col, text_col, ("__text",)), "joined")
     first = joined.where(F.col("class").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__text").alias("text"))).alias("one"))
     chosen = stage(first.select("one.id", "one.text"), "chosen")
     # rows with the id and text of a chosen one are that one again
     again = joined.where(F.col("class").isNotNull()).groupBy(id_col, "__text").count().where("count > 1")
     lone = joined.where(F.col("class").isNull()).select(F.col(id_col).alias("id"), F.col("__text").alias("text")).distinct()
-    stay = small(stage(chosen.unionByName(lone), "stay"), 64)
+    stay = small(stage(chosen.unionByName(lone), "stay"))
     out = keyed.join(stay, F.col(id_col).eqNullSafe(stay["id"]) & (F.col("__text") == stay["text"]), "left_semi")
     if not again.isEmpty():
         empty = F.coalesce(F.col(text_col), F.lit("")) == ""
@@ -388,10 +397,10 @@ def _paired(rows: DataFrame, rule: Rule, block_sets: int, payload: str) -> DataF
     a, b = blocks.select("cluster", F.col("block").alias("one")), blocks.select("cluster", F.col("block").alias("other"))
     pairs = a.join(b, "cluster").where((F.col("one") <= F.col("other")) & (F.lit(rule.num) * F.col("other.lo") <= F.lit(rule.den) * F.col("one.hi")))
     pairs = stage(pairs.withColumn("task", F.xxhash64("cluster", "one", "other")), "pairs")
-    placed = rows.join(small(by_size, 48), ["cluster", "n"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    placed = placed.join(small(blocks, 64), ["cluster", "at", "part"]).select("class", "n", payload, "cluster", "block")
-    left = placed.join(small(pairs.select("cluster", F.col("one").alias("block"), "task"), 64), ["cluster", "block"]).select("class", "n", payload, "task", F.lit(0).alias("side"))
-    right = placed.join(small(pairs.where("one <> other").select("cluster", F.col("other").alias("block"), "task"), 64), ["cluster", "block"]).select("class", "n", payload, "task", F.lit(1).alias("side"))
+    placed = rows.join(small(by_size), ["cluster", "n"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    placed = placed.join(small(blocks), ["cluster", "at", "part"]).select("class", "n", payload, "cluster", "block")
+    left = placed.join(small(pairs.select("cluster", F.col("one").alias("block"), "task")), ["cluster", "block"]).select("class", "n", payload, "task", F.lit(0).alias("side"))
+    right = placed.join(small(pairs.where("one <> other").select("cluster", F.col("other").alias("block"), "task")), ["cluster", "block"]).select("class", "n", payload, "task", F.lit(1).alias("side"))
     return left.unionByName(right)
 
 
@@ -431,7 +440,7 @@ def _near(n: np.ndarray, maps: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.n
 def _from_pivot(large: DataFrame) -> DataFrame:
     """Sets of large clusters as their differences to one set of the cluster: near copies then take few bytes."""
     first = large.groupBy("cluster").agg(F.min("class").alias("class"))
-    pivots = stage(large.join(small(stage(first, "first"), 32), ["cluster", "class"], "left_semi").select("cluster", F.col("elements").alias("pivot")), "pivots")
+    pivots = stage(large.join(small(stage(first, "first")), ["cluster", "class"], "left_semi").select("cluster", F.col("elements").alias("pivot")), "pivots")
     weight = pivots.agg(F.sum(F.octet_length("pivot"))).first()[0] or 0
     pivots = F.broadcast(pivots) if weight <= BROADCAST_BYTES else pivots
 
@@ -442,7 +451,7 @@ def _from_pivot(large: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["class", "cluster", "n", "elements"])
 
     rows = large.join(pivots, "cluster").select("class", "cluster", "n", "elements", "pivot")
-    return stage(rows.mapInArrow(run, "class bigint, cluster bigint, n int, elements binary"), "differences")
+    return stage(rows.mapInArrow(tidy(run), "class bigint, cluster bigint, n int, elements binary"), "differences")
 
 
 def _refined(maps: DataFrame, rule: Rule) -> DataFrame:
@@ -467,7 +476,7 @@ def _refined(maps: DataFrame, rule: Rule) -> DataFrame:
         edges = edges.unionByName(_paired(large, rule, BITMAP_BLOCK, "bits").groupBy("task").applyInPandas(join_up, "a bigint, b bigint"))
     found = stage(components(edges.where("a <> b")).withColumnsRenamed({"node": "class", "component": "cluster"}), "refined")
     sizes = stage(found.groupBy("cluster").agg(F.count("*").alias("sets")), "sizes")
-    return stage(found.join(small(sizes, 48), "cluster"), "refined", release=True)
+    return stage(found.join(small(sizes), "cluster"), "refined", release=True)
 
 
 def _links(sets: DataFrame, rule: Rule) -> DataFrame:
