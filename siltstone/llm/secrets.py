@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small, stage
+from .common import Taken, row_key, sliced, small, stage, tidy
 
 #: Base detectors, in order: fixed values.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -63,6 +63,7 @@ def lively(value: str) -> bool:
 def further_spans(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Spans of the further forms that touch no base span and none before them."""
     found: list[tuple[int, int, str, str]] = []
+    held = Taken((s, e) for s, e, _, _ in taken)
     for kind, (needle, form) in FORMS.items():
         if needle not in text:
             continue
@@ -70,7 +71,7 @@ def further_spans(text: str, taken: list[tuple[int, int, str, str]]) -> list[tup
             value = m[0]
             if kind == "random" and not (re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value)):
                 continue
-            if all(m.end() <= s or m.start() >= e for s, e, _, _ in (*taken, *found)):
+            if held.take(m.start(), m.end()):
                 found.append((m.start(), m.end(), kind, value))
     return sorted(found)
 
@@ -90,7 +91,7 @@ def candidates(df: DataFrame, text_col: str) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("lively", pa.bool_()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts: dict[str, list[int]] = {k: [] for k in BASE}
             digests, found = [], []
             for text in batch.column(batch.num_columns - 1):
@@ -104,7 +105,7 @@ def candidates(df: DataFrame, text_col: str) -> DataFrame:
                 found.append([{"kind": k, "start": s, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest(), "lively": lively(v), "base": own} for own, spans in ((True, base), (False, further)) for s, e, k, v in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(digests, pa.string()), pa.array(found, kind)], names)
 
-    return df.select(*kept.columns, text_col).mapInArrow(run, f"{fields}n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, candidates array<{CANDIDATE}>")
+    return df.select(*kept.columns, text_col).mapInArrow(tidy(run), f"{fields}n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, candidates array<{CANDIDATE}>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def scan(df: DataFrame, owner_col: str = "source", repository_cols: tuple[str, .
     found = stage(candidates(rows, text_col), "found")
     each = found.select("key", "owner", "repository", F.explode("candidates").alias("c")).select("key", "owner", "repository", "c.*")
     spread = stage(ownership(each), "ownership")
-    judged = each.drop("owner", "repository").join(small(spread, 160), "hash")
+    judged = each.drop("owner", "repository").join(small(spread), "hash")
     live = F.col("lively") & (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)
     example = ~F.col("lively") | (F.col("owners") > LIVE_OWNERS)
     verdict = F.when(live, "live").when(example, "example").otherwise("other")
@@ -140,6 +141,6 @@ def scan(df: DataFrame, owner_col: str = "source", repository_cols: tuple[str, .
         *(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "example", "other")),
     )
     of_text = of_text.withColumn("spans", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ","))
-    out = found.drop("candidates", "owner", "repository").join(small(stage(of_text, "spans"), 256), "key", "left")
+    out = found.drop("candidates", "owner", "repository").join(small(stage(of_text, "spans")), "key", "left")
     counts = [F.coalesce(f"n_{v}", F.lit(0)).alias(f"n_{v}") for v in ("live", "example", "other")]
     return out.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), *counts)
