@@ -14,12 +14,17 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced, tidy
+
 #: Longer texts are cut before encoding.
 CHUNK_CHARS = 1 << 16
 
-#: A lone space between two characters that aren't white space. In the pattern a space only begins a match or is part of
-#: white space, so that a match always ends before it and the next one begins with it.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Places that no match of the pattern crosses and behind which it goes on as from a start: before white space that follows
+#: anything else (white space only begins a match), between a letter and a digit, and after either before a mark. Not after a
+#: mark: it may begin a short form such as 's. Only characters whose kind all versions of Unicode share are named.
+LETTER = "A-Za-z\u00e0-\u00f6\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff"
+MARK = "!-/:-@\\[-`{-~\u3001\u3002\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+SAFE = re.compile(rf"(?<=\S)(?=[ \t\r\n])|(?<=[{LETTER}])(?=[0-9{MARK}])|(?<=[0-9])(?=[{LETTER}{MARK}])")
 
 
 @lru_cache(maxsize=4)
@@ -31,7 +36,7 @@ def encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def cut(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
-    """Cuts a long text where no match of the pattern can cross; a text without such a place stays whole."""
+    """Cuts a long text where no match of the pattern can cross; a text without such a place stays whole. For patterns that, like the given one, match words, numbers and marks apart, each with one space before it at most."""
     start = 0
     while len(text) - start > size and (m := SAFE.search(text, start + size)):
         yield text[start : m.start()]
@@ -62,7 +67,7 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", n_tokens bigint" + ", ids binary" * ids + ", ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, raw, of_ids, of_text = [], [], [], []
             for text in batch.column(len(keep)):
                 found = encode(text.as_py() or "", ranks_path, pattern)
@@ -75,4 +80,4 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             columns = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), *([pa.array(raw, pa.binary())] if ids else []), pa.array(of_ids), pa.array(of_text)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, fields)
+    return df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(tidy(run), fields)

@@ -48,9 +48,11 @@ def test_bpe_round_trip(spark):
 def test_bpe_cuts_are_safe():
     rng = random.Random(2)
     enc = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=bpe.encoding(RANKS, P.PATTERN)._mergeable_ranks, special_tokens={})
-    for _ in range(300):
-        text = "".join(rng.choice("ab é  \n.,'s19　") for _ in range(200))
+    for k in range(1200):
+        alphabet = ("ab é  \n.,'s19　", "漢字、。a1'", "a1+/='s", "x\ny\tz\r\x1c\x85.")[k % 4]
+        text = "".join(rng.choice(alphabet) for _ in range(200))
         parts = list(bpe.cut(text, 7))
+        assert len(parts) > 3
         assert "".join(parts) == text
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
