@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small, stage
+from .common import discard, scratch, small, stage, tidy
 
 SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
@@ -88,12 +88,15 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """Writes gzipped WARC files below a path, by Spark's own writer, so that any store Spark knows will do.
 
     Among equal payloads of at least revisit_bytes, the row with the largest id is the response (of equal ids, one row), the
-    others revisit it. Only the few bytes of digest and id are grouped; payloads move once, and only where the table of
-    digests that recur is too large to send to every task. Null payloads are empty, null URLs are `unknown:`."""
+    others revisit it. Rows get their numbers once and are written with them, so that a task that runs again, or a table that
+    comes in another order, changes none. Only the few bytes of digest and id are grouped; payloads move only where the table
+    of digests that recur is too large to send to every task. Null payloads are empty, null URLs are `unknown:`."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("ordinal"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("again", F.when(F.octet_length("html") >= revisit_bytes, F.col("digest")))
+    rows = stage(rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))), "pages")
+    numbered = rows
+    rows = rows.withColumn("again", F.when(F.octet_length("html") >= revisit_bytes, F.col("digest")))
     first = rows.where(F.col("again").isNotNull()).groupBy("again").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "ordinal")).alias("last")).where("n > 1")
-    first = small(stage(first.select("again", F.col("last.ordinal").alias("last")), "recurring"), 128)
+    first = small(stage(first.select("again", F.col("last.ordinal").alias("last")), "recurring"))
     marked = rows.withColumn("again", F.coalesce("again", F.concat(F.lit("-"), "digest"))).join(first, "again", "left")
     marked = marked.withColumn("refers", F.when(F.col("last") != F.col("ordinal"), F.col("last")))
     marked = marked.select("page_id", "url", F.when(F.col("refers").isNull(), F.col("html")).alias("html"), "digest", "ordinal", "refers")
@@ -110,7 +113,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                     lines, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
 
-    marked.mapInArrow(render, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+    marked.mapInArrow(tidy(render), "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+    discard(numbered)
 
 
 def _unzip(data: bytes) -> bytes:
