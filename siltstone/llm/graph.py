@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage
+from .common import release, stage
 
-SHARD_ROWS = 2048
-BLOCK_QUERIES = 4096
+#: Bytes of a shard's vectors and graph: what a task holds, whatever the table's size.
+SHARD_BYTES = 4 << 20
 DEGREE = 28
 BEAM = 64
 SEARCH_BEAM = 128
@@ -29,7 +31,7 @@ def beam_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.
     """Greedy searches of all queries at once: the beam's nodes and squared distances, nearest first (-1 and infinity where there are fewer), and the nodes expanded on the way."""
     n, b = len(vectors), len(queries)
     ids = np.full((b, beam), -1)
-    near = np.full((b, beam), np.inf, np.float32)
+    near = np.full((b, beam), np.inf, vectors.dtype)
     done = np.ones((b, beam), bool)
     seen = np.zeros((b, n), bool)
     ids[:, 0], done[:, 0], seen[:, entry] = entry, False, True
@@ -59,7 +61,7 @@ def beam_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.
         new = found >= 0
         row, _ = np.nonzero(new)
         seen[live[row], found[new]] = True
-        far = np.where(new, _squared(vectors, found, queries[live]), np.inf).astype(np.float32)
+        far = np.where(new, _squared(vectors, found, queries[live]), np.inf).astype(vectors.dtype)
         every = np.concatenate([near[live], far], axis=1)
         best = np.argsort(every, axis=1, kind="stable")[:, :beam]
         near[live] = np.take_along_axis(every, best, 1)
@@ -172,77 +174,112 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """shard, node, vec_id, vector, neighbours, entry: every usable vector, in shards of about shard_rows that a hash of the row deals evenly.
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows, in the precision that they have."""
+    return np.stack([np.asarray(v) for v in vectors])
 
-    Equal vectors of a shard are one node, which the row with the least id stands for; the others carry its number and no
-    neighbours. Copies of one vector are spread over all shards. Vectors of other dimensions are in shards of their own."""
-    rows = df.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"))
-    shards = max(1, -(-rows.count() // shard_rows))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", ignore_index=True)
-        every = np.array(pdf["vector"].tolist(), np.float32)
-        _, first, node = np.unique(every, axis=0, return_index=True, return_inverse=True)
-        graph, entry = build_graph(every[first])
-        neighbours: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pdf)
-        for k, row in enumerate(first):
-            neighbours[row] = graph[k][graph[k] >= 0].astype(np.int32)
-        return pd.DataFrame({"shard": pdf["shard"], "node": node.ravel(), "vec_id": pdf["vec_id"], "vector": pdf["vector"], "neighbours": neighbours, "entry": entry})
+def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """part, dimension, node, vec_id, vector, neighbours, entry: every usable vector, as it is. A shard is the vectors of a dimension in a part; parts are dealt evenly by a hash of the row, as many as give shards of about shard_bytes.
 
-    dealt = rows.withColumn("shard", F.concat_ws("/", F.size("vector"), F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id()), F.lit(shards))))
-    return stage(dealt.groupBy("shard").applyInPandas(run, "shard string, node int, vec_id bigint, vector array<float>, neighbours array<int>, entry int"), "index")
+    Equal vectors of a shard are one node, which the row with the least id stands for; the others carry its number and no
+    neighbours. Copies of one vector are spread over all shards."""
+    kind = dict(df.dtypes)[vector_col]
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = df.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
+    width = 8 if kind == "array<double>" else 4
+    parts = max(1, -(-(rows.agg(F.sum(width * F.size("vector") + 4 * DEGREE + 32)).first()[0] or 0) // shard_bytes))
+    schema = f"part int, dimension int, node int, vec_id bigint, vector {kind}, neighbours array<int>, entry int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = pd.concat([*batches, pd.DataFrame({"part": [], "vec_id": [], "vector": []})])
+        for dimension, shard in whole.groupby(whole["vector"].map(len)):
+            shard = shard.sort_values("vec_id", ignore_index=True)
+            _, first, node = np.unique(_matrix(shard["vector"]), axis=0, return_index=True, return_inverse=True)
+            graph, entry = build_graph(_matrix(shard["vector"].iloc[first]))
+            neighbours: list[np.ndarray] = [np.zeros(0, np.int32)] * len(shard)
+            for k, row in enumerate(first):
+                neighbours[row] = graph[k][graph[k] >= 0].astype(np.int32)
+            out = pd.DataFrame({"part": shard["part"], "dimension": dimension, "node": node.ravel(), "vec_id": shard["vec_id"], "vector": shard["vector"], "neighbours": neighbours, "entry": entry})
+            for k in range(0, len(out), 2000):
+                yield out.iloc[k : k + 2000]
+        release()
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(parts)).cast("int"))
+    return stage(dealt.repartitionById(parts, F.col("part")).select("part", "vec_id", "vector").mapInPandas(run, schema), "index")
+
+
+class Shard:
+    """A shard's vectors, graph and rows."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["node", "vec_id"], ignore_index=True)
+        node = rows["node"].to_numpy(np.int64)
+        self.first = np.searchsorted(node, np.arange(node[-1] + 2))
+        self.vectors = _matrix(rows["vector"].iloc[self.first[:-1]])
+        self.ids = rows["vec_id"].to_numpy(np.int64)
+        self.entry = int(rows["entry"].iloc[0])
+        self.graph = np.full((len(self.vectors), DEGREE + 1), -1)
+        own = rows[rows["neighbours"].map(len) > 0]
+        for at, row in zip(own["node"].astype(int), own["neighbours"], strict=True):
+            self.graph[at, : len(row)] = row
+
+    def nearest(self, query_ids: np.ndarray, which: np.ndarray, targets: np.ndarray, k: int, beam: int) -> Iterator[pd.DataFrame]:
+        """The k nearest rows that a beam meets for each query; scores on the vectors as they are, in double precision."""
+        for a in range(0, len(targets), BATCH):
+            part = targets[a : a + BATCH]
+            if len(self.vectors) <= beam:
+                found = np.tile(np.arange(len(self.vectors)), (len(part), 1))
+            else:
+                found = beam_search(self.vectors, self.graph, self.entry, part.astype(self.vectors.dtype), beam)[0]
+            for query, own, target, nodes in zip(query_ids[a : a + BATCH], which[a : a + BATCH], part.astype(np.float64), found, strict=True):
+                nodes = nodes[nodes >= 0]
+                score = np.sqrt(((self.vectors[nodes].astype(np.float64) - target) ** 2).sum(axis=1))
+                # of each node the k + 1 least ids suffice, the query's own among them or not
+                members = [self.ids[self.first[x] : min(self.first[x + 1], self.first[x] + k + 1)] for x in nodes]
+                rows = pd.DataFrame({"query_id": query, "which": own, "vec_id": np.concatenate(members), "score": np.repeat(score, [len(m) for m in members])})
+                yield rows[rows["vec_id"] != query].sort_values(["score", "vec_id"]).head(k)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH_BEAM, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query (query_id, vector), but its own id; by Euclidean distance in double precision, ties to the smaller id.
 
-    Each query's beam searches each shard of its dimension; queries are dealt to blocks of bounded size, and a task holds one
-    shard's graph and one block. Nodes stand for all rows with their vector. A shard no larger than the beam is scanned.
-    Queries that aren't usable have no rows; rows with the same id and vector are one query."""
-    queries = queries.where(usable(F.col("vector"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<float>").alias("vector")).distinct()
-    queries = stage(queries, "queries")
-    blocks = max(1, -(-queries.count() // block_queries))
-
-    def run(key: tuple, shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "which": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "which": "int64", "vec_id": "int64", "score": "float64"})
-        if not len(shard) or not len(asked):
-            return empty
-        shard = shard.sort_values(["node", "vec_id"], ignore_index=True)
-        node = shard["node"].to_numpy()
-        first = np.searchsorted(node, np.arange(node[-1] + 2))
-        vectors = np.array(shard["vector"].iloc[first[:-1]].tolist(), np.float32)
-        ids = shard["vec_id"].to_numpy()
-        graph = np.full((len(vectors), DEGREE + 1), -1)
-        own = shard[shard["neighbours"].map(len) > 0]
-        for at, row in zip(own["node"], own["neighbours"], strict=True):
-            graph[at, : len(row)] = row
-        out = []
-        targets = np.array(asked["vector"].tolist(), np.float32)
-        width = min(beam, len(vectors))
-        for a in range(0, len(asked), BATCH):
-            part = targets[a : a + BATCH]
-            found = np.tile(np.arange(len(vectors)), (len(part), 1)) if len(vectors) <= beam else beam_search(vectors, graph, int(shard["entry"].iloc[0]), part, width)[0]
-            for query, which, target, nodes in zip(asked["query_id"].iloc[a : a + BATCH], asked["which"].iloc[a : a + BATCH], part.astype(np.float64), found, strict=True):
-                nodes = nodes[nodes >= 0]
-                score = np.sqrt(((vectors[nodes].astype(np.float64) - target) ** 2).sum(axis=1))
-                # of each node the k + 1 least ids suffice, the query's own among them or not
-                members = [ids[first[x] : min(first[x + 1], first[x] + k + 1)] for x in nodes]
-                rows = pd.DataFrame({"vec_id": np.concatenate(members), "score": np.repeat(score, [len(m) for m in members])})
-                rows = rows[rows["vec_id"] != query].sort_values(["score", "vec_id"]).head(k)
-                out.append(rows.assign(query_id=query, which=which))
-        return pd.concat(out)[["query_id", "which", "vec_id", "score"]]
-
-    shards = stage(index.select("shard").distinct(), "shards").withColumn("dimension", F.substring_index("shard", "/", 1).cast("int"))
-    dealt = queries.withColumn("which", F.xxhash64("query_id", "vector")).withColumn("block", F.pmod("which", F.lit(blocks)).cast("int"))
-    asked = dealt.join(small(shards, 64), F.size("vector") == F.col("dimension")).select("shard", "block", "query_id", "which", "vector")
-    placed = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = placed.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, "query_id bigint, which bigint, vec_id bigint, score double")
+    Each query's beam searches each shard of its dimension. A shard's rows come first and then the queries, batch by batch: a
+    task holds one shard and one batch, and the index moves once however many queries there are. What grows with both is a
+    row for each query and shard, so that shards should be as large as tasks allow. Nodes stand for all rows with their
+    vector. A shard no larger than the beam is scanned. Queries that aren't usable have no rows; rows with the same id and
+    vector are one query."""
+    kind = dict(index.dtypes)["vector"]
+    queries = queries.where(usable(F.col("vector"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).distinct()
+    queries = queries.withColumn("which", F.xxhash64("query_id", "vector")).withColumn("vector", F.col("vector").cast(kind))
+    shards = index.select("part", "dimension").distinct()
+    parts = (index.agg(F.max("part")).first()[0] or 0) + 1
+    asked = queries.withColumn("dimension", F.size("vector")).join(shards, "dimension").select("part", "dimension", F.lit(1).alias("side"), F.col("query_id").alias("id"), "which", "vector")
+    rows = index.select("part", "dimension", F.lit(0).alias("side"), F.col("vec_id").alias("id"), "node", "vector", "neighbours", "entry").unionByName(asked, allowMissingColumns=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given: list[pd.DataFrame] = []
+        shard, of = None, None
+        for batch in batches:
+            for (dimension, side), part in batch.groupby(["dimension", "side"]):
+                if side == 0:
+                    if dimension != of:
+                        given, shard, of = [], None, dimension
+                    given.append(part.rename(columns={"id": "vec_id"}))
+                elif dimension == of:
+                    if shard is None:
+                        shard, given = Shard(pd.concat(given)), []
+                    out = list(shard.nearest(part["id"].to_numpy(np.int64), part["which"].to_numpy(np.int64), _matrix(part["vector"]), k, beam))
+                    yield pd.concat(out)
+        release()
+
+    placed = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("dimension", "side")
+    found = placed.select("dimension", "side", "id", "which", "node", "vector", "neighbours", "entry").mapInPandas(run, "query_id bigint, which bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id", "which").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(df: DataFrame, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(df: DataFrame, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Searches for the rows whose id is divisible by `every` among all others. Rows with a null id take no part."""
     queries = df.where(F.col(id_col) % every == 0).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("vector"))
-    return search(build_index(df.where(F.col(id_col).isNotNull()), id_col, vector_col, shard_rows), queries, k)
+    return search(build_index(df.where(F.col(id_col).isNotNull()), id_col, vector_col, shard_bytes), queries, k)
