@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Taken, sliced, tidy
 from .tagger import Tagger, codes
 
 #: Kinds in order, and base detectors: fixed values.
@@ -33,6 +34,9 @@ WINDOW = 96
 STRIDE = 48
 MARGIN = 40
 
+#: Windows that are decoded together; a text may have many more.
+DECODED_WINDOWS = 4096
+
 #: Only around these can the tagger find anything: every kind has a digit, an @ or a spelt-out one.
 TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]", re.IGNORECASE | re.ASCII)
 
@@ -121,36 +125,63 @@ def _regions(text: str, trigger: re.Pattern = TRIGGER, whole: bool = False) -> l
     return [(a, b) for a, b in out]
 
 
-def _windows(a: int, b: int) -> list[tuple[int, int]]:
+def _windows(a: int, b: int) -> Iterator[tuple[int, int]]:
     """Overlapping windows of a region."""
-    starts = range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)
-    return [(s, min(s + WINDOW, b)) for s in starts]
+    for start in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE):
+        yield start, min(start + WINDOW, b)
+
+
+class _Region:
+    """A stretch of a text with the tags of its characters, three bytes for each, and how far from its window's edges each was tagged."""
+
+    def __init__(self, a: int, b: int):
+        self.a, self.b = a, b
+        self.tags, self.depth = np.zeros(b - a, np.int8), np.full(b - a, -1, np.int16)
+
+    def put(self, s: int, e: int, tags: np.ndarray) -> None:
+        # an edge of the region has nothing beyond it and is as good as a middle
+        most = np.full(e - s, 1 << 14)
+        left = np.arange(e - s) if s > self.a else most
+        right = np.arange(e - s)[::-1] if e < self.b else most
+        depth = np.minimum(left, right)
+        part = slice(s - self.a, e - self.a)
+        better = depth > self.depth[part]
+        self.tags[part][better] = tags[better]
+        self.depth[part][better] = depth[better]
+
+    def spans(self, kinds: tuple[str, ...]) -> Iterator[tuple[int, int, str]]:
+        start, tags = 0, self.tags
+        inside = np.zeros(len(tags) + 1, bool)
+        inside[1:-1] = (tags[1:] > 0) & (tags[1:] % 2 == 0) & (tags[:-1] > 0) & ((tags[1:] + 1) // 2 == (tags[:-1] + 1) // 2)
+        for i in np.flatnonzero(~inside[1:]) + 1:
+            if tags[start]:
+                yield self.a + start, self.a + int(i), kinds[(int(tags[start]) - 1) // 2]
+            start = int(i)
 
 
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
-    """Spans that the tagger sees in each text. The windows of all texts are decoded together; where windows overlap, each
-    character has the tag from the window in whose middle it lies nearest; spans are then read over the whole region."""
-    places = [(k, a, b, _windows(a, b)) for k, text in enumerate(texts) for a, b in _regions(text, SEARCH, whole=True)]
-    decoded = iter(tagger.decode([codes(texts[k][s:e]) for k, _, _, windows in places for s, e in windows]))
+    """Spans that the tagger sees in each text. Windows of several texts are decoded together, a bounded number at a time; where
+    windows overlap, each character has the tag from the window in whose middle it lies nearest; spans are then read over the
+    whole region."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for k, a, b, windows in places:
-        tags, near = np.zeros(b - a, np.int64), np.full(b - a, np.inf)
-        for s, e in windows:
-            own = next(decoded)
-            # an edge of the region has nothing beyond it and is as good as a middle
-            left = np.arange(e - s, dtype=float) if s > a else np.full(e - s, np.inf)
-            right = np.arange(e - s, dtype=float)[::-1] if e < b else np.full(e - s, np.inf)
-            distance = -np.minimum(left, right)
-            better = distance < near[s - a : e - a]
-            tags[s - a : e - a][better] = own[better]
-            near[s - a : e - a][better] = distance[better]
-        start = 0
-        for i in range(1, b - a + 1):
-            goes_on = i < b - a and tags[i] and tags[i] % 2 == 0 and (tags[i] + 1) // 2 == (tags[i - 1] + 1) // 2 and tags[i - 1]
-            if not goes_on:
-                if tags[start]:
-                    out[k].append((a + start, a + i, tagger.kinds[(int(tags[start]) - 1) // 2]))
-                start = i
+    pending: list[tuple[int, _Region, int, int, bool]] = []
+
+    def decode() -> None:
+        found = tagger.decode([codes(texts[k][s:e]) for k, _, s, e, _ in pending])
+        for (k, region, s, e, last), tags in zip(pending, found, strict=True):
+            region.put(s, e, tags)
+            if last:
+                out[k] += region.spans(tagger.kinds)
+        pending.clear()
+
+    for k, text in enumerate(texts):
+        for a, b in _regions(text, SEARCH, whole=True):
+            region = _Region(a, b)
+            for s, e in _windows(a, b):
+                pending.append((k, region, s, e, e == b))
+                if len(pending) >= DECODED_WINDOWS:
+                    decode()
+    decode()
     return out
 
 
@@ -167,13 +198,14 @@ def _grown(text: str, a: int, b: int) -> tuple[int, int]:
 def all_spans(text: str, base: list[tuple[int, int, str]], tagged: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The base spans, and plausible tagged ones that touch none of them, addresses to their ends; by kind, then start."""
     added: list[tuple[int, int, str]] = []
+    held = Taken((s, e) for s, e, _ in base)
     for a, b, kind in tagged:
         while b > a and text[b - 1] in " .,;:":
             b -= 1
         while a < b and text[a] in " ":
             a += 1
         for start, end in dict.fromkeys([_grown(text, a, b), (a, b)] if kind == "email" else [(a, b)]):
-            if all(end <= s or start >= e for s, e, _ in (*base, *added)) and _plausible(kind, text[start:end]):
+            if _plausible(kind, text[start:end]) and held.take(start, end):
                 added.append((start, end, kind))
                 break
     return sorted([*base, *added], key=lambda x: (KINDS.index(x[2]), x[0]))
@@ -271,23 +303,21 @@ def find(df: DataFrame, tagger: Tagger, text_col: str = "text", mask: bool = Fal
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_added bigint" + ", masked string" * mask
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                texts = [t or "" for t in batch.column(at).to_pylist()]
-                base = [base_spans(t) for t in texts]
-                every = [all_spans(*x) for x in zip(texts, base, tagged_spans(texts, tagger), strict=True)]
-                counts = [Counter(x[2] for x in own) for own in base]
-                columns = [pa.array([c[kind] for c in counts], pa.int64()) for kind in KINDS]
-                columns.append(pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base], pa.string()))
-                columns.append(pa.array([joined(x) for x in every], pa.string()))
-                columns.append(pa.array([len(e) - len(b) for e, b in zip(every, base, strict=True)], pa.int64()))
-                if mask:
-                    given = batch.column(at).is_null().to_pylist()
-                    columns.append(pa.array([None if null else masked(t, x) for null, t, x in zip(given, texts, every, strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *added])
-
-    return kept.mapInArrow(run, fields)
+        for batch in sliced(batches):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            base = [base_spans(t) for t in texts]
+            every = [all_spans(*x) for x in zip(texts, base, tagged_spans(texts, tagger), strict=True)]
+            counts = [Counter(x[2] for x in own) for own in base]
+            columns = [pa.array([c[kind] for c in counts], pa.int64()) for kind in KINDS]
+            columns.append(pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base], pa.string()))
+            columns.append(pa.array([joined(x) for x in every], pa.string()))
+            columns.append(pa.array([len(e) - len(b) for e, b in zip(every, base, strict=True)], pa.int64()))
+            if mask:
+                given = batch.column(at).is_null().to_pylist()
+                columns.append(pa.array([None if null else masked(t, x) for null, t, x in zip(given, texts, every, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *added])
+
+    return kept.mapInArrow(tidy(run), fields)
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
