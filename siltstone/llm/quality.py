@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, small, stage
+from .common import WORD_SPACE, small, stage, text_key
 
 SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 
-#: A line recurs too often in more than this share of a host's distinct documents and in more than this number of them.
-LINE_SHARE = 0.2
-LINE_DOCUMENTS = 100
+#: A line recurs too often in more than this share of a host's distinct documents and in more than this number of them. The
+#: number is small, so that hosts with few documents are held to it too; the share keeps what is merely common on a large one.
+LINE_SHARE = 0.01
+LINE_DOCUMENTS = 10
 
 #: A document is depleted when fewer than this percentage of its words are left without such lines.
 LEFT_PERCENT = 30
@@ -69,20 +70,21 @@ def line_removals(df: DataFrame, host_col: str = "source", text_col: str = "text
 
     Copies of a text on one host are one document. First each distinct text is kept once with the hashes and word counts of
     its distinct lines (partial aggregation drops copies before the shuffle); from these the lines are counted by host and
-    hash, again with partial sums, and the lines above the limits joined back. A null host is a host of its own."""
+    hash, again with partial sums, and the lines above the limits joined back. A null host is a host of its own. Texts are told
+    apart by 128 bits, lines by 64: where two lines share them, counts of the two add up, far below the limits."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: _letters(x) != "")
     hashed = F.transform(lines, lambda x: F.struct(_line_hash(x).alias("line"), F.size(_words(x)).alias("words")))
-    texts = df.select(host.alias("host"), F.xxhash64(text).alias("text_hash"), hashed.alias("lines")).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
+    texts = df.select(host.alias("host"), text_key(text).alias("text_hash"), hashed.alias("lines")).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
     texts = stage(texts, "lines")
     hosts = texts.groupBy("host").agg(F.count("*").alias("documents"))
     once = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     counts = once.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
     limits = stage(hosts, "hosts")
-    often = stage(counts.join(small(limits, 64), "host").where(F.col("n") > share * F.col("documents")).select("host", "line"), "often")
+    often = stage(counts.join(small(limits), "host").where(F.col("n") > share * F.col("documents")).select("host", "line"), "often")
     all_lines = texts.select("host", "text_hash", F.explode("lines").alias("x")).select("host", "text_hash", "x.line", "x.words")
-    removed = all_lines.join(small(often, 64), ["host", "line"], "left_semi").groupBy("host", "text_hash").agg(F.sum("words").alias("words_removed"), F.collect_set("line").alias("lines_removed"))
+    removed = all_lines.join(small(often), ["host", "line"], "left_semi").groupBy("host", "text_hash").agg(F.sum("words").alias("words_removed"), F.collect_set("line").alias("lines_removed"))
     return stage(removed, "removed")
 
 
@@ -91,8 +93,8 @@ def judge(df: DataFrame, host_col: str = "source", text_col: str = "text", share
 
     Columns of these names in the input are replaced. Repeated rows are judged alike; an empty table gives none."""
     removed = line_removals(df, host_col, text_col, share, least)
-    judged = statistics(df, text_col).withColumns({"__host": F.coalesce(F.col(host_col).cast("string"), F.lit("\0")), "__text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    removed = small(removed.select(F.col("host").alias("__host"), F.col("text_hash").alias("__text"), F.col("words_removed").alias("__removed"), F.col("lines_removed").alias("__lines")), 256)
+    judged = statistics(df, text_col).withColumns({"__host": F.coalesce(F.col(host_col).cast("string"), F.lit("\0")), "__text": text_key(F.col(text_col))})
+    removed = small(removed.select(F.col("host").alias("__host"), F.col("text_hash").alias("__text"), F.col("words_removed").alias("__removed"), F.col("lines_removed").alias("__lines")))
     out = judged.join(removed, ["__host", "__text"], "left").withColumn("words_left", F.col("n_words") - F.coalesce(F.col("__removed"), F.lit(0)))
     # one expression over both sides of the join: a filter on it stays above the join and doesn't repeat the statistics
     out = out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(100 * F.col("words_left") >= left * F.col("n_words")))

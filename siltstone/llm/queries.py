@@ -88,7 +88,7 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(8) t(k)
 lines AS (SELECT DISTINCT source, text, unnest(l) AS raw, unnest(range(len(l))) AS at FROM d),
 normal AS (SELECT source, text, trim(regexp_replace(lower(raw), '[0-9\x20\x09-\x0D]+', ' ', 'g')) AS line, len({WORDS_SQL.format('raw')}) AS words FROM lines),
 hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-often AS (SELECT source, line FROM normal JOIN hosts USING (source) GROUP BY source, line, n HAVING count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.2 * n),
+often AS (SELECT source, line FROM normal JOIN hosts USING (source) GROUP BY source, line, n HAVING count(DISTINCT text) > {quality.LINE_DOCUMENTS} AND count(DISTINCT text) > CAST({quality.LINE_SHARE} AS DOUBLE) * n),
 removed AS (SELECT source, text, sum(words) AS n FROM normal SEMI JOIN often USING (source, line) GROUP BY source, text),
 base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(w) - coalesce(r.n, 0) AS BIGINT) AS words_left FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN removed r USING (source, text)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
