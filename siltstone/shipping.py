@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import weakref
 import zipfile
@@ -19,7 +21,10 @@ def ship(spark: SparkSession) -> None:
     if context in _shipped:
         return
     package = Path(__file__).resolve().parent
-    bundle = Path(tempfile.mkdtemp(prefix="siltstone-")) / "siltstone.zip"
+    # on the driver only, which serves it to the executors until it ends
+    folder = tempfile.mkdtemp(prefix="siltstone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    bundle = Path(folder) / "siltstone.zip"
     with zipfile.ZipFile(bundle, "w") as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent).as_posix())
