@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.text import is_numbered_item, ordered_join, token_half, tokens_of, utrim
 
+# --- fixed values: what marks the later parts of a chunk ---
+MORE = ("(续", ")")
+# --- end of fixed values ---
+
 CHUNK = "struct<title:string,content:string,start_line:int,end_line:int,heading_level:int,half:bigint>"
 
 
@@ -71,7 +75,7 @@ def split_large(chunks: Column, settings: Settings = DEFAULT) -> Column:
             return F.when(tokens_of(last["half"] + p["half"]) > settings.chunk_max, F.concat(done, F.array(p))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)))
 
         packed = F.aggregate(paragraphs, _none(), lambda done, p: F.when(F.size(done) == 0, F.array(p)).otherwise(step(done, p)))
-        return F.transform(packed, lambda c, i: _chunk(F.when(i > 0, F.concat(c["title"], F.lit("(续"), i.cast("string"), F.lit(")"))).otherwise(c["title"]), c["content"], c["start_line"], c["end_line"], c["heading_level"], c["half"]))
+        return F.transform(packed, lambda c, i: _chunk(F.when(i > 0, F.concat(c["title"], F.lit(MORE[0]), i.cast("string"), F.lit(MORE[1]))).otherwise(c["title"]), c["content"], c["start_line"], c["end_line"], c["heading_level"], c["half"]))
 
     return F.flatten(F.transform(chunks, lambda x: F.when(tokens_of(x["half"]) > settings.chunk_max, parts(x)).otherwise(F.array(x))))
 
@@ -84,9 +88,9 @@ def sized(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def with_breadcrumb(chunks: Column, breadcrumb: Column) -> Column:
-    """Puts the way to the block before each content and counts it."""
+    """Puts the way to the block on a line before each content and counts it."""
     way = F.array_join(breadcrumb, " > ")
-    return F.transform(chunks, lambda x: _chunk(x["title"], F.concat(way, F.lit("\n\n"), x["content"]), x["start_line"], x["end_line"], x["heading_level"], token_half(way) + x["half"]))
+    return F.transform(chunks, lambda x: _chunk(x["title"], F.concat(way, F.lit("\n"), x["content"]), x["start_line"], x["end_line"], x["heading_level"], token_half(way) + x["half"]))
 
 
 def exploded(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,3 +115,15 @@ def record_text(columns: Column, record: Column) -> Column:
     """`name: value` lines of a record (a map) in the order of its columns, without empty values."""
     lines = F.transform(columns, lambda c: F.when(utrim(F.coalesce(F.try_element_at(record, c), F.lit(""))) != "", F.concat(c, F.lit(": "), utrim(F.try_element_at(record, c)))))
     return F.array_join(lines, "\n")
+
+
+def groups_in_order(sizes: Column, least: int) -> Column:
+    """The group number of each size: a group below the least size takes in the next one."""
+    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).alias("group"), F.array().cast("array<int>").alias("groups"))
+
+    def step(s: Column, size: Column) -> Column:
+        joins = (s["group"] >= 0) & (s["used"] < least)
+        number = s["group"] + F.when(joins, 0).otherwise(1)
+        return F.struct(F.when(joins, s["used"] + size).otherwise(size).cast("long").alias("used"), number.alias("group"), F.concat(s["groups"], F.array(number)).alias("groups"))
+
+    return F.aggregate(sizes, state, step, lambda s: s["groups"])

@@ -13,6 +13,11 @@ from ..operators import outline, roles, tables
 from ..operators.lines import latest_before
 
 
+# --- fixed values: what marks the parts of a table's block ---
+PART = ("(第", "部分)")
+# --- end of fixed values ---
+
+
 def lines_of(found: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of each block by its span, as an as-of join: no pairs of lines and blocks."""
     starts = found.select("source_file", F.col("first_line").alias("line_no"), F.struct("block_no", "last_line").alias("__b"))
@@ -35,36 +40,61 @@ def text_chunks(docs: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFram
 
 
 def table_chunks(docs: DataFrame, blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """source_file, table_index, part, chunk_idx, title, content, token_estimate, breadcrumb of the records of all tables: each table hangs below the latest block that doesn't start after it, and is cut into parts of bounded size."""
+    """source_file, table_block, block_title, chunk_idx, title, content, start_line, token_estimate, breadcrumb of the records of all tables.
+
+    Each table hangs below the latest of the blocks (those that have chunks) that doesn't start after it. The way to it
+    stands before each content and counts. A table above the largest size is cut into parts of chunks in order; a part below
+    the least size takes in the next one of its line, as do small tables that share a line."""
     found = tables.find_tables(docs)
     keys = ["source_file", "table_index"]
     at = ln.offsets_to_lines(docs, found.select("source_file", F.col("start_char").alias("offset")).distinct()).withColumnRenamed("offset", "start_char")
     placed = found.join(at, ["source_file", "start_char"])
     starts = blocks.select("source_file", F.col("start_line").alias("line_no"), F.col("breadcrumb").alias("__trail"))
     placed = latest_before(placed.select(*keys, "table_name", "line_no"), starts, ["source_file"], ["line_no"], "__trail")
+    placed = placed.withColumn("breadcrumb", F.concat(F.coalesce("__trail", F.array().cast("array<string>")), F.array("table_name")))
     grouped = tables.group_spans(tables.records(tables.parse_tables(found, keys), keys), keys)
     text = ch.record_text(F.col("columns"), F.col("record"))
     items = F.array_join(F.transform("sub_items", lambda m, i: F.concat(F.lit("  " + tables.SUB_ITEMS), (i + 1).cast("string"), F.lit(": "), F.array_join(F.transform(F.filter(F.map_entries(m), lambda e: F.trim(e["value"]) != ""), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; "))), "\n")
     content = F.concat_ws("\n", F.nullif(text, F.lit("")), F.nullif(items, F.lit("")))
     hint = F.array_join(F.slice(F.filter(F.map_values("record"), lambda v: F.trim(v) != ""), 1, 2), " - ")
-    rows = grouped.withColumn("content", content).withColumn("hint", F.when(hint == "", F.concat(F.lit("#"), (F.col("record_no") + 1).cast("string"))).otherwise(hint)).join(placed, keys)
+    rows = grouped.withColumn("content", content).withColumn("hint", F.when(hint == "", F.concat(F.lit("#"), (F.col("record_no") + 1).cast("string"))).otherwise(hint)).join(placed.select(*keys, "table_name", "line_no"), keys)
     raw = rows.select(*keys, F.col("record_no").alias("chunk_no"), ch._chunk(F.concat_ws(" | ", "table_name", "hint"), F.col("content"), F.col("line_no"), F.col("line_no"), F.lit(99), token_half(F.col("content"))).alias("chunk"))
-    sized = ch.sized(ch.in_order(raw, keys), settings)
+    sized = ch.sized(ch.in_order(raw, keys), settings).join(placed.select(*keys, "table_name", "line_no", "breadcrumb"), keys)
+    sized = sized.withColumn("chunks", ch.with_breadcrumb(F.col("chunks"), F.col("breadcrumb")))
     tokens = F.transform("chunks", lambda c: tokens_of(c["half"]).cast("long"))
-    sized = sized.withColumn("bins", ch.bins_in_order(tokens, settings.block_max)).join(placed.select(*keys, "table_name", "line_no", "__trail"), keys)
-    out = sized.withColumn("parts", F.array_max("bins") + 1)
-    out = out.select(*keys, "parts", "line_no", F.concat(F.coalesce("__trail", F.array().cast("array<string>")), F.array("table_name")).alias("breadcrumb"), "table_name", F.posexplode(F.arrays_zip("chunks", "bins")).alias("chunk_idx", "x"))
-    part = F.col("x.bins")
-    block = F.when(F.col("parts") > 1, F.concat("table_name", F.lit("(第"), (part + 1).cast("string"), F.lit("部分)"))).otherwise(F.col("table_name"))
-    return out.select(*keys, part.alias("part"), block.alias("block_title"), "chunk_idx", "x.chunks.title", "x.chunks.content", F.col("line_no").alias("start_line"), tokens_of(F.col("x.chunks.half")).alias("token_estimate"), "breadcrumb")
+    sized = sized.withColumn("tokens", tokens).withColumn("bins", ch.bins_in_order(F.col("tokens"), settings.block_max)).withColumn("parts", F.array_max("bins") + 1)
+    chunk = F.struct(F.col("pos").alias("at"), F.col("x.chunks").alias("chunk"), F.col("x.tokens").alias("tokens"))
+    parts = sized.select(*keys, "parts", "line_no", "table_name", "breadcrumb", F.posexplode(F.arrays_zip("chunks", "tokens", "bins")).alias("pos", "x"))
+    parts = parts.groupBy(*keys, "parts", "line_no", "table_name", "breadcrumb", F.col("x.bins").alias("part")).agg(F.sum("x.tokens").alias("tokens"), F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    name = F.concat("table_name", F.lit(PART[0]), (F.col("part") + 1).cast("string"), F.lit(PART[1]))
+    row = F.struct("table_index", "part", "tokens", F.when(F.col("parts") > 1, name).otherwise(F.col("table_name")).alias("title"), "breadcrumb", F.transform("chunks", lambda c: c["chunk"]).alias("chunks"))
+    lines = parts.groupBy("source_file", "line_no").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    lines = lines.withColumn("groups", ch.groups_in_order(F.transform("rows", lambda r: r["tokens"]), settings.block_min))
+    flat = lines.select("source_file", "line_no", F.posexplode(F.arrays_zip("rows", "groups")).alias("at", "x")).select("source_file", "line_no", "at", "x.groups", "x.rows.*")
+    merged = flat.groupBy("source_file", "line_no", "groups").agg(F.max_by("title", "at").alias("block_title"), F.min_by("breadcrumb", "at").alias("breadcrumb"), F.array_sort(F.collect_list(F.struct("at", "chunks"))).alias("rows"))
+    order = Window.partitionBy("source_file").orderBy("line_no", "groups")
+    merged = merged.withColumn("table_block", F.row_number().over(order) - 1)
+    out = merged.select("source_file", "table_block", "block_title", "line_no", "breadcrumb", F.posexplode(F.flatten(F.transform("rows", lambda r: r["chunks"]))).alias("chunk_idx", "c"))
+    return out.select("source_file", "table_block", "block_title", "chunk_idx", "c.title", "c.content", F.col("line_no").alias("start_line"), tokens_of(F.col("c.half")).alias("token_estimate"), "breadcrumb")
 
 
 def all_chunks(text: DataFrame, text_blocks: DataFrame, table: DataFrame) -> DataFrame:
-    """Text and table chunks of a document in one order: by start, text before tables, then their own order. source_file, chunk_no, is_table, title, content, token_estimate, breadcrumb."""
-    a = text.join(text_blocks.select("source_file", "block_no", "breadcrumb"), ["source_file", "block_no"]).select("source_file", "start_line", F.lit(False).alias("is_table"), F.col("block_no").alias("__a"), "chunk_idx", "title", "content", "token_estimate", "breadcrumb")
-    b = table.select("source_file", "start_line", F.lit(True).alias("is_table"), F.col("table_index").alias("__a"), "chunk_idx", "title", "content", "token_estimate", "breadcrumb")
-    order = Window.partitionBy("source_file").orderBy("start_line", "is_table", "__a", "chunk_idx")
-    return a.unionByName(b).withColumn("chunk_no", F.row_number().over(order) - 1).select("source_file", "chunk_no", "is_table", "title", "content", "token_estimate", "breadcrumb")
+    """Text and table chunks of a document in one order: by start, text before tables, then their own order. source_file, chunk_no, is_table, block_no (in the same order, without blocks that have no chunks), chunk_idx, block_title, title, content, token_estimate, breadcrumb, start_line."""
+    shown = ["chunk_idx", "block_title", "title", "content", "token_estimate", "breadcrumb", "start_line"]
+    own = text_blocks.select("source_file", "block_no", "breadcrumb", F.col("title").alias("block_title"), F.col("start_line").alias("__start"))
+    a = text.join(own, ["source_file", "block_no"]).select("source_file", "__start", F.lit(False).alias("is_table"), F.col("block_no").alias("__a"), *shown)
+    b = table.select("source_file", F.col("start_line").alias("__start"), F.lit(True).alias("is_table"), F.col("table_block").alias("__a"), *shown)
+    block = ["__start", "is_table", "__a"]
+    order = Window.partitionBy("source_file")
+    out = a.unionByName(b).withColumn("chunk_no", F.row_number().over(order.orderBy(*block, "chunk_idx")) - 1).withColumn("block_no", F.dense_rank().over(order.orderBy(*block)) - 1)
+    return out.select("source_file", "chunk_no", "is_table", "block_no", *shown)
+
+
+def ingested(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Documents (source_file, text) to all their chunks: lines, blocks and their merges, chunks, tables, one order."""
+    blocks, text = text_chunks(docs, settings)
+    filled = blocks.join(text.select("source_file", "block_no").distinct(), ["source_file", "block_no"], "left_semi")
+    return all_chunks(text, blocks, table_chunks(docs, filled, settings))
 
 
 def tree(blocks: DataFrame) -> DataFrame:
@@ -73,11 +103,10 @@ def tree(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("__line", line).groupBy("source_file").agg(ordered_join("start_line", "__line", "\n").alias("outline"))
 
 
-def tagged(blocks: DataFrame, chunks: DataFrame, words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def tagged(blocks: DataFrame, chunks: DataFrame, words: roles.Words, settings: Settings = DEFAULT) -> DataFrame:
     """Chunks with ids, the way to them and the rules' role: chunk_id, content, role, role_confidence, block_id, source_file, breadcrumb, heading_path, start_line, end_line, token_estimate, tagged_by. Blocks are numbered in their document."""
     block_id = F.concat(F.regexp_replace("source_file", r"\.md$", ""), F.lit("_block"), F.col("block_no").cast("string"))
     rows = chunks.join(blocks.select("source_file", "block_no", "breadcrumb"), ["source_file", "block_no"])
     rows = rows.withColumn("block_id", block_id).withColumn("chunk_id", F.concat("block_id", F.lit("_chunk"), F.col("chunk_idx").cast("string"))).withColumn("heading_path", F.array_join("breadcrumb", " > "))
-    best = roles.argmax(roles.scores(rows, words, settings=settings))
-    out = rows.join(best, "chunk_id")
+    out = roles.argmax(roles.scored(rows, words, keep=rows.columns, settings=settings), keep=rows.columns)
     return out.select("chunk_id", "content", "role", F.col("confidence").alias("role_confidence"), "block_id", "source_file", "breadcrumb", "heading_path", "start_line", "end_line", "token_estimate", F.lit("rule").alias("tagged_by"))

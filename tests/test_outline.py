@@ -89,8 +89,8 @@ def test_chunk_sizes_on_random_documents(spark):
         if r.chunk_idx < last:
             assert r.token_estimate >= 128
     words = sum(t.count("word") for t in texts)
-    assert sum(r.content.partition("\n\n")[2].count("word") for r in rows) == words
-    tagged = ingest.tagged(blocks, got, roles.lexicon(spark))
+    assert sum(r.content.partition("\n")[2].count("word") for r in rows) == words
+    tagged = ingest.tagged(blocks, got, roles.lexicon())
     assert tagged.count() == len(rows) == tagged.select("chunk_id").distinct().count()
 
 

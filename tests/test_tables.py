@@ -57,7 +57,7 @@ def test_parts_order_and_tree(spark):
     docs = spark.createDataFrame([("d", f"# Top\ntext before\nNames\n<table><tr><td>No</td><td>Text</td></tr>{rows}</table>\n## Next\n" + "more " * 120)], "source_file string, text string")
     blocks, text = ingest.text_chunks(docs)
     table = ingest.table_chunks(docs, blocks, Settings(block_max=320))
-    titles = [r.block_title for r in table.orderBy("chunk_idx").collect()]
+    titles = [r.block_title for r in table.orderBy("table_block", "chunk_idx").collect()]
     assert titles == ["Names(第1部分)"] * 2 + ["Names(第2部分)"] * 2 + ["Names(第3部分)"]
     kinds = [r.is_table for r in ingest.all_chunks(text, blocks, table).orderBy("chunk_no").collect()]
     assert kinds[0] is False and kinds.count(True) == 5
