@@ -16,7 +16,15 @@ from ..config import DEFAULT, Settings
 NOISE = (r"Tel[:：].*$", r"www\..*\.com.*$", r"\S+@\S+\.com.*$", r"德泰生物.*$", r"DETAIBIO\s*$", r"活性蛋白整体方案.*$", r"Active Protein Solutions\s*$")
 TAIL = (r"#+\s*【?参考文献】?", r"#+\s*【?基本信息】?", r"#+\s*【?标识的解释】?", r"参考文献\s*$")
 BOILERPLATE = (r"产品使用说明书\s*$", r".+Biotech\s+Co\.,?\s*Ltd\.?\s*$", r"版本号[:：].*$", r".+备案凭证编号.*$", r".+说明书核准日期.*$", r".+生产日期及失效日期.*$", r"第\s*\d+\s*页\s*共\s*\d+\s*页\s*$", r"售后服务电话[:：].*$")
-LATEX_WRAPPERS = "mathsf|mathrm|textrm|mathord|scriptscriptstyle|substack"
+#: What becomes of formulas, in this order: wrappers, the sign for about, braces, other commands, points between digits, runs of white space.
+LATEX = (
+    (r"\\(?:mathsf|mathrm|textrm|mathord|scriptscriptstyle|substack)\s*", ""),
+    (r"\\(?:sim|~)", "~"),
+    (r"[{}]", ""),
+    (r"\\[a-zA-Z]+", ""),
+    (r"(\d)\s*\.\s*(\d)", r"\1.\2"),
+    (r"\s{2,}", " "),
+)
 ORDINAL = "[一二三四五六七八九十]+"
 # --- end of fixed values ---
 
@@ -69,7 +77,9 @@ def heading(text: Column, settings: Settings = DEFAULT) -> Column:
     chapter = (numbers != "") & (first != "0") & (F.length(first) <= 3) & ((rest == "") | rest.rlike(r"^[\u4e00-\u9fffA-Za-z(（]"))
     dotted = F.least(F.regexp_count(numbers, F.lit("[.．]")) + 1, F.lit(settings.heading_cap))
     level = F.when(hashes != "", marked).when(text.rlike(f"^{ORDINAL}[、．.]"), 1).when(chapter, dotted).when(text.rlike(f"^[（(]{ORDINAL}[)）]"), 2).otherwise(0).cast("int")
-    return F.struct(level.alias("level"), F.when(hashes != "", title).when(level > 0, text).otherwise("").alias("title"))
+    found = F.struct(level.alias("level"), F.when(hashes != "", title).when(level > 0, text).otherwise("").alias("title"))
+    # most lines begin like no heading, which one look tells
+    return F.when(text.rlike(r"(?U)^[#\d（(一二三四五六七八九十]"), found).otherwise(F.struct(F.lit(0).alias("level"), F.lit("").alias("title")))
 
 
 def is_numbered_item(text: Column, settings: Settings = DEFAULT) -> Column:
@@ -78,11 +88,9 @@ def is_numbered_item(text: Column, settings: Settings = DEFAULT) -> Column:
 
 
 def _plain(fragment: str) -> str:
-    fragment = re.sub(rf"\\(?:{LATEX_WRAPPERS})\s*", "", fragment)
-    fragment = re.sub(r"\\(?:sim|~)", "~", fragment)
-    fragment = re.sub(r"\\[a-zA-Z]+", "", fragment.translate({ord("{"): None, ord("}"): None}))
-    fragment = re.sub(r"(?<=\d)\s*\.\s*(?=\d)", ".", fragment)
-    return re.sub(r"\s{2,}", " ", fragment).strip()
+    for pattern, by in LATEX:
+        fragment = re.sub(pattern, by, fragment)
+    return fragment.strip()
 
 
 @F.pandas_udf(T.StringType())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import BOILERPLATE, NOISE, TAIL, heading, is_image, is_table, latex_clean, starts_like, utrim
+from ..staging import stage
 
 FLAGS = ("is_noise", "is_table", "is_empty", "is_image", "is_tail_section")
 
@@ -23,14 +24,14 @@ def parse(lines: DataFrame, doc: str = "source_file", settings: Settings = DEFAU
     Noise, tables, empty and image lines have no cleaned text. From the first tail heading on all lines of a document are
     noise (a running maximum), and so are images in runs of images and empty lines with enough images. One shuffle by
     document serves both windows."""
-    line = utrim(F.col("raw"))
-    out = lines.withColumn("is_empty", line == "").withColumn("is_table", is_table(F.col("raw")))
+    line = F.col("__line")
+    out = lines.withColumn("__line", utrim(F.col("raw"))).withColumn("is_empty", line == "").withColumn("is_table", is_table(F.col("raw")))
     plain = ~F.col("is_empty")
     out = out.withColumn("__noise", plain & starts_like(line, NOISE, True))
     body = plain & ~F.col("__noise") & ~F.col("is_table")
     out = out.withColumn("is_image", body & is_image(F.col("raw"))).withColumn("__noise", F.col("__noise") | (body & starts_like(line, BOILERPLATE, True)))
     shown = ~F.col("__noise") & ~F.col("is_table") & plain & ~F.col("is_image")
-    out = out.withColumn("cleaned", F.when(shown, utrim(latex_clean("raw") if latex else F.col("raw"))).otherwise(""))
+    out = out.withColumn("cleaned", F.when(shown, utrim(latex_clean("raw")) if latex else line).otherwise(""))
     out = out.withColumn("__h", heading(F.col("cleaned"), settings)).withColumn("heading_level", F.col("__h.level")).withColumn("heading_title", F.col("__h.title"))
     out = sticky(out, starts_like(line, TAIL), "is_tail_section", doc).withColumn("__noise", F.col("__noise") | F.col("is_tail_section"))
     images = F.col("is_image") & ~F.col("__noise")
@@ -68,3 +69,16 @@ def latest_before(left: DataFrame, right: DataFrame, by: list[str], order: list[
     both = left.withColumn("__side", F.lit(1)).withColumn(value, F.lit(None).cast(right.schema[value].dataType)).unionByName(right.select(*by, *order, value).withColumn("__side", F.lit(0)), allowMissingColumns=True)
     upto = Window.partitionBy(*by).orderBy(*order, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(upto)).where("__side = 1").drop("__side")
+
+
+def positions(rows: DataFrame, order: str, to: str) -> DataFrame:
+    """Adds each row's place, from 0, in an order over the whole table.
+
+    Without one task for all: the rows are sorted into ranges and written with the number of their range, then the counts of
+    the ranges are summed up and the place within a range is added."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stage(rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__range", F.spark_partition_id()), "ranges")
+    dealt = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(order)))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return dealt.join(F.broadcast(before), "__range").withColumn(to, F.col("__before") + F.col("__at") - 1).drop("__range", "__at", "__before")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, Settings
 from ..functions.text import token_half
@@ -71,74 +72,89 @@ def measured(lines: DataFrame, found: DataFrame, doc: str = "source_file", setti
     return found.join(sizes, [doc, "block_no"])
 
 
-def _shells(rows: list[dict], settings: Settings) -> Iterator[dict]:
-    """A shell is absorbed by what follows if that is deeper, or of its level and its own title short; the later block's title and level stay."""
-    held: dict | None = None
-    for row in rows:
-        if held is None:
-            held = row if row["shell"] else None
-            if held is None:
-                yield row
-        elif row["shell"]:
-            if row["heading_level"] > held["heading_level"]:
-                held = held | {"last_line": row["last_line"], "half": held["half"] + row["half"]}
-            else:
-                yield held
-                held = row
+def _shell_runs(shell: list[bool], level: list[int], title_chars: list[int], settings: Settings) -> list[list[int]]:
+    """Runs (first, own, last) of a document's blocks: own is the block whose title and level stay. A shell is absorbed by what follows if that is deeper, or of its level and its own title short."""
+    out: list[list[int]] = []
+    held = last = -1
+    for i, empty in enumerate(shell):
+        if held < 0 and not empty:
+            out.append([i, i, i])
+        elif held >= 0 and empty and level[i] > level[held]:
+            last = i
+        elif empty:
+            if held >= 0:
+                out.append([held, held, last])
+            held = last = i
         else:
-            deeper = held["heading_level"] < row["heading_level"]
-            if deeper or (held["heading_level"] == row["heading_level"] and len(held["title"]) <= settings.shell_title_max):
-                trail = list(row["breadcrumb"])
-                if held["title"] not in trail:
-                    trail = list(held["breadcrumb"]) + [t for t in trail if t not in held["breadcrumb"]]
-                yield row | {"breadcrumb": trail, "start_line": held["start_line"], "first_line": held["first_line"], "half": held["half"] + row["half"]}
+            if level[held] < level[i] or (level[held] == level[i] and title_chars[held] <= settings.shell_title_max):
+                out.append([held, i, i])
             else:
-                yield held
-                yield row
-            held = None
-    if held is not None:
-        yield held
-
-
-def _tiny(rows: list[dict], settings: Settings) -> list[dict]:
-    """Small blocks join the next one of their root chapter; at the end, and in a last sweep from the end, the one before."""
-    small = lambda b: b["half"] // 2 + 1 < settings.block_min
-    root = lambda b: b["breadcrumb"][0] if len(b["breadcrumb"]) else ""
-    out: list[dict] = []
-    for row in rows:
-        if out and small(out[-1]) and root(out[-1]) == root(row):
-            before = out.pop()
-            row = row | {"start_line": before["start_line"], "first_line": before["first_line"], "half": before["half"] + row["half"]}
-        out.append(row)
-    for i in range(len(out) - 1, 0, -1):
-        if small(out[i]) and root(out[i - 1]) == root(out[i]):
-            out[i - 1] = out[i - 1] | {"end_line": out[i]["end_line"], "last_line": out[i]["last_line"], "half": out[i - 1]["half"] + out[i]["half"]}
-            del out[i]
+                out += [[held, held, last], [i, i, i]]
+            held = -1
+    return out if held < 0 else [*out, [held, held, last]]
+
+
+def _tiny_runs(half: list[int], root: list[str], settings: Settings) -> list[list[int]]:
+    """Runs (first, own, last): small blocks join the next one of their root chapter; at the end, and in a last sweep from the end, the one before."""
+    out: list[list[int]] = []
+    sums: list[int] = []
+    small = lambda k: sums[k] // 2 + 1 < settings.block_min
+    for i, own in enumerate(half):
+        first = i
+        if out and small(-1) and root[out[-1][1]] == root[i]:
+            first = out.pop()[0]
+            own += sums.pop()
+        out.append([first, i, i])
+        sums.append(own)
+    for k in range(len(out) - 1, 0, -1):
+        if small(k) and root[out[k - 1][1]] == root[out[k][1]]:
+            out[k - 1][2] = out[k][2]
+            sums[k - 1] += sums[k]
+            del out[k], sums[k]
     return out
 
 
-def _fold(measured_blocks: DataFrame, merge: Callable[[list[dict]], Iterable[dict]], doc: str) -> DataFrame:
-    """Folds each document's blocks; a row holds one document's, and a batch of rows is worked on at a time."""
+RUNS = T.ArrayType(T.ArrayType(T.IntegerType()))
+
+
+def _merged(measured_blocks: DataFrame, runs: Callable[[Column], Column], doc: str, end: int) -> DataFrame:
+    """Merges each document's blocks by runs of them. Python sees only the few arrays that decide; the blocks themselves stay in the JVM. end: which of a run's blocks says where it ends."""
     names = [x.split()[0] for x in BLOCK.split(", ")]
-    kind = measured_blocks.schema[doc].dataType.simpleString()
     listed = measured_blocks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start_line", "block_no", *(n for n in names if n != "start_line")))).alias("blocks"))
+    listed = listed.withColumn("runs", runs(F.col("blocks")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(own, k, *(row[n] for n in names)) for own, rows in zip(batch[doc], batch["blocks"], strict=True) for k, row in enumerate(merge(list(rows)))]
-            yield pd.DataFrame(out, columns=[doc, "block_no", *names])
+    def built(r: Column) -> Column:
+        first, own, last, ends = (F.get("blocks", F.get(r, F.lit(k))) for k in (0, 1, 2, end))
+        absorbed = (F.get(r, F.lit(0)) < F.get(r, F.lit(1))) & F.lit(end == 1) & ~F.array_contains(own["breadcrumb"], first["title"])
+        trail = F.when(absorbed, F.concat(first["breadcrumb"], F.filter(own["breadcrumb"], lambda t: ~F.array_contains(first["breadcrumb"], t)))).otherwise(own["breadcrumb"])
+        covered = F.slice("blocks", F.get(r, F.lit(0)) + 1, F.get(r, F.lit(2)) - F.get(r, F.lit(0)) + 1)
+        half = F.aggregate(covered, F.lit(0).cast("long"), lambda s, b: s + b["half"])
+        values = (own["title"], own["heading_level"], first["start_line"], ends["end_line"], trail, first["first_line"], last["last_line"], own["shell"], half)
+        return F.struct(*(v.cast(kind).alias(n) for v, (n, kind) in zip(values, (x.split(" ", 1) for x in BLOCK.split(", ")), strict=True)))
 
-    return listed.mapInPandas(run, f"`{doc}` {kind}, block_no int, {BLOCK}")
+    return listed.select(doc, F.posexplode(F.transform("runs", built)).alias("block_no", "b")).select(doc, "block_no", "b.*")
 
 
 def merge_shells(measured_blocks: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:
     """Merges empty blocks into what they head. A group is one document's blocks."""
-    return _fold(measured_blocks, lambda rows: _shells(rows, settings), doc)
+
+    @F.pandas_udf(RUNS)
+    def found(shell: pd.Series, level: pd.Series, chars: pd.Series) -> pd.Series:
+        return pd.Series([_shell_runs(*(list(x) for x in row), settings) for row in zip(shell, level, chars, strict=True)])
+
+    each = lambda b, f: F.transform(b, f)
+    return _merged(measured_blocks, lambda b: found(each(b, lambda x: x["shell"]), each(b, lambda x: x["heading_level"]), each(b, lambda x: F.length(x["title"]))), doc, end=1)
 
 
 def merge_tiny(measured_blocks: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:
     """Merges blocks below the least size within their root chapter."""
-    return _fold(measured_blocks, lambda rows: _tiny(rows, settings), doc)
+
+    @F.pandas_udf(RUNS)
+    def found(half: pd.Series, root: pd.Series) -> pd.Series:
+        return pd.Series([_tiny_runs([int(x) for x in h], list(r), settings) for h, r in zip(half, root, strict=True)])
+
+    each = lambda b, f: F.transform(b, f)
+    return _merged(measured_blocks, lambda b: found(each(b, lambda x: x["half"]), each(b, lambda x: F.coalesce(F.get(x["breadcrumb"], F.lit(0)), F.lit("")))), doc, end=2)
 
 
 def split_oversized(lines: DataFrame, measured_blocks: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import utrim
+from .lines import positions
 
 LEXICON = Path(__file__).resolve().parent.parent / "data" / "lexicon.json"
 
@@ -21,11 +22,14 @@ JUNK_IMAGE_SHARE, JUNK_CHARS, JUNK_REFERENCES, JUNK_REFERENCE_SHARE = 0.8, 20, 2
 # --- end of fixed values ---
 
 
-def lexicon(spark: SparkSession, path: str | Path = LEXICON, settings: Settings = DEFAULT) -> DataFrame:
-    """role, role_ord, scope (body or heading), keyword, weight of a JSON file {scope: {role: {keyword: weight}}}."""
+#: role, scope (body or heading), keyword, weight: configuration of a stated, small size that is part of the plan.
+Words = list[tuple[str, str, str, int]]
+
+
+def lexicon(path: str | Path = LEXICON, settings: Settings = DEFAULT) -> Words:
+    """The keywords of a JSON file {scope: {role: {keyword: weight}}}."""
     table = json.loads(Path(path).read_text(encoding="utf-8"))
-    rows = [(role, settings.roles.index(role), scope, word, weight) for scope, roles in table.items() for role, words in roles.items() for word, weight in words.items()]
-    return spark.createDataFrame(rows, "role string, role_ord int, scope string, keyword string, weight int")
+    return [(role, scope, word, weight) for scope, by_role in table.items() for role, words in by_role.items() for word, weight in words.items() if word and role in settings.roles]
 
 
 def occurrences(text: Column, word: Column | str) -> Column:
@@ -62,34 +66,45 @@ def junk_reason(text: Column) -> Column:
     return F.when(n == 0, "empty").when(images > JUNK_IMAGE_SHARE * n, "image_only").when(visible < JUNK_CHARS, "too_short").when((references >= JUNK_REFERENCES) & (references > JUNK_REFERENCE_SHARE * n), "reference_section")
 
 
-def scores(chunks: DataFrame, words: DataFrame, key: str = "chunk_id", settings: Settings = DEFAULT) -> DataFrame:
-    """key, role, role_ord, score: every role of every chunk (key, content, heading_path).
+def _by_role(words: Words, scope: str, settings: Settings) -> Column:
+    """The keywords of each role, in the roles' order, as one literal."""
+    kind = "array<struct<keyword:string,weight:int>>"
+    lists = [[F.struct(F.lit(k).alias("keyword"), F.lit(w).cast("int").alias("weight")) for r, s, k, w in words if (r, s) == (role, scope)] for role in settings.roles]
+    return F.array(*(F.array(*x).cast(kind) for x in lists))
+
 
-    The lexicon is a small stated table that is sent to every task; it meets each text there, and sums leave a row a role.
-    Body keywords count a few times at most, heading keywords by presence and twice."""
-    body = chunks.select(key, strip_heading(F.col("content")).alias("body"), F.coalesce("heading_path", F.lit("")).alias("path"))
-    each = F.when(F.col("scope") == "body", F.least(occurrences(F.col("body"), F.col("keyword")), F.lit(settings.keyword_cap)) * F.col("weight")).otherwise(F.contains("path", "keyword").cast("int") * settings.heading_factor * F.col("weight"))
-    found = body.join(F.broadcast(words.where("length(keyword) > 0")), F.when(F.col("scope") == "body", F.contains("body", "keyword")).otherwise(F.contains("path", "keyword"))).select(key, "role", each.alias("score"))
-    extra = {**structure_bonus(F.col("body")), "junk": F.when(junk_reason(F.col("body")).isNotNull(), settings.junk_bonus).otherwise(0)}
-    base = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(i).alias("role_ord"), F.coalesce(extra.get(r, F.lit(0)), F.lit(0)).alias("bonus")) for i, r in enumerate(settings.roles))))
-    every = body.select(key, base.alias("x")).select(key, "x.role", "x.role_ord", "x.bonus")
-    return every.join(found.groupBy(key, "role").agg(F.sum("score").alias("score")), [key, "role"], "left").select(key, "role", "role_ord", (F.coalesce("score", F.lit(0)) + F.col("bonus")).cast("long").alias("score"))
+def scored(chunks: DataFrame, words: Words, key: str = "chunk_id", settings: Settings = DEFAULT, keep: list[str] | None = None) -> DataFrame:
+    """key (or the columns to keep) and scores: of each role in order a struct (score, back, role), back the negative place of the role, so that the greatest is the best.
 
+    All within the row: no join and no shuffle. Body keywords count a few times at most, heading keywords by presence and
+    twice, structure adds its bonus."""
+    names = keep or [key]
+    body = chunks.withColumns({"__body": strip_heading(F.col("content")), "__path": F.coalesce("heading_path", F.lit(""))})
+    total = lambda list_, each: F.aggregate(list_, F.lit(0).cast("long"), lambda s, x: s + each(x))
+    in_body = F.transform(_by_role(words, "body", settings), lambda w: total(w, lambda x: F.when(F.contains(F.col("__body"), x["keyword"]), F.least(occurrences(F.col("__body"), x["keyword"]), F.lit(settings.keyword_cap)) * x["weight"]).otherwise(0)))
+    in_path = F.transform(_by_role(words, "heading", settings), lambda w: total(w, lambda x: F.contains(F.col("__path"), x["keyword"]).cast("int") * settings.heading_factor * x["weight"]))
+    extra = {**structure_bonus(F.col("__body")), "junk": F.when(junk_reason(F.col("__body")).isNotNull(), settings.junk_bonus).otherwise(0)}
+    found = body.select(*names, in_body.alias("__a"), in_path.alias("__b"), F.array(*(F.coalesce(extra.get(r, F.lit(0)), F.lit(0)).cast("long") for r in settings.roles)).alias("__c"))
+    each = [F.struct((F.get("__a", F.lit(i)) + F.get("__b", F.lit(i)) + F.get("__c", F.lit(i))).alias("score"), F.lit(-i).alias("back"), F.lit(r).alias("role")) for i, r in enumerate(settings.roles)]
+    return found.select(*names, F.array(*each).alias("scores"))
 
-def ranked(scored: DataFrame, key: str = "chunk_id") -> DataFrame:
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "role_ord")))
 
+def scores(chunks: DataFrame, words: Words, key: str = "chunk_id", settings: Settings = DEFAULT) -> DataFrame:
+    """key, role, role_ord, score: every role of every chunk (key, content, heading_path)."""
+    return scored(chunks, words, key, settings).select(key, F.inline("scores")).select(key, "role", (-F.col("back")).alias("role_ord"), "score")
 
-def argmax(scored: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """key, role, confidence: the best role (ties by the roles' order) and its lead over the second."""
-    top = ranked(scored, key).where("place <= 2").groupBy(key).agg(F.max(F.when(F.col("place") == 1, F.col("role"))).alias("role"), F.max(F.when(F.col("place") == 1, F.col("score"))).alias("first"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
-    return top.select(key, "role", (F.col("first") - F.coalesce("second", F.lit(0))).alias("confidence"))
 
+def argmax(scored_chunks: DataFrame, key: str = "chunk_id", keep: list[str] | None = None) -> DataFrame:
+    """key (or the columns to keep), role, confidence: the best role (ties by the roles' order) and its lead over the second."""
+    names = keep or [key]
+    top = scored_chunks.select(*names, F.sort_array("scores", asc=False).alias("__top"))
+    return top.select(*names, F.get("__top", F.lit(0))["role"].alias("role"), (F.get("__top", F.lit(0))["score"] - F.coalesce(F.get("__top", F.lit(1))["score"], F.lit(0))).alias("confidence"))
 
-def query_roles(scored: DataFrame, key: str = "query_id", k: int = 2) -> DataFrame:
+
+def query_roles(scored_queries: DataFrame, key: str = "query_id", k: int = 2) -> DataFrame:
     """key, roles: the best roles of a query, junk left out."""
-    top = ranked(scored.where("role <> 'junk'"), key).where(F.col("place") <= k)
-    return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "role"))), lambda x: x["role"]).alias("roles"))
+    top = F.slice(F.sort_array(F.filter("scores", lambda x: x["role"] != "junk"), asc=False), 1, k)
+    return scored_queries.select(key, F.transform(top, lambda x: x["role"]).alias("roles"))
 
 
 def parse_role(answer: Column, settings: Settings = DEFAULT) -> Column:
@@ -99,17 +114,9 @@ def parse_role(answer: Column, settings: Settings = DEFAULT) -> Column:
     return F.coalesce(exact, *(F.when(F.contains(F.lower(answer), F.lit(r)), r) for r in settings.roles))
 
 
-def low_margin(tagged: DataFrame, settings: Settings = DEFAULT, order: str = "chunk_id", key: str = "grp") -> DataFrame:
-    """Rows below the margin with custom_id, their place among these (from 0) in the order.
-
-    Places come without one task for all: counts of ranges of the order, summed up, plus the place within a range."""
-    low = tagged.where(F.col("confidence") < settings.low_margin)
-    n = max(1, int(low.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = low.repartitionByRange(n, order).sortWithinPartitions(order).withColumn(key, F.spark_partition_id())
-    dealt = dealt.withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    sizes = dealt.groupBy(key).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return dealt.join(F.broadcast(before), key).withColumn("custom_id", F.col("__before") + F.col("__at") - 1).drop(key, "__at", "__before")
+def low_margin(tagged: DataFrame, settings: Settings = DEFAULT, order: str = "chunk_id") -> DataFrame:
+    """Rows below the margin with custom_id, their place among these (from 0) in the order."""
+    return positions(tagged.where(F.col("confidence") < settings.low_margin), order, "custom_id")
 
 
 def backfill(tagged: DataFrame, low: DataFrame, answers: DataFrame, key: str = "chunk_id", settings: Settings = DEFAULT) -> DataFrame:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.text import utrim
 
-RULES = Path(__file__).resolve().parent.parent / "data" / "rules.json"
-
 # --- fixed values: markers and words of the model's answers ---
 MARKER = r"\[NEED_RAG:([^\]]+)\]"
 SLOT = r"[:：](?U)\s*(.+)"
@@ -32,12 +30,35 @@ ACTIVITY_NAMES = {
     "检测": "sample",
     "灭活": "inactivated",
 }
+#: Rules in order: a command, what sets it off and what keeps it from being set off.
+RULES = [
+    {
+        "command": "ShowProcedurePanel",
+        "triggers": [r"(查看|显示|打开).*(步骤|流程|进度)", r"(做到哪|到哪一步|第几步)(了|啦|呢)?$", r"(当前|现在).*(步骤|进度)"],
+        "excludes": [r"(如果|万一|假如|遇到|发生)", r"(怎么做|怎么处理|怎么操作|怎么配|如何).{4,}"],
+    },
+    {
+        "command": "CurrentExperimentOperation",
+        "triggers": [r"(当前|这一?步|现在).*(怎么[做操]|该[做干]什么)", r"(这步|这一步).*(是什么|做什么)"],
+        "excludes": [r"(如果|万一|假如|遇到|发生)", r".{6,}(怎么做|下一步)"],
+    },
+    {
+        "command": "ShowEquipmentName",
+        "triggers": [r"(这个?|那个?)(设备|仪器|器材|东西).*(叫什么|是什么|名[字称])", r"(显示|查看).*(仪器|设备).*(名[字称]|标签)"],
+        "excludes": [],
+    },
+    {
+        "command": "SwitchExperimentScene",
+        "triggers": [r"(切换|换|跳转|转到|进入).*(实验|场景|项目)", r"(我要?做|开始做?|打开).*实验"],
+        "excludes": [],
+    },
+]
 # --- end of fixed values ---
 
 
-def rules(path: str | Path = RULES) -> list[dict]:
-    """Rules in order: command, triggers and excludes (patterns)."""
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def rules(path: str | Path | None = None) -> list[dict]:
+    """Rules in order, those of a JSON file if named: command, triggers and excludes (patterns)."""
+    return json.loads(Path(path).read_text(encoding="utf-8")) if path else RULES
 
 
 def route(query: Column, table: list[dict]) -> Column:

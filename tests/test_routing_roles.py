@@ -34,19 +34,19 @@ def test_slots(spark):
 
 
 def test_scores_margin_and_junk(spark):
-    words = spark.createDataFrame([("sop", 0, "body", "step", 3), ("emergency", 1, "body", "spill", 4), ("emergency", 1, "heading", "Danger", 2)], "role string, role_ord int, scope string, keyword string, weight int")
+    words = [("sop", "body", "step", 3), ("emergency", "body", "spill", 4), ("emergency", "heading", "Danger", 2)]
     rows = [("a", "path\n\n# h\nstep step step step and more words here", "x"), ("b", "one line about nothing in particular at all", "Danger"), ("c", "x", None)]
     chunks = spark.createDataFrame(rows, "chunk_id string, content string, heading_path string")
     got = {(r.chunk_id, r.role): r.score for r in roles.scores(chunks, words).collect()}
     assert got["a", "sop"] == 9 and got["b", "emergency"] == 4 and got["c", "junk"] == 20 and len(got) == 27
-    best = {r.chunk_id: (r.role, r.confidence) for r in roles.argmax(roles.scores(chunks, words)).collect()}
+    best = {r.chunk_id: (r.role, r.confidence) for r in roles.argmax(roles.scored(chunks, words)).collect()}
     assert best == {"a": ("sop", 9), "b": ("emergency", 4), "c": ("junk", 20)}
 
 
 def test_ties_go_to_the_first_role(spark):
-    words = spark.createDataFrame([("sop", 0, "body", "zzz", 1)], "role string, role_ord int, scope string, keyword string, weight int")
+    words = [("sop", "body", "zzz", 1)]
     chunks = spark.createDataFrame([("a", "long enough text without any keyword", "")], "chunk_id string, content string, heading_path string")
-    assert tuple(roles.argmax(roles.scores(chunks, words)).first()) == ("a", "sop", 0)
+    assert tuple(roles.argmax(roles.scored(chunks, words)).first()) == ("a", "sop", 0)
 
 
 def test_junk_reasons(spark):
