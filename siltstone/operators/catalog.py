@@ -5,12 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Settings
 from ..functions.text import utrim
+from ..staging import small, stage
 
 # --- fixed values: columns of the catalog tables, and activities by column ---
 NAMES = ("病毒名称/中文名", "疾病中文名", "病原菌名称/中文名", "真菌名称/中文名")
@@ -80,14 +81,34 @@ def lookup_exact(names: DataFrame, catalog: DataFrame) -> DataFrame:
     return both.select("query_id", F.coalesce("__a", "__b").alias("cn_name")).where(F.col("cn_name").isNotNull())
 
 
+def _within(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """part, whole: which of the distinct strings `part` stand in which of the distinct strings `whole`, as an equi-join: each whole is cut into its stretches of the lengths that parts have. Nothing is compared pair by pair."""
+    lengths = parts.agg(F.array_sort(F.collect_set(F.length("part"))).alias("__lengths"))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("whole") - n + 1, F.lit(1))), lambda i: F.substring("whole", i, n))
+    fitting = F.filter("__lengths", lambda n: n <= F.length("whole"))
+    pieces = wholes.crossJoin(F.broadcast(lengths)).select("whole", F.explode(F.array_distinct(F.flatten(F.transform(fitting, cut)))).alias("part"))
+    return pieces.join(parts, "part")
+
+
+def _held(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """asked, entry: distinct strings of which one stands in the other."""
+    a, e = asked.select("asked").distinct(), entries.select("entry").distinct()
+    inside = _within(a.withColumnRenamed("asked", "part"), e.withColumnRenamed("entry", "whole")).select(F.col("part").alias("asked"), F.col("whole").alias("entry"))
+    around = _within(e.withColumnRenamed("entry", "part"), a.withColumnRenamed("asked", "whole")).select(F.col("whole").alias("asked"), F.col("part").alias("entry"))
+    return inside.unionByName(around).distinct()
+
+
 def lookup_contains(names: DataFrame, catalog: DataFrame) -> DataFrame:
-    """query_id, cn_name: the entry with the longest name that holds the asked name or is in it, by the first name or else the second (in lower case); ties by place. The asked names are the stated side of the join."""
-    asked = names.select("query_id", utrim("name").alias("name")).where("name <> ''")
-    one = F.contains("name", "cn_name") | F.contains("cn_name", "name")
-    two = (F.col("en_name") != "") & (F.contains(F.lower("en_name"), F.lower("name")) | F.contains(F.lower("name"), F.lower("en_name")))
-    met = catalog.join(asked, one | two)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.when(one, F.length("cn_name")).otherwise(F.length("en_name"))), "ord")
-    return met.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("query_id", "cn_name")
+    """query_id, cn_name: the entry with the longest name that holds the asked name or is in it, by the first name or else the second (in lower case); ties by place."""
+    asked = names.select("query_id", utrim("name").alias("name")).where("name <> ''").withColumn("low", F.lower("name"))
+    first = catalog.where("cn_name <> ''").select("cn_name", "ord", F.col("cn_name").alias("entry"))
+    second = catalog.where("en_name <> ''").select("cn_name", "ord", F.lower("en_name").alias("entry"))
+    one = asked.withColumn("asked", F.col("name")).join(_held(asked.select(F.col("name").alias("asked")), first), "asked").join(first, "entry").withColumn("size", F.length("entry"))
+    two = asked.withColumn("asked", F.col("low")).join(_held(asked.select(F.col("low").alias("asked")), second), "asked").join(second, "entry").withColumn("size", F.length("entry"))
+    met = one.select("query_id", "cn_name", "ord", "size", F.lit(0).alias("by")).unionByName(two.select("query_id", "cn_name", "ord", "size", F.lit(1).alias("by")))
+    # an entry found by its first name counts with that
+    entry = met.groupBy("query_id", "cn_name", "ord").agg(F.min_by("size", "by").alias("size"))
+    return entry.groupBy("query_id").agg(F.max_by("cn_name", F.struct("size", -F.col("ord"))).alias("cn_name"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -96,21 +117,48 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _characters(text: Column) -> Column:
+    """A string's characters, those that repeat numbered, in one order for all strings."""
+    each = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.sort_array(F.transform(each, lambda c, i: F.concat_ws("/", c, F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda x: x == c)))), asc=False)
+
+
+def _alike(asked: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """asked, entry, score: distinct strings with at least this ratio.
+
+    The ratio is twice the matched characters by both lengths, so that strings with the ratio r share at least r / (2 - r) of
+    each one's characters, and then one of the first few of each in a common order: an equi-join on these finds them all.
+    Lengths and shared characters bound the ratio and drop most; what is left is compared."""
+    share = least / (2 - least)
+    first = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - F.ceil(F.size(c) * share - 1e-9).cast("int") + 1, F.lit(0)))
+    a = asked.select("asked").distinct().withColumn("ca", _characters(F.col("asked")))
+    e = entries.select("entry").distinct().withColumn("ce", _characters(F.col("entry")))
+    met = a.select("asked", F.explode(first(F.col("ca"))).alias("c")).join(e.select("entry", F.explode(first(F.col("ce"))).alias("c")), "c").select("asked", "entry").distinct()
+    both = F.length("asked") + F.length("entry")
+    near = met.where(2 * F.least(F.length("asked"), F.length("entry")) >= (least - 1e-9) * both).join(small(a), "asked").join(small(e), "entry")
+    near = near.where(2 * F.size(F.array_intersect("ca", "ce")) >= (least - 1e-9) * both)
+    return near.select("asked", "entry", similarity("asked", "entry").alias("score")).where(F.col("score") >= least)
+
+
 def lookup_similar(names: DataFrame, catalog: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """query_id, cn_name: the most similar entry by either name, if similar enough; ties by place, first name first. Only names that nothing cheaper found should get here."""
-    met = catalog.crossJoin(names.select("query_id", utrim("name").alias("name")))
-    met = met.withColumn("__one", similarity("name", "cn_name")).withColumn("__two", F.when(F.col("en_name") != "", similarity(F.lower("name"), F.lower("en_name"))).otherwise(0.0))
-    met = met.withColumn("__best", F.greatest("__one", "__two")).where(F.col("__best") >= settings.similarity_min)
-    order = Window.partitionBy("query_id").orderBy(F.desc("__best"), "ord")
-    return met.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("query_id", "cn_name")
+    """query_id, cn_name: the most similar entry by either name, if similar enough; ties by place. Only names that nothing cheaper found should get here."""
+    asked = names.select("query_id", utrim("name").alias("name")).where("name <> ''").withColumn("low", F.lower("name"))
+    first = catalog.select("cn_name", "ord", F.col("cn_name").alias("entry"))
+    second = catalog.where("en_name <> ''").select("cn_name", "ord", F.lower("en_name").alias("entry"))
+    found = None
+    for column, entries in (("name", first), ("low", second)):
+        own = asked.select("query_id", F.col(column).alias("asked"))
+        part = own.join(_alike(own, entries, settings.similarity_min), "asked").join(entries, "entry").select("query_id", "cn_name", "ord", "score")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("query_id").agg(F.max_by("cn_name", F.struct("score", -F.col("ord"))).alias("cn_name"))
 
 
 def lookup(names: DataFrame, catalog: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """query_id, cn_name, found_by: exact, then containment for the rest, then similarity for the rest of these."""
+    """query_id, cn_name, found_by: exact, then containment for the rest, then similarity for the rest of these. What a level found is written, so that the next doesn't work it out again."""
     out = None
     left = names.where(F.coalesce(utrim("name"), F.lit("")) != "")
     for how, find in (("exact", lookup_exact), ("contains", lookup_contains), ("similar", lambda n, c: lookup_similar(n, c, settings))):
-        found = find(left, catalog).withColumn("found_by", F.lit(how))
+        found = stage(find(left, catalog).withColumn("found_by", F.lit(how)), how)
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select("query_id"), "query_id", "left_anti")
     return out

@@ -9,6 +9,10 @@ from ..config import DEFAULT, Settings
 from ..functions.text import token_estimate
 
 
+#: Fixed value: what stands between passages.
+BETWEEN = "\n\n---\n\n"
+
+
 def fuse(dense: DataFrame, bm25: DataFrame, settings: Settings = DEFAULT, role: str = "role") -> DataFrame:
     """Weighted reciprocal ranks by query and role: query_id, role, chunk_id, dense_rank, bm25_rank, score. A hit of one branch only counts with that branch."""
     keys = ["query_id", role, "chunk_id"]
@@ -90,4 +94,10 @@ def context(hits: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("rank", "heading_path", "source_file", "content", "chunk_ids")))
     some = lambda x, before, after: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(before), x, F.lit(after))).otherwise("")
     passages = F.transform("rows", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]"), some(x["heading_path"], " ", ""), some(x["source_file"], " (", ")"), F.lit("\n"), x["content"]))
-    return hits.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.array_join(passages, "\n\n---\n\n").alias("context"), F.flatten(F.transform("rows", lambda x: x["chunk_ids"])).alias("sources"))
+    return hits.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.array_join(passages, BETWEEN).alias("context"), F.flatten(F.transform("rows", lambda x: x["chunk_ids"])).alias("sources"))
+
+
+def raw_context(hits: DataFrame) -> DataFrame:
+    """query_id, rag_context, sources of hits (query_id, rank, chunk_id, content): the contents alone in order of rank, and each hit's own chunk, for answers without a second call."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "content")))
+    return hits.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.array_join(F.transform("rows", lambda x: x["content"]), BETWEEN).alias("rag_context"), F.transform("rows", lambda x: x["chunk_id"]).alias("sources"))

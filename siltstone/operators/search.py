@@ -1,19 +1,16 @@
-"""Exact dense and BM25 search for a batch of queries, and the store's filters and checks."""
+"""BM25 over postings and exact dense search for a batch of queries, and checks of vectors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-
-#: Queries and terms up to so many rows are sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 20_000
-
-
-def sent(df: DataFrame) -> DataFrame:
-    """Broadcasts a side whose counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+from ..staging import BROADCAST_BYTES, measured_bytes, small, stage
 
 
 def terms(text: Column) -> Column:
@@ -25,23 +22,32 @@ def top(df: DataFrame, k: int, by: list[str], score: str, rank: str, tie: str) -
     return df.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
+def postings(docs: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
+    """names, dl, term, tf of the wanted terms, and of every text a row with an empty term, as a staged table.
+
+    One pass over the texts. Occurrences of other terms go in the task that makes them: what is shuffled is sums for the
+    wanted terms. The empty term's rows hold all that collection statistics need."""
+    marked = wanted.unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("term")))
+    tokens = docs.select(*names, terms(F.col("text")).alias("tokens"))
+    each = tokens.select(*names, F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    return stage(each.join(small(marked), "term", "left_semi").groupBy(*names, "dl", "term").agg(F.count("*").alias("tf")), "postings")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, settings: Settings = DEFAULT, role: str | None = None) -> DataFrame:
     """query_id, chunk_id, (role,) score, rank: the k best chunks (by query, and by role if named) by BM25.
 
     docs: chunk_id, text, (role); queries: query_id, text. Document counts and lengths are over the whole collection, the role
-    only splits the ranking. Lengths come without exploding a text; only occurrences of query terms are exploded, so that
-    what is shuffled is postings of these terms. Repeated terms of a query count once."""
+    only splits the ranking. Repeated terms of a query count once. Texts are read once, into postings of the queries' terms."""
     k1, b = settings.bm25_k1, settings.bm25_b
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    vocabulary = asked.select("term").distinct()
     names = ["chunk_id", *([role] if role else [])]
-    tokens = docs.select(*names, terms(F.col("text")).alias("tokens"))
-    lengths = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    postings = tokens.select(*names, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(sent(vocabulary), "term", "left_semi").groupBy(*names, "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    found = postings(docs, asked.select("term").distinct(), names)
+    lengths = found.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl"))
+    listed = found.where("term <> ''")
+    df = listed.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(F.broadcast(lengths)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(weights, "term").join(postings, "term").groupBy("query_id", *names).agg(F.round(F.sum(part), 9).alias("score"))
+    scored = small(asked.join(weights, "term")).join(listed, "term").groupBy("query_id", *names).agg(F.round(F.sum(part), 9).alias("score"))
     return top(scored, k, ["query_id", *names[1:]], "score", "rank", "chunk_id")
 
 
@@ -55,14 +61,50 @@ def measured(vectors: DataFrame, name: str, *keys: str) -> DataFrame:
     return wide.withColumn(f"{name}_length", F.sqrt(dot(F.col(name), F.col(name))))
 
 
+def _products(asked: pd.DataFrame, k: int, names: list[str]):
+    """A task's function: cosines of a batch of vectors with all queries as matrix products, and of each query and role only those that can be among the k best of the batch, ties and what rounding may tie included."""
+    by_width = {w: (part["query_id"].to_numpy(), np.stack(part["vector"].to_numpy())) for w, part in asked.groupby(asked["vector"].map(len)) if w}
+    unit = lambda m: m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["vector"].notna()]
+            if not len(batch):
+                continue
+            groups = [batch["vector"].map(len), *(batch[n].fillna("") for n in names[1:])]
+            for key, part in batch.groupby(groups):
+                width = key[0] if isinstance(key, tuple) else key
+                if width not in by_width:
+                    continue
+                ids, targets = by_width[width]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cosine = unit(np.stack(part["vector"].to_numpy()).astype(np.float64)) @ unit(targets.astype(np.float64)).T
+                cosine = np.where(np.isfinite(cosine), cosine, -np.inf)
+                least = -np.partition(-cosine, min(k, len(part)) - 1, axis=0)[min(k, len(part)) - 1]
+                row, query = np.nonzero((cosine >= least - 1e-9) & np.isfinite(cosine))
+                out = part[names].iloc[row].assign(query_id=ids[query], score=cosine[row, query])
+                yield out[["query_id", *names, "score"]]
+
+    return run
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int, role: str | None = None) -> DataFrame:
-    """query_id, chunk_id, (role,) score, rank: the k nearest by cosine, compared exactly. vectors: chunk_id, vector, (role); queries: query_id, vector. Null vectors have no hits.
+    """query_id, chunk_id, (role,) score, rank: the k nearest by cosine, compared exactly. vectors: chunk_id, vector, (role); queries: query_id, vector. Null and zero vectors have no hits, nor have vectors of another length than the query.
 
-    The stated queries are the small side and meet all rows; the best k are kept in each task before the shuffle."""
+    The stated queries meet all rows. If their measured bytes are within the bound they go to every task, which compares a
+    batch of rows with all of them as a matrix product; beyond it Spark joins the two. Either way the best k are kept in each
+    task before the shuffle."""
     names = ["chunk_id", *([role] if role else [])]
-    asked, every = measured(queries, "a", "query_id"), measured(vectors, "b", *names)
-    score = F.round(dot(F.col("a"), F.col("b")) / (F.col("a_length") * F.col("b_length")), 9)
-    scored = every.crossJoin(sent(asked)).select("query_id", *names, score.alias("score"))
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    if measured_bytes(asked) <= BROADCAST_BYTES:
+        every = vectors.select(*names, F.col("vector").cast("array<double>").alias("vector"))
+        fields = ", ".join(f"`{n}` {dict(every.dtypes)[n]}" for n in names)
+        scored = every.mapInPandas(_products(asked.toPandas(), k, names), f"query_id {dict(asked.dtypes)['query_id']}, {fields}, score double")
+        scored = scored.withColumn("score", F.round("score", 9))
+    else:
+        a, b = measured(asked, "a", "query_id"), measured(vectors, "b", *names)
+        usable = (F.col("a_length") > 0) & (F.col("b_length") > 0) & (F.size("a") == F.size("b"))
+        scored = b.crossJoin(a).where(usable).select("query_id", *names, F.round(dot(F.col("a"), F.col("b")) / (F.col("a_length") * F.col("b_length")), 9).alias("score"))
     return top(scored, k, ["query_id", *names[1:]], "score", "rank", "chunk_id")
 
 

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 SCHEMA = "chunk_id string, content string, role_confidence bigint, block_id string, source_file string, breadcrumb array<string>, heading_path string, start_line bigint, end_line bigint, token_estimate bigint, tagged_by string, embedding array<float>, role string"
 
 
-def ensure(spark: SparkSession, name: str, schema: str = SCHEMA) -> bool:
-    """Creates the table unless it is there; whether it did."""
+def ensure(spark: SparkSession, name: str, schema: str = SCHEMA, path: str | None = None) -> bool:
+    """Creates the table, in a folder of its own if named, unless it is there; whether it did."""
     if spark.catalog.tableExists(name):
         return False
-    spark.createDataFrame([], schema).write.partitionBy("role").format("parquet").saveAsTable(name)
+    writer = spark.createDataFrame([], schema).write.partitionBy("role").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return True
 
 
 def drop(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", {"name": name})
 
 
 def insert(rows: DataFrame, name: str) -> int:

@@ -19,6 +19,7 @@ CELL = r"(?is)<t[dh]\b([^>]*)>(.*?)</t[dh]>"
 SPAN = r"(?i)\b(rowspan|colspan)\s*=\s*['\"]?(\d+)"
 HEADER_SCAN, NAME_LOOKBACK, LEFT_ROWS = 12, 50, (2, 5)
 SUB_ITEMS = "子项"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 # --- end of fixed values ---
 
 GRID = T.StructType([T.StructField("cells", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("row_spans", T.ArrayType(T.BooleanType()))])
@@ -71,18 +72,34 @@ def table_grid(tables: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"cells": [c for c, _ in found], "row_spans": [s for _, s in found]})
 
 
-def find_tables(docs: DataFrame, doc: str = "source_file", text: str = "text") -> DataFrame:
-    """doc, table_index (from 1), table_html, table_name, start_char: every table of a text. Its name is the last usable line among those before it."""
-    whole = F.col(text)
-    out = docs.select(doc, whole.alias("__text"), F.posexplode(F.regexp_extract_all(whole, F.lit(TABLE), 0)).alias("p", "table_html"))
-    # what precedes the table: the pieces between tables before it and these tables
-    pieces = F.split("__text", TABLE, -1)
-    found = F.regexp_extract_all("__text", F.lit(TABLE), F.lit(0))
-    before = F.array_join(F.transform(F.slice(pieces, 1, F.col("p") + 1), lambda x, i: F.concat(F.when(i > 0, F.element_at(found, F.greatest(i, F.lit(1)))).otherwise(""), x)), "")
-    out = out.withColumn("__before", before).withColumn("start_char", F.length("__before"))
-    lines = F.split(F.regexp_replace("__before", r"\r?\n$", ""), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]")
+def _table_name(lines: Column) -> Column:
+    """The last usable line of those before a table."""
     usable = F.filter(F.transform(F.slice(F.reverse(lines), 1, NAME_LOOKBACK), utrim), lambda x: (x != "") & ~F.startswith(x, F.lit("<")))
-    return out.select(doc, (F.col("p") + 1).alias("table_index"), "table_html", F.coalesce(F.get(usable, 0), F.lit("")).alias("table_name"), "start_char")
+    return F.coalesce(F.get(usable, 0), F.lit(""))
+
+
+def find_tables(docs: DataFrame, doc: str = "source_file", text: str = "text") -> DataFrame:
+    """doc, table_index (from 1), table_html, table_name, start_char: every table of a text. Its name is the last usable line among those before it.
+
+    One walk over a text's tables and what stands between them, which carries the place and the last lines before it; each
+    stretch of text is looked at once, and no table carries more than itself."""
+    rows = docs.select(doc, F.regexp_extract_all(text, F.lit(TABLE), F.lit(0)).alias("__found"), F.split(text, TABLE, -1).alias("__between")).where(F.size("__found") > 0)
+    kind = "array<struct<table_name:string,start_char:int>>"
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(kind).alias("out"))
+    lines = lambda x: F.split(F.regexp_replace(x, r"\r?\n$", ""), LINE_END, -1)
+
+    def step(s: Column, x: Column) -> Column:
+        before = F.concat(s["last"], x["between"])
+        start = s["at"] + F.length(x["between"])
+        after = F.split(F.concat(before, x["found"]), LINE_END, -1)
+        kept = F.array_join(F.slice(after, F.greatest(F.size(after) - NAME_LOOKBACK, F.lit(1)), F.lit(NAME_LOOKBACK + 1)), "\n")
+        own = F.struct(_table_name(lines(before)).alias("table_name"), start.cast("int").alias("start_char"))
+        return F.struct((start + F.length(x["found"])).cast("int").alias("at"), kept.alias("last"), F.concat(s["out"], F.array(own)).alias("out"))
+
+    pairs = F.zip_with(F.slice("__between", F.lit(1), F.size("__found")), "__found", lambda b, f: F.struct(b.alias("between"), f.alias("found")))
+    rows = rows.withColumn("__out", F.aggregate(pairs, state, step, lambda s: s["out"]))
+    out = rows.select(doc, F.posexplode(F.arrays_zip("__found", "__out")).alias("p", "x"))
+    return out.select(doc, (F.col("p") + 1).alias("table_index"), F.col("x.__found").alias("table_html"), "x.__out.table_name", "x.__out.start_char")
 
 
 def _width(cells: Column) -> Column:

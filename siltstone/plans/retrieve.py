@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..operators import fusion, search
+from ..staging import small
 
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, settings: Settings = DEFAULT, k: int | None = None) -> DataFrame:
@@ -19,7 +20,7 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vect
     dense = search.dense(vectors, query_vectors, per_role, role="role")
     bm25 = search.bm25(chunks, queries, per_role, settings, role="role")
     if "roles" in queries.columns:
-        asked = search.sent(queries.select("query_id", F.explode("roles").alias("role")))
+        asked = small(queries.select("query_id", F.explode("roles").alias("role")))
         dense, bm25 = dense.join(asked, ["query_id", "role"], "left_semi"), bm25.join(asked, ["query_id", "role"], "left_semi")
     return fusion.best(fusion.fuse(dense, bm25, settings), k)
 

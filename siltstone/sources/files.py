@@ -48,16 +48,27 @@ def catalog_tables(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(record.alias("record"), (F.col("t") * F.lit(1 << 32) + F.col("r")).alias("ord"))
 
 
+def parse_answers(lines: DataFrame) -> DataFrame:
+    """custom_id (long), answer of result lines (value); lines that are broken, blank or have an id that isn't a number are left out."""
+    row = F.from_json("value", F.lit(CHAT_ROW))
+    out = lines.select(row.alias("r")).where("r.custom_id rlike '^[0-9]+$'")
+    return out.select(F.col("r.custom_id").cast("long").alias("custom_id"), F.coalesce(F.trim(F.get("r.response.body.choices", F.lit(0))["message"]["content"]), F.lit("")).alias("answer"))
+
+
+def parse_embeddings(lines: DataFrame) -> DataFrame:
+    """custom_id (string), embedding of result lines (value); empty where it is missing."""
+    out = lines.select(F.from_json("value", F.lit(EMBEDDING_ROW)).alias("r")).where("r.custom_id is not null")
+    return out.select("r.custom_id", F.coalesce(F.get("r.response.body.data", F.lit(0))["embedding"], F.array().cast("array<double>")).alias("embedding"))
+
+
 def batch_answers(spark: SparkSession, path: str) -> DataFrame:
-    """custom_id (long), answer of a batch result file; lines that are broken, blank or have an id that isn't a number are left out."""
-    out = spark.read.schema(CHAT_ROW + ", broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
-    return out.where("broken is null and custom_id rlike '^[0-9]+$'").select(F.col("custom_id").cast("long").alias("custom_id"), F.coalesce(F.get("response.body.choices", 0)["message"]["content"], F.lit("")).alias("answer"))
+    """The answers of a batch result file."""
+    return parse_answers(spark.read.text(path))
 
 
 def batch_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """custom_id (string), embedding of a batch result file; empty where it is missing."""
-    out = spark.read.schema(EMBEDDING_ROW).json(path).where("custom_id is not null")
-    return out.select("custom_id", F.coalesce(F.get("response.body.data", 0)["embedding"], F.array().cast("array<double>")).alias("embedding"))
+    """The vectors of a batch result file."""
+    return parse_embeddings(spark.read.text(path))
 
 
 def answered(requests: DataFrame, answers: DataFrame, value: str, default: Column) -> DataFrame:
@@ -71,44 +82,69 @@ def chat_requests(rows: DataFrame, model: str, max_tokens: int, temperature: flo
     return rows.select(F.to_json(F.struct(F.col("custom_id").cast("string").alias("custom_id"), F.lit("POST").alias("method"), F.lit(path).alias("url"), body.alias("body"))).alias("value"))
 
 
+def embedding_requests(rows: DataFrame, model: str, encoding: str = "float", path: str = "/v1/embeddings") -> DataFrame:
+    """JSON lines of a batch: rows (custom_id, text) as requests for vectors."""
+    body = F.struct(F.lit(model).alias("model"), F.col("text").alias("input"), F.lit(encoding).alias("encoding_format"))
+    return rows.select(F.to_json(F.struct(F.col("custom_id").cast("string").alias("custom_id"), F.lit("POST").alias("method"), F.lit(path).alias("url"), body.alias("body"))).alias("value"))
+
+
 def env(text: str) -> dict[str, str]:
     """key=value lines; comments and blank lines are skipped, the first = splits, quotes around a value go."""
     pairs = (line.strip().partition("=") for line in text.splitlines() if line.strip() and not line.strip().startswith("#"))
     return {key.strip(): value.strip().strip("\"'") for key, sign, value in pairs if sign}
 
 
+# --- fixed values: names in a scenario file ---
+SCENARIO_TITLE = r'title:\s*"([^"]+)"'
+SCENARIO_BODY = r"context:\s*(`?)"
+SCENARIO_LISTS = ("experiment_supplies", "experiment_steps", "knowledge_points_list")
+SCENARIO_PREFIX = '"experiment_'
+# --- end of fixed values ---
+
+
+def _object(text: str) -> str:
+    """The object that a text begins with: up to the bracket that closes it, or, where the text ends before, up to its last whole element with what is open closed."""
+    closers: list[str] = []
+    quoted = escaped = False
+    whole = "{}"
+    for i, c in enumerate(text):
+        if quoted:
+            quoted, escaped = escaped or c != '"', c == "\\" and not escaped
+            ended = not quoted and closers[-1:] == ["]"]  # an element; a name isn't one
+        elif c == '"':
+            quoted, ended = True, False
+        elif c in "[{":
+            closers.append("]" if c == "[" else "}")
+            ended = c == "["
+        elif c in "]}" and closers[-1:] == [c]:
+            closers.pop()
+            ended = True
+        else:
+            ended = False
+        if ended:
+            whole = text[: i + 1] + "".join(reversed(closers))
+            if not closers:
+                break
+    return whole
+
+
 def scenario(text: str) -> tuple[str | None, list[str], list[str], list[str]] | None:
-    """Title, supplies, steps and knowledge points of a scenario file: JSON within a script's object. A missing outer brace or back quote and a list that is cut short are mended; None if there is nothing to read."""
-    title = re.search(r'title:\s*"([^"]+)"', text)
-    body = re.search(r"context:\s*`(.*?)`", text, re.DOTALL)
-    start = body or re.search(r"context:\s*`?", text)
-    if not start:
+    """Title, supplies, steps and knowledge points of a scenario file: JSON within a script's object, between back quotes. A missing outer brace or back quote and a list that is cut short are mended; None if there is nothing to read."""
+    body = re.search(SCENARIO_BODY, text)
+    if not body:
+        return None
+    found = text[body.end() :]
+    if body[1]:
+        found = found.partition("`")[0]
+    brace, name = found.find("{"), found.find(SCENARIO_PREFIX)
+    if brace < 0 and name < 0:
         return None
-    body_text = body[1] if body else text[start.end() :]
-    open_at = body_text.find("{")
-    if open_at < 0:
-        keys = body_text.find('"experiment_')
-        end = body_text.rfind("]")
-        if keys < 0 or end < 0:
-            return None
-        candidate = "{" + body_text[keys : end + 1] + "}"
-    else:
-        candidate = body_text[open_at:]
-    data = None
     try:
-        data, _ = json.JSONDecoder().raw_decode(candidate)
+        data = json.loads(_object(found[brace:] if brace >= 0 else "{" + found[name:]))
     except json.JSONDecodeError:
-        cut = re.sub(r',\s*"[^"]*$', "", candidate)
-        for closed in (candidate + "}", *(cut + "]" * max(0, cut.count("[") - cut.count("]")) + "}" * max(0, cut.count("{") - cut.count("}")) for _ in (0,))):
-            try:
-                data = json.loads(closed)
-                break
-            except json.JSONDecodeError:
-                continue
-    if not isinstance(data, dict):
         return None
-    lists = [list(map(str, data.get(k, []))) for k in ("experiment_supplies", "experiment_steps", "knowledge_points_list")]
-    return title[1] if title else None, *lists
+    title = re.search(SCENARIO_TITLE, text)
+    return title[1] if title else None, *([str(x) for x in data.get(k) or []] for k in SCENARIO_LISTS)
 
 
 SCENARIO = T.StructType([T.StructField("title", T.StringType()), *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("supplies", "steps", "knowledge_points"))])
