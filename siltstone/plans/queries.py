@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import text as tx
-from ..operators import catalog, chunks, fusion, lines, outline, prompts, roles, routing, search, tables
+from ..operators import catalog, chunks, fusion, lines, outline, prompts, roles, routing, search, store, tables
+from ..staging import scratch, small, stage
 from . import ingest, retrieve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +60,11 @@ def line_explode(spark, sf_dir):
     return _doc_lines(spark, sf_dir).select("doc_id", *_long("line_no"), F.length("raw").cast("long").alias("chars"))
 
 
-@query(rf"WITH {LINES} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (regexp_matches(trim(raw), '(?i)^(?:Tel[:：]|www\..*\.com|\S+@\S+\.com|德泰生物|DETAIBIO\s*$|活性蛋白整体方案|Active Protein Solutions\s*$|产品使用说明书\s*$|.+Biotech\s+Co\.,?\s*Ltd\.?\s*$|版本号[:：])')) AS BIGINT) AS n_noise, CAST(count(*) FILTER (trim(raw) = '') AS BIGINT) AS n_empty FROM lines GROUP BY doc_id")
+NOISE_SQL = f"(?i)^(?:{'|'.join((*tx.NOISE, *tx.BOILERPLATE))})"
+TAIL_SQL = f"^(?:{'|'.join(tx.TAIL)})"
+
+
+@query(rf"WITH {LINES}, flagged AS (SELECT *, regexp_matches(trim(raw), '{NOISE_SQL}') OR bool_or(regexp_matches(trim(raw), '{TAIL_SQL}')) OVER (PARTITION BY doc_id ORDER BY line_no) AS noise FROM lines) SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (noise) AS BIGINT) AS n_noise, CAST(count(*) FILTER (trim(raw) = '') AS BIGINT) AS n_empty FROM flagged GROUP BY doc_id")
 def noise_filter(spark, sf_dir):
     parsed = lines.parse(_doc_lines(spark, sf_dir), doc="doc_id")
     return parsed.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_noise").alias("n_noise"), F.count_if("is_empty").alias("n_empty"))
@@ -156,13 +161,15 @@ def tiny_merge(spark, sf_dir):
     return out.select("doc", "title", *_long("start_line", "end_line"), tx.tokens_of(F.col("half")).cast("long").alias("tokens"))
 
 
-@query()
+@query(f"""WITH {OUTLINE}, lines AS (SELECT doc, k, line_no, ltrim(raw, '# ') AS title, {half("regexp_replace(raw, '^#+ ', '# ')")} AS half FROM outline),
+sized AS (SELECT *, sum(half) OVER (PARTITION BY doc) // 2 + 1 > 300 AS large FROM lines), pieces AS (SELECT *, CASE WHEN large THEN sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) ELSE 0 END AS piece FROM sized),
+cut AS (SELECT doc, piece, min_by(title, line_no) AS title, min(line_no) AS start_line, max(line_no) AS end_line, sum(half) AS half FROM pieces GROUP BY doc, piece)
+SELECT doc, CAST(piece AS BIGINT) AS block_no, title, CASE WHEN piece = 0 THEN title ELSE 'customer ' || doc || ' > ' || title END AS heading_path, start_line, end_line, CAST(half AS BIGINT) AS half FROM cut""")
 def oversize_split(spark, sf_dir):
     parsed, found = _measured(spark, sf_dir)
     # one block a customer, so that large ones are there to be cut
     whole = found.groupBy("doc").agg(F.min("block_no").alias("block_no"), F.min_by("title", "block_no").alias("title"), F.min("heading_level").alias("heading_level"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min_by("breadcrumb", "block_no").alias("breadcrumb"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.lit(False).alias("shell"), F.sum("half").alias("half"))
-    small = Settings(block_max=300)
-    return outline.split_oversized(parsed, whole, doc="doc", settings=small).select("doc", *_long("block_no"), "title", F.array_join("breadcrumb", " > ").alias("heading_path"), *_long("start_line", "end_line"), "half")
+    return outline.split_oversized(parsed, whole, doc="doc", settings=Settings(block_max=300)).select("doc", *_long("block_no"), "title", F.array_join("breadcrumb", " > ").alias("heading_path"), *_long("start_line", "end_line"), "half")
 
 
 @query()
@@ -236,9 +243,15 @@ def span_groups(spark, sf_dir):
     return out.select("l_orderkey", *_long("record_no"), F.col("record")["flag"].alias("flag"), F.col("record")["line"].alias("lines"))
 
 
-@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(html, '<br(?: ?/)?>', chr(10), 'g'), '<[^>]+>', '', 'g'), chr(160), ' '), '[\t\r\f\x0b]+', ' ', 'g'), '\n+', chr(10), 'g'), ' +', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content FROM pages")
+PLAIN_SQL = r"regexp_replace(regexp_replace(html, '<br(?: ?/)?>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+#: The entities that pages have; the one for & last, as each is resolved once.
+for _entity, _by in ((r"&copy;", "©"), (r"&middot;", "·"), (r"&quot;", '"'), (r"&amp;?", "&")):
+    PLAIN_SQL = f"regexp_replace({PLAIN_SQL}, '{_entity}', '{_by}', 'g')"
+
+
+@query(rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({PLAIN_SQL}, chr(160), ' '), '[\t\r\f\x0b]+', ' ', 'g'), '\n+', chr(10), 'g'), ' +', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content FROM pages")
 def html_clean(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", tx.clean_html(F.col("html"), entities=False).alias("content"))
+    return read(spark, sf_dir, "pages").select("page_id", tx.clean_html(F.col("html")).alias("content"))
 
 
 @query(r"SELECT page_id, CAST(i AS BIGINT) AS item, regexp_replace(items[i], '<[^>]+>', '', 'g') AS content FROM (SELECT page_id, items, unnest(range(1, len(items) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS items FROM pages))")
@@ -249,9 +262,15 @@ def html_items(spark, sf_dir):
 
 # ---------------------------------------------------------------- roles
 
+#: Words of the tables at hand, so that the scores of these queries differ from zero.
+WORDS: roles.Words = [
+    *((role, "body", word, weight) for role, word, weight in (("sop", "the", 1), ("sop", "step", 3), ("emergency", "and", 1), ("emergency", "alarm", 3), ("regulation", "of", 1), ("regulation", "shall", 3), ("directory", "der", 1), ("directory", "list", 2), ("knowledge", "die", 1), ("knowledge", "means", 3), ("equipment", "les", 1), ("equipment", "device", 4), ("reagent", "los", 1), ("reagent", "buffer", 4), ("notice", "un", 1), ("notice", "warning", 3))),
+    *((role, "heading", f"src{k}", 2) for k, role in enumerate(DEFAULT.roles[:8], 1)),
+]
+
+
 def _values() -> str:
-    table = json.loads(roles.LEXICON.read_text(encoding="utf-8"))
-    rows = [f"('{role}', {DEFAULT.roles.index(role)}, '{scope}', '{word}', {weight})" for scope, by_role in table.items() for role, words in by_role.items() for word, weight in words.items()]
+    rows = [f"('{role}', {DEFAULT.roles.index(role)}, '{scope}', '{word}', {weight})" for role, scope, word, weight in WORDS]
     return f"lexicon(role, role_ord, scope, keyword, weight) AS (VALUES {', '.join(rows)}), names(role, role_ord) AS (VALUES {', '.join(f'({r!r}, {i})' for i, r in enumerate(DEFAULT.roles))})"
 
 
@@ -272,7 +291,7 @@ best AS (SELECT doc_id, max(role) FILTER (place = 1) AS role, max(score) FILTER
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("heading_path"))
-    return roles.scores(docs, roles.lexicon(spark), key="doc_id")
+    return roles.scored(docs, WORDS, key="doc_id")
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +300,7 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORES_SQL} SELECT doc_id, role, score FROM scores")
 def role_scores(spark, sf_dir):
-    return _scores(spark, sf_dir).select("doc_id", "role", "score")
+    return _scores(spark, sf_dir).select("doc_id", F.inline("scores")).select("doc_id", "role", "score")
 
 
 @query(f"WITH {BEST_SQL} SELECT doc_id, role, CAST(confidence AS BIGINT) AS confidence FROM best")
@@ -301,7 +320,7 @@ def low_margin(spark, sf_dir):
 
 @query(f"WITH {BEST_SQL}, low AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS custom_id FROM best WHERE confidence < 3), answers AS (SELECT doc_id AS custom_id, CASE WHEN quality = 1 THEN 'sop' END AS named FROM labels) SELECT b.doc_id, coalesce(named, role) AS role, CASE WHEN named IS NULL THEN 'rule' ELSE 'llm' END AS tagged_by FROM best b LEFT JOIN low USING (doc_id) LEFT JOIN answers ON answers.custom_id = low.custom_id")
 def backfill(spark, sf_dir):
-    best = _best(spark, sf_dir)
+    best = stage(_best(spark, sf_dir), "best")
     answers = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("custom_id"), F.when(F.col("quality") == 1, "Role: SOP!").otherwise("?").alias("answer"))
     return roles.backfill(best, roles.low_margin(best, order="doc_id"), answers, key="doc_id").select("doc_id", "role", "tagged_by")
 
@@ -383,9 +402,18 @@ def query_enrich(spark, sf_dir):
 
 # ---------------------------------------------------------------- routing
 
-def _route_sql() -> str:
+#: Rules that the conversations at hand set off.
+RULES = [
+    {"command": "ShowProgress", "triggers": ["(show|zeig|muestra).*(step|progress)", "(显示|查看).*(步骤|进度)", "^T[hi].*ed"], "excludes": ["(if|wenn|如果|万一)"]},
+    {"command": "CurrentOperation", "triggers": ["(current|now).*(do|step)", "(现在|这一步).*(怎么做|做什么)", "onnt"], "excludes": ["(if|如果)", "whth"]},
+    {"command": "NameDevice", "triggers": ["(what|which)(device|instrument)", "auxeau"], "excludes": []},
+    {"command": "SwitchScene", "triggers": ["(switch|open|start).*(scene|experiment)", "schein"], "excludes": []},
+]
+
+
+def _route_sql(table: list[dict] = RULES) -> str:
     out = "CASE "
-    for rule in routing.rules():
+    for rule in table:
         trigger = " OR ".join(f"regexp_matches(q, '{p}')" for p in rule["triggers"])
         exclude = " OR ".join(f"regexp_matches(q, '{p}')" for p in rule["excludes"]) or "false"
         out += f"WHEN NOT ({exclude}) AND ({trigger}) THEN '{rule['command']}' "
@@ -396,7 +424,7 @@ ROUTED = rf"routed AS (SELECT conv_id, turn, text, {_route_sql()} AS command FRO
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.router(read(spark, sf_dir, "conversations").withColumn("query", F.col("text")), routing.rules())
+    return routing.router(read(spark, sf_dir, "conversations").withColumn("query", F.col("text")), RULES)
 
 
 @query(f"WITH {ROUTED} SELECT conv_id, turn, command, CAST(CASE WHEN command IS NOT NULL THEN 0.95 END AS DOUBLE) AS confidence FROM routed")
@@ -426,7 +454,7 @@ def _search_inputs(spark: SparkSession, sf_dir: str):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("role"))
     benchmark = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    asked = vectors.select(F.col("chunk_id").alias("query_id"), "vector").join(search.sent(benchmark.select("query_id")), "query_id", "left_semi")
+    asked = vectors.select(F.col("chunk_id").alias("query_id"), "vector").join(small(benchmark.select("query_id")), "query_id", "left_semi")
     return docs, benchmark, vectors, asked
 
 
@@ -481,7 +509,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.expr("doc_id div 4").alias("block_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("role"), F.col("source").alias("heading_path"), F.col("lang").alias("source_file"), F.lit(1).alias("start_line"), F.col("doc_id").alias("chunk_idx"), F.col("text").alias("content"), tx.token_estimate(F.col("text")).alias("token_estimate"))
 
 
-CHUNKS_SQL = f"chunks AS (SELECT doc_id // 4 AS block_id, doc_id, lang, content, {half('content')} // 2 + 1 AS tokens, {half('content')} AS half FROM (SELECT *, left(text, 2000) AS content FROM documents)), able AS (SELECT block_id, count(*) AS n, count(DISTINCT lang) AS r, sum(tokens) AS t, sum(half) // 2 + 1 AS whole FROM chunks GROUP BY block_id)"
+CHUNKS_SQL = f"chunks AS (SELECT doc_id // 4 AS block_id, doc_id, lang, content, {half('content')} // 2 + 1 AS tokens, {half('content')} AS half FROM (SELECT *, text AS content FROM documents)), able AS (SELECT block_id, count(*) AS n, count(DISTINCT lang) AS r, sum(tokens) AS t, sum(half) // 2 + 1 AS whole FROM chunks GROUP BY block_id)"
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT block_id, CAST(n AS BIGINT) AS chunk_count, CAST(r AS BIGINT) AS roles, CAST(t AS BIGINT) AS tokens, n >= 2 AND r = 1 AND t <= 2000 AS promotable FROM able")
@@ -534,14 +562,25 @@ def conversation_prompt(spark, sf_dir):
 
 # ---------------------------------------------------------------- store
 
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as a chunk store, a row each; the name of its table."""
+    name = f"store_{uuid.uuid4().hex}"
+    store.ensure(spark, name, path=f"{scratch(spark)}/{name}")
+    none = F.lit("")
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), F.lit(0).cast("long").alias("role_confidence"), none.alias("block_id"), F.col("source").alias("source_file"), F.array("source").alias("breadcrumb"), F.col("source").alias("heading_path"), F.lit(1).cast("long").alias("start_line"), F.lit(1).cast("long").alias("end_line"), F.col("n_chars").alias("token_estimate"), F.lit("rule").alias("tagged_by"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"), F.col("lang").alias("role"))
+    store.insert(rows, name)
+    return name
+
+
 @query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'de' AND source IN ('src1', 'src2', 'src3')")
 def store_filter(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where((F.col("lang") == "de") & F.col("source").isin("src1", "src2", "src3")).select("doc_id", "source", "n_chars")
+    found = store.scan(spark, _store(spark, sf_dir), {"role": "de", "source_file": ["src1", "src2", "src3"]}, ("chunk_id", "source_file", "token_estimate"))
+    return found.select(F.col("chunk_id").cast("long").alias("doc_id"), F.col("source_file").alias("source"), F.col("token_estimate").alias("n_chars"))
 
 
 @query("SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang")
 def store_count(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return store.scan(spark, _store(spark, sf_dir), columns=("role",)).groupBy(F.col("role").alias("lang")).agg(F.count("*").alias("n"))
 
 
 @query('SELECT CAST(count(*) AS BIGINT) AS "rows", CAST(count(*) FILTER (embedding IS NULL) AS BIGINT) AS missing, CAST(count(*) FILTER (len(embedding) = 0) AS BIGINT) AS empty, CAST(min(len(embedding)) AS BIGINT) AS least, CAST(max(len(embedding)) AS BIGINT) AS most FROM embeddings')
