@@ -1,10 +1,12 @@
 """Removal of long strings that recur anywhere, by common prefixes on a Burrows-Wheeler transform.
 
 All strings of `length` bytes that start at two places are wanted, over any number of texts. The corpus is dealt to blocks by
-content: each string of that length has one anchor in it, the leftmost least hash of its 64-byte stretches, so that equal
-strings have equal anchors. Anchors that occur once need no look. Those whose whole neighbourhood recurs are settled by its
-hash. The neighbourhoods of the others meet in blocks, all of an anchor in one, where a transform of the block gives the
-common prefixes. An anchor with too many neighbourhoods for a block is settled string by string, by sums over hashes.
+content: each string of that length has one anchor, the least hash of its 64-byte stretches, so that equal strings have equal
+anchors. Neighbouring strings with one anchor are a neighbourhood, a stretch of text. Anchors that occur once need no look.
+Neighbourhoods that are equal as a whole (by 128 bits of their bytes) recur whole, and one of each kind goes on to the others
+of its anchor: they meet in blocks, all of an anchor in one, where a transform of the block gives the common prefixes. An
+anchor with too many kinds for a block is narrowed first: counts of its single strings' hashes say which strings can't recur,
+and what is left of each neighbourhood takes the same way again.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from .common import Rolling, signed, stage, text_bytes
+from .common import Rolling, discard, signed, sliced, small, stage, text_bytes, tidy
 
 LENGTH = 400
 STRETCH = 64
@@ -26,22 +29,26 @@ STRETCH = 64
 #: Starts of strings that are looked at together.
 SEGMENT = 1 << 19
 
-#: Bytes in a block whose transform is built, and neighbourhoods of an anchor above which they don't meet in a block.
+#: Strings in a neighbourhood at most; a longer one, as uniform text has it, is cut.
+MOST_STARTS = 4096
+
+#: Bytes in a block whose transform is built, and kinds of neighbourhoods of an anchor above which it is narrowed first.
 BLOCK_BYTES = 1 << 18
 BLOCK_NEIGHBOURS = 1500
 
+FOUND = "anchor bigint, places int, one bigint, two bigint, key bigint, first bigint, last bigint"
+
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, stretch: int) -> tuple[np.ndarray, ...]:
-    """For texts one after the other (their ends in `ends`): the anchors' hashes and places, the first and last start of the
-    strings that have each, and a hash of all that these strings cover with their place around the anchor."""
+    """For texts one after the other (their ends in `ends`): each neighbourhood's anchor, at how many places it stands, and the
+    first and last start of its strings. Equal strings have the anchor at equal places: a neighbourhood in which one recurs has two at least."""
     width = length - stretch + 1
-    rolling = Rolling(data)
     n = len(data) - length + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
+        return none.astype(np.uint64), none, none, none
     every = np.arange(len(data) - stretch + 1)
-    hashes = rolling.of(slice(0, len(every)), slice(stretch, stretch + len(every)))
+    hashes = Rolling(data).of(slice(0, len(every)), slice(stretch, stretch + len(every)))
     # the upper bits of the hash, then the place: of equal hashes the leftmost is the least
     bits = np.uint64(max(1, int(len(every)).bit_length()))
     packed = (hashes >> bits << bits) | every.astype(np.uint64)
@@ -55,14 +62,25 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, stretch: int) -> tu
     for end in ends[:-1]:
         valid[max(0, end - length + 1) : end] = False
     starts = np.flatnonzero(valid)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none
     place = place[starts]
-    new = np.r_[True, (np.diff(place) != 0) | (np.diff(starts) != 1)] if len(starts) else np.zeros(0, bool)
+    anchor = hashes[place]
+    apart = np.diff(starts) != 1
+    new = np.r_[True, apart | (anchor[1:] != anchor[:-1])]
+    # long ones are cut
+    begin = np.flatnonzero(new)
+    new[(np.arange(len(starts)) - np.repeat(begin, np.diff(np.r_[begin, len(starts)]))) % MOST_STARTS == 0] = True
     at = np.flatnonzero(new)
-    first = starts[at]
-    last = starts[np.r_[at[1:] - 1, len(starts) - 1]] if len(at) else first
-    place = place[at]
-    around = rolling.of(first, last + length) + ((place - first) * 100_003 + (last - first)).astype(np.uint64)
-    return hashes[place], place, first, last, around
+    places = np.add.reduceat(np.r_[True, apart | (np.diff(place) != 0)] | new, at)
+    return anchor[at], places, starts[at], starts[np.r_[at[1:] - 1, len(starts) - 1]]
+
+
+def _digests(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of each stretch, as two columns."""
+    view = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -90,7 +108,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tu
 
 
 def _find_anchors(df: DataFrame, length: int, stretch: int) -> DataFrame:
-    """(anchor, around, key, first, last) of every anchor; first and last are starts in the text."""
+    """The neighbourhoods of all anchors; first and last are starts in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,12 +116,14 @@ def _find_anchors(df: DataFrame, length: int, stretch: int) -> DataFrame:
             data, offsets = text_bytes(batch.column(1))
             for a, b, ends in _segments(data, offsets, length):
                 with np.errstate(over="ignore"):
-                    anchor, _, first, last, around = anchors(data[a:b], ends, length, stretch)
+                    anchor, places, first, last = anchors(data[a:b], ends, length, stretch)
                 text = np.searchsorted(offsets, a + first, "right") - 1
                 shift = a - offsets[text]
-                yield pa.RecordBatch.from_arrays([signed(anchor), signed(around), pa.array(keys[text]), pa.array(first + shift), pa.array(last + shift)], ["anchor", "around", "key", "first", "last"])
+                whole = _digests(data[a:b], first, last + length)
+                columns = [signed(anchor), pa.array(places.astype(np.int32)), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(keys[text]), pa.array(first + shift), pa.array(last + shift)]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
 
-    return df.select("key", "text").mapInArrow(run, "anchor bigint, around bigint, key bigint, first bigint, last bigint")
+    return df.select("key", "text").mapInArrow(tidy(run), FOUND)
 
 
 def suffix_array(codes: np.ndarray, separators: int, depth: int) -> np.ndarray:
@@ -203,7 +223,7 @@ def _slices(df: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "neighbours", "key", "first", "bytes"]
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = text_bytes(batch.column(1))
             rows = []
             for key, begin, cuts in zip(batch.column(0).to_pylist(), offsets[:-1], batch.column(2).to_pylist(), strict=True):
@@ -215,7 +235,7 @@ def _slices(df: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)))
 
     lists = stage(wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last", "neighbours")).alias("cuts")), "cuts")
-    return df.join(lists, "key").select("key", "text", "cuts").mapInArrow(run, "anchor bigint, neighbours bigint, key bigint, first bigint, bytes binary")
+    return df.join(lists, "key").select("key", "text", "cuts").mapInArrow(tidy(run), "anchor bigint, neighbours bigint, key bigint, first bigint, bytes binary")
 
 
 def _in_blocks(slices: DataFrame, length: int) -> DataFrame:
@@ -231,44 +251,71 @@ def _in_blocks(slices: DataFrame, length: int) -> DataFrame:
     return slices.withColumn("block", F.pmod("anchor", F.lit(blocks))).groupBy("block").applyInPandas(run, "key bigint, start bigint, end bigint")
 
 
-def _string_by_string(slices: DataFrame, length: int) -> DataFrame:
-    """(key, start, end) of what recurs among neighbourhoods of anchors that have too many for a block: by the strings' hashes, counted by partial sums."""
+def _narrowed(slices: DataFrame, length: int) -> DataFrame:
+    """What may recur of neighbourhoods (anchor, key, first, bytes) whose anchors have too many kinds: the stretches in which each string's hash is that of another string of the anchor. Hashes are counted by partial sums; a string is left out only if its hash is there once, which is proof."""
+    hashes = "anchor bigint, string bigint, key bigint, first bigint, start int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                columns: list[list[np.ndarray]] = [[], [], []]
-                for anchor, key, first, data in zip(*(part.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
-                    values = np.frombuffer(data, np.uint8)
-                    n = len(values) - length + 1
-                    with np.errstate(over="ignore"):
-                        hashes = Rolling(values).of(slice(0, n), slice(length, length + n)) + np.uint64(anchor & 0xFFFFFFFFFFFF)
-                    for column, found in zip(columns, (hashes.view(np.int64), np.full(n, key), np.arange(first, first + n)), strict=True):
-                        column.append(found)
-                if columns[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["string", "key", "start"])
-
-    strings = slices.mapInArrow(run, "string bigint, key bigint, start bigint")
-    again = stage(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "strings")
-    return strings.join(again, "string", "left_semi").select("key", "start", (F.col("start") + length).alias("end"))
+        for batch in sliced(batches):
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for anchor, key, first, data in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
+                values = np.frombuffer(data, np.uint8)
+                n = len(values) - length + 1
+                with np.errstate(over="ignore"):
+                    own = Rolling(values).of(slice(0, n), slice(length, length + n)).view(np.int64)
+                for column, x in zip(columns, (np.full(n, anchor), own, np.full(n, key), np.full(n, first), np.arange(n, dtype=np.int32)), strict=True):
+                    column.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], [x.split()[0] for x in hashes.split(", ")])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = []
+            for anchor, key, first, data, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts = np.array(starts)
+                at = np.flatnonzero(np.r_[True, np.diff(starts) != 1])
+                a, b = starts[at], starts[np.r_[at[1:] - 1, len(starts) - 1]]
+                whole = _digests(np.frombuffer(data, np.uint8), a, b + length)
+                rows += zip([anchor] * len(a), [2] * len(a), whole[:, 0].tolist(), whole[:, 1].tolist(), [key] * len(a), (first + a).tolist(), (first + b).tolist(), strict=True)
+            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+
+    strings = slices.mapInArrow(tidy(run), hashes)
+    again = small(stage(strings.groupBy("anchor", "string").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "string"), "strings", release=True))
+    left = strings.join(again, ["anchor", "string"], "left_semi").groupBy("anchor", "key", "first").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    rows = slices.select("anchor", "key", "first", "bytes").join(stage(left, "left", release=True), ["anchor", "key", "first"])
+    return stage(rows.select("anchor", "key", "first", "bytes", "starts").mapInArrow(tidy(cut), FOUND), "narrowed", release=True)
+
+
+def _recurring(found: DataFrame, df: DataFrame, length: int, again_narrowed: bool = False) -> DataFrame:
+    """(key, start, end) of what recurs among neighbourhoods; found is staged and goes."""
+    whole = F.struct("one", "two")
+    often = found.groupBy("anchor").agg(F.sum("places").alias("p"), (F.count("*") > 1).alias("rows"), F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("p > 1")
+    often = stage(often.select("anchor", (F.col("rows") & (F.col("lo") == F.col("hi"))).alias("same")), "often", release=True)
+    again = stage(found.join(often, "anchor"), "again", release=True)
+    discard(found, often)
+    # a neighbourhood that recurs as a whole is settled; for the others' sake one of each kind still takes part
+    kinds = stage(again.where("not same").groupBy("anchor", "one", "two").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("least")), "kinds")
+    neighbours = kinds.groupBy("anchor").agg(F.count("*").alias("neighbours"))
+    wanted = kinds.join(stage(neighbours, "neighbours"), "anchor").select("anchor", "least.*", "neighbours")
+    repeated = kinds.where("n > 1").select("anchor", "one", "two")
+    settled = again.where("not same").join(repeated, ["anchor", "one", "two"], "left_semi").unionByName(again.where("same"))
+    settled = stage(settled.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end")), "settled", release=True)
+    slices = stage(_slices(df, wanted, length), "slices", release=True)
+    discard(again, kinds)
+    out = settled.unionByName(_in_blocks(slices.where(F.col("neighbours") <= BLOCK_NEIGHBOURS), length))
+    hot = slices.where(F.col("neighbours") > BLOCK_NEIGHBOURS)
+    if hot.isEmpty():
+        return out
+    if again_narrowed:
+        # too many kinds even so: each of their strings has its hash elsewhere, and that decides
+        return out.unionByName(hot.select("key", F.col("first").alias("start"), (F.col("first") + F.octet_length("bytes")).alias("end")))
+    return out.unionByName(_recurring(_narrowed(hot, length), df, length, again_narrowed=True))
 
 
 def recurring_spans(df: DataFrame, length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
     """(key, start, end), overlapping still, of all bytes in strings of `length` bytes that start at two places in the texts of df (key, text)."""
-    found = stage(_find_anchors(df, length, stretch), "anchors")
-    often = stage(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "often", release=True)
-    again = stage(found.join(often, "anchor"), "again", release=True)
-    # a neighbourhood that recurs as a whole is settled; for the others' sake one of each kind still takes part
-    kinds = stage(again.where("mixed").groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("one")), "kinds")
-    neighbours = stage(kinds.groupBy("anchor").agg(F.count("*").alias("neighbours")), "neighbours")
-    wanted = kinds.join(neighbours, "anchor").select("anchor", "one.*", "neighbours")
-    settled = again.join(stage(kinds.where("n > 1").select("anchor", "around"), "whole"), ["anchor", "around"], "left_semi").unionByName(again.where("not mixed"))
-    settled = settled.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    slices = stage(_slices(df, wanted, length), "slices", release=True)
-    blocks = _in_blocks(slices.where(F.col("neighbours") <= BLOCK_NEIGHBOURS), length)
-    hot = _string_by_string(slices.where(F.col("neighbours") > BLOCK_NEIGHBOURS), length)
-    return settled.unionByName(blocks).unionByName(hot)
+    return _recurring(stage(_find_anchors(df, length, stretch), "anchors"), df, length)
 
 
 def deduplicate(df: DataFrame, text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH, replace: bool = False) -> DataFrame:
@@ -278,7 +325,8 @@ def deduplicate(df: DataFrame, text_col: str = "text", length: int = LENGTH, str
     texts. With replace the text column gets what is left, without bytes of characters that were cut in two (nulls stay).
     Null texts are empty. Repeated rows are equal texts: each is a place of its own. An empty table gives none."""
     names = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
-    keyed = df.drop(*names).withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), *(F.col(c).cast("string") for c in df.columns if c not in (text_col, *names))))
+    # rows get their numbers once and are written with them: nothing rests on their content's hash or on their order
+    keyed = stage(df.drop(*names).withColumn("__key", F.monotonically_increasing_id()), "rows")
     texts = keyed.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = recurring_spans(texts, length, stretch)
     spans = spans.groupBy("key", "start").agg(F.max("end").alias("end")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
@@ -287,7 +335,7 @@ def deduplicate(df: DataFrame, text_col: str = "text", length: int = LENGTH, str
     at = joined.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = text_bytes(batch.column(at))
             out = []
             for a, b, spans in zip(offsets[:-1], offsets[1:], batch.column(batch.num_columns - 1).to_pylist(), strict=True):
@@ -315,4 +363,4 @@ def deduplicate(df: DataFrame, text_col: str = "text", length: int = LENGTH, str
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names[:-1], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
-    return joined.mapInArrow(run, f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
