@@ -29,9 +29,18 @@ ORDINAL = "[一二三四五六七八九十]+"
 # --- end of fixed values ---
 
 
+#: Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def utrim(text: Column) -> Column:
     """Trims all Unicode white space."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE))
+
+
+def is_blank(text: Column) -> Column:
+    """Whether there is nothing but white space."""
+    return ~text.rlike(r"(?U)\S")
 
 
 def starts_like(text: Column, patterns: tuple[str, ...], ignore_case: bool = False) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import utrim
+from ..functions.text import is_blank, utrim
 from .lines import positions
 
 LEXICON = Path(__file__).resolve().parent.parent / "data" / "lexicon.json"
@@ -38,12 +38,28 @@ def occurrences(text: Column, word: Column | str) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("int")
 
 
+def _passed(lines: Column) -> Column:
+    """The place of the first line after the first one that is neither blank nor a # line; 0 if there is none."""
+    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    return F.array_position(F.transform(rest, lambda x: ~is_blank(x) & ~x.rlike(r"(?U)^\s*#{1,6}\s+\S")), True)
+
+
+def _rest(lines: Column, passed: Column) -> Column:
+    return F.when(passed > 0, utrim(F.array_join(F.slice(lines, (passed + 1).cast("int"), F.size(lines)), "\n"))).otherwise("")
+
+
 def strip_heading(text: Column) -> Column:
     """A chunk's body: without its first line (the way to it) and the blank and # lines after it; all of it if nothing would be left or it is one line."""
-    lines = F.split(text, "\n")
-    passed = F.array_position(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~((utrim(x) == "") | utrim(x).rlike(r"(?U)^#{1,6}\s"))), True)
-    body = F.when(passed > 0, utrim(F.array_join(F.slice(lines, (passed + 1).cast("int"), F.size(lines)), "\n"))).otherwise("")
-    return F.when((F.size(lines) > 1) & (body != ""), body).otherwise(text)
+    rest = _rest(F.split(text, "\n"), _passed(F.split(text, "\n")))
+    return F.when(rest != "", rest).otherwise(text)
+
+
+def with_body(chunks: DataFrame) -> DataFrame:
+    """Adds __body (see strip_heading) and __shown, its lines that aren't blank, step by step, so that no step is worked out twice."""
+    lined = chunks.withColumn("__lines", F.split("content", "\n")).withColumn("__passed", _passed(F.col("__lines")))
+    rest = lined.withColumn("__rest", _rest(F.col("__lines"), F.col("__passed"))).drop("__lines", "__passed")
+    body = rest.withColumn("__body", F.when(F.col("__rest") != "", F.col("__rest")).otherwise(F.col("content"))).drop("__rest")
+    return body.withColumn("__shown", _shown(F.col("__body")))
 
 
 def structure_bonus(text: Column) -> dict[str, Column]:
@@ -56,14 +72,21 @@ def structure_bonus(text: Column) -> dict[str, Column]:
     }
 
 
-def junk_reason(text: Column) -> Column:
-    """Why a text is junk, the first that holds: empty, image_only, too_short, reference_section; null if it isn't."""
-    lines = F.filter(F.split(text, "\n"), lambda x: utrim(x) != "")
+def _shown(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: ~is_blank(x))
+
+
+def junk_reason(text: Column, shown: Column | None = None) -> Column:
+    """Why a text is junk, the first that holds: empty, image_only, too_short, reference_section; null if it isn't. shown: its lines that aren't blank, if they are there already."""
+    lines = _shown(text) if shown is None else shown
     n = F.size(lines)
-    images = F.size(F.filter(lines, lambda x: utrim(x).rlike(r"^!\[.*?\]\(")))
-    references = F.size(F.filter(lines, lambda x: utrim(x).rlike(r"(?U)^\[?\d+\]")))
+    images = F.size(F.filter(lines, lambda x: x.rlike(r"(?U)^\s*!\[.*?\]\(")))
+    references = F.size(F.filter(lines, lambda x: x.rlike(r"(?U)^\s*\[?\d+\]")))
     visible = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"!\[.*?\]\(.*?\)", ""), r"(?U)https?://\S+", ""), r"(?U)\s+", ""))
-    return F.when(n == 0, "empty").when(images > JUNK_IMAGE_SHARE * n, "image_only").when(visible < JUNK_CHARS, "too_short").when((references >= JUNK_REFERENCES) & (references > JUNK_REFERENCE_SHARE * n), "reference_section")
+    # without links and images a look at the beginning tells
+    plain = ~F.contains(text, F.lit("![")) & ~F.contains(text, F.lit("http"))
+    short = F.when(plain, ~text.rlike(rf"(?U)(?:\S\s*){{{JUNK_CHARS}}}")).otherwise(visible < JUNK_CHARS)
+    return F.when(n == 0, "empty").when(images > JUNK_IMAGE_SHARE * n, "image_only").when(short, "too_short").when((references >= JUNK_REFERENCES) & (references > JUNK_REFERENCE_SHARE * n), "reference_section")
 
 
 def _by_role(words: Words, scope: str, settings: Settings) -> Column:
@@ -79,11 +102,11 @@ def scored(chunks: DataFrame, words: Words, key: str = "chunk_id", settings: Set
     All within the row: no join and no shuffle. Body keywords count a few times at most, heading keywords by presence and
     twice, structure adds its bonus."""
     names = keep or [key]
-    body = chunks.withColumns({"__body": strip_heading(F.col("content")), "__path": F.coalesce("heading_path", F.lit(""))})
+    body = with_body(chunks).withColumn("__path", F.coalesce("heading_path", F.lit("")))
     total = lambda list_, each: F.aggregate(list_, F.lit(0).cast("long"), lambda s, x: s + each(x))
     in_body = F.transform(_by_role(words, "body", settings), lambda w: total(w, lambda x: F.when(F.contains(F.col("__body"), x["keyword"]), F.least(occurrences(F.col("__body"), x["keyword"]), F.lit(settings.keyword_cap)) * x["weight"]).otherwise(0)))
     in_path = F.transform(_by_role(words, "heading", settings), lambda w: total(w, lambda x: F.contains(F.col("__path"), x["keyword"]).cast("int") * settings.heading_factor * x["weight"]))
-    extra = {**structure_bonus(F.col("__body")), "junk": F.when(junk_reason(F.col("__body")).isNotNull(), settings.junk_bonus).otherwise(0)}
+    extra = {**structure_bonus(F.col("__body")), "junk": F.when(junk_reason(F.col("__body"), F.col("__shown")).isNotNull(), settings.junk_bonus).otherwise(0)}
     found = body.select(*names, in_body.alias("__a"), in_path.alias("__b"), F.array(*(F.coalesce(extra.get(r, F.lit(0)), F.lit(0)).cast("long") for r in settings.roles)).alias("__c"))
     each = [F.struct((F.get("__a", F.lit(i)) + F.get("__b", F.lit(i)) + F.get("__c", F.lit(i))).alias("score"), F.lit(-i).alias("back"), F.lit(r).alias("role")) for i, r in enumerate(settings.roles)]
     return found.select(*names, F.array(*each).alias("scores"))
