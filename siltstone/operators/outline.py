@@ -14,6 +14,10 @@ from ..functions.text import token_half
 from .lines import latest_before
 
 
+#: Fixed value: the title of a document without headings and without a name.
+WHOLE = "全文"
+
+
 def with_blocks(lines: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:
     """Adds block_no (0 for what precedes the first heading) to lines: a running sum of headings of the block level or above."""
     upto = Window.partitionBy(doc).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -39,7 +43,7 @@ def blocks(lines: DataFrame, doc: str = "source_file", settings: Settings = DEFA
     grouped = grouped.withColumn("__blocks", F.max("block_no").over(whole))
     lone = F.col("__blocks") == 0
     level = F.when(lone, 1).when(F.col("block_no") == 0, 0).otherwise(F.col("__level"))
-    title = F.when(lone, F.when(F.col(doc).cast("string") == "", "全文").otherwise(F.col(doc).cast("string"))).when(F.col("block_no") == 0, F.col("__first")).otherwise(F.col("__title"))
+    title = F.when(lone, F.when(F.col(doc).cast("string") == "", WHOLE).otherwise(F.col(doc).cast("string"))).when(F.col("block_no") == 0, F.col("__first")).otherwise(F.col("__title"))
     out = grouped.select(doc, "block_no", title.alias("title"), level.cast("int").alias("heading_level"), "start_line", "end_line").where(F.col("title").isNotNull())
     return out.withColumn("breadcrumb", breadcrumb(doc, settings.block_level))
 

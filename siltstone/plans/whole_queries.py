@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Settings
+from ..config import DEFAULT
 from ..functions import text as tx
 from ..operators import fusion, lines, outline, prompts, tables
 from ..sources import files

@@ -99,6 +99,7 @@ SCENARIO_TITLE = r'title:\s*"([^"]+)"'
 SCENARIO_BODY = r"context:\s*(`?)"
 SCENARIO_LISTS = ("experiment_supplies", "experiment_steps", "knowledge_points_list")
 SCENARIO_PREFIX = '"experiment_'
+SCENARIO_UNTITLED = "实验"
 # --- end of fixed values ---
 
 
@@ -159,7 +160,7 @@ def scenario_parse(texts: pd.Series) -> pd.DataFrame:
 def scenarios(spark: SparkSession, path: str) -> DataFrame:
     """id, title, supplies, steps, knowledge_points of a folder's scenario files; unreadable ones are left out."""
     out = markdown(spark, path).select(F.regexp_replace("source_file", r"\.md$", "").alias("id"), scenario_parse("text").alias("x")).where("x.steps is not null")
-    return out.select("id", F.coalesce("x.title", F.concat(F.lit("实验"), "id")).alias("title"), "x.supplies", "x.steps", "x.knowledge_points")
+    return out.select("id", F.coalesce("x.title", F.concat(F.lit(SCENARIO_UNTITLED), "id")).alias("title"), "x.supplies", "x.steps", "x.knowledge_points")
 
 
 def save(df: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
