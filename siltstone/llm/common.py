@@ -1,72 +1,23 @@
-"""What the operators share: scratch tables in the cluster's shared folder, Arrow helpers, rolling hashes."""
+"""What the operators share: keys, Arrow helpers, rolling hashes. Column names that begin with two underscores are the operators' own."""
 
 from __future__ import annotations
 
 import bisect
 import ctypes
-import gc
-import re
-import uuid
-import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Where nothing is named and all runs in one process (tests).
-LOCAL_SCRATCH = "/tmp/checkpoints/siltstone"
-
-#: A side of a join is broadcast only when its measured size is below this; otherwise the join shuffles.
-BROADCAST_BYTES = 16 << 20
+from ..staging import clear, discard, scratch, small, stage  # noqa: F401  (for the operators)
 
 WORD_SPACE = "\x20\x09-\x0d"
 
 #: Rows of a batch that a task turns into Python objects at a time.
 SLICE_ROWS = 500
 
-_STAGED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where driver and tasks are one process. Without a shared folder a cluster can't go on: tasks would read files that others wrote to their own disks."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (named or LOCAL_SCRATCH).rstrip("/") + "/siltstone"
-
-
-def stage(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
-    """Cuts the lineage: writes a table into the shared folder and reads it back.
-
-    Lost executors cost only the tasks that were running; what is written stays until it is discarded. With release, Spark is
-    led to drop the shuffle files behind it at once (it does so when their plans are collected as garbage)."""
-    path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = getattr(df.sparkSession, "_jvm", None)
-    if release and jvm is not None:
-        gc.collect()
-        jvm.System.gc()
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _STAGED[out] = path
-    return out
-
-
-def discard(*staged: DataFrame) -> None:
-    """Empties staged tables that nothing will read again: what was built on them must be staged itself."""
-    for df in staged:
-        if path := _STAGED.pop(df, None):
-            df.sparkSession.range(0).write.mode("overwrite").parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Removes all staged tables. For the end of an application: frames that were built on them can't be read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def row_key(*cols: str) -> Column:
     """128 bits that stand for a row's content. Rows that repeat share them, so that joins on it must have one row a key on the other side."""
@@ -79,22 +30,6 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _width(name: str, kind: T.DataType) -> Column:
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
-        return 8 * F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)) + 24
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return 2 * F.octet_length(F.to_json(F.struct(name))) + 32
-    return F.lit(8)
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Marks a staged table for broadcasting if its measured bytes, twice for the hash table, stay below the bound."""
-    total = F.sum(sum((_width(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(24)).cast("long"))
-    return F.broadcast(df) if 2 * (df.agg(total).first()[0] or 0) <= BROADCAST_BYTES else df
-
-
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
