@@ -35,7 +35,7 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty texts have zeros and fail. All is done within the row: equal windows are found by sorting their 64-bit
     hashes with their places, and only for texts in which a hash recurs. Columns of those names are replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: _letters(x) != "")
+    lines = _lines(text)
     step = df.withColumn("__words", F.transform(_words(text), lambda w: F.xxhash64(w)))
     step = step.withColumn("n_words", F.size("__words").cast("long"))
     windows = F.when(F.col("n_words") > WINDOW_WORDS, F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - WINDOW_WORDS + 1), lambda i: F.xxhash64(F.slice("__words", i, F.lit(WINDOW_WORDS))))).otherwise(F.array().cast("array<bigint>"))
@@ -56,6 +56,10 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     return step.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: _letters(x) != "")
+
+
 def _normal(line: Column) -> Column:
     """Lines count as one whatever their case, digits and spaces."""
     return F.regexp_replace(F.lower(line), f"[0-9{WORD_SPACE}]+", " ")
@@ -65,39 +69,42 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(_normal(line)))
 
 
-def line_removals(df: DataFrame, host_col: str = "source", text_col: str = "text", share: float = LINE_SHARE, least: int = LINE_DOCUMENTS) -> DataFrame:
-    """host, text_hash, words_removed, lines_removed: the words in lines above the limits and the hashes of these lines, for each distinct text of a host that has such lines.
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
 
-    Copies of a text on one host are one document. First each distinct text is kept once with the hashes and word counts of
-    its distinct lines (partial aggregation drops copies before the shuffle); from these the lines are counted by host and
-    hash, again with partial sums, and the lines above the limits joined back. A null host is a host of its own. Texts are told
-    apart by 128 bits, lines by 64: where two lines share them, counts of the two add up, far below the limits."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: _letters(x) != "")
-    hashed = F.transform(lines, lambda x: F.struct(_line_hash(x).alias("line"), F.size(_words(x)).alias("words")))
-    texts = df.select(host.alias("host"), text_key(text).alias("text_hash"), hashed.alias("lines")).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
+
+def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", share: float = LINE_SHARE, least: int = LINE_DOCUMENTS) -> DataFrame:
+    """host, often: the hashes of the lines above the limits of each host that has such lines.
+
+    Copies of a text on one host are one document. First each distinct text is kept once with the hashes of its distinct
+    lines (partial aggregation drops copies before the shuffle); from these the lines are counted by host and hash, again with
+    partial sums. A null host is a host of its own. Texts are told apart by 128 bits, lines by 64: where two lines share them,
+    counts of the two add up, far below the limits. As each line takes its share of a host's documents, a host's list is no
+    longer than lines a document over the share, however many documents it has."""
+    hashed = F.array_distinct(F.transform(_lines(F.coalesce(F.col(text_col), F.lit(""))), _line_hash))
+    texts = df.select(_host(host_col).alias("host"), text_key(F.col(text_col)).alias("text_hash"), hashed.alias("lines")).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
     texts = stage(texts, "lines")
-    hosts = texts.groupBy("host").agg(F.count("*").alias("documents"))
-    once = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    counts = once.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    limits = stage(hosts, "hosts")
-    often = stage(counts.join(small(limits), "host").where(F.col("n") > share * F.col("documents")).select("host", "line"), "often")
-    all_lines = texts.select("host", "text_hash", F.explode("lines").alias("x")).select("host", "text_hash", "x.line", "x.words")
-    removed = all_lines.join(small(often), ["host", "line"], "left_semi").groupBy("host", "text_hash").agg(F.sum("words").alias("words_removed"), F.collect_set("line").alias("lines_removed"))
-    return stage(removed, "removed")
+    hosts = stage(texts.groupBy("host").agg(F.count("*").alias("documents")), "hosts")
+    counts = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    often = counts.join(small(hosts), "host").where(F.col("n") > share * F.col("documents"))
+    return stage(often.groupBy("host").agg(F.collect_set("line").alias("often")), "often")
 
 
 def judge(df: DataFrame, host_col: str = "source", text_col: str = "text", share: float = LINE_SHARE, least: int = LINE_DOCUMENTS, left: int = LEFT_PERCENT) -> DataFrame:
     """All columns, the statistics, words_left, text_left (without the lines above the limits) and kept: false if the base rules fail or too few words are left (a depleted document).
 
-    Columns of these names in the input are replaced. Repeated rows are judged alike; an empty table gives none."""
-    removed = line_removals(df, host_col, text_col, share, least)
-    judged = statistics(df, text_col).withColumns({"__host": F.coalesce(F.col(host_col).cast("string"), F.lit("\0")), "__text": text_key(F.col(text_col))})
-    removed = small(removed.select(F.col("host").alias("__host"), F.col("text_hash").alias("__text"), F.col("words_removed").alias("__removed"), F.col("lines_removed").alias("__lines")))
-    out = judged.join(removed, ["__host", "__text"], "left").withColumn("words_left", F.col("n_words") - F.coalesce(F.col("__removed"), F.lit(0)))
-    # one expression over both sides of the join: a filter on it stays above the join and doesn't repeat the statistics
+    Documents meet their host's list of lines and are cut within the row: they aren't shuffled. Columns of these names in the
+    input are replaced. Repeated rows are judged alike; an empty table gives none."""
+    often = frequent_lines(df, host_col, text_col, share, least).select(F.col("host").alias("__host"), F.col("often").alias("__often"))
+    each = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    hashes = F.transform(each, lambda x: F.when(_letters(x) != "", _line_hash(x)))
+    # what costs is below the join: a filter on what follows stays above it and repeats only cheap looks at these hashes
+    judged = statistics(df, text_col).withColumns({"__host": _host(host_col), "__hashes": hashes}).join(small(often), "__host", "left")
+    goes = lambda h: F.coalesce(F.array_contains("__often", h), F.lit(False))
+    removed = F.aggregate(F.zip_with(each, "__hashes", lambda x, h: F.when(goes(h), F.size(_words(x))).otherwise(0)), F.lit(0), lambda s, n: s + n)
+    touched = F.coalesce(F.arrays_overlap("__often", "__hashes"), F.lit(False))
+    out = judged.withColumn("words_left", F.col("n_words") - F.when(touched, removed).otherwise(0))
     out = out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(100 * F.col("words_left") >= left * F.col("n_words")))
-    rest = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x: (_letters(x) == "") | ~F.array_contains("__lines", _line_hash(x))), "\n")
-    out = out.withColumn("text_left", F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(rest))
-    return out.drop("__host", "__text", "__removed", "__lines")
+    rest = F.array_join(F.filter(F.zip_with(each, "__hashes", lambda x, h: F.when(~goes(h), x)), lambda x: x.isNotNull()), "\n")
+    out = out.withColumn("text_left", F.when(touched & F.col(text_col).isNotNull(), rest).otherwise(F.col(text_col)))
+    return out.drop("__host", "__often", "__hashes")
