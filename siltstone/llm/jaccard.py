@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import BROADCAST_BYTES, Rolling, discard, mix, pieces, signed, small, stage, text_bytes, text_key, tidy
+from .common import Rolling, discard, mix, pieces, signed, sliced, small, stage, text_bytes, text_key, tidy
 from .components import components
 
 #: Sets that are compared at once in a task.
@@ -176,29 +176,34 @@ def _sets(batch: pa.RecordBatch, column: int, words: int) -> Iterator[np.ndarray
 
 
 def digests_of(df: DataFrame, rule: Rule, keep: tuple[str, ...], text_col: str) -> DataFrame:
-    """The kept columns, n_shingles and digest: 128 bits of the set, null where it is empty."""
+    """The kept columns, n_shingles, digest (128 bits of the set, null where it is empty) and bits (see _bitmap)."""
     kept = df.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    names = [*keep, "n_shingles", "digest"]
+    names = [*keep, "n_shingles", "digest", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(elements), set_digest(elements) if len(elements) else None) for elements in _sets(batch, len(keep), rule.words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([n for n, _ in sets], pa.int64()), pa.array([d for _, d in sets], pa.binary())], names)
+            n, digests, bits = [], [], []
+            for elements in _sets(batch, len(keep), rule.words):
+                n.append(len(elements))
+                digests.append(set_digest(elements) if len(elements) else None)
+                with np.errstate(over="ignore"):
+                    bits.append(_bitmap(elements) if len(elements) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary())], names)
+
+    return df.select(*keep, text_col).mapInArrow(tidy(run), f"{fields}, n_shingles bigint, digest binary, bits binary")
 
-    return df.select(*keep, text_col).mapInArrow(tidy(run), f"{fields}, n_shingles bigint, digest binary")
+
+def _short(digest: bytes) -> np.uint64:
+    """The first 64 bits of a digest."""
+    return np.uint64(int.from_bytes(digest[:8], "big"))
 
 
 def _keys(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """(key, digest), each set once in a task."""
+    """(key, short), each set once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Plan(rule), set()
-
-        def out(keys: list[np.ndarray], owners: list[bytes]) -> pa.RecordBatch:
-            rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            return pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(owners, pa.binary()).take(pa.array(rows))], ["key", "digest"])
-
         for batch in batches:
             keys, owners, count = [], [], 0
             for elements in _sets(batch, 0, rule.words):
@@ -206,38 +211,46 @@ def _keys(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
                     continue
                 seen.add(own)
                 with np.errstate(over="ignore"):
-                    keys.append(plan.keys(elements))
-                owners.append(own)
-                count += len(keys[-1])
-                if count > 250_000:
-                    yield out(keys, owners)
+                    found = plan.keys(elements)
+                keys.append(found)
+                owners.append(np.full(len(found), _short(own), np.uint64))
+                count += len(found)
+                if count > 500_000:
+                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(owners))], ["key", "short"])
                     keys, owners, count = [], [], 0
             if keys:
-                yield out(keys, owners)
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(owners))], ["key", "short"])
 
-    return df.select(text_col).mapInArrow(tidy(run), "key bigint, digest binary")
+    return df.select(text_col).mapInArrow(tidy(run), "key bigint, short bigint")
 
 
 def _scan_lists(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) from each list's first set to its others, as digests. The rows of a list come one after the other; none is held."""
+    """Edges (a, b) from each list's first set to its others, by their shorts. The rows of a list come one after the other; none is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_first = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, own = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+            key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             new = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
             at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            first = own[np.maximum(at, 0)]
-            first[at < 0] = last_first
+            first = np.where(at >= 0, own[np.maximum(at, 0)], last_first if last_first is not None else 0)
             last_key, last_first = key[-1], first[-1]
             links = own != first
             if links.any():
-                edges = set(zip(own[links], first[links], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
+                a, b = np.unique(np.stack([own[links], first[links]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "short").mapInArrow(tidy(run), "a bigint, b bigint")
 
-    return rows.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(tidy(run), "a binary, b binary")
+
+def _candidates(edges: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Edges of shorts as edges of classes (numbers: short, class). Where two classes share a short both have its edges, and one to each other: candidates may be too many, never too few."""
+    for side in ("a", "b"):
+        edges = edges.withColumnRenamed(side, "short").join(numbers, "short").drop("short").withColumnRenamed("class", side)
+    twins = numbers.join(numbers.groupBy("short").agg(F.min("class").alias("b"), F.count("*").alias("n")).where("n > 1"), "short")
+    return edges.unionByName(twins.where("class <> b").select(F.col("class").alias("a"), "b"))
 
 
 def links_within(sets: list[np.ndarray], rule: Rule, split: int | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
@@ -298,49 +311,55 @@ def _verify(sets: DataFrame, rule: Rule) -> DataFrame:
     return sets.groupBy("bin").applyInPandas(run, "a bigint, b bigint, n bigint")
 
 
-def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), count_links: bool = True) -> DataFrame:
     """id, kept columns, n_shingles, class, class_id (its smallest id), n_links (linked classes), component_id: the smallest id that is reached by links, and component: a class that stands for all of them.
 
     1. Each text becomes a set of shingle hashes; texts with equal sets are one class.
     2. Each class gets keys (see Plan); the rows of a key are read in order and give candidate edges to its first class.
     3. Components of the candidate edges are narrowed down by bitmaps, which bound how much two sets differ, and what is left
        is searched for links by the sets themselves: small components whole, many to a task; large ones are ordered by size
-       and cut into blocks, and only blocks whose sizes can link are compared. Bitmaps and sets come from the texts again,
-       one for each class that is still in question.
+       and cut into blocks, and only blocks whose sizes can link are compared. Bitmaps come with the digests, sets from the
+       texts again, one for each class that is still in question.
     4. Components of the links give the result. Each link is found and none that isn't one.
+    Without count_links n_links is null, and of a large cluster only enough links are looked for to know what hangs together:
+    a template with many variants then takes comparisons with one set, not of all pairs (see _zones).
     Null and empty texts have an empty set, no class and no link, and their own id as component. A null id is never the
     smallest. Repeated rows are a class of their own kind; an empty table gives none."""
     keyed = df.withColumn("of_text", text_key(F.col(text_col)))
     digests = stage(digests_of(keyed, rule, tuple(dict.fromkeys((id_col, *keep, "of_text"))), text_col), "digests")
     # a class is a number from here on, one for each digest
-    numbers = digests.where(F.col("digest").isNotNull()).select("digest").distinct().withColumn("class", F.monotonically_increasing_id())
-    numbers = small(stage(numbers, "numbers"))
-    found = stage(digests.join(numbers, "digest", "left").drop("digest"), "classes")
-    candidates = stage(_scan_lists(_keys(df, rule, text_col)).distinct(), "candidates", release=True)
-    for side in ("a", "b"):
-        candidates = candidates.withColumnRenamed(side, "digest").join(numbers, "digest").drop("digest").withColumnRenamed("class", side)
-    candidates = stage(components(candidates), "clusters")
-    discard(digests)
+    numbers = digests.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.first("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits"), F.min("of_text").alias("of_text"))
+    numbers = stage(numbers.withColumn("class", F.monotonically_increasing_id()), "numbers")
+    found = stage(digests.drop("bits").join(numbers.select("digest", "class").hint("merge"), "digest", "left").drop("digest"), "classes")
+    edges = stage(_scan_lists(_keys(df, rule, text_col)).distinct(), "edges", release=True)
+    first = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    candidates = stage(components(_candidates(edges, stage(numbers.select(first.alias("short"), "class"), "shorts"))), "clusters")
+    discard(digests, edges)
     sizes = stage(candidates.groupBy("component").agg(F.count("*").alias("sets")), "clusters")
     wanted = stage(candidates.join(small(sizes), "component").select(F.col("node").alias("class"), F.col("component").alias("cluster"), "sets"), "wanted")
-    one_text = found.groupBy("class").agg(F.min("of_text").alias("of_text"))
-    texts = keyed.select("of_text", F.col(text_col).alias("text"))
-
-    def of_each(clusters: DataFrame, make: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
-        """class, cluster, sets, n and what is made of the set of each class, from the text that stands for it."""
-        chosen = stage(one_text.join(small(clusters), "class"), "chosen")
-        rows = texts.join(small(chosen), "of_text").select("class", "cluster", "sets", "text")
-        return stage(rows.mapInArrow(tidy(_made(rule, make, name)), f"class bigint, cluster bigint, sets bigint, n int, {name} binary").dropDuplicates(["class"]), name, release=True)
 
-    refined = _refined(of_each(wanted, _bitmap, "bits"), rule)
-    sets = of_each(refined, lambda elements: elements.tobytes(), "elements")
-    links = stage(_links(sets, rule), "links", release=True)
+    # texts move once, and at every size alike: the classes in question grow with the table
+    chosen = stage(numbers.select("class", "of_text").join(wanted, "class"), "chosen")
+    rows = keyed.select("of_text", F.col(text_col).alias("text")).join(chosen.hint("merge"), "of_text").select("class", "cluster", "sets", "text")
+    whole = stage(rows.mapInArrow(tidy(_elements(rule)), ELEMENTS).dropDuplicates(["class"]), "elements", release=True)
+    zones = None
+    if not count_links:
+        zones = stage(_zones(whole.where(F.col("sets") > BITMAP_SETS), rule), "zones", release=True)
+        zones = None if zones.isEmpty() else zones
+    bits = stage(numbers.select("class", "n", "bits").join(wanted, "class"), "bits")
+    refined = _refined(bits, rule, zones)
+    sets = stage(whole.select("class", "n", "elements").join(refined.hint("merge"), "class"), "sets", release=True)
+    discard(whole, bits)
+    links = stage(_links(sets, rule, zones), "links", release=True)
+    discard(sets)
+    if zones is not None:
+        links = links.unionByName(zones.where("zone = 0 and class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"), F.lit(1).cast("long").alias("n")))
 
     linked = components(links.select("a", "b"))
     degree = links.groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "class")
     of_class = found.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(id_col).alias("first"))
     groups = of_class.join(linked.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
-    groups = stage(groups.select("class", "first", F.coalesce("component", "class").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
+    groups = stage(groups.select("class", "first", F.coalesce("component", "class").alias("component"), (F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None).cast("long")).alias("n_links")), "groups")
     least = stage(groups.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     of_class = stage(groups.join(small(least), "component").select("class", F.col("first").alias("class_id"), "component", "component_id", "n_links"), "result")
     found = found.drop("of_text")
@@ -351,21 +370,26 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
 def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near duplicates: of each component the row with the smallest id (null ids last, then by a hash of the text). Of rows that repeat one stays. Rows without a set all stay."""
     keyed = df.withColumn("__text", text_key(F.col(text_col)))
-    joined = stage(join(keyed, rule, id_col, text_col, ("__text",)), "joined")
+    joined = stage(join(keyed, rule, id_col, text_col, ("__text",), count_links=False), "joined")
     first = joined.where(F.col("class").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__text").alias("text"))).alias("one"))
     chosen = stage(first.select("one.id", "one.text"), "chosen")
     # rows with the id and text of a chosen one are that one again
     again = joined.where(F.col("class").isNotNull()).groupBy(id_col, "__text").count().where("count > 1")
     lone = joined.where(F.col("class").isNull()).select(F.col(id_col).alias("id"), F.col("__text").alias("text")).distinct()
-    stay = small(stage(chosen.unionByName(lone), "stay"))
-    out = keyed.join(stay, F.col(id_col).eqNullSafe(stay["id"]) & (F.col("__text") == stay["text"]), "left_semi")
+    stay = stage(chosen.unionByName(lone), "stay")
+    out = keyed.join(stay.hint("merge"), F.col(id_col).eqNullSafe(stay["id"]) & (F.col("__text") == stay["text"]), "left_semi")
     if not again.isEmpty():
         empty = F.coalesce(F.col(text_col), F.lit("")) == ""
         out = out.where(~empty).dropDuplicates([id_col, "__text"]).unionByName(out.where(empty))
     return out.drop("__text")
 
 
-def _made(rule: Rule, make: Callable[[np.ndarray], bytes], name: str):
+ELEMENTS = "class bigint, cluster bigint, sets bigint, n int, elements binary"
+
+
+def _elements(rule: Rule):
+    """A task's function: the sets of texts (class, cluster, sets, text), each class once in a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
@@ -373,32 +397,30 @@ def _made(rule: Rule, make: Callable[[np.ndarray], bytes], name: str):
             new = [k for k, c in enumerate(own) if c not in seen and not seen.add(c)]
             for k in range(0, len(new), 500):
                 part = batch.take(pa.array(new[k : k + 500], pa.int64()))
-                n, made = [], []
-                for elements in _sets(part, 3, rule.words):
-                    n.append(len(elements))
-                    with np.errstate(over="ignore"):
-                        made.append(make(elements))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int32()), pa.array(made, pa.binary())], ["class", "cluster", "sets", "n", name])
+                sets = list(_sets(part, 3, rule.words))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], [x.split()[0] for x in ELEMENTS.split(", ")])
 
     return run
 
 
-def _paired(rows: DataFrame, rule: Rule, block_sets: int, payload: str) -> DataFrame:
+def _paired(rows: DataFrame, rule: Rule, block_sets: int, payload: str, zones: DataFrame | None = None) -> DataFrame:
     """class, n, payload, task, side of the rows of large clusters (class, cluster, n, payload): every two rows of a cluster whose sizes can link meet in one task of at most about two blocks.
 
-    Blocks hold sets of like sizes; a size with more than a block's worth is dealt to blocks of its own. A block meets itself
-    and the blocks that reach into its range of sizes."""
-    by_size = rows.groupBy("cluster", "n").agg(F.count("*").alias("m"))
-    earlier = F.coalesce(F.sum("m").over(Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    Blocks hold sets of like sizes, and of one zone; a size with more than a block's worth is dealt to blocks of its own. A
+    block meets itself and the blocks that reach into its range of sizes, but zone 0 neither itself nor zone 2."""
+    rows = rows.withColumn("zone", F.lit(1)) if zones is None else rows.join(small(zones.select("class", "zone")), "class", "left").withColumn("zone", F.coalesce("zone", F.lit(1)))
+    by_size = rows.groupBy("cluster", "zone", "n").agg(F.count("*").alias("m"))
+    earlier = F.coalesce(F.sum("m").over(Window.partitionBy("cluster", "zone").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = F.when(F.col("m") > block_sets, F.ceil(F.col("m") / block_sets)).otherwise(1).cast("int")
     by_size = stage(by_size.withColumn("parts", parts).withColumn("at", F.when(F.col("parts") > 1, -F.col("n")).otherwise((earlier / block_sets).cast("long"))), "sizes")
-    blocks = by_size.select("cluster", "n", "at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).groupBy("cluster", "at", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    blocks = stage(blocks.withColumn("block", F.struct("lo", "hi", "part")), "blocks")
+    blocks = by_size.select("cluster", "zone", "n", "at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).groupBy("cluster", "zone", "at", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = stage(blocks.withColumn("block", F.struct("lo", "hi", "part", "zone")), "blocks")
     a, b = blocks.select("cluster", F.col("block").alias("one")), blocks.select("cluster", F.col("block").alias("other"))
-    pairs = a.join(b, "cluster").where((F.col("one") <= F.col("other")) & (F.lit(rule.num) * F.col("other.lo") <= F.lit(rule.den) * F.col("one.hi")))
+    apart = (F.col("one.zone") + F.col("other.zone") == 0) | ((F.col("one.zone") != F.col("other.zone")) & (F.col("one.zone") + F.col("other.zone") == 2))
+    pairs = a.join(b, "cluster").where(~apart & (F.col("one") <= F.col("other")) & (F.lit(rule.num) * F.col("other.lo") <= F.lit(rule.den) * F.col("one.hi")))
     pairs = stage(pairs.withColumn("task", F.xxhash64("cluster", "one", "other")), "pairs")
-    placed = rows.join(small(by_size), ["cluster", "n"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    placed = placed.join(small(blocks), ["cluster", "at", "part"]).select("class", "n", payload, "cluster", "block")
+    placed = rows.join(small(by_size), ["cluster", "zone", "n"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    placed = placed.join(small(blocks), ["cluster", "zone", "at", "part"]).select("class", "n", payload, "cluster", "block")
     left = placed.join(small(pairs.select("cluster", F.col("one").alias("block"), "task")), ["cluster", "block"]).select("class", "n", payload, "task", F.lit(0).alias("side"))
     right = placed.join(small(pairs.where("one <> other").select("cluster", F.col("other").alias("block"), "task")), ["cluster", "block"]).select("class", "n", payload, "task", F.lit(1).alias("side"))
     return left.unionByName(right)
@@ -438,23 +460,31 @@ def _near(n: np.ndarray, maps: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.n
 
 
 def _from_pivot(large: DataFrame) -> DataFrame:
-    """Sets of large clusters as their differences to one set of the cluster: near copies then take few bytes."""
-    first = large.groupBy("cluster").agg(F.min("class").alias("class"))
-    pivots = stage(large.join(small(stage(first, "first")), ["cluster", "class"], "left_semi").select("cluster", F.col("elements").alias("pivot")), "pivots")
-    weight = pivots.agg(F.sum(F.octet_length("pivot"))).first()[0] or 0
-    pivots = F.broadcast(pivots) if weight <= BROADCAST_BYTES else pivots
+    """Sets of large clusters as their differences to one set of the cluster, with its class and size (pivot, size): near copies then take few bytes."""
+    first = stage(large.groupBy("cluster").agg(F.min("class").alias("pivot")), "first")
+    pivots = large.join(small(first), ["cluster"]).where("class = pivot").select("cluster", "pivot", F.col("elements").alias("other"))
+    pivots = small(stage(pivots, "pivots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(3), batch.column(4), strict=True)
-            made = [np.setxor1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(p.as_py(), np.uint64), assume_unique=True).tobytes() for x, p in pairs]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["class", "cluster", "n", "elements"])
+        for batch in sliced(batches):
+            pairs = [(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(p.as_py(), np.uint64)) for x, p in zip(batch.column(4), batch.column(5), strict=True)]
+            made = [np.setxor1d(x, p, assume_unique=True).tobytes() for x, p in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(p) for _, p in pairs], pa.int32()), pa.array(made, pa.binary())], ["class", "cluster", "n", "pivot", "size", "elements"])
+
+    rows = large.join(pivots, "cluster").select("class", "cluster", "n", "pivot", "elements", "other")
+    return stage(rows.mapInArrow(tidy(run), "class bigint, cluster bigint, n int, pivot bigint, size int, elements binary"), "differences")
+
 
-    rows = large.join(pivots, "cluster").select("class", "cluster", "n", "elements", "pivot")
-    return stage(rows.mapInArrow(tidy(run), "class bigint, cluster bigint, n int, elements binary"), "differences")
+def _zones(large: DataFrame, rule: Rule) -> DataFrame:
+    """class, pivot, zone of the sets of large clusters: 0 links with its cluster's pivot, and so with all others of this zone at one remove; 2 is so far from it that, by the triangle inequality of Jaccard distance, it links with none of zone 0; 1 is between."""
+    near = _from_pivot(large)
+    common = (F.col("n") + F.col("size") - F.octet_length("elements") / 8) / 2
+    union = F.col("n") + F.col("size") - common
+    zone = F.when(rule.den * common >= rule.num * union, 0).when(rule.den * common < (2 * rule.num - rule.den) * union, 2).otherwise(1)
+    return near.select("class", "pivot", zone.alias("zone"))
 
 
-def _refined(maps: DataFrame, rule: Rule) -> DataFrame:
+def _refined(maps: DataFrame, rule: Rule, zones: DataFrame | None = None) -> DataFrame:
     """class, cluster, sets: candidate clusters made smaller. Within each (class, cluster, sets, n, bits) sets are joined only where sizes and bitmaps allow a link; those that can't link with any other go.
 
     Small clusters are compared whole, many to a task; of large ones blocks of bitmaps."""
@@ -473,13 +503,13 @@ def _refined(maps: DataFrame, rule: Rule) -> DataFrame:
     edges = whole.groupBy("bin").applyInPandas(join_up, "a bigint, b bigint")
     large = maps.where(F.col("sets") > BITMAP_SETS)
     if not large.isEmpty():
-        edges = edges.unionByName(_paired(large, rule, BITMAP_BLOCK, "bits").groupBy("task").applyInPandas(join_up, "a bigint, b bigint"))
+        edges = edges.unionByName(_paired(large, rule, BITMAP_BLOCK, "bits", zones).groupBy("task").applyInPandas(join_up, "a bigint, b bigint"))
     found = stage(components(edges.where("a <> b")).withColumnsRenamed({"node": "class", "component": "cluster"}), "refined")
     sizes = stage(found.groupBy("cluster").agg(F.count("*").alias("sets")), "sizes")
     return stage(found.join(small(sizes), "cluster"), "refined", release=True)
 
 
-def _links(sets: DataFrame, rule: Rule) -> DataFrame:
+def _links(sets: DataFrame, rule: Rule, zones: DataFrame | None = None) -> DataFrame:
     few = sets.where(F.col("sets") <= BLOCK_SETS)
     n = max(1, few.count() // BLOCK_SETS)
     # small clusters: whole, many to a bin
@@ -487,4 +517,4 @@ def _links(sets: DataFrame, rule: Rule) -> DataFrame:
     large = sets.where(F.col("sets") > BLOCK_SETS)
     if large.isEmpty():
         return out
-    return out.unionByName(_verify(_paired(_from_pivot(large), rule, BLOCK_SETS, "elements").withColumn("bin", F.col("task")), rule))
+    return out.unionByName(_verify(_paired(_from_pivot(large), rule, BLOCK_SETS, "elements", zones).withColumn("bin", F.col("task")), rule))
