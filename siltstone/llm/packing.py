@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import sliced, stage, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -22,87 +24,111 @@ END_ID = 1
 GROUP_PIECES = 20_000
 FAN_IN = 8
 
-#: Words whose ids a Python worker remembers.
-MEMO_WORDS = 800_000
-
-#: A special token; its text stands between words that are encoded together.
-SEPARATOR = b"<|endoftext|>"
+#: Bytes of words and ids that a Python worker remembers, and what an entry takes besides them.
+MEMO_BYTES = 96 << 20
+ENTRY_BYTES = 170
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
+#: Words that the tokenizer cuts into runs of letters, single digits and runs of marks, and doesn't change otherwise: small
+#: letters of one code point, no apostrophe (which begins short forms).
+SIMPLE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f0-9!-&(-/:-@\[-`{-~]+")
+RUNS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others as the next letters after them."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+
+class _Memo(dict):
+    """Ids of words; one that isn't there is made, or taken over from the generation before."""
+
+    def __init__(self, make: Callable[[bytes], bytes], before: dict[bytes, bytes]):
+        self.make, self.before, self.bytes = make, before, 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        self.bytes += len(word) + len(ids) + ENTRY_BYTES
+        return ids
+
 
 class WordIds:
-    """Ids of texts by the tokenizers library, word by word with a bounded memo.
+    """Ids of texts by the tokenizers library, word by word with a memo bounded in bytes.
 
     Only for tokenizers that drop spaces, so that a space or line end separates tokens and takes no part in any, and that
-    ignore case: stretches between them are then encoded independently of each other. ASCII letters are lower-cased first."""
+    ignore case: stretches between them are then encoded independently of each other. ASCII letters are lower-cased first,
+    but not in words that may hold a special token's text: that has a case. Such a text is the special token, as the library
+    has it; with special_as_text it is text like any other. The runs of simple words go to the library's model by
+    themselves; all other words go through the whole tokenizer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.separating = Tokenizer.from_file(path)
-        self.separator = self.separating.token_to_id(SEPARATOR.decode())
-        self.memo: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes the words in one call, with the separator's token between them; words that may hold a special token's text, one by one."""
-        plain = [w for w in words if b"<|" not in w]
-        if plain:
-            joined = SEPARATOR.join(plain).decode()
-            ids = np.asarray(self.separating.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.separator)
-            raw = ids.tobytes()
-            for word, start, end in zip(plain, (4 * np.r_[0, cuts + 1]).tolist(), (4 * np.r_[cuts, len(ids)]).tolist(), strict=True):
-                self.memo[word] = raw[start:end]
-        for word in set(words).difference(plain):
-            self.memo[word] = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.memo = _Memo(self._made, {})
+
+    def _piece(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _made(self, word: bytes) -> bytes:
+        text = word.decode()
+        if word.isalpha():  # small ASCII letters only
+            return self._piece(text)
+        if b"<|" in word or not SIMPLE.fullmatch(text) or (not text.isascii() and text.lower() != text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        runs = RUNS.findall(text)
+        if len(runs) > 1:
+            return b"".join([self.memo[r.encode()] for r in runs])
+        return self._piece(text if text.isascii() else word.decode("latin-1").translate(self.letters))
+
+    @staticmethod
+    def _split(text: str | None) -> list[bytes]:
+        raw = (text or "").encode()
+        if b"<|" in raw:
+            return [w if b"<|" in w else w.lower() for w in raw.replace(b"\n", b" ").split(b" ")]
+        return raw.lower().replace(b"\n", b" ").split(b" ")
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # two generations: words that are met again stay, others go
-        if len(self.memo) > MEMO_WORDS // 2:
-            self.memo, self.before = {}, self.memo
-        split = [(t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        new = set().union(*split).difference(self.memo)
-        known = new.intersection(self.before)
-        self.memo.update(zip(known, map(self.before.__getitem__, known), strict=True))
-        new -= known
-        # a comma or full stop after an ASCII letter is a token of its own; the rest is looked up by itself
-        tails = {w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-        self.learn([w for w in {w[:-1] for w in tails} | (new - tails) | {b".", b","} if w not in self.memo])
-        for w in tails:
-            self.memo[w] = self.memo[w[:-1]] + self.memo[w[-1:]]
-        for words in split:
-            yield b"".join(map(self.memo.__getitem__, words))
-
-
-@lru_cache(maxsize=2)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
-
-
-def tokenized(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of each document: its ids and the end id, cut every `capacity` tokens; the CRC-32 is of the piece's ids as little-endian unsigned 32-bit numbers. A null text has the end id alone."""
+        for text in texts:
+            # two generations: words that are met again stay, others go
+            if self.memo.bytes > MEMO_BYTES // 2:
+                self.memo.before = {}
+                self.memo = _Memo(self._made, self.memo)
+            yield b"".join(map(self.memo.__getitem__, self._split(text)))
+
+
+@lru_cache(maxsize=1)
+def _words(path: str, special_as_text: bool) -> WordIds:
+    return WordIds(path, special_as_text)
+
+
+def tokenized(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
+    """The pieces of each document: its ids and the end id, cut every `capacity` tokens; the CRC-32 is of the piece's ids as little-endian unsigned 32-bit numbers. A null text has the end id alone. A special token's text becomes that token, as the library does by itself, or text with special_as_text."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(docs), 256):
-                rows = []
-                for doc, ids in zip(docs[k : k + 256], _words(tokenizer_path).of(texts.slice(k, 256).to_pylist()), strict=True):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        for batch in sliced(batches, 256):
+            rows = []
+            for doc, ids in zip(batch.column(0).to_pylist(), _words(tokenizer_path, special_as_text).of(batch.column(1).to_pylist()), strict=True):
+                ids += end
+                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
 
-    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, PIECE)
+    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(run), PIECE)
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -169,9 +195,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 
     Full pieces are sequences of their own. The others are dealt evenly to partitions of about group_pieces and packed there
     by best-fit decreasing. Dual-feasible-function bounds certify each partition's bin count. Partitions with a gap give up
-    the pieces of their loosest bins (at most group_pieces / fan_in of them), which fan_in partitions exchange and pack again
-    together; this goes on, with fewer partitions each time, until all are certified or one is left. No partition holds more
-    than about group_pieces rows. Ties go by doc_id and piece; repeated rows are packed each."""
+    the pieces of their loosest bins (at most group_pieces / fan_in of them), certified ones their loosest bin, as each bound
+    was rounded up alone; fan_in partitions exchange these and pack them again together. This goes on, with fewer partitions
+    each time, until none gives up anything or one is left. No partition holds more than about group_pieces rows. Ties go by
+    doc_id and piece; repeated rows are packed each."""
     pieces = stage(pieces, "pieces")
     full = pieces.where(F.col("length") == capacity)
     rest = pieces.where(F.col("length") < capacity)
@@ -183,8 +210,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = _pack(pdf, capacity)
         order = out[["bin", "fill"]].groupby("bin").agg(fill=("fill", "first"), n=("fill", "size")).sort_values("fill")
-        given = order.index[(order["n"].cumsum() <= most) & (order["fill"] < capacity)]
-        out["loose"] = ~out["certified"] & out["bin"].isin(given)
+        bins = 1 if out["certified"].iloc[0] else len(order)
+        given = order.index[(order["n"].cumsum() <= most) & (order["fill"] < capacity) & (np.arange(len(order)) < bins)]
+        out["loose"] = out["bin"].isin(given)
         return out[[x.split()[0] for x in schema.split(", ")]]
 
     dealt = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
