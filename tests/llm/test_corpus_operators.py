@@ -133,7 +133,7 @@ def test_dedup_against_windows(spark, monkeypatch, cap):
         for _ in range(5):
             edited[rng.randrange(900)] = "Z"
         texts.append("".join(edited))
-    texts += [None, "", "a" * 700, "ab" * 400, text(99), text(12_000), "x" * 99, "x" * 99, "y" * 100, "y" * 100]
+    texts += [None, "", "a" * 700, "ab" * 400, "c" * 9000, "c" * 101, text(99), text(12_000), "x" * 99, "x" * 99, "y" * 100, "y" * 100]
     frame = spark.createDataFrame([(k if k != 5 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
     frame = frame.unionByName(frame.limit(1)).repartition(4)
     given = [t for _, t in ((r.doc_id, r.text) for r in frame.collect())]
@@ -148,18 +148,48 @@ def test_dedup_against_windows(spark, monkeypatch, cap):
     assert suffix.deduplicate(frame.limit(0)).count() == 0
 
 
+def test_long_uniform_text_is_cut(spark):
+    """One neighbourhood for many equal anchors: few rows, whatever the length."""
+    data = np.full(300_000, 97, np.uint8)
+    with np.errstate(over="ignore"):
+        anchor, places, first, last = suffix.anchors(data, np.array([len(data)]), 400, 64)
+    assert len(anchor) <= 300_000 // suffix.MOST_STARTS + 1 and (places > 1).all()
+    assert first[0] == 0 and last[-1] == len(data) - 400 and (first[1:] == last[:-1] + 1).all()
+    frame = spark.createDataFrame([(1, "a" * 5_000_000), (2, "ab" * 100_000 + "q" * 400)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.deduplicate(frame).collect()}
+    assert got == {1: (5_000_000, 1, b""), 2: (200_000, 1, b"q" * 400)}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test data here")
+def test_dedup_of_documents_against_windows(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    expected = {k: e for (k, _), e in zip(rows, plain_dedup([t for _, t in rows], 400), strict=True)}
+    got = suffix.deduplicate(frame).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == expected
+
+
 # ------------------------------------------------------------------ packing
 
 
 def test_words_as_the_tokenizer():
     rng = random.Random(5)
-    letters = "aAbZé́ÉßΣσİ \x1c\t\r\n   .,'s'T12<|endoftext|>漢字٣èK-"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + [None, "a <|endoftext|> b<|startoftext|>"]
-    words = packing.WordIds(WORDS)
-    plain = Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
-    for text, ids in zip(texts, words.of(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+    letters = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "āĀ", "word", "Straße.", "x²", *"_#0aAbZé́ÉßΣσİ \x1c\t\r\n   .,'s'T12<|>漢字٣èK-"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + [None, "a <|endoftext|> b<|startoftext|>", "ab" * 3000 + "'", "é" * 500 + "漢"]
+    plain, as_text = Tokenizer.from_file(WORDS), Tokenizer.from_file(WORDS)
+    as_text.encode_special_tokens = True
+    for words, library in ((packing.WordIds(WORDS), plain), (packing.WordIds(WORDS, special_as_text=True), as_text)):
+        for text, ids in zip(texts, words.of(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_BYTES", 40_000)
+    words, plain, rng = packing.WordIds(WORDS), Tokenizer.from_file(WORDS), random.Random(6)
+    for _ in range(60):
+        text = " ".join(rng.choice("abcdef") * rng.randint(1, 3) + str(rng.randint(0, 999)) for _ in range(50))
+        assert np.frombuffer(next(words.of([text])), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(words.memo) + len(words.memo.before) < 40_000 / packing.ENTRY_BYTES + 200
 
 
 def test_best_fit_and_bounds():
@@ -262,8 +292,9 @@ def test_join_against_all_pairs(spark, monkeypatch, rule, block):
     monkeypatch.setattr(jaccard, "BITMAP_BLOCK", 3 * block)
     rows = list(enumerate(near_texts()))
     frame = clash(spark.createDataFrame(rows, "doc_id long, text string"), "class", "key", "n", "cluster", "of_text", "component")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame.repartition(3), rule).collect()}
-    assert got == plain_join(rows, rule)
+    for count_links in (True, False):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame.repartition(3), rule, count_links=count_links).collect()}
+        assert got == plain_join(rows, rule)
 
 
 def test_join_odd_rows(spark):
@@ -315,7 +346,7 @@ def test_neighbours(spark):
     bad = [(5000, None), (5100, []), (5200, [0.0] * 16), (5300, [float("nan")] * 16), (5400, [float("inf")] + [1.0] * 15), (5500, [1.0] * 4), (5600, [2.0] * 4), (None, [1.0] * 16), (5700, [1.0, None] + [1.0] * 14)]
     frame = clash(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>"), "shard", "vector", "rank", "block")
     got = defaultdict(list)
-    for r in graph.nearest(frame, shard_rows=400).orderBy("query_id", "rank").collect():
+    for r in graph.nearest(frame, shard_bytes=80_000).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     exact, hit, total = vectors.astype(np.float64), 0, 0
     for q in range(0, 1500, 100):
@@ -329,6 +360,8 @@ def test_neighbours(spark):
     assert [i for i, _ in got[300]] == list(range(301, 311))
     assert got[5500] == [(5600, 2.0)] and set(got) == {*range(0, 1500, 100), 5500, 5600}
     assert graph.nearest(frame.limit(0)).count() == 0
+    wide = spark.createDataFrame([(0, [0.1, 0.0]), (1, [0.2, 0.0]), (2, [0.1, 1e30])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in graph.nearest(wide).orderBy("rank").collect()] == [(1, 0.1), (2, 1e30)]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (0, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in graph.nearest(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
@@ -429,3 +462,26 @@ def test_pipeline(spark, tmp_path):
     none = docs.limit(0)
     for _, function in corpus_pipeline.STAGES:
         assert function(spark, none, str(tmp_path)).count() == 0
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Clashing extra columns, repeated rows, nulls in every column and a very long text: no stage loses a clean document."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    long = " ".join(word() for _ in range(60_000))
+    rows = [(k, " ".join(word() for _ in range(60)), "en", f"s{k % 2}", 1) for k in range(12)] + [(50, long, "en", "s0", 2), (None, " ".join(word() for _ in range(40)), None, None, None)]
+    rows += [rows[0], rows[0], (51, None, "en", None, None), (52, "", None, "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = clash(docs, "key", "class", "cluster", "spans", "kept", "n", "host", "masked", "anchor", "sets", "of_text", "bits")
+    now = docs
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        now = function(spark, now, str(tmp_path))
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert now.columns == docs.columns
+        got = Counter(r.doc_id for r in now.collect())
+        assert set(got) == {*range(12), 50, None}, name
+        assert got[0] == (3 if name == "quality_rules" else 1)
+    assert len(now.where("doc_id = 50").first().text) == len(long)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {*range(12), 50, None} and sum(r.doc_id == 50 for r in pieces) > 10
