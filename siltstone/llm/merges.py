@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -16,39 +16,67 @@ from tokenizers import Tokenizer
 from .bpe import cut
 from .common import sliced, tidy
 
-#: Words whose counts a Python worker remembers, and how long they may be.
-MEMO_WORDS = 200_000
+#: Counts that a Python worker remembers of each kind, twice so many at most, and how long what they are of may be.
+MEMO_COUNTS = 200_000
 MEMO_CHARS = 48
 
+#: Before white space that follows anything else: no word crosses this.
+PIECE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
+
 
 def merged(word: str, ranks: dict[tuple[str, str], int]) -> int:
     """Tokens of a word: its symbols less the merges that the heap gives, least rank first and leftmost among equals."""
+    size = len(word)
     symbols: list[str] = list(word)
-    after = [*range(1, len(symbols)), -1]
-    before = [-1, *range(len(symbols) - 1)]
-    heap = [(rank, k) for k in range(len(symbols) - 1) if (rank := ranks.get((symbols[k], symbols[k + 1]))) is not None]
+    after, before = [*range(1, size), -1], [-1, *range(size - 1)]
+    # the rank of the pair that begins at a symbol; an entry of the heap is a rank and a place as one number
+    own = list(map(ranks.get, zip(word, word[1:], strict=False)))
+    heap = [rank * size + k for k, rank in enumerate(own) if rank is not None]
     heapq.heapify(heap)
     merges = 0
     while heap:
-        rank, left = heapq.heappop(heap)
-        right = after[left]
-        # an entry whose pair has gone since then has another rank now, or none
-        if not symbols[left] or right < 0 or ranks.get((symbols[left], symbols[right])) != rank:
+        rank, left = divmod(heapq.heappop(heap), size)
+        if own[left] != rank:  # that pair has gone
             continue
+        right = after[left]
         symbols[left] += symbols[right]
-        symbols[right] = ""
-        after[left] = after[right]
-        if after[left] >= 0:
-            before[after[left]] = left
+        after[left] = end = after[right]
+        if right < size - 1:
+            own[right] = None
+        own[left] = None
+        if end >= 0:
+            before[end] = left
+            own[left] = rank = ranks.get((symbols[left], symbols[end]))
+            if rank is not None:
+                heapq.heappush(heap, rank * size + left)
+        start = before[left]
+        if start >= 0:
+            own[start] = rank = ranks.get((symbols[start], symbols[left]))
+            if rank is not None:
+                heapq.heappush(heap, rank * size + start)
         merges += 1
-        for a, b in ((before[left], left), (left, after[left])):
-            if a >= 0 and b >= 0 and (rank := ranks.get((symbols[a], symbols[b]))) is not None:
-                heapq.heappush(heap, (rank, a))
-    return len(word) - merges
+    return size - merges
+
+
+class Remembered(dict):
+    """Counts by string, worked out where they aren't known. When it is full it becomes the old one, from which what is met again is taken over, and the older one goes."""
+
+    def __init__(self, count: Callable[[str], int]):
+        self.count = count
+        self.old: dict[str, int] = {}
+
+    def __missing__(self, key: str) -> int:
+        n = self.old.get(key) or self.count(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO_COUNTS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = n
+        return n
 
 
 class Counting:
-    """Counts of one tokenizer file, with a bounded memory of words.
+    """Counts of one tokenizer file, with a bounded memory of words and of pieces of text.
 
     The file must be byte-level BPE as counting by merges takes it: all 256 bytes in the vocabulary, one merge for each token,
     no normalizer, drop-out, prefix or suffix, and added tokens that match as they stand. Other files are refused."""
@@ -67,23 +95,17 @@ class Counting:
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
         added = sorted((t["content"] for t in given["added_tokens"] if t["content"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.words = Tokenizer.from_file(path).pre_tokenizer
-        self.memo: dict[str, int] = {}
-
-    def word(self, word: str) -> int:
-        n = merged(word, self.ranks)
-        if len(word) <= MEMO_CHARS and len(self.memo) < MEMO_WORDS:
-            self.memo[word] = n
-        return n
+        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.words = Remembered(lambda word: merged(word, self.ranks))
+        self.pieces = Remembered(lambda piece: sum(self.words[word] for part in cut(piece) for word, _ in self.split(part)))
 
     def count(self, text: str) -> int:
-        """An added token is one; what stands between them is cut into words by the file's rule, long texts piece by piece where no word crosses."""
+        """An added token is one; what stands between them is taken piece by piece, and a piece word by word as the file's rule cuts it."""
         spans = [m.span() for m in self.added.finditer(text)] if self.added else []
         n, start = len(spans), 0
         for a, b in (*spans, (len(text), len(text))):
-            for part in cut(text[start:a]):
-                for word, _ in self.words.pre_tokenize_str(part):
-                    n += self.memo.get(word) or self.word(word)
+            if a > start:
+                n += sum(map(self.pieces.__getitem__, PIECE.split(text[start:a])))
             start = b
         return n
 
@@ -98,7 +120,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 1024, text_col: str = "t
     """Adds to the kept columns: n_bytes (UTF-8), n_tokens as the tokenizer file counts them (added tokens inside texts as one each), over_limit.
 
     Null texts count as empty: none. Repeated rows give repeated rows; an empty table gives none. Other columns don't reach the
-    scan. One pass, no shuffle; a slice of texts and the remembered words are in memory at a time. A word of n bytes takes
+    scan. One pass, no shuffle; a slice of texts and the remembered counts are in memory at a time. A word of n bytes takes
     n log n steps, however long."""
     kept = df.select(*keep)
     names = [*keep, "n_bytes", "n_tokens", "over_limit"]
