@@ -81,13 +81,29 @@ def lookup_exact(names: DataFrame, catalog: DataFrame) -> DataFrame:
     return both.select("query_id", F.coalesce("__a", "__b").alias("cn_name")).where(F.col("cn_name").isNotNull())
 
 
+#: Characters of the fingerprint by which a name is found in other strings.
+FINGERPRINT = 4
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct stretches of this length; none of a shorter string."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, size))
+    return F.when(F.length(text) >= size, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+
 def _within(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """part, whole: which of the distinct strings `part` stand in which of the distinct strings `whole`, as an equi-join: each whole is cut into its stretches of the lengths that parts have. Nothing is compared pair by pair."""
-    lengths = parts.agg(F.array_sort(F.collect_set(F.length("part"))).alias("__lengths"))
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("whole") - n + 1, F.lit(1))), lambda i: F.substring("whole", i, n))
-    fitting = F.filter("__lengths", lambda n: n <= F.length("whole"))
-    pieces = wholes.crossJoin(F.broadcast(lengths)).select("whole", F.explode(F.array_distinct(F.flatten(F.transform(fitting, cut)))).alias("part"))
-    return pieces.join(parts, "part")
+    """part, whole: which of the distinct strings `part` stand in which of the distinct strings `whole`.
+
+    A whole is cut into its stretches of a few fixed lengths, which are as many as it has characters for each length. A part
+    is known by the stretch of it that the fewest wholes have (a part shorter than that by itself), and looked for in these
+    wholes only; one with a stretch that no whole has is in none."""
+    size = F.least(F.length("part"), F.lit(FINGERPRINT))
+    sizes = parts.agg(F.collect_set(size).alias("__sizes"))
+    cut = wholes.crossJoin(F.broadcast(sizes)).select("whole", F.explode(F.flatten(F.transform("__sizes", lambda n: _grams(F.col("whole"), n)))).alias("gram"))
+    held = cut.groupBy("gram").agg(F.count("*").alias("n"))
+    each = parts.select("part", F.explode(_grams(F.col("part"), size)).alias("gram"))
+    known = each.join(held, "gram", "left").groupBy("part").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    return cut.join(known.where("n > 0").select("part", "gram"), "gram").where(F.contains("whole", "part")).select("part", "whole")
 
 
 def _held(asked: DataFrame, entries: DataFrame) -> DataFrame:
@@ -118,26 +134,44 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _characters(text: Column) -> Column:
-    """A string's characters, those that repeat numbered, in one order for all strings."""
+    """A string's characters, those that repeat numbered."""
     each = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.sort_array(F.transform(each, lambda c, i: F.concat_ws("/", c, F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda x: x == c)))), asc=False)
+    return F.transform(each, lambda c, i: F.concat_ws("/", c, F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda x: x == c))))
 
 
-def _alike(asked: DataFrame, entries: DataFrame, least: float) -> DataFrame:
-    """asked, entry, score: distinct strings with at least this ratio.
+def _by_rarity(strings: DataFrame, counts: DataFrame) -> DataFrame:
+    """text, size, c: distinct strings (text) with their numbered characters, those first that the fewest strings have."""
+    each = strings.select("text", F.explode(_characters(F.col("text"))).alias("c")).join(counts, "c")
+    ordered = each.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("x"))
+    return ordered.select("text", F.size("x").alias("size"), F.col("x.c").alias("c"))
+
+
+def alike_candidates(asked: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """asked, entry: the pairs of distinct strings whose ratio has to be worked out, none left out that has at least this ratio.
 
     The ratio is twice the matched characters by both lengths, so that strings with the ratio r share at least r / (2 - r) of
-    each one's characters, and then one of the first few of each in a common order: an equi-join on these finds them all.
-    Lengths and shared characters bound the ratio and drop most; what is left is compared."""
+    each one's numbered characters. With these in one order, the rarest of all strings first, they then share one of each
+    one's first few: an equi-join on these. A pair goes at once if its lengths, or what can still be shared around the places
+    where it met, don't allow the ratio; then if its characters in common don't."""
     share = least / (2 - least)
-    first = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - F.ceil(F.size(c) * share - 1e-9).cast("int") + 1, F.lit(0)))
-    a = asked.select("asked").distinct().withColumn("ca", _characters(F.col("asked")))
-    e = entries.select("entry").distinct().withColumn("ce", _characters(F.col("entry")))
-    met = a.select("asked", F.explode(first(F.col("ca"))).alias("c")).join(e.select("entry", F.explode(first(F.col("ce"))).alias("c")), "c").select("asked", "entry").distinct()
-    both = F.length("asked") + F.length("entry")
-    near = met.where(2 * F.least(F.length("asked"), F.length("entry")) >= (least - 1e-9) * both).join(small(a), "asked").join(small(e), "entry")
-    near = near.where(2 * F.size(F.array_intersect("ca", "ce")) >= (least - 1e-9) * both)
-    return near.select("asked", "entry", similarity("asked", "entry").alias("score")).where(F.col("score") >= least)
+    a, e = asked.select(F.col("asked").alias("text")).distinct(), entries.select(F.col("entry").alias("text")).distinct()
+    symbols = lambda df: df.select(F.explode(_characters(F.col("text"))).alias("c"))
+    counts = small(stage(symbols(a).unionByName(symbols(e)).groupBy("c").agg(F.count("*").alias("n")), "characters"))
+    a, e = stage(_by_rarity(a, counts), "asked"), stage(_by_rarity(e, counts), "entries")
+    few = F.slice("c", F.lit(1), F.greatest(F.col("size") - F.ceil(F.col("size") * share - 1e-9).cast("int") + 1, F.lit(0)))
+    head = lambda df, name: df.select(F.col("text").alias(name), F.col("size").alias(f"n_{name}"), F.posexplode(few).alias(f"at_{name}", "c"))
+    needed = (least / 2 - 1e-9) * (F.col("n_asked") + F.col("n_entry"))
+    around = lambda f: f(F.col("at_asked"), F.col("at_entry")) + 1 + F.least(F.col("n_asked") - F.col("at_asked"), F.col("n_entry") - F.col("at_entry")) - 1
+    met = head(a, "asked").join(head(e, "entry"), "c").where((F.least("n_asked", "n_entry") >= needed) & (around(F.least) >= needed))
+    pairs = met.select("asked", "entry", needed.alias("needed")).distinct()
+    of = lambda df, name: df.select(F.col("text").alias(name), F.col("c").alias(f"c_{name}"))
+    near = pairs.join(small(of(a, "asked")), "asked").join(small(of(e, "entry")), "entry")
+    return near.where(F.size(F.array_intersect("c_asked", "c_entry")) >= F.col("needed")).select("asked", "entry")
+
+
+def _alike(asked: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """asked, entry, score: distinct strings with at least this ratio."""
+    return alike_candidates(asked, entries, least).select("asked", "entry", similarity("asked", "entry").alias("score")).where(F.col("score") >= least)
 
 
 def lookup_similar(names: DataFrame, catalog: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -21,11 +21,14 @@ def fuse(dense: DataFrame, bm25: DataFrame, settings: Settings = DEFAULT, role:
     return both.withColumn("score", F.round(part(settings.dense_weight, "dense_rank") + part(settings.bm25_weight, "bm25_rank"), 9))
 
 
-def best(hits: DataFrame, k: int, role: str = "role") -> DataFrame:
-    """Each chunk once a query, with its best score; then the k best of a query. Ties: role, dense rank (those without one last), BM25 rank, chunk."""
-    tie = [F.col(role), F.col("dense_rank").asc_nulls_last(), F.col("bm25_rank").asc_nulls_last(), F.col("chunk_id")]
-    once = hits.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("score"), *tie))).where("__n = 1").drop("__n")
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *tie))).where(F.col("rank") <= k)
+def best(hits: DataFrame, k: int) -> DataFrame:
+    """Each chunk once a query, with its best score; then the k best of a query. Ties go by where a chunk was met first: by the place of the role among those that the query asks (role_ord; without it by the role's name), then dense rank (those without one last), BM25 rank, chunk."""
+    last, place = F.lit(2**31 - 1), "role_ord" if "role_ord" in hits.columns else "role"
+    first = F.min(F.struct(place, F.coalesce("dense_rank", last), F.coalesce("bm25_rank", last), "chunk_id"))
+    of_chunk = Window.partitionBy("query_id", "chunk_id")
+    met = hits.withColumn("__met", first.over(of_chunk)).withColumn("__n", F.row_number().over(of_chunk.orderBy(F.desc("score"), place)))
+    once = met.where("__n = 1").drop("__n")
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "__met"))).where(F.col("rank") <= k).drop("__met")
 
 
 def promotable(chunks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -33,21 +33,24 @@ def postings(docs: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
     return stage(each.join(small(marked), "term", "left_semi").groupBy(*names, "dl", "term").agg(F.count("*").alias("tf")), "postings")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, settings: Settings = DEFAULT, role: str | None = None) -> DataFrame:
-    """query_id, chunk_id, (role,) score, rank: the k best chunks (by query, and by role if named) by BM25.
+def bm25(docs: DataFrame, queries: DataFrame, k: int, settings: Settings = DEFAULT, role: str | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, (role,) score, rank: the k best chunks (by query, and by role if named) by BM25. asked (query_id, role): only these roles are ranked.
 
     docs: chunk_id, text, (role); queries: query_id, text. Document counts and lengths are over the whole collection, the role
     only splits the ranking. Repeated terms of a query count once. Texts are read once, into postings of the queries' terms."""
     k1, b = settings.bm25_k1, settings.bm25_b
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    words = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     names = ["chunk_id", *([role] if role else [])]
-    found = postings(docs, asked.select("term").distinct(), names)
+    found = postings(docs, words.select("term").distinct(), names)
     lengths = found.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl"))
     listed = found.where("term <> ''")
     df = listed.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(F.broadcast(lengths)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = small(asked.join(weights, "term")).join(listed, "term").groupBy("query_id", *names).agg(F.round(F.sum(part), 9).alias("score"))
+    wanted, on = words.join(weights, "term"), ["term"]
+    if asked is not None:
+        wanted, on = wanted.join(small(asked.select("query_id", F.col("role").alias(role))), "query_id"), ["term", role]
+    scored = small(wanted).join(listed, on).groupBy("query_id", *names).agg(F.round(F.sum(part), 9).alias("score"))
     return top(scored, k, ["query_id", *names[1:]], "score", "rank", "chunk_id")
 
 
@@ -63,7 +66,7 @@ def measured(vectors: DataFrame, name: str, *keys: str) -> DataFrame:
 
 def _products(asked: pd.DataFrame, k: int, names: list[str]):
     """A task's function: cosines of a batch of vectors with all queries as matrix products, and of each query and role only those that can be among the k best of the batch, ties and what rounding may tie included."""
-    by_width = {w: (part["query_id"].to_numpy(), np.stack(part["vector"].to_numpy())) for w, part in asked.groupby(asked["vector"].map(len)) if w}
+    by_width = {w: (part["query_id"].to_numpy(), np.stack(part["vector"].to_numpy()), part.get("roles")) for w, part in asked.groupby(asked["vector"].map(len)) if w}
     unit = lambda m: m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +79,12 @@ def _products(asked: pd.DataFrame, k: int, names: list[str]):
                 width = key[0] if isinstance(key, tuple) else key
                 if width not in by_width:
                     continue
-                ids, targets = by_width[width]
+                ids, targets, roles = by_width[width]
+                if roles is not None:
+                    own = roles.map(lambda r, role=key[1]: role in r).to_numpy(bool)
+                    if not own.any():
+                        continue
+                    ids, targets = ids[own], targets[own]
                 with np.errstate(invalid="ignore", divide="ignore"):
                     cosine = unit(np.stack(part["vector"].to_numpy()).astype(np.float64)) @ unit(targets.astype(np.float64)).T
                 cosine = np.where(np.isfinite(cosine), cosine, -np.inf)
@@ -88,22 +96,26 @@ def _products(asked: pd.DataFrame, k: int, names: list[str]):
     return run
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, role: str | None = None) -> DataFrame:
-    """query_id, chunk_id, (role,) score, rank: the k nearest by cosine, compared exactly. vectors: chunk_id, vector, (role); queries: query_id, vector. Null and zero vectors have no hits, nor have vectors of another length than the query.
+def dense(vectors: DataFrame, queries: DataFrame, k: int, role: str | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, (role,) score, rank: the k nearest by cosine, compared exactly. vectors: chunk_id, vector, (role); queries: query_id, vector; asked (query_id, role): only these roles are compared. Null and zero vectors have no hits, nor have vectors of another length than the query.
 
     The stated queries meet all rows. If their measured bytes are within the bound they go to every task, which compares a
     batch of rows with all of them as a matrix product; beyond it Spark joins the two. Either way the best k are kept in each
     task before the shuffle."""
     names = ["chunk_id", *([role] if role else [])]
-    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    if measured_bytes(asked) <= BROADCAST_BYTES:
+    targets = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    if asked is not None:
+        targets = targets.join(asked.groupBy("query_id").agg(F.collect_set("role").alias("roles")), "query_id")
+    if measured_bytes(targets) <= BROADCAST_BYTES:
         every = vectors.select(*names, F.col("vector").cast("array<double>").alias("vector"))
         fields = ", ".join(f"`{n}` {dict(every.dtypes)[n]}" for n in names)
-        scored = every.mapInPandas(_products(asked.toPandas(), k, names), f"query_id {dict(asked.dtypes)['query_id']}, {fields}, score double")
+        scored = every.mapInPandas(_products(targets.toPandas(), k, names), f"query_id {dict(targets.dtypes)['query_id']}, {fields}, score double")
         scored = scored.withColumn("score", F.round("score", 9))
     else:
-        a, b = measured(asked, "a", "query_id"), measured(vectors, "b", *names)
+        a, b = measured(targets, "a", "query_id", *(["roles"] if asked is not None else [])), measured(vectors, "b", *names)
         usable = (F.col("a_length") > 0) & (F.col("b_length") > 0) & (F.size("a") == F.size("b"))
+        if asked is not None:
+            usable &= F.array_contains("roles", F.col(role))
         scored = b.crossJoin(a).where(usable).select("query_id", *names, F.round(dot(F.col("a"), F.col("b")) / (F.col("a_length") * F.col("b_length")), 9).alias("score"))
     return top(scored, k, ["query_id", *names[1:]], "score", "rank", "chunk_id")
 

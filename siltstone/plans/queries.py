@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import text as tx
-from ..operators import catalog, chunks, fusion, lines, outline, prompts, roles, routing, search, store, tables
+from ..operators import catalog, chunks, fusion, lines, outline, postings, prompts, roles, routing, search, store, tables
 from ..staging import scratch, small, stage
 from . import ingest, retrieve
 
@@ -465,12 +465,15 @@ sizes AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tokens), terms AS (SEL
 postings AS (SELECT doc_id, lang, dl, term, count(*) AS tf FROM (SELECT doc_id, lang, len(t) AS dl, unnest(t) AS term FROM tokens) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
 weights AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, sizes GROUP BY term, n),
 bm25 AS (SELECT item_id, doc_id, lang, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM terms JOIN weights USING (term) JOIN postings USING (term), sizes GROUP BY item_id, doc_id, lang)"""
+#: The languages as roles, in the order that decides ties.
+LANGS = ("fr", "en", "es", "de")
 HYBRID = f"""{VECTORS}, {POSTINGS},
 d AS (SELECT query_id, e.vec_id AS doc_id, lang, {COSINE} AS score FROM asked q, vectors e JOIN documents ON doc_id = e.vec_id),
 dr AS (SELECT query_id, lang, doc_id, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) AS rk FROM d) WHERE rk <= 12),
 br AS (SELECT item_id AS query_id, lang, doc_id, rk FROM (SELECT *, row_number() OVER (PARTITION BY item_id, lang ORDER BY score DESC, doc_id) AS rk FROM bm25) WHERE rk <= 12),
+orders(lang, role_ord) AS (VALUES {", ".join(f"('{lang}', {place})" for place, lang in enumerate(LANGS))}),
 fused AS (SELECT query_id, lang, doc_id, dr.rk AS drk, br.rk AS brk, round(coalesce(0.4 / (60 + dr.rk), 0) + coalesce(0.6 / (60 + br.rk), 0), 9) AS score FROM dr FULL JOIN br USING (query_id, lang, doc_id)),
-hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lang, drk NULLS LAST, brk NULLS LAST, doc_id) AS rank FROM fused) WHERE rank <= 12)"""
+hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, role_ord, drk NULLS LAST, brk NULLS LAST, doc_id) AS rank FROM fused JOIN orders USING (lang)) WHERE rank <= 12)"""
 
 
 @query(f"WITH {VECTORS}, s AS (SELECT query_id, e.vec_id AS chunk_id, {COSINE} AS score FROM asked q, vectors e) SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 12")
@@ -485,9 +488,24 @@ def bm25_topk(spark, sf_dir):
     return search.bm25(docs, benchmark, DEFAULT.top_k).select("query_id", "chunk_id", "score", "rank")
 
 
+def _index(spark: SparkSession, docs: DataFrame) -> str:
+    """An index of the documents in three inserts, one of them done twice; the name of its tables."""
+    name = f"index_{uuid.uuid4().hex}"
+    postings.create(spark, name, path=f"{scratch(spark)}/{name}", id_type="bigint")
+    for key, own in (("fr", docs.where("role = 'fr'")), ("en", docs.where("role = 'en'")), ("fr", docs.where("role = 'fr'")), ("rest", docs.where("role not in ('fr', 'en')"))):
+        postings.insert(own, name, key)
+    return name
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_indexed(spark, sf_dir):
+    docs, benchmark, _, _ = _search_inputs(spark, sf_dir)
+    return postings.search(benchmark, _index(spark, docs), DEFAULT.top_k).select("query_id", "chunk_id", "score", "rank")
+
+
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark, vectors, asked = _search_inputs(spark, sf_dir)
-    return retrieve.hybrid(docs, vectors.join(docs.select("chunk_id", "role"), "chunk_id"), benchmark, asked)
+    return retrieve.hybrid(docs, vectors.join(docs.select("chunk_id", "role"), "chunk_id"), benchmark, asked, Settings(roles=LANGS))
 
 
 @query(f"WITH {HYBRID} SELECT query_id, doc_id AS chunk_id, lang AS role, score, CAST(rank AS INTEGER) AS rank FROM hybrid")
@@ -495,6 +513,13 @@ def hybrid_search(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("query_id", "chunk_id", "role", "score", "rank")
 
 
+@query(f"WITH {HYBRID} SELECT query_id, doc_id AS chunk_id, lang AS role, score, CAST(rank AS INTEGER) AS rank FROM hybrid")
+def hybrid_indexed(spark, sf_dir):
+    """The same search over an index instead of the texts."""
+    docs, benchmark, vectors, asked = _search_inputs(spark, sf_dir)
+    return retrieve.hybrid(docs, vectors.join(docs.select("chunk_id", "role"), "chunk_id"), benchmark, asked, Settings(roles=LANGS), index=_index(spark, docs)).select("query_id", "chunk_id", "role", "score", "rank")
+
+
 @query(f"WITH {HYBRID} SELECT query_id, doc_id AS chunk_id, lang AS role, CAST(drk AS INTEGER) AS dense_rank, CAST(brk AS INTEGER) AS bm25_rank, score FROM fused")
 def rrf_fusion(spark, sf_dir):
     docs, benchmark, vectors, asked = _search_inputs(spark, sf_dir)

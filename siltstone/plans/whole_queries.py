@@ -270,7 +270,7 @@ OUTPUT = f"CASE item_id % 6 WHEN 0 THEN ' known: ' || item_id WHEN 1 THEN '我
 
 #: The same search over documents that carry a role for a language, for the queries and roles of `wanted`.
 ONLINE_SEARCH = (
-    q.HYBRID.replace("FROM documents", "FROM placed").replace("JOIN documents", "JOIN placed").replace("FROM benchmark", "FROM searched").replace("FROM fused)", "FROM fused SEMI JOIN wanted USING (query_id, lang))")
+    q.HYBRID.replace("FROM documents", "FROM placed").replace("JOIN documents", "JOIN placed").replace("FROM benchmark", "FROM searched").replace("FROM fused JOIN orders USING (lang))", "FROM fused JOIN (SELECT query_id, lang, place AS role_ord FROM wanted) USING (query_id, lang))")
 )
 ONLINE_SCORES = q.SCORES_SQL.replace("FROM documents", "FROM asked_docs")
 
