@@ -1,4 +1,4 @@
-"""Blocks to chunks within size limits, by folds over arrays of chunks that carry token halves and never scan a text again."""
+"""Blocks to chunks within size limits, by folds over the token halves that chunks carry: no text is scanned again, and what a fold decides is put together once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import is_numbered_item, ordered_join, token_half, tokens_of, utrim
+from . import folds
 
 # --- fixed values: what marks the later parts of a chunk ---
 MORE = ("(续", ")")
@@ -15,10 +16,6 @@ MORE = ("(续", ")")
 CHUNK = "struct<title:string,content:string,start_line:int,end_line:int,heading_level:int,half:bigint>"
 
 
-def _none() -> Column:
-    return F.array().cast(f"array<{CHUNK}>")
-
-
 def _chunk(title: Column, content: Column, start: Column, end: Column, level: Column, half: Column) -> Column:
     return F.struct(title.cast("string").alias("title"), content.cast("string").alias("content"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), level.cast("int").alias("heading_level"), half.cast("long").alias("half"))
 
@@ -51,33 +48,40 @@ def in_order(raw: DataFrame, keys: list[str]) -> DataFrame:
     return raw.groupBy(*keys).agg(F.transform(rows, lambda x: x["chunk"]).alias("chunks"))
 
 
+def _stretch(items: Column, run: Column) -> Column:
+    return F.slice(items, F.get(run, F.lit(0)) + 1, F.get(run, F.lit(1)) - F.get(run, F.lit(0)) + 1)
+
+
+def _total(halves: Column) -> Column:
+    return F.aggregate(halves, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def merge_small(chunks: Column, settings: Settings = DEFAULT) -> Column:
     """A chunk below the least size takes in those after it until it isn't; the last one may stay small. Halves add up, as line ends separate the pieces."""
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = _chunk(last["title"], F.concat(last["content"], F.lit("\n\n"), x["content"]), last["start_line"], x["end_line"], last["heading_level"], last["half"] + x["half"])
-        open_ = (F.size(done) > 0) & (F.when(F.size(done) > 0, tokens_of(last["half"])).otherwise(settings.chunk_min) < settings.chunk_min)
-        return F.when(open_, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+    def joined(run: Column) -> Column:
+        own = _stretch(chunks, run)
+        first, last = F.get(chunks, F.get(run, F.lit(0))), F.get(chunks, F.get(run, F.lit(1)))
+        return _chunk(first["title"], F.array_join(F.transform(own, lambda c: c["content"]), "\n\n"), first["start_line"], last["end_line"], first["heading_level"], _total(F.transform(own, lambda c: c["half"])))
 
-    return F.aggregate(chunks, _none(), lambda done, x: F.when(F.size(done) == 0, F.array(x)).otherwise(step(done, x)))
+    return F.transform(folds.runs_until(F.transform(chunks, lambda c: c["half"]), settings.chunk_min), joined)
 
 
 def split_large(chunks: Column, settings: Settings = DEFAULT) -> Column:
     """A chunk above the largest size becomes parts of as many paragraphs as fit; a paragraph that is too large alone stays whole. Parts after the first are marked in the title."""
+    none = F.array().cast("array<string>")
+    texts = F.transform(chunks, lambda x: F.when(tokens_of(x["half"]) > settings.chunk_max, F.split(x["content"], "\n\n+")).otherwise(none))
+    measured = F.transform(texts, lambda t: F.struct(t.alias("texts"), F.transform(t, token_half).alias("halves")))
+    runs = folds.runs_within(F.transform(texts, lambda t: F.transform(t, token_half)), settings.chunk_max)
+    # what a chunk's parts are made of stands beside it, so that each of them only takes its stretch
+    given = F.zip_with(F.zip_with(chunks, measured, lambda x, m: F.struct(x.alias("x"), m["texts"].alias("texts"), m["halves"].alias("halves"))), runs, lambda g, r: F.struct(g["x"].alias("x"), g["texts"].alias("texts"), g["halves"].alias("halves"), r.alias("runs")))
 
-    def parts(x: Column) -> Column:
-        paragraphs = F.transform(F.split(x["content"], "\n\n+"), lambda p: _chunk(x["title"], p, x["start_line"], x["end_line"], x["heading_level"], token_half(p)))
+    def parts(g: Column) -> Column:
+        x = g["x"]
+        title = lambda i: F.when(i > 0, F.concat(x["title"], F.lit(MORE[0]), i.cast("string"), F.lit(MORE[1]))).otherwise(x["title"])
+        return F.transform(g["runs"], lambda run, i: _chunk(title(i), F.array_join(_stretch(g["texts"], run), "\n\n"), x["start_line"], x["end_line"], x["heading_level"], _total(_stretch(g["halves"], run))))
 
-        def step(done: Column, p: Column) -> Column:
-            last = F.element_at(done, -1)
-            joined = _chunk(last["title"], F.concat(last["content"], F.lit("\n\n"), p["content"]), last["start_line"], last["end_line"], last["heading_level"], last["half"] + p["half"])
-            return F.when(tokens_of(last["half"] + p["half"]) > settings.chunk_max, F.concat(done, F.array(p))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)))
-
-        packed = F.aggregate(paragraphs, _none(), lambda done, p: F.when(F.size(done) == 0, F.array(p)).otherwise(step(done, p)))
-        return F.transform(packed, lambda c, i: _chunk(F.when(i > 0, F.concat(c["title"], F.lit(MORE[0]), i.cast("string"), F.lit(MORE[1]))).otherwise(c["title"]), c["content"], c["start_line"], c["end_line"], c["heading_level"], c["half"]))
-
-    return F.flatten(F.transform(chunks, lambda x: F.when(tokens_of(x["half"]) > settings.chunk_max, parts(x)).otherwise(F.array(x))))
+    return F.flatten(F.transform(given, lambda g: F.when(F.size(g["texts"]) > 0, parts(g)).otherwise(F.array(g["x"]))))
 
 
 def sized(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -101,14 +105,7 @@ def exploded(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 def bins_in_order(sizes: Column, limit: int) -> Column:
     """The bin number of each size: a new bin when the next one would overflow a bin that isn't empty."""
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("bins"))
-
-    def step(s: Column, size: Column) -> Column:
-        new = (s["used"] + size > limit) & (s["used"] > 0)
-        number = s["bin"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, size).otherwise(s["used"] + size).cast("long").alias("used"), number.alias("bin"), F.concat(s["bins"], F.array(number)).alias("bins"))
-
-    return F.aggregate(sizes, state, step, lambda s: s["bins"])
+    return folds.bins(sizes, limit)
 
 
 def record_text(columns: Column, record: Column) -> Column:
@@ -119,11 +116,4 @@ def record_text(columns: Column, record: Column) -> Column:
 
 def groups_in_order(sizes: Column, least: int) -> Column:
     """The group number of each size: a group below the least size takes in the next one."""
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).alias("group"), F.array().cast("array<int>").alias("groups"))
-
-    def step(s: Column, size: Column) -> Column:
-        joins = (s["group"] >= 0) & (s["used"] < least)
-        number = s["group"] + F.when(joins, 0).otherwise(1)
-        return F.struct(F.when(joins, s["used"] + size).otherwise(size).cast("long").alias("used"), number.alias("group"), F.concat(s["groups"], F.array(number)).alias("groups"))
-
-    return F.aggregate(sizes, state, step, lambda s: s["groups"])
+    return folds.groups(sizes, least)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import token_estimate
+from . import folds
 
 
 #: Fixed value: what stands between passages.
@@ -65,25 +66,14 @@ def promote(hits: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT) ->
     )
 
 
-def _budget(rows: Column, limit: int) -> Column:
-    """Folds rows (rank, tokens, original, promoted) in order: each fits, falls back to its original, or is skipped."""
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<rank:int,tokens:bigint,demoted:boolean>>").alias("chosen"))
-
-    def add(s: Column, tokens: Column, row: Column, demoted: bool) -> Column:
-        chosen = F.struct(row["rank"].cast("int").alias("rank"), tokens.cast("long").alias("tokens"), F.lit(demoted).alias("demoted"))
-        return F.struct((s["used"] + tokens).alias("used"), F.concat(s["chosen"], F.array(chosen)).alias("chosen"))
-
-    def step(s: Column, row: Column) -> Column:
-        return F.when(s["used"] + row["tokens"] <= limit, add(s, row["tokens"], row, False)).when(row["promoted"] & (s["used"] + row["original"] <= limit), add(s, row["original"], row, True)).otherwise(s)
-
-    return F.aggregate(rows, state, step, lambda s: s["chosen"])
-
-
 def budget(hits: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """The hits that fit into a query's budget, in the order of their ranks: query_id, rank, tokens, demoted. hits: query_id, rank, tokens, original_tokens, promoted. What doesn't fit is skipped; later ones may still fit."""
+    """The hits that fit into a query's budget, in the order of their ranks: query_id, rank, tokens, demoted. hits: query_id, rank, tokens, original_tokens, promoted. What doesn't fit is skipped; later ones may still fit. A promoted hit that doesn't fit falls back to its original if that does."""
     rows = F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.col("tokens").cast("long").alias("tokens"), F.col("original_tokens").cast("long").alias("original"), "promoted")))
-    chosen = hits.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.explode(_budget(F.col("rows"), settings.context_budget)).alias("x"))
-    return chosen.select("query_id", "x.rank", "x.tokens", "x.demoted")
+    listed = hits.groupBy("query_id").agg(rows.alias("rows"))
+    choice = folds.chosen(F.col("rows.tokens"), F.col("rows.original"), F.col("rows.promoted"), settings.context_budget)
+    taken = listed.select("query_id", F.zip_with("rows", choice, lambda r, c: F.struct(r["rank"].alias("rank"), F.when(c == 2, r["original"]).otherwise(r["tokens"]).alias("tokens"), c.alias("choice"))).alias("x"))
+    each = taken.select("query_id", F.inline("x"))
+    return each.where("choice > 0").select("query_id", "rank", "tokens", (F.col("choice") == 2).alias("demoted"))
 
 
 def within_budget(hits: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -148,15 +148,14 @@ def parse_tables(tables: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def join_continuations(rows: Column) -> Column:
-    """A row with an empty first cell and at most two values goes on with the row before it."""
+    """A row with an empty first cell and at most two values goes on with the row before it. Whether it does is its own affair, so that rows are put together stretch by stretch."""
     filled = lambda r: F.size(F.filter(r, lambda x: x != ""))
+    goes_on = lambda r: (F.get(r, 0) == "") & (filled(r) <= 2)
     merged = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(y == "", x).when(x == "", y).otherwise(F.concat(x, F.lit("\n"), y)))
-
-    def step(done: Column, row: Column) -> Column:
-        goes_on = (F.size(done) > 0) & (F.get(row, 0) == "") & (filled(row) <= 2)
-        return F.when(goes_on, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged(F.element_at(done, -1), row)))).otherwise(F.concat(done, F.array(row)))
-
-    return F.aggregate(rows, F.array().cast("array<array<string>>"), lambda done, row: F.when(F.size(done) == 0, F.array(row)).otherwise(step(done, row)))
+    places = F.filter(F.transform(rows, lambda r, i: F.when((i == 0) | ~F.coalesce(goes_on(r), F.lit(False)), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(places, F.lit(2), F.greatest(F.size(places) - 1, F.lit(0))), F.array(F.size(rows)))
+    stretch = lambda a, b: F.aggregate(F.slice(rows, a + 2, F.greatest(b - a - 1, F.lit(0))), F.get(rows, a), merged)
+    return F.when(F.size(rows) == 0, rows).otherwise(F.zip_with(places, ends, stretch))
 
 
 def records(parsed: DataFrame, keys: list[str]) -> DataFrame:
