@@ -1,6 +1,6 @@
 """All named queries with their SQL."""
 
-from . import queries, whole_queries
+from . import queries, stage_queries, whole_queries
 
-QUERIES = queries.QUERIES | whole_queries.QUERIES
-ORACLES = queries.ORACLES | whole_queries.ORACLES
+QUERIES = queries.QUERIES | whole_queries.QUERIES | stage_queries.QUERIES
+ORACLES = queries.ORACLES | whole_queries.ORACLES | stage_queries.ORACLES

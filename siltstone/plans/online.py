@@ -31,17 +31,19 @@ def handle(
     queries: DataFrame,
     outputs: DataFrame,
     words: roles.Words,
-    chunks: DataFrame,
-    vectors: DataFrame,
-    query_vectors: DataFrame,
+    chunks: DataFrame | None,
+    vectors: DataFrame | None,
+    query_vectors: DataFrame | None,
     catalog: DataFrame | None = None,
     table: list[dict] = routing.RULES,
     settings: Settings = DEFAULT,
+    second_call: bool = True,
 ) -> DataFrame:
     """query_id, answer_type, command, answer, roles, search_query, context, sources.
 
-    funcall: a rule took it. direct: the first output answers. direct_fallback: nothing was found, the first output stands.
-    rag: context and sources are the passages for a second call. chunks: chunk_id, text, role, and what promotion needs
+    funcall: a rule took it. direct: the first output answers. need_rag: a search is needed and there is nothing to search
+    (chunks is None). direct_fallback: nothing was found, the first output stands. rag: context and sources are the passages
+    for a second call; rag_raw: there is no second call, and context is the contents alone. chunks: chunk_id, text, role, and what promotion needs
     (block_id, heading_path, source_file, start_line, chunk_idx, content, token_estimate); vectors: chunk_id, vector, role. The
     vector search takes the query as it was asked (query_vectors), the word search the enriched one. Queries that are
     answered before the search take no part in it. A query without an output has an empty one."""
@@ -53,11 +55,14 @@ def handle(
     else:
         slots = slots.withColumn("search_query", F.col("query"))
     slots = stage(slots.select("query_id", "roles", "search_query"), "slots")
-    asked = query_vectors.join(slots, "query_id", "left_semi")
-    hits = stage(retrieve.hybrid(chunks, vectors, slots.select("query_id", F.col("search_query").alias("text"), "roles"), asked, settings), "hits")
-    found = retrieve.passages(hits.select("query_id", "rank", "chunk_id", "score"), chunks, settings)
-    out = known.drop("roles").join(slots, "query_id", "left").join(found, "query_id", "left")
-    branch = F.when(F.col("command").isNotNull(), "funcall").when(~F.col("needs_rag") & ~F.col("hedging"), "direct").when(F.col("context").isNull(), "direct_fallback").otherwise("rag")
+    out = known.drop("roles").join(slots, "query_id", "left")
+    if chunks is None:
+        out = out.withColumn("context", F.lit(None).cast("string")).withColumn("sources", F.lit(None).cast("array<string>"))
+    else:
+        asked = query_vectors.join(slots, "query_id", "left_semi")
+        hits = stage(retrieve.hybrid(chunks, vectors, slots.select("query_id", F.col("search_query").alias("text"), "roles"), asked, settings), "hits")
+        out = out.join(retrieve.passages(hits.select("query_id", "rank", "chunk_id", "score"), chunks, settings, raw=not second_call), "query_id", "left")
+    branch = routing.branch(F.col("command"), F.col("needs_rag"), F.col("hedging"), F.lit(chunks is not None), F.when(F.col("context").isNull(), 0).otherwise(1), F.lit(second_call))
     # a marker carries no answer of its own: what the model said stands where nothing is found
     said = F.coalesce(F.nullif("answer", F.lit("")), "output")
     answer = F.when(F.col("answer_type") == "direct", F.col("answer")).when(F.col("answer_type") == "direct_fallback", said)

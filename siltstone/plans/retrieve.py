@@ -30,7 +30,9 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vect
     return fusion.best(fusion.fuse(dense, bm25, settings).join(small(asked), ["query_id", "role"]), k)
 
 
-def passages(hits: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Promotion, budget and context of hits: query_id, context, sources. chunks: as in fusion.promote, with source_file."""
+def passages(hits: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT, raw: bool = False) -> DataFrame:
+    """Promotion, budget and context of hits: query_id, context, sources. chunks: as in fusion.promote, with source_file. raw: the contents alone and each hit's own chunk, for answers without a second call."""
     fitting = fusion.within_budget(fusion.promote(hits, chunks, settings), settings)
+    if raw:
+        return fusion.raw_context(fitting).withColumnRenamed("rag_context", "context")
     return fusion.context(fitting.join(chunks.select("chunk_id", "source_file"), "chunk_id"))

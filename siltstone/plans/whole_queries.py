@@ -289,10 +289,30 @@ SELECT item_id AS query_id, CASE WHEN command IS NOT NULL THEN 'funcall' WHEN k
 FROM known LEFT JOIN roles USING (item_id) LEFT JOIN contexts ON contexts.query_id = item_id""")
 def online_answers(spark, sf_dir):
     """The whole online plan: router, first output, slots and hedging, roles by keywords, search by role, promotion, budget, context."""
+    return _online(spark, sf_dir)
+
+
+def _online(spark: SparkSession, sf_dir: str, searched: bool = True, second_call: bool = True) -> DataFrame:
     docs, benchmark, vectors, asked = q._search_inputs(spark, sf_dir)
     role = lambda c: F.create_map(*(F.lit(x) for pair in ROLE_OF.items() for x in pair))[c]
     chunks = q._blocks(spark, sf_dir).withColumn("role", role(F.col("role"))).withColumn("source_file", F.col("role")).withColumn("text", F.col("content"))
     placed = vectors.join(docs.select("chunk_id", role(F.col("role")).alias("role")), "chunk_id")
     outputs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(OUTPUT.replace("\n", "\\n")).alias("output"))
-    out = online.handle(benchmark.select("query_id", F.col("text").alias("query")), outputs, q.WORDS, chunks, placed, asked, table=q.RULES)
+    where = (chunks, placed, asked) if searched else (None, None, None)
+    out = online.handle(benchmark.select("query_id", F.col("text").alias("query")), outputs, q.WORDS, *where, table=q.RULES, second_call=second_call)
     return out.select("query_id", "answer_type", "command", "answer", F.array_join("roles", ",").alias("roles"), "search_query", F.md5("context").alias("context"), F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
+
+
+RAW_SQL = ORACLES["online_answers"].replace("'[' || i || '] ' || source || ' (' || lang || ')' || chr(10) || content", "content").replace("string_agg(ids, ',' ORDER BY i)", "string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY i)").replace("ELSE 'rag' END", "ELSE 'rag_raw' END")
+
+
+@query(RAW_SQL)
+def online_raw(spark, sf_dir):
+    """The online plan without a second call: the contents alone are the answer's context."""
+    return _online(spark, sf_dir, second_call=False)
+
+
+@query(f"SELECT query_id, CASE answer_type WHEN 'funcall' THEN 'funcall' WHEN 'direct' THEN 'direct' ELSE 'need_rag' END AS answer_type, command, CASE WHEN answer_type = 'direct' THEN answer END AS answer, roles, search_query, CAST(NULL AS VARCHAR) AS context, CAST(NULL AS VARCHAR) AS sources FROM ({ORACLES['online_answers']})")
+def online_unsearched(spark, sf_dir):
+    """The online plan where there is nothing to search: what needs a search says so, with its roles and its text."""
+    return _online(spark, sf_dir, searched=False)

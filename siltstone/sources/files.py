@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import arrays
+
 CHUNK_ROW = "title string, content string, start_line bigint, end_line bigint, heading_level bigint, token_estimate bigint"
 BLOCK_ROW = f"title string, source_file string, breadcrumb array<string>, heading_level bigint, start_line bigint, end_line bigint, chunks array<struct<{CHUNK_ROW.replace(' ', ':').replace(',:', ',')}>>"
 TAGGED_ROW = "chunk_id string, content string, role string, role_confidence string, block_id string, source_file string, breadcrumb array<string>, heading_path string, start_line string, end_line string, token_estimate string, tagged_by string"
@@ -23,16 +25,20 @@ def markdown(spark: SparkSession, path: str, skip: tuple[str, ...] = ()) -> Data
     return out.where(~F.col("source_file").isin(*skip)) if skip else out
 
 
+def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return arrays.records(spark, path).select(F.from_json("value", F.lit(schema)).alias("x")).where("x is not null").select("x.*")
+
+
 def blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of a JSON array file, with defaults for what is missing."""
-    out = spark.read.schema(BLOCK_ROW).json(path, multiLine=True)
+    out = _rows(spark, path, BLOCK_ROW)
     zero, none = F.lit(0).cast("long"), F.lit("")
     return out.select(F.coalesce("title", none).alias("title"), F.coalesce("source_file", none).alias("source_file"), F.coalesce("breadcrumb", F.array().cast("array<string>")).alias("breadcrumb"), *(F.coalesce(c, zero).alias(c) for c in ("heading_level", "start_line", "end_line")), F.coalesce("chunks", F.array().cast(dict(out.dtypes)["chunks"])).alias("chunks"))
 
 
 def tagged(spark: SparkSession, path: str) -> DataFrame:
     """Tagged chunks of a JSON array file, cast and with defaults."""
-    out = spark.read.schema(TAGGED_ROW).json(path, multiLine=True)
+    out = _rows(spark, path, TAGGED_ROW)
     number = lambda c: F.coalesce(F.col(c).try_cast("long"), F.lit(0).cast("long")).alias(c)
     word = lambda c, default="": F.coalesce(F.col(c), F.lit(default)).alias(c)
     return out.select(*map(word, ("chunk_id", "content", "role")), number("role_confidence"), *map(word, ("block_id", "source_file")), F.coalesce("breadcrumb", F.array().cast("array<string>")).alias("breadcrumb"), word("heading_path"), *map(number, ("start_line", "end_line", "token_estimate")), word("tagged_by", "rule"))
