@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, stage
+from .common import release, small, stage
 
 #: Bytes of a shard's vectors and graph: what a task holds, whatever the table's size.
 SHARD_BYTES = 4 << 20
@@ -254,8 +254,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH
     queries = queries.withColumn("which", F.xxhash64("query_id", "vector")).withColumn("vector", F.col("vector").cast(kind))
     shards = index.select("part", "dimension").distinct()
     parts = (index.agg(F.max("part")).first()[0] or 0) + 1
-    asked = queries.withColumn("dimension", F.size("vector")).join(shards, "dimension").select("part", "dimension", F.lit(1).alias("side"), F.col("query_id").alias("id"), "which", "vector")
-    rows = index.select("part", "dimension", F.lit(0).alias("side"), F.col("vec_id").alias("id"), "node", "vector", "neighbours", "entry").unionByName(asked, allowMissingColumns=True)
+    asked = queries.withColumn("dimension", F.size("vector")).join(small(shards), "dimension").select("part", "dimension", F.lit(1).alias("side"), F.col("query_id").alias("id"), "which", "vector")
+    rows = index.select("part", "dimension", F.lit(0).alias("side"), F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("which"), "node", "vector", "neighbours", "entry").unionByName(asked, allowMissingColumns=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         given: list[pd.DataFrame] = []
