@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import token_estimate
+from ..staging import small, stage
 from . import folds
 
 
@@ -42,9 +43,14 @@ def promote(hits: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT) ->
     """The first hit of a promotable block gets the whole block's content and its other hits go.
 
     hits: query_id, rank, chunk_id, score; chunks: block_id, chunk_id, start_line, chunk_idx, heading_path, role,
-    token_estimate, content. Returns the hits with content, tokens, promoted, original_content, original_tokens, chunk_ids."""
-    wanted = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select("block_id").distinct()
-    blocks = chunks.join(wanted, "block_id", "left_semi")
+    token_estimate, content. Returns the hits with content, tokens, promoted, original_content, original_tokens, chunk_ids.
+
+    The hits' ids go to the chunks and then their blocks' ids: contents stay where they are but those of the hits' blocks,
+    which are written once, as are the hits, and read by what follows."""
+    hits = stage(hits, "hits")
+    wanted = chunks.select("chunk_id", "block_id").join(small(hits.select("chunk_id").distinct()), "chunk_id", "left_semi").select("block_id").distinct()
+    needed = ["block_id", "chunk_id", "start_line", "chunk_idx", "heading_path", "role", "token_estimate", "content"]
+    blocks = stage(chunks.select(*needed).join(small(wanted), "block_id", "left_semi"), "blocks")
     able = promotable(blocks, settings).where("promotable").select("block_id")
     rows = F.array_sort(F.collect_list(F.struct("start_line", "chunk_idx", "chunk_id", "heading_path", "content")))
     whole = blocks.join(able, "block_id", "left_semi").groupBy("block_id").agg(rows.alias("rows"))
@@ -55,7 +61,7 @@ def promote(hits: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT) ->
         return F.when(repeated, F.regexp_replace(F.call_function("substring", x["content"], F.length(heading) + 1), "^\n+", "")).otherwise(x["content"])
 
     whole = whole.select("block_id", F.array_join(F.transform("rows", body), "\n\n").alias("whole"), F.transform("rows", lambda x: x["chunk_id"]).alias("ids"))
-    own = hits.join(chunks.select("chunk_id", "block_id", "role", "heading_path", "content"), "chunk_id").join(whole, "block_id", "left")
+    own = hits.join(blocks.select("chunk_id", "block_id", "role", "heading_path", "content"), "chunk_id").join(whole, "block_id", "left")
     order = Window.partitionBy("query_id", "block_id").orderBy("rank")
     own = own.withColumn("promoted", F.col("whole").isNotNull()).withColumn("__n", F.row_number().over(order)).where(~F.col("promoted") | (F.col("__n") == 1))
     return own.select(

@@ -35,4 +35,5 @@ def passages(hits: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT, r
     fitting = fusion.within_budget(fusion.promote(hits, chunks, settings), settings)
     if raw:
         return fusion.raw_context(fitting).withColumnRenamed("rag_context", "context")
-    return fusion.context(fitting.join(chunks.select("chunk_id", "source_file"), "chunk_id"))
+    files = chunks.select("chunk_id", "source_file").join(small(hits.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    return fusion.context(fitting.join(files, "chunk_id"))
