@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import text as tx
-from ..operators import catalog, lines, models, outline, roles, store
-from ..sources import arrays, files
+from ..operators import catalog, lines, models, outline, prompts, roles, store
+from ..sources import arrays, batches, files
 from ..staging import scratch, stage
 from . import ingest, retrieve
 from . import queries as q
@@ -114,6 +115,33 @@ def embedding_results(spark, sf_dir):
     return out.select("chunk_id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
 
 
+class Moody:
+    """An endpoint that says a question again, but not always: by the number of the request it never answers, answers only in the third attempt, twice, first without choices or first with a line that is cut off."""
+
+    def run(self, lines: list[str], attempt: int) -> Iterable[str]:
+        for line in lines:
+            request = json.loads(line)
+            key = request["custom_id"]
+            kind = int(key) % 7
+            if kind == 0 or kind == 1 and attempt < 2:
+                continue
+            choices = [] if kind == 3 and attempt == 0 else [{"message": {"content": request["body"]["messages"][-1]["content"]}}]
+            found = json.dumps({"custom_id": key, "response": {"body": {"choices": choices}}})
+            yield found[:25] if kind == 4 and attempt == 0 else found
+            if kind == 2:
+                yield found
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority || ' ' || o_orderkey END AS answer, CASE WHEN o_orderkey % 7 = 0 THEN 'missing' ELSE 'answered' END AS outcome, CAST(CASE o_orderkey % 7 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM orders")
+def batch_attempts(spark, sf_dir):
+    """A question for each order through the batch protocol with its ledger, to an endpoint that drops, repeats and breaks lines."""
+    key = F.col("o_orderkey").cast("string")
+    asked = read(spark, sf_dir, "orders").select(key.alias("custom_id"), F.array(prompts.message("user", F.concat("o_orderpriority", F.lit(" "), key))).alias("messages"))
+    lines = files.chat_requests(asked, "any", 64, 0.0).select(F.get_json_object("value", "$.custom_id").alias("custom_id"), "value")
+    out = batches.ask(lines, Moody(), _folder(spark, "batches"), most_bytes=1 << 20)
+    return out.select(F.col("custom_id").cast("long").alias("o_orderkey"), "answer", "outcome", "attempts")
+
+
 # ---------------------------------------------------------------- tagging
 
 @query(f"""{w.INGEST}, chunk_docs AS (SELECT b || '_block' || (i - 1) || '_chunk0' AS doc_id, b || ' > ' || title AS source, content AS text, start_line FROM t),
