@@ -6,7 +6,8 @@ anchors. Neighbouring strings with one anchor are a neighbourhood, a stretch of
 Neighbourhoods that are equal as a whole (by 128 bits of their bytes) recur whole, and one of each kind goes on to the others
 of its anchor: they meet in blocks, all of an anchor in one, where a transform of the block gives the common prefixes. An
 anchor with too many kinds for a block is narrowed first: counts of its single strings' hashes say which strings can't recur,
-and what is left of each neighbourhood takes the same way again.
+and what is left of each neighbourhood takes the same way again. If even then an anchor has too many kinds, its strings are
+counted one by one, by 128 bits of their bytes.
 """
 
 from __future__ import annotations
@@ -287,6 +288,29 @@ def _narrowed(slices: DataFrame, length: int) -> DataFrame:
     return stage(rows.select("anchor", "key", "first", "bytes", "starts").mapInArrow(tidy(cut), FOUND), "narrowed", release=True)
 
 
+def _one_by_one(slices: DataFrame, length: int) -> DataFrame:
+    """(key, start, end) of what recurs among neighbourhoods (anchor, key, first, bytes), one of each kind, that no block can hold: each string is known by 128 bits of its bytes, as whole neighbourhoods are, and counted by partial sums. What recurs of a neighbourhood, which has a bounded number of strings, is put together as runs."""
+    names = ["one", "two", "key", "first", "start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for key, first, data in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                starts = np.arange(len(data) - length + 1)
+                whole = _digests(np.frombuffer(data, np.uint8), starts, starts + length)
+                columns = (whole[:, 0], whole[:, 1], np.full(len(starts), key), np.full(len(starts), first), starts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = [(key, first + a, first + b) for key, first, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True) for a, b in _runs(np.array(starts), length)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [[]] * 3], ["key", "start", "end"])
+
+    strings = slices.select("anchor", "key", "first", "bytes").mapInArrow(tidy(run), ", ".join(f"{c} bigint" for c in names))
+    again = small(stage(strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "alike", release=True))
+    left = strings.join(again, ["one", "two"], "left_semi").groupBy("key", "first").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    return left.mapInArrow(tidy(cover), "key bigint, start bigint, end bigint")
+
+
 def _recurring(found: DataFrame, df: DataFrame, length: int, again_narrowed: bool = False) -> DataFrame:
     """(key, start, end) of what recurs among neighbourhoods; found is staged and goes."""
     whole = F.struct("one", "two")
@@ -308,8 +332,7 @@ def _recurring(found: DataFrame, df: DataFrame, length: int, again_narrowed: boo
     if hot.isEmpty():
         return out
     if again_narrowed:
-        # too many kinds even so: each of their strings has its hash elsewhere, and that decides
-        return out.unionByName(hot.select("key", F.col("first").alias("start"), (F.col("first") + F.octet_length("bytes")).alias("end")))
+        return out.unionByName(_one_by_one(hot, length))
     return out.unionByName(_recurring(_narrowed(hot, length), df, length, again_narrowed=True))
 
 

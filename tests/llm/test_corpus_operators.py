@@ -120,7 +120,7 @@ def plain_dedup(texts, length):
         yield len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0, kept
 
 
-@pytest.mark.parametrize("cap", [1500, 15])
+@pytest.mark.parametrize("cap", [1500, 15, 2])
 def test_dedup_against_windows(spark, monkeypatch, cap):
     monkeypatch.setattr(suffix, "BLOCK_NEIGHBOURS", cap)
     monkeypatch.setattr(suffix, "SEGMENT", 5000)
