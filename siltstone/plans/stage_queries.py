@@ -14,6 +14,7 @@ from ..functions import text as tx
 from ..operators import catalog, lines, models, outline, prompts, roles, store
 from ..sources import arrays, batches, files
 from ..staging import scratch, stage
+from ..streaming import changes
 from . import ingest, retrieve
 from . import queries as q
 from . import whole_queries as w
@@ -94,6 +95,21 @@ def line_kinds(spark, sf_dir):
     return parsed.select("p_partkey", *_long("line_no"), "is_noise", tx.is_numbered_item(F.col("cleaned")).alias("is_item"))
 
 
+@query("""WITH now AS (SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN p_name || chr(10) || p_type WHEN p_partkey % 10 = 0 THEN p_brand ELSE p_name || chr(10) || p_brand END AS text, CASE WHEN p_size % 3 = 1 OR p_partkey % 10 = 0 THEN 2 ELSE 1 END AS since FROM part WHERE p_size % 3 <> 0)
+SELECT CAST(p_partkey AS VARCHAR) AS source_file, CAST(i AS BIGINT) AS line_no, split_part(text, chr(10), i) AS raw, CAST(since AS BIGINT) AS since FROM now, range(1, 3) t(i) WHERE split_part(text, chr(10), i) <> ''""")
+def ingest_changes(spark, sf_dir):
+    """Lines of parts as documents, brought up to date after a third was edited, a third deleted and a tenth came anew: only what changed is worked on again."""
+    part = read(spark, sf_dir, "part").withColumn("source_file", F.col("p_partkey").cast("string"))
+    edited, new = F.col("p_size") % 3 == 1, F.col("p_partkey") % 10 == 0
+    plain = F.when(new, F.col("p_brand")).otherwise(F.concat_ws("\n", "p_name", "p_brand"))
+    first = part.where(~new).withColumn("stamp", F.lit("1")).withColumn("text", plain)
+    second = part.where(F.col("p_size") % 3 != 0).withColumn("stamp", F.when(edited, "2").otherwise("1")).withColumn("text", F.when(edited, F.concat_ws("\n", "p_name", "p_type")).otherwise(plain))
+    target = _folder(spark, "followed")
+    for docs in (first, second):
+        changes.sync(docs.select("source_file", "stamp"), lambda wanted, docs=docs: docs.select("source_file", "text").join(wanted, "source_file", "left_semi"), lambda found: {"lines": lines.explode_lines(found)}, target)
+    return changes.table(spark, target, "lines").select("source_file", *_long("line_no"), "raw", "since")
+
+
 # ---------------------------------------------------------------- models
 
 @query("SELECT p_partkey, p_name AS answer FROM part")
