@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..staging import BROADCAST_BYTES, measured_bytes, small, stage
+from ..staging import BROADCAST_BYTES, discard, measured_bytes, small, stage
+
+#: Cells of a matrix product in a task at most, but for one query with all rows of a batch.
+CELLS = 1 << 22
 
 
 def terms(text: Column) -> Column:
@@ -54,20 +58,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, settings: Settings = DEFAU
     return top(scored, k, ["query_id", *names[1:]], "score", "rank", "chunk_id")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-
-def measured(vectors: DataFrame, name: str, *keys: str) -> DataFrame:
-    """keys, the vector in double precision and its length, so that pairs don't work them out again; rows without a vector go."""
-    wide = vectors.where(F.col("vector").isNotNull()).select(*keys, F.col("vector").cast("array<double>").alias(name))
-    return wide.withColumn(f"{name}_length", F.sqrt(dot(F.col(name), F.col(name))))
-
-
 def _products(asked: pd.DataFrame, k: int, names: list[str]):
     """A task's function: cosines of a batch of vectors with all queries as matrix products, and of each query and role only those that can be among the k best of the batch, ties and what rounding may tie included."""
-    by_width = {w: (part["query_id"].to_numpy(), np.stack(part["vector"].to_numpy()), part.get("roles")) for w, part in asked.groupby(asked["vector"].map(len)) if w}
-    unit = lambda m: m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        m = np.stack(vectors.to_numpy()).astype(np.float64)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+    by_width = {w: (part["query_id"].to_numpy(), unit(part["vector"]), part.get("roles")) for w, part in asked.groupby(asked["vector"].map(len)) if w}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,13 +84,15 @@ def _products(asked: pd.DataFrame, k: int, names: list[str]):
                     if not own.any():
                         continue
                     ids, targets = ids[own], targets[own]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    cosine = unit(np.stack(part["vector"].to_numpy()).astype(np.float64)) @ unit(targets.astype(np.float64)).T
-                cosine = np.where(np.isfinite(cosine), cosine, -np.inf)
-                least = -np.partition(-cosine, min(k, len(part)) - 1, axis=0)[min(k, len(part)) - 1]
-                row, query = np.nonzero((cosine >= least - 1e-9) & np.isfinite(cosine))
-                out = part[names].iloc[row].assign(query_id=ids[query], score=cosine[row, query])
-                yield out[["query_id", *names, "score"]]
+                rows, best = unit(part["vector"]), min(k, len(part)) - 1
+                step = max(1, CELLS // len(part))
+                for at in range(0, len(ids), step):
+                    cosine = rows @ targets[at : at + step].T
+                    cosine = np.where(np.isfinite(cosine), cosine, -np.inf)
+                    least = -np.partition(-cosine, best, axis=0)[best]
+                    row, query = np.nonzero((cosine >= least - 1e-9) & np.isfinite(cosine))
+                    out = part[names].iloc[row].assign(query_id=ids[at + query], score=cosine[row, query])
+                    yield out[["query_id", *names, "score"]]
 
     return run
 
@@ -99,25 +100,30 @@ def _products(asked: pd.DataFrame, k: int, names: list[str]):
 def dense(vectors: DataFrame, queries: DataFrame, k: int, role: str | None = None, asked: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, (role,) score, rank: the k nearest by cosine, compared exactly. vectors: chunk_id, vector, (role); queries: query_id, vector; asked (query_id, role): only these roles are compared. Null and zero vectors have no hits, nor have vectors of another length than the query.
 
-    The stated queries meet all rows. If their measured bytes are within the bound they go to every task, which compares a
-    batch of rows with all of them as a matrix product; beyond it Spark joins the two. Either way the best k are kept in each
-    task before the shuffle."""
+    The stated queries meet all rows, in blocks: those of a block go to every task, which compares a batch of rows with all of
+    them as matrix products, a bounded number of cells at a time, and keeps the best k before the shuffle. Queries whose measured
+    bytes are within the bound are one block. More are dealt to blocks of about half of it by a hash, and the best of each block
+    are written before the next begins: rows are read once a block and never shuffled, and no more than a block gets to the driver."""
     names = ["chunk_id", *([role] if role else [])]
     targets = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     if asked is not None:
         targets = targets.join(asked.groupBy("query_id").agg(F.collect_set("role").alias("roles")), "query_id")
-    if measured_bytes(targets) <= BROADCAST_BYTES:
-        every = vectors.select(*names, F.col("vector").cast("array<double>").alias("vector"))
-        fields = ", ".join(f"`{n}` {dict(every.dtypes)[n]}" for n in names)
-        scored = every.mapInPandas(_products(targets.toPandas(), k, names), f"query_id {dict(targets.dtypes)['query_id']}, {fields}, score double")
-        scored = scored.withColumn("score", F.round("score", 9))
-    else:
-        a, b = measured(targets, "a", "query_id", *(["roles"] if asked is not None else [])), measured(vectors, "b", *names)
-        usable = (F.col("a_length") > 0) & (F.col("b_length") > 0) & (F.size("a") == F.size("b"))
-        if asked is not None:
-            usable &= F.array_contains("roles", F.col(role))
-        scored = b.crossJoin(a).where(usable).select("query_id", *names, F.round(dot(F.col("a"), F.col("b")) / (F.col("a_length") * F.col("b_length")), 9).alias("score"))
-    return top(scored, k, ["query_id", *names[1:]], "score", "rank", "chunk_id")
+    every = vectors.select(*names, F.col("vector").cast("array<double>").alias("vector"))
+    fields = ", ".join(f"`{n}` {dict(every.dtypes)[n]}" for n in names)
+
+    def nearest(block: DataFrame) -> DataFrame:
+        scored = every.mapInPandas(_products(block.toPandas(), k, names), f"query_id {dict(targets.dtypes)['query_id']}, {fields}, score double")
+        return top(scored.withColumn("score", F.round("score", 9)), k, ["query_id", *names[1:]], "score", "rank", "chunk_id")
+
+    size = measured_bytes(targets)
+    if size <= BROADCAST_BYTES:
+        return nearest(targets)
+    targets = stage(targets, "targets")
+    blocks = min(-(-2 * size // max(1, BROADCAST_BYTES)), targets.count())
+    dealt = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [stage(nearest(targets.where(dealt == b)), "nearest") for b in range(blocks)]
+    discard(targets)
+    return reduce(DataFrame.unionByName, found)
 
 
 def vector_check(vectors: DataFrame) -> DataFrame:

@@ -98,6 +98,25 @@ def test_dense_compares_only_the_asked_roles_on_both_ways(spark, monkeypatch):
     assert found(search.dense(vectors, queries, 5, role="role", asked=asked)) == one
 
 
+@pytest.mark.parametrize("bound, cells", [(1 << 24, 1 << 22), (1 << 24, 300), (4000, 1 << 22), (3000, 50)])
+def test_dense_in_blocks_against_all_pairs(spark, monkeypatch, bound, cells):
+    """Blocks of queries and of cells, ties, copies, odd vectors."""
+    monkeypatch.setattr(search, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(search, "CELLS", cells)
+    rng = random.Random(8)
+    vectors = [[float(rng.randint(-2, 2)) for _ in range(3 if k % 9 else 4)] for k in range(150)] + [None, [], [0.0, 0.0, 0.0], [1.0, 2.0, 3.0], [1.0, 2.0, 3.0]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "chunk_id int, vector array<double>").repartition(5)
+    got = {}
+    for r in search.dense(rows, rows.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id"), 7).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.chunk_id, round(r.score, 6))
+    length = lambda v: sum(x * x for x in v) ** 0.5
+    for q in range(0, len(vectors), 3):
+        a = vectors[q]
+        scored = [(round(sum(x * y for x, y in zip(a, b, strict=True)) / length(a) / length(b), 9), k) for k, b in enumerate(vectors) if a and b and len(a) == len(b) and length(a) and length(b)]
+        best = sorted(scored, key=lambda x: (-x[0], x[1]))[:7]
+        assert got.get(q, {}) == {n + 1: (k, round(s, 6)) for n, (s, k) in enumerate(best)}
+
+
 # ------------------------------------------------------------------ look-ups
 
 
