@@ -21,7 +21,9 @@ def _chunk(title: Column, content: Column, start: Column, end: Column, level: Co
 
 
 def raw_chunks(lines: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:
-    """keys, chunk_no and a chunk of each stretch of a block's lines that a deeper heading or a long numbered item begins. Chunks without content go."""
+    """keys, chunk_no and a chunk of each stretch of a block's lines that a deeper heading or a long numbered item begins. Chunks without content go.
+
+    A stretch without a heading has level 99, but 0 if it is its whole block."""
     order = Window.partitionBy(*keys).orderBy("line_no")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shown = ~F.col("is_noise") & ~F.col("is_table") & ~F.col("is_empty")
@@ -29,16 +31,18 @@ def raw_chunks(lines: DataFrame, keys: list[str], settings: Settings = DEFAULT)
     starts = shown & (F.row_number().over(order) > 1) & ((F.col("heading_level") > 0) | numbered)
     # an empty line counts once in a row, and only between lines that are shown
     own = F.when(shown, F.col("cleaned")).when(F.col("is_empty") & ~F.col("is_noise") & ~F.col("is_table"), F.lit(""))
-    marked = lines.withColumn("chunk_no", F.sum(starts.cast("int")).over(upto)).withColumn("__own", own).withColumn("__start", starts)
+    marked = lines.withColumn("chunk_no", F.sum(starts.cast("int")).over(upto)).withColumn("__own", own)
     grouped = marked.groupBy(*keys, "chunk_no").agg(
         F.min("line_no").alias("start_line"),
         F.max("line_no").alias("end_line"),
         F.min_by(F.when(F.col("heading_title") != "", F.col("heading_title")).otherwise(F.substring("cleaned", 1, settings.title_chars)), "line_no").alias("title"),
-        F.min_by(F.when(F.col("heading_level") > 0, F.col("heading_level")).when(F.col("__start"), 99).otherwise(F.col("heading_level")), "line_no").alias("heading_level"),
+        F.min_by("heading_level", "line_no").alias("__level"),
         ordered_join("line_no", "__own", "\n").alias("content"),
     )
     content = utrim(F.regexp_replace("content", "\n{3,}", "\n\n"))
-    grouped = grouped.withColumn("content", content).where("content <> ''")
+    alone = F.max("chunk_no").over(Window.partitionBy(*keys)) == 0
+    level = F.when((F.col("__level") > 0) | alone, F.col("__level")).otherwise(99)
+    grouped = grouped.withColumn("content", content).withColumn("heading_level", level).where("content <> ''")
     return grouped.select(*keys, "chunk_no", _chunk(F.col("title"), F.col("content"), F.col("start_line"), F.col("end_line"), F.col("heading_level"), token_half(F.col("content"))).alias("chunk"))
 
 

@@ -25,8 +25,27 @@ def with_blocks(lines: DataFrame, doc: str = "source_file", settings: Settings =
     return lines.withColumn("block_no", F.sum(starts.cast("int")).over(upto))
 
 
+def _measures(settings: Settings) -> list[Column]:
+    """What the folds need to know of a block, by its lines: their span, whether it is a shell (few lines, none with content), its token half."""
+    content = ~F.col("is_noise") & ~F.col("is_table") & ~F.col("is_empty")
+    return [
+        F.min("line_no").alias("first_line"),
+        F.max("line_no").alias("last_line"),
+        ((F.count("*") <= settings.shell_lines_max) & (F.count_if(content & (F.col("heading_level") == 0)) == 0)).alias("shell"),
+        F.coalesce(F.sum(F.when(content, token_half(F.col("cleaned")))), F.lit(0)).alias("half"),
+    ]
+
+
+MEASURES = ("first_line", "last_line", "shell", "half")
+
+
 def blocks(lines: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:
-    """doc, block_no, title, heading_level, start_line, end_line, breadcrumb.
+    """doc, block_no, title, heading_level, start_line, end_line, breadcrumb: `measured_blocks` without the measures, which aren't computed then."""
+    return measured_blocks(lines, doc, settings).drop(*MEASURES)
+
+
+def measured_blocks(lines: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:
+    """doc, block_no, title, heading_level, start_line, end_line, the measures of `measured`, breadcrumb: one window and one aggregate over the lines, one shuffle by document.
 
     A document without headings is one block of level 1 with the document's name. Text before the first heading is a block
     of level 0 named by its first usable line, if it has one; without one the lines before are in no block."""
@@ -38,13 +57,14 @@ def blocks(lines: DataFrame, doc: str = "source_file", settings: Settings = DEFA
         F.min_by("heading_title", "line_no").alias("__title"),
         F.min_by("heading_level", "line_no").alias("__level"),
         F.min_by(F.when(usable, F.substring("cleaned", 1, settings.title_chars)), F.when(usable, F.col("line_no"))).alias("__first"),
+        *_measures(settings),
     )
     whole = Window.partitionBy(doc)
     grouped = grouped.withColumn("__blocks", F.max("block_no").over(whole))
     lone = F.col("__blocks") == 0
     level = F.when(lone, 1).when(F.col("block_no") == 0, 0).otherwise(F.col("__level"))
     title = F.when(lone, F.when(F.col(doc).cast("string") == "", WHOLE).otherwise(F.col(doc).cast("string"))).when(F.col("block_no") == 0, F.col("__first")).otherwise(F.col("__title"))
-    out = grouped.select(doc, "block_no", title.alias("title"), level.cast("int").alias("heading_level"), "start_line", "end_line").where(F.col("title").isNotNull())
+    out = grouped.select(doc, "block_no", title.alias("title"), level.cast("int").alias("heading_level"), "start_line", "end_line", *MEASURES).where(F.col("title").isNotNull())
     return out.withColumn("breadcrumb", breadcrumb(doc, settings.block_level))
 
 
@@ -64,15 +84,8 @@ BLOCK = "title string, heading_level int, start_line int, end_line int, breadcru
 
 
 def measured(lines: DataFrame, found: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:
-    """Blocks with their span of lines, whether they are shells (few lines, none with content), and their token half."""
-    named = with_blocks(lines, doc, settings)
-    content = ~F.col("is_noise") & ~F.col("is_table") & ~F.col("is_empty")
-    sizes = named.groupBy(doc, "block_no").agg(
-        F.min("line_no").alias("first_line"),
-        F.max("line_no").alias("last_line"),
-        ((F.count("*") <= settings.shell_lines_max) & (F.count_if(content & (F.col("heading_level") == 0)) == 0)).alias("shell"),
-        F.coalesce(F.sum(F.when(content, token_half(F.col("cleaned")))), F.lit(0)).alias("half"),
-    )
+    """Blocks that are given apart from their lines, with their span of lines, whether they are shells, and their token half."""
+    sizes = with_blocks(lines, doc, settings).groupBy(doc, "block_no").agg(*_measures(settings))
     return found.join(sizes, [doc, "block_no"])
 
 

@@ -11,6 +11,7 @@ from ..operators import chunks as ch
 from ..operators import lines as ln
 from ..operators import outline, roles, tables
 from ..operators.lines import latest_before
+from ..staging import discard, stage
 
 
 # --- fixed values: what marks the parts of a table's block ---
@@ -26,17 +27,23 @@ def lines_of(found: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def text_chunks(docs: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Blocks (source_file, block_no, ...), and chunks (source_file, block_no, chunk_idx, ...) with the way to them in front."""
+    """Blocks (source_file, block_no, ...), and chunks (source_file, block_no, chunk_idx, ...) with the way to them in front.
+
+    Lines are parsed once, into a staged table that blocks, cuts and chunks read, and that is emptied when blocks and chunks
+    are staged themselves."""
     lines = ln.parse(ln.explode_lines(docs), settings=settings)
-    found = outline.measured(lines, outline.blocks(lines, settings=settings), settings=settings)
+    lines = stage(lines.select("source_file", "line_no", "cleaned", "heading_level", "heading_title", "is_noise", "is_table", "is_empty"), "lines")
+    found = outline.measured_blocks(lines, settings=settings)
     found = outline.merge_shells(found, settings=settings)
     found = outline.split_oversized(lines, found, settings=settings)
-    found = outline.merge_tiny(found, settings=settings)
+    found = stage(outline.merge_tiny(found, settings=settings), "blocks")
     keys = ["source_file", "block_no"]
     raw = ch.in_order(ch.raw_chunks(lines_of(found, lines), keys, settings), keys)
     sized = ch.sized(raw, settings).join(found.select(*keys, "breadcrumb"), keys)
     sized = sized.withColumn("chunks", ch.with_breadcrumb(F.col("chunks"), F.col("breadcrumb")))
-    return found, ch.exploded(sized, keys)
+    out = stage(ch.exploded(sized, keys), "chunks")
+    discard(lines)
+    return found, out
 
 
 def table_chunks(docs: DataFrame, blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -45,13 +52,13 @@ def table_chunks(docs: DataFrame, blocks: DataFrame, settings: Settings = DEFAUL
     Each table hangs below the latest of the blocks (those that have chunks) that doesn't start after it. The way to it
     stands before each content and counts. A table above the largest size is cut into parts of chunks in order; a part below
     the least size takes in the next one of its line, as do small tables that share a line."""
-    found = tables.find_tables(docs)
+    found = stage(tables.find_tables(docs), "tables")
     keys = ["source_file", "table_index"]
     at = ln.offsets_to_lines(docs, found.select("source_file", F.col("start_char").alias("offset")).distinct()).withColumnRenamed("offset", "start_char")
     placed = found.join(at, ["source_file", "start_char"])
     starts = blocks.select("source_file", F.col("start_line").alias("line_no"), F.col("breadcrumb").alias("__trail"))
     placed = latest_before(placed.select(*keys, "table_name", "line_no"), starts, ["source_file"], ["line_no"], "__trail")
-    placed = placed.withColumn("breadcrumb", F.concat(F.coalesce("__trail", F.array().cast("array<string>")), F.array("table_name")))
+    placed = stage(placed.withColumn("breadcrumb", F.concat(F.coalesce("__trail", F.array().cast("array<string>")), F.array("table_name"))), "placed")
     grouped = tables.group_spans(tables.records(tables.parse_tables(found, keys), keys), keys)
     text = ch.record_text(F.col("columns"), F.col("record"))
     items = F.array_join(F.transform("sub_items", lambda m, i: F.concat(F.lit("  " + tables.SUB_ITEMS), (i + 1).cast("string"), F.lit(": "), F.array_join(F.transform(F.filter(F.map_entries(m), lambda e: F.trim(e["value"]) != ""), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; "))), "\n")

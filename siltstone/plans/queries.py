@@ -139,7 +139,7 @@ def breadcrumbs(spark, sf_dir):
 
 def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parsed = _outline_lines(spark, sf_dir)
-    return parsed, outline.measured(parsed, outline.blocks(parsed, doc="doc"), doc="doc")
+    return parsed, outline.measured_blocks(parsed, doc="doc")
 
 
 @query(f"""WITH {OUTLINE_BLOCKS}, kept AS (SELECT b.doc, title, start_line, coalesce(until, n) AS end_line, k, block_no FROM blocks b JOIN ends USING (doc) WHERE k = 1)

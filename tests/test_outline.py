@@ -94,6 +94,23 @@ def test_chunk_sizes_on_random_documents(spark):
     assert tagged.count() == len(rows) == tagged.select("chunk_id").distinct().count()
 
 
+def test_levels_of_chunks(spark):
+    settings = Settings(block_level=1)
+    lined = outline.with_blocks(parsed(spark, "plain\n## deep\nx", "plain only", "# A\ny\n## deep\nz"), settings=settings)
+    got = chunks.raw_chunks(lined, ["source_file", "block_no"], settings).collect()
+    # a first stretch without a heading is like a numbered item, unless it is all there is
+    assert {(r.source_file, r.chunk.title): r.chunk.heading_level for r in got} == {("d0.md", "plain"): 99, ("d0.md", "deep"): 2, ("d1.md", "plain only"): 0, ("d2.md", "A"): 1, ("d2.md", "deep"): 2}
+
+
+def test_blocks_with_their_measures_in_one_pass(spark, capsys):
+    lined = parsed(spark, "intro\n# A\n## B\nx 12\n# C", "no heading", "", "\n\n# only\n<table><tr><td>1</td></tr></table>")
+    apart = outline.measured(lined, outline.blocks(lined))
+    one = outline.measured_blocks(lined).select(*apart.columns)
+    one.explain()  # before it runs: afterwards the first plan is shown beside the last
+    assert capsys.readouterr().out.count("Exchange hashpartitioning(source_file") == 1
+    assert sorted(map(str, one.collect())) == sorted(map(str, apart.collect()))
+
+
 def test_split_and_merge(spark):
     para = lambda n: " ".join(["w"] * n)
     raw = spark.createDataFrame([(1, "\n\n".join([para(200), para(200), para(500), para(10)]))], "k int, content string")
