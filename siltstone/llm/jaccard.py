@@ -340,7 +340,9 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
 
     # texts move once, and at every size alike: the classes in question grow with the table
     chosen = stage(numbers.select("class", "of_text").join(wanted, "class"), "chosen")
-    rows = keyed.select("of_text", F.col(text_col).alias("text")).join(chosen.hint("merge"), "of_text").select("class", "cluster", "sets", "text")
+    # copies of a text are dropped in the tasks that read them, so that none of their texts gathers under one key
+    texts = keyed.select("of_text", F.col(text_col).alias("text")).dropDuplicates(["of_text"])
+    rows = texts.join(chosen.hint("merge"), "of_text").select("class", "cluster", "sets", "text")
     whole = stage(rows.mapInArrow(tidy(_elements(rule)), ELEMENTS).dropDuplicates(["class"]), "elements", release=True)
     zones = None
     if not count_links:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,6 +36,20 @@ PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint
 SIMPLE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f0-9!-&(-/:-@\[-`{-~]+")
 RUNS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
+# --- fixed values: the steps before the model that the words below are made for ---
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# --- end of fixed values ---
+
+
+def _fits(given: dict) -> bool:
+    """Whether a tokenizer's file has these steps: NFC, white space as one space, small letters; runs of letters, single digits, runs of marks; bytes as letters; and no random merges."""
+    norm, pre = given.get("normalizer") or {}, given.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers") or [{}, {}]
+    split, level = steps[0], steps[-1]
+    runs = len(steps) == 2 and split.get("type") == "Split" and split.get("pattern") == {"Regex": SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+    return norm.get("normalizers") == NORMALIZERS and runs and level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and level.get("use_regex") is False and not given["model"].get("dropout")
+
 
 def _byte_letters() -> dict[int, int]:
     """How byte-level vocabularies write bytes: printable ones as themselves, the others as the next letters after them."""
@@ -61,8 +76,9 @@ class _Memo(dict):
 class WordIds:
     """Ids of texts by the tokenizers library, word by word with a memo bounded in bytes.
 
-    Only for tokenizers that drop spaces, so that a space or line end separates tokens and takes no part in any, and that
-    ignore case: stretches between them are then encoded independently of each other. ASCII letters are lower-cased first,
+    Files with other steps before the model are refused (see _fits). These steps drop spaces, so that a space or line end
+    separates tokens and takes no part in any, and ignore case: stretches between them are then encoded independently of
+    each other. ASCII letters are lower-cased first,
     but not in words that may hold a special token's text: that has a case. Such a text is the special token, as the library
     has it; with special_as_text it is text like any other. The runs of simple words go to the library's model by
     themselves; all other words go through the whole tokenizer."""
@@ -71,6 +87,9 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            if not _fits(json.load(file)):
+                raise ValueError(f"{path}: only for tokenizers of lower-cased runs of letters, digits and marks")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 import re
 from collections import Counter
@@ -262,15 +263,22 @@ def training_windows(df: DataFrame, text_col: str = "text", most: int = TRAINING
     """Windows of the corpus around characters that can belong to personal data, labelled by the base detectors; at most `most`, those with the least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a heap of the task's least hashes, largest first: it never holds more windows than are asked for
+        rows: dict[str, str] = {}
+        largest: list[tuple[int, str]] = []
         for batch in batches:
-            rows: dict[str, list[str]] = {}
             for text in batch.column(0):
                 text = text.as_py()
                 for a, b in _regions(text):
                     part = text[a : min(b, a + WINDOW)]
-                    rows[hashlib.md5(part.encode()).hexdigest()] = part
-            least = sorted(rows)[:most]
-            yield pa.RecordBatch.from_arrays([pa.array(least, pa.string()), pa.array([rows[k] for k in least], pa.string())], ["hash", "part"])
+                    key = hashlib.md5(part.encode()).hexdigest()
+                    if key in rows:
+                        continue
+                    rows[key] = part
+                    heapq.heappush(largest, (-int(key, 16), key))
+                    if len(rows) > most:
+                        del rows[heapq.heappop(largest)[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.string())], ["hash", "part"])
 
     windows = df.where(F.col(text_col).rlike("[0-9@]")).select(text_col).mapInArrow(run, "hash string, part string")
     parts = [r["part"] for r in windows.groupBy("hash").agg(F.first("part").alias("part")).orderBy("hash").limit(most).collect()]

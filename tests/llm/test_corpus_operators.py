@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -183,6 +184,16 @@ def test_words_as_the_tokenizer():
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_words_of_other_tokenizers_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        packing.WordIds(P.path("byte_bpe_50k.json"))
+    given = json.loads(Path(WORDS).read_text())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"normalizer": None}):
+        (tmp_path / "other.json").write_text(json.dumps(given | change))
+        with pytest.raises(ValueError):
+            packing.WordIds(str(tmp_path / "other.json"))
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "MEMO_BYTES", 40_000)
     words, plain, rng = packing.WordIds(WORDS), Tokenizer.from_file(WORDS), random.Random(6)
@@ -307,6 +318,19 @@ def test_join_odd_rows(spark):
     assert sorted((r.doc_id or -1, r.text or "") for r in left) == [(-1, ""), (7, "a b c d"), (8, ""), (9, "q r s")]
 
 
+def test_join_with_many_copies_of_one_text(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(400)}" for _ in range(80)]
+    one, near = " ".join(words), " ".join([*words, "more"])
+    texts = [one] * 4000 + [near] * 3 + [f"other {k} text of its own" for k in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    rows = {r.doc_id: r for r in jaccard.join(df, jaccard.Rule(3, 90, 100)).collect()}
+    assert all(rows[k].component_id == 0 and rows[k].n_links == 1 for k in range(4003))
+    assert {rows[k].class_id for k in range(4000)} == {0} and {rows[k].class_id for k in range(4000, 4003)} == {4000}
+    assert all(rows[k].component_id == k for k in range(4003, len(texts)))
+    assert jaccard.one_of_each(df, jaccard.Rule(3, 90, 100)).count() == 51
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 360)] + [(5, 5)]

@@ -308,3 +308,13 @@ def test_windows_cover_regions():
     for a, b in ((0, 1), (0, 96), (5, 150), (0, 1000), (3, 99), (3, 100)):
         covered = {i for s, e in pii._windows(a, b) for i in range(s, e)}
         assert covered == set(range(a, b))
+
+
+def test_training_windows_are_those_of_the_least_hashes(spark):
+    texts = [f"call +49 30 {k:07d} or mail a{k}@b{k % 7}.org " + "word " * (k % 5) for k in range(300)] * 2 + [None, "", "no sign"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    every = {t[a : min(b, a + pii.WINDOW)] for t in texts if t for a, b in pii._regions(t)}
+    least = sorted(every, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    for most in (1, 40, 10_000):
+        parts, spans = pii.training_windows(df, most=most)
+        assert parts == least[:most] and spans == [pii.base_spans(p) for p in parts]
