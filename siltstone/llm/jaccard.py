@@ -333,13 +333,14 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     found = stage(digests.drop("bits").join(numbers.select("digest", "class").hint("merge"), "digest", "left").drop("digest"), "classes")
     edges = stage(_scan_lists(_keys(df, rule, text_col)).distinct(), "edges", release=True)
     first = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    candidates = stage(components(_candidates(edges, stage(numbers.select(first.alias("short"), "class"), "shorts"))), "clusters")
+    candidates = stage(components(_candidates(edges, stage(numbers.select(first.alias("short"), "class"), "shorts"))), "clusters", release=True)
     discard(digests, edges)
     sizes = stage(candidates.groupBy("component").agg(F.count("*").alias("sets")), "clusters")
     wanted = stage(candidates.join(small(sizes), "component").select(F.col("node").alias("class"), F.col("component").alias("cluster"), "sets"), "wanted")
 
     # texts move once, and at every size alike: the classes in question grow with the table
-    chosen = stage(numbers.select("class", "of_text").join(wanted, "class"), "chosen")
+    # just after a job its events still hold its plan, so that the edges' files may go only now
+    chosen = stage(numbers.select("class", "of_text").join(wanted, "class"), "chosen", release=True)
     # copies of a text are dropped in the tasks that read them, so that none of their texts gathers under one key
     texts = keyed.select("of_text", F.col(text_col).alias("text")).dropDuplicates(["of_text"])
     rows = texts.join(chosen.hint("merge"), "of_text").select("class", "cluster", "sets", "text")
