@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +25,13 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 GRID = T.StructType([T.StructField("cells", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("row_spans", T.ArrayType(T.BooleanType()))])
 
 
+#: What a cell's text must hold for cleaning to change it: tags, entities, runs of white space or white space that becomes another.
+UNCLEAN = re.compile("[<&\xa0\t\r\f\v]|\n\n|  ").search
+
+
 def _text(fragment: str) -> str:
+    if not UNCLEAN(fragment):
+        return fragment.strip()
     fragment = html.unescape(re.sub("<[^>]+>", "", re.sub("<br(?: ?/)?>", "\n", fragment))).replace("\xa0", " ")
     for run, one in (("[\t\r\f\v]+", " "), ("\n+", "\n"), (" +", " ")):
         fragment = re.sub(run, one, fragment)
@@ -51,7 +57,7 @@ def grid(table: str) -> tuple[list[list[str]], list[bool]]:
         high = False
         for attributes, inner in found:
             covered()
-            span = {k.lower(): max(1, int(v)) for k, v in reversed(re.findall(SPAN, attributes))}
+            span = {k.lower(): max(1, int(v)) for k, v in reversed(re.findall(SPAN, attributes))} if attributes else {}
             rows, text = span.get("rowspan", 1), _text(inner)
             high |= rows > 1
             for _ in range(span.get("colspan", 1)):
@@ -66,10 +72,11 @@ def grid(table: str) -> tuple[list[list[str]], list[bool]]:
     return cells, spans
 
 
-@F.pandas_udf(GRID)
-def table_grid(tables: pd.Series) -> pd.DataFrame:
-    found = [grid(t or "") for t in tables]
-    return pd.DataFrame({"cells": [c for c, _ in found], "row_spans": [s for _, s in found]})
+@F.arrow_udf(GRID)
+def table_grid(tables: pa.Array) -> pa.Array:
+    found = [grid(t or "") for t in tables.to_pylist()]
+    parts = [pa.array([c for c, _ in found], pa.list_(pa.list_(pa.string()))), pa.array([s for _, s in found], pa.list_(pa.bool_()))]
+    return pa.StructArray.from_arrays(parts, names=["cells", "row_spans"])
 
 
 def _table_name(lines: Column) -> Column:
@@ -126,23 +133,32 @@ def header_rows(cells: Column) -> Column:
     return F.when(F.size(cells) == 0, 0).when(first > 0, first - 1).otherwise(1).cast("int")
 
 
-def column_names(cells: Column, headers: Column) -> Column:
-    """The distinct header cells of a column joined by slashes; col_n where there are none; repeated names numbered."""
-    columns = transpose(cells)
+def plain_names(cells: Column, headers: Column) -> Column:
+    """The distinct header cells of a column joined by slashes; col_n where there are none."""
+    top = F.transform(F.slice(cells, F.lit(1), headers), lambda r: F.transform(r, utrim))
+    columns = F.transform(F.sequence(F.lit(0), F.greatest(_width(cells) - 1, F.lit(0))), lambda c: F.transform(top, lambda r: F.coalesce(F.get(r, c), F.lit(""))))
     run = lambda parts: F.aggregate(parts, F.array().cast("array<string>"), lambda s, x: F.when((x == "") | (F.coalesce(F.element_at(F.concat(F.array(F.lit("")), s), -1), F.lit("")) == x), s).otherwise(F.concat(s, F.array(x))))
-    names = F.transform(columns, lambda c, i: F.coalesce(F.nullif(utrim(F.array_join(run(F.transform(F.slice(c, F.lit(1), headers), utrim)), "/")), F.lit("")), F.concat(F.lit("col_"), (i + 1).cast("string"))))
+    names = F.transform(columns, lambda c, i: F.coalesce(F.nullif(utrim(F.array_join(run(c), "/")), F.lit("")), F.concat(F.lit("col_"), (i + 1).cast("string"))))
+    return F.when(_width(cells) == 0, F.array().cast("array<string>")).otherwise(names)
+
+
+def numbered(names: Column) -> Column:
+    """Names with a number behind those that stood before. names: a column that is there already, as each name looks at the earlier ones."""
     earlier = lambda i, x: F.size(F.filter(F.slice(names, F.lit(1), i), lambda y: y == x))
-    return F.transform(names, lambda x, i: F.when(earlier(i, x) > 0, F.concat(x, F.lit("__"), (earlier(i, x) + 1).cast("string"))).otherwise(x))
+    repeated = F.transform(names, lambda x, i: F.when(earlier(i, x) > 0, F.concat(x, F.lit("__"), (earlier(i, x) + 1).cast("string"))).otherwise(x))
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(repeated)
 
 
 def parse_tables(tables: DataFrame, keys: list[str]) -> DataFrame:
     """keys, table_name, columns, header_rows, is_transposed, row_count, rows (array of arrays, blank rows left out), data_row_spans."""
     out = tables.withColumn("__g", table_grid("table_html")).withColumn("is_transposed", has_left_header(F.col("__g.cells")))
     out = out.withColumn("cells", F.when(F.col("is_transposed"), transpose(F.col("__g.cells"))).otherwise(F.col("__g.cells")))
-    out = out.withColumn("header_rows", header_rows(F.col("cells"))).withColumn("columns", column_names(F.col("cells"), F.col("header_rows")))
+    out = out.withColumn("header_rows", header_rows(F.col("cells"))).withColumn("__names", plain_names(F.col("cells"), F.col("header_rows"))).withColumn("columns", numbered(F.col("__names")))
     n = F.size("columns")
     body = F.slice("cells", F.col("header_rows") + 1, F.size("cells"))
-    rows = F.transform(F.filter(body, lambda r: F.exists(r, lambda x: utrim(x) != "")), lambda r: F.transform(F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(n - F.size(r), F.lit(0)))), F.lit(1), n), utrim))
+    # cells come without white space around them, and rows without empty cells at their end
+    filled = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(n - F.size(r), F.lit(0)))), F.lit(1), n)
+    rows = F.transform(F.filter(body, lambda r: F.exists(r, lambda x: x != "")), lambda r: F.when(F.size(r) == n, r).otherwise(filled(r)))
     spans = F.exists(F.slice("__g.row_spans", F.col("header_rows") + 1, F.size("__g.row_spans")), lambda x: x)
     return out.select(*keys, "table_name", "columns", "header_rows", "is_transposed", F.size("cells").alias("row_count"), F.when(n == 0, F.array().cast("array<array<string>>")).otherwise(rows).alias("rows"), (~F.col("is_transposed") & spans).alias("data_row_spans"))
 

@@ -13,6 +13,7 @@ from ..config import DEFAULT
 from ..functions import text as tx
 from ..operators import fusion, lines, outline, prompts, tables
 from ..sources import files
+from ..staging import stage
 from . import ingest, online, retrieve
 from . import queries as q
 
@@ -115,9 +116,10 @@ CASE WHEN v > 1 THEN concat_ws(';', CASE WHEN vp THEN p1 END, CASE WHEN vs THEN
 def table_records(spark, sf_dir):
     """From HTML to grouped records: tables and their names, cells, spans, header rows, column names, rows that go on, groups."""
     keys = ["source_file", "table_index"]
-    found = tables.find_tables(_pair_tables(spark, sf_dir))
-    parsed = tables.parse_tables(found, keys)
-    out = tables.group_spans(tables.records(parsed, keys), keys).join(parsed.select(*keys, "table_name"), keys)
+    parsed = tables.parse_tables(tables.find_tables(_pair_tables(spark, sf_dir)), keys)
+    # a table's name goes along as a key: a join would parse all tables twice
+    named = [*keys, "table_name"]
+    out = tables.group_spans(tables.records(parsed, named), named)
     items = F.array_join(F.transform("sub_items", lambda m: F.array_join(F.map_values(m), ";")), "|")
     return out.select("source_file", "table_name", *_long("record_no"), F.col("record")["No"].alias("no"), F.try_element_at("record", F.lit("Item/Part")).alias("part"), F.try_element_at("record", F.lit("Item/Supplier")).alias("supplier"), F.try_element_at("record", F.lit("State/Flag")).alias("flag"), items.alias("items"))
 
@@ -126,10 +128,10 @@ def table_records(spark, sf_dir):
 def table_shapes(spark, sf_dir):
     """Places, header rows, column names and span tests of the same tables."""
     keys = ["source_file", "table_index"]
-    docs = _pair_tables(spark, sf_dir)
-    found = tables.find_tables(docs)
+    docs = stage(_pair_tables(spark, sf_dir), "docs")
+    found = stage(tables.find_tables(docs), "tables")
     at = lines.offsets_to_lines(docs, found.select("source_file", F.col("start_char").alias("offset"))).withColumnRenamed("offset", "start_char")
-    parsed = tables.parse_tables(found, keys).join(found.select(*keys, "start_char"), keys).join(at, ["source_file", "start_char"])
+    parsed = tables.parse_tables(found, [*keys, "start_char"]).join(at, ["source_file", "start_char"])
     return parsed.select("source_file", *_long("start_char", "line_no"), F.array_join("columns", ",").alias("columns"), *_long("header_rows", "row_count"), "data_row_spans", "is_transposed")
 
 

@@ -1,11 +1,12 @@
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.config import Settings
 from siltstone.operators import catalog, tables
-from siltstone.plans import ingest
+from siltstone.plans import ingest, whole_queries
 
 GROUPED = """before
 Prices
@@ -105,3 +106,20 @@ def test_second_name_in_lower_case(spark):
     names = spark.createDataFrame([(1, "alpha VIRUS"), (2, "the alpha virus strain")], "query_id int, name string")
     assert {r.query_id: r.found_by for r in catalog.lookup(names, built).collect()} == {1: "exact", 2: "contains"}
     assert built.select(catalog.level_of(F.col("lab_level"), F.lit("culture")).alias("x")).first().x == "x"
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data here")
+def test_tables_are_parsed_once(spark):
+    """The plan of grouped records with their names works out each table's grid once."""
+    out = whole_queries.table_records(spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_names_and_cells(spark):
+    """Names that repeat, cells with white space around them, rows of other lengths."""
+    text = "T\n<table><tr><td>a</td><td> a </td><td>b</td></tr><tr><td>1</td><td>　x&nbsp;</td></tr><tr><td></td></tr><tr><td>2</td><td>y</td><td>z</td></tr></table>"
+    docs = spark.createDataFrame([("d", text)], "source_file string, text string")
+    keys = ["source_file", "table_index"]
+    parsed = tables.parse_tables(tables.find_tables(docs), keys)
+    row = parsed.first()
+    assert (row["columns"], row["rows"]) == (["a", "a__2", "b"], [["1", "x", ""], ["2", "y", "z"]])
