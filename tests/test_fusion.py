@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.config import Settings
-from siltstone.operators import fusion
+from siltstone.operators import fusion, search
 from siltstone.plans import retrieve
 
 
@@ -65,3 +65,15 @@ def test_repeated_headings_may_go(spark):
     hits = spark.createDataFrame([(1, 1, "a", 0.9)], "query_id int, rank int, chunk_id string, score double")
     assert fusion.promote(hits, chunks, Settings(strip_repeated_heading=True)).first().content == "H\nx\n\ny"
     assert fusion.promote(hits, chunks).first().content == "H\nx\n\nH\n\ny"
+
+
+def test_scores_are_dealt_by_text(spark, monkeypatch):
+    """More scores than tasks should hold get more tasks, with the same hits."""
+    docs = spark.createDataFrame([(k, f"a b{k % 3}", "r") for k in range(40)], "chunk_id long, text string, role string")
+    queries = spark.createDataFrame([(1, "a b1"), (2, "a b2")], "query_id long, text string")
+    run = lambda: search.bm25(docs, queries, 3, role="role")
+    usual = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(search, "PAIRS", 10)
+    found = run()
+    assert "hashpartitioning(chunk_id" in found._jdf.queryExecution().executedPlan().toString() and search.tasks_for(105, docs) == 11
+    assert sorted(map(tuple, found.collect())) == usual and len(usual) == 6
