@@ -44,7 +44,10 @@ def is_blank(text: Column) -> Column:
 
 
 def starts_like(text: Column, patterns: tuple[str, ...], ignore_case: bool = False) -> Column:
-    return text.rlike(("(?iuU)" if ignore_case else "(?U)") + "^(?:" + "|".join(patterns) + ")")
+    """Whether a text begins like one of the patterns. Those that begin with anything share one walk over the text instead of one each."""
+    inner = [p[2:] for p in patterns if p.startswith(".+")]
+    every = [p for p in patterns if not p.startswith(".+")] + ([".+(?:" + "|".join(inner) + ")"] if inner else [])
+    return text.rlike(("(?iuU)" if ignore_case else "(?U)") + "^(?:" + "|".join(every) + ")")
 
 
 def token_half(text: Column) -> Column:
@@ -75,20 +78,29 @@ def numbering_depth(text: Column) -> Column:
     return F.when(dotted != "", F.regexp_count(dotted, F.lit("[.．]")) + 1).when(text.rlike(f"^{ORDINAL}[、．.]"), 1).when(text.rlike(f"^[（(]{ORDINAL}[)）]"), 2).otherwise(0)
 
 
-def heading(text: Column, settings: Settings = DEFAULT) -> Column:
-    """struct(level, title) of a cleaned line; level 0 for no heading. Hashes first, then CJK ordinals, dotted numbers, ordinals in brackets."""
+def _heading(text: Column, settings: Settings) -> Column:
+    """struct(level, title) of a text that may be a heading."""
     hashes = F.regexp_extract(text, r"(?U)^(#{1,6})\s+(.*)", 1)
     title = utrim(F.regexp_extract(text, r"(?U)^(#{1,6})\s+(.*)", 2))
-    marked = F.least(F.greatest(F.length(hashes), numbering_depth(title)), F.lit(settings.heading_cap))
+    depth = F.when(text.rlike(rf"(?U)^#{{1,6}}\s+[\d（({ORDINAL[1:-2]}]"), numbering_depth(title)).otherwise(0)
+    marked = F.least(F.greatest(F.length(hashes), depth), F.lit(settings.heading_cap))
     numbers = F.regexp_extract(text, r"(?U)^(\d+(?:[.．]\d+)+)\s*(.*)", 1)
     rest = F.regexp_extract(text, r"(?U)^(\d+(?:[.．]\d+)+)\s*(.*)", 2)
     first = F.regexp_extract(numbers, r"(?U)^0*(\d+)", 1)
     chapter = (numbers != "") & (first != "0") & (F.length(first) <= 3) & ((rest == "") | rest.rlike(r"^[\u4e00-\u9fffA-Za-z(（]"))
     dotted = F.least(F.regexp_count(numbers, F.lit("[.．]")) + 1, F.lit(settings.heading_cap))
-    level = F.when(hashes != "", marked).when(text.rlike(f"^{ORDINAL}[、．.]"), 1).when(chapter, dotted).when(text.rlike(f"^[（(]{ORDINAL}[)）]"), 2).otherwise(0).cast("int")
-    found = F.struct(level.alias("level"), F.when(hashes != "", title).when(level > 0, text).otherwise("").alias("title"))
-    # most lines begin like no heading, which one look tells
-    return F.when(text.rlike(r"(?U)^[#\d（(一二三四五六七八九十]"), found).otherwise(F.struct(F.lit(0).alias("level"), F.lit("").alias("title")))
+    level = F.when(text.rlike(f"^{ORDINAL}[、．.]"), 1).when(chapter, dotted).when(text.rlike(f"^[（(]{ORDINAL}[)）]"), 2).otherwise(0).cast("int")
+    unmarked = F.transform(F.array(level), lambda n: F.struct(n.alias("level"), F.when(n > 0, text).otherwise("").alias("title")))
+    return F.when(F.startswith(text, F.lit("#")), F.struct(marked.cast("int").alias("level"), title.alias("title"))).otherwise(F.get(unmarked, F.lit(0)))
+
+
+def heading(text: Column, settings: Settings = DEFAULT) -> Column:
+    """struct(level, title) of a cleaned line; level 0 for no heading. Hashes first, then CJK ordinals, dotted numbers, ordinals in brackets.
+
+    Most lines begin like no heading, which one look tells. What the others need stands in a lambda, so that it doesn't make
+    the code for all lines too large to be compiled."""
+    maybe = text.rlike(rf"(?U)^(?:#{{1,6}}\s|\d+[.．]\d|{ORDINAL}[、．.]|[（(]{ORDINAL}[)）])")
+    return F.when(maybe, F.get(F.transform(F.array(text), lambda t: _heading(t, settings)), F.lit(0))).otherwise(F.struct(F.lit(0).alias("level"), F.lit("").alias("title")))
 
 
 def is_numbered_item(text: Column, settings: Settings = DEFAULT) -> Column:

@@ -12,6 +12,19 @@ from ..staging import stage
 FLAGS = ("is_noise", "is_table", "is_empty", "is_image", "is_tail_section")
 
 
+#: Rows that a task sorts and holds at most, about, where windows follow each other, and the least that a task of its own is worth.
+ROWS_A_TASK, LEAST_ROWS = 200_000, 20_000
+
+
+def dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """Rows (n of them in all, about) dealt by their keys to as many tasks as keep a task's rows bounded, however many there are.
+
+    The number is named, so that Spark doesn't put tasks together by the bytes that it shuffles: windows in a row sort and hold
+    many times as much."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(1, min(usual, -(-n // LEAST_ROWS)), -(-n // ROWS_A_TASK)), *by)
+
+
 def explode_lines(docs: DataFrame, doc: str = "source_file", text: str = "text") -> DataFrame:
     """doc, line_no (from 1), raw."""
     lines = docs.select(doc, F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")).alias("p", "raw"))

@@ -174,26 +174,62 @@ def merge_tiny(measured_blocks: DataFrame, doc: str = "source_file", settings: S
     return _merged(measured_blocks, lambda b: found(each(b, lambda x: x["half"]), each(b, lambda x: F.coalesce(F.get(x["breadcrumb"], F.lit(0)), F.lit("")))), doc, end=2)
 
 
+def _pieces(level: list[int], half: list[int], block: list[int], own: list[int], settings: Settings) -> list[list[int]]:
+    """Pieces (first, last, cut ...) of a document's stretches, each of which a heading begins: block, own: the number and level of its block; cuts: the stretches whose headings a piece has below its block's, in order."""
+    pieces: list[tuple[int, int, int, list[int]]] = []
+    for k, number in enumerate(block):
+        if k and block[k - 1] == number:
+            pieces[-1] = (pieces[-1][0], k, own[k], [])
+        else:
+            pieces.append((k, k, own[k], []))
+    for _ in range(settings.heading_cap):
+        out: list[tuple[int, int, int, list[int]]] = []
+        for first, last, top, cuts in pieces:
+            deeper = [k for k in range(first + 1, last + 1) if level[k] > top] if sum(half[first : last + 1]) // 2 + 1 > settings.block_max else []
+            if not deeper:
+                out.append((first, last, top, cuts))
+                continue
+            least = min(level[k] for k in deeper)
+            at = [k for k in deeper if level[k] == least]
+            out.append((first, at[0] - 1, top, cuts))
+            out += [(k, end - 1, least, [*cuts, k]) for k, end in zip(at, [*at[1:], last + 1], strict=True)]
+        pieces = out
+    return [[first, last, *cuts] for first, last, _, cuts in pieces]
+
+
 def split_oversized(lines: DataFrame, measured_blocks: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:
     """Cuts blocks above the largest size at their shallowest deeper heading, again and again: as many rounds as there are levels. The first piece keeps title and breadcrumb; the others add their heading.
 
-    Each round is a few windows over the lines, all within a document, so that the lines are shuffled once for all rounds."""
+    Lines become stretches from heading to heading by one window, and a document's stretches go through a fold that sees levels and sizes only."""
     start = F.struct("title", "heading_level", "breadcrumb", "shell", "last_line", F.col("block_no").alias("no"))
     content = ~F.col("is_noise") & ~F.col("is_table") & ~F.col("is_empty")
     body = lines.select(doc, "line_no", F.col("heading_level").alias("level"), "heading_title", F.when(content, token_half(F.col("cleaned"))).otherwise(0).alias("half"))
     now = latest_before(body, measured_blocks.select(doc, F.col("first_line").alias("line_no"), start.alias("block")), [doc], ["line_no"], "block")
-    now = now.where(F.col("line_no") <= F.col("block.last_line")).withColumn("no", F.col("block.no"))
-    for _ in range(settings.heading_cap):
-        block = Window.partitionBy(doc, "no")
-        so_far = block.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        now = now.withColumn("__large", F.floor(F.sum("half").over(block) / 2) + 1 > settings.block_max).withColumn("__at", F.row_number().over(block.orderBy("line_no")))
-        now = now.withColumn("__deeper", F.when(F.col("__large") & (F.col("__at") > 1) & (F.col("level") > F.col("block.heading_level")), F.col("level")))
-        now = now.withColumn("__starts", F.coalesce(F.col("__deeper") <= F.min("__deeper").over(block), F.lit(False)))
-        now = now.withColumn("__own", F.last(F.when(F.col("__starts"), F.struct("heading_title", "level")), ignorenulls=True).over(so_far))
-        trail = F.concat("block.breadcrumb", F.array("__own.heading_title"))
-        piece = F.struct(F.col("__own.heading_title").alias("title"), F.col("__own.level").cast("int").alias("heading_level"), trail.alias("breadcrumb"), F.col("block.shell").alias("shell"), F.col("block.last_line").alias("last_line"), F.col("block.no").alias("no"))
-        whole = Window.partitionBy(doc).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        now = now.withColumn("block", F.when(F.col("__own").isNull(), F.col("block")).otherwise(piece))
-        now = now.withColumn("no", F.sum((F.col("__starts") | (F.col("__at") == 1)).cast("int")).over(whole) - 1).drop("__large", "__at", "__deeper", "__starts", "__own")
-    found = now.groupBy(doc, F.col("no").cast("int").alias("block_no")).agg(F.first("block").alias("b"), F.min("line_no").cast("int").alias("first_line"), F.max("line_no").cast("int").alias("last_line"), F.sum("half").alias("half"))
-    return found.select(doc, "block_no", "b.title", "b.heading_level", F.col("first_line").alias("start_line"), F.col("last_line").alias("end_line"), "b.breadcrumb", "first_line", "last_line", "b.shell", "half")
+    now = now.where(F.col("line_no") <= F.col("block.last_line"))
+    order = Window.partitionBy(doc).orderBy("line_no")
+    now = now.withColumn("__before", F.lag("block.no").over(order))
+    begins = (F.col("level") > 0) | F.coalesce(F.col("__before") != F.col("block.no"), F.lit(True))
+    now = now.withColumn("__begins", begins).withColumn("__at", F.sum(begins.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # what a stretch has from its first line stands on that line only
+    head = F.when(F.col("__begins"), F.struct(F.col("level").cast("int").alias("level"), F.col("heading_title").alias("title"), "block"))
+    found = now.groupBy(doc, "__at").agg(F.min("line_no").cast("int").alias("first_line"), F.max("line_no").cast("int").alias("last_line"), F.coalesce(F.sum("half"), F.lit(0)).alias("half"), F.first(head, ignorenulls=True).alias("h"))
+    listed = found.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("__at", "first_line", "last_line", "half", "h"))).alias("s"))
+
+    @F.pandas_udf(RUNS)
+    def cut(level: pd.Series, half: pd.Series, block: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([_pieces(*(x.tolist() for x in row), settings) for row in zip(level, half, block, own, strict=True)], dtype=object)
+
+    each = lambda f: F.transform("s", f)
+    listed = listed.withColumn("pieces", cut(each(lambda x: x["h"]["level"]), each(lambda x: x["half"]), each(lambda x: x["h"]["block"]["no"]), each(lambda x: x["h"]["block"]["heading_level"])))
+
+    def built(r: Column) -> Column:
+        first, last = F.get("s", F.get(r, F.lit(0))), F.get("s", F.get(r, F.lit(1)))
+        cuts = F.slice(r, F.lit(3), F.greatest(F.size(r) - 2, F.lit(0)))
+        block, own = first["h"]["block"], first["h"]
+        half = F.aggregate(F.slice("s", F.get(r, F.lit(0)) + 1, F.get(r, F.lit(1)) - F.get(r, F.lit(0)) + 1), F.lit(0).cast("long"), lambda a, x: a + x["half"])
+        whole = F.size(cuts) == 0
+        trail = F.when(whole, block["breadcrumb"]).otherwise(F.concat(block["breadcrumb"], F.transform(cuts, lambda k: F.get("s", k)["h"]["title"])))
+        values = (F.when(whole, block["title"]).otherwise(own["title"]), F.when(whole, block["heading_level"]).otherwise(own["level"]), first["first_line"], last["last_line"], trail, first["first_line"], last["last_line"], block["shell"], half)
+        return F.struct(*(v.cast(kind).alias(n) for v, (n, kind) in zip(values, (x.split(" ", 1) for x in BLOCK.split(", ")), strict=True)))
+
+    return listed.select(doc, F.posexplode(F.transform("pieces", built)).alias("block_no", "b")).select(doc, "block_no", "b.*")
