@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import is_blank, utrim
+from ..staging import staged
 from .lines import positions
 
 LEXICON = Path(__file__).resolve().parent.parent / "data" / "lexicon.json"
@@ -99,6 +100,9 @@ def _by_role(words: Words, scope: str, settings: Settings) -> Column:
 def scored(chunks: DataFrame, words: Words, key: str = "chunk_id", settings: Settings = DEFAULT, keep: list[str] | None = None) -> DataFrame:
     """key (or the columns to keep) and scores: of each role in order a struct (score, back, role), back the negative place of the role, so that the greatest is the best.
 
+    Scores are exploded by the outer form (they are never empty): before the other one Spark puts a filter that works all of
+    them out again, many times over.
+
     All within the row: no join and no shuffle. Body keywords count a few times at most, heading keywords by presence and
     twice, structure adds its bonus."""
     names = keep or [key]
@@ -114,7 +118,7 @@ def scored(chunks: DataFrame, words: Words, key: str = "chunk_id", settings: Set
 
 def scores(chunks: DataFrame, words: Words, key: str = "chunk_id", settings: Settings = DEFAULT) -> DataFrame:
     """key, role, role_ord, score: every role of every chunk (key, content, heading_path)."""
-    return scored(chunks, words, key, settings).select(key, F.inline("scores")).select(key, "role", (-F.col("back")).alias("role_ord"), "score")
+    return scored(chunks, words, key, settings).select(key, F.inline_outer("scores")).select(key, "role", (-F.col("back")).alias("role_ord"), "score")
 
 
 def argmax(scored_chunks: DataFrame, key: str = "chunk_id", keep: list[str] | None = None) -> DataFrame:
@@ -138,8 +142,11 @@ def parse_role(answer: Column, settings: Settings = DEFAULT) -> Column:
 
 
 def low_margin(tagged: DataFrame, settings: Settings = DEFAULT, order: str = "chunk_id") -> DataFrame:
-    """Rows below the margin with custom_id, their place among these (from 0) in the order."""
-    return positions(tagged.where(F.col("confidence") < settings.low_margin), order, "custom_id")
+    """Rows below the margin with custom_id, their place among these (from 0) in the order.
+
+    They are chosen from a staged table: a filter on what isn't written yet would work the roles out many times over, and the
+    ranges of the order once more."""
+    return positions(staged(tagged, "tagged").where(F.col("confidence") < settings.low_margin), order, "custom_id")
 
 
 def backfill(tagged: DataFrame, low: DataFrame, answers: DataFrame, key: str = "chunk_id", settings: Settings = DEFAULT) -> DataFrame:

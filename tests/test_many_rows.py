@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import Settings
 from siltstone.functions import text as tx
-from siltstone.operators import lines, outline
+from siltstone.operators import lines, outline, roles
 
 
 def test_rows_are_dealt_to_as_many_tasks_as_they_need(spark):
@@ -36,3 +36,22 @@ def test_heading_candidates(spark):
     rows = [("# 1.2.3 deep", 3, "1.2.3 deep"), ("#none", 0, ""), ("12 parts", 0, ""), ("3.4 Sort", 2, "3.4 Sort"), ("0.4 Sort", 0, ""), ("一、x", 1, "一、x"), ("（二）y", 2, "（二）y"), ("## （二）y", 2, "（二）y"), ("", 0, "")]
     got = spark.createDataFrame([(x,) for x, _, _ in rows], "x string").select("x", tx.heading(F.col("x")).alias("h")).collect()
     assert [(r.x, r.h.level, r.h.title) for r in got] == rows
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_are_worked_out_once(spark):
+    docs = spark.createDataFrame([("a", "h\nthe step", "src1"), ("b", "", None)], "chunk_id string, content string, heading_path string")
+    words = [("sop", "body", "step", 3), ("notice", "heading", "src1", 2)]
+    assert _plan(roles.scores(docs, words)).count("RLIKE") <= _plan(roles.scored(docs, words)).count("RLIKE")
+    got = {(r.chunk_id, r.role): r.score for r in roles.scores(docs, words).collect()}
+    assert (got["a", "sop"], got["a", "notice"], got["b", "junk"], len(got)) == (3, 4, 20, 18)
+
+
+def test_low_margins_come_from_a_staged_table(spark):
+    docs = spark.createDataFrame([("a", "h\nthe step of a long enough text", ""), ("b", "h\nnothing at all in this long text", "")], "chunk_id string, content string, heading_path string")
+    low = roles.low_margin(roles.argmax(roles.scored(docs, [("sop", "body", "step", 3)])))
+    assert "RLIKE" not in _plan(low)
+    assert [(r.chunk_id, r.custom_id) for r in low.collect()] == [("b", 0)]
