@@ -103,7 +103,8 @@ def with_breadcrumb(chunks: Column, breadcrumb: Column) -> Column:
 
 def exploded(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """One row a chunk: keys, chunk_idx, title, content, start_line, end_line, heading_level, token_estimate. Blocks without chunks go."""
-    out = blocks.select(*keys, F.posexplode("chunks").alias("chunk_idx", "x"))
+    # the outer form, as Spark puts a filter before the other one that works the array out again
+    out = blocks.select(*keys, F.posexplode_outer("chunks").alias("chunk_idx", "x")).where("chunk_idx IS NOT NULL")
     return out.select(*keys, "chunk_idx", "x.title", "x.content", "x.start_line", "x.end_line", "x.heading_level", tokens_of(F.col("x.half")).alias("token_estimate"))
 
 

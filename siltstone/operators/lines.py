@@ -27,7 +27,7 @@ def dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
 
 def explode_lines(docs: DataFrame, doc: str = "source_file", text: str = "text") -> DataFrame:
     """doc, line_no (from 1), raw."""
-    lines = docs.select(doc, F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")).alias("p", "raw"))
+    lines = docs.select(doc, F.posexplode_outer(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")).alias("p", "raw")).where("p IS NOT NULL")
     return lines.select(doc, (F.col("p") + 1).alias("line_no"), "raw")
 
 

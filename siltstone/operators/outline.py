@@ -149,7 +149,7 @@ def _merged(measured_blocks: DataFrame, runs: Callable[[Column], Column], doc: s
         values = (own["title"], own["heading_level"], first["start_line"], ends["end_line"], trail, first["first_line"], last["last_line"], own["shell"], half)
         return F.struct(*(v.cast(kind).alias(n) for v, (n, kind) in zip(values, (x.split(" ", 1) for x in BLOCK.split(", ")), strict=True)))
 
-    return listed.select(doc, F.posexplode(F.transform("runs", built)).alias("block_no", "b")).select(doc, "block_no", "b.*")
+    return listed.select(doc, F.posexplode_outer(F.transform("runs", built)).alias("block_no", "b")).where("block_no IS NOT NULL").select(doc, "block_no", "b.*")
 
 
 def merge_shells(measured_blocks: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:
@@ -232,4 +232,4 @@ def split_oversized(lines: DataFrame, measured_blocks: DataFrame, doc: str = "so
         values = (F.when(whole, block["title"]).otherwise(own["title"]), F.when(whole, block["heading_level"]).otherwise(own["level"]), first["first_line"], last["last_line"], trail, first["first_line"], last["last_line"], block["shell"], half)
         return F.struct(*(v.cast(kind).alias(n) for v, (n, kind) in zip(values, (x.split(" ", 1) for x in BLOCK.split(", ")), strict=True)))
 
-    return listed.select(doc, F.posexplode(F.transform("pieces", built)).alias("block_no", "b")).select(doc, "block_no", "b.*")
+    return listed.select(doc, F.posexplode_outer(F.transform("pieces", built)).alias("block_no", "b")).where("block_no IS NOT NULL").select(doc, "block_no", "b.*")
