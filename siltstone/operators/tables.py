@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from ..functions.text import utrim
 
 # --- fixed values: what a table, a row, a cell and a span look like; limits ---
 TABLE = r"(?is)<table\b.*?>.*?</table>"
-ROW = r"(?is)<tr\b.*?>.*?</tr>"
+ROW = r"(?isU)<tr\b.*?>.*?</tr>"
 CELL = r"(?is)<t[dh]\b([^>]*)>(.*?)</t[dh]>"
 SPAN = r"(?i)\b(rowspan|colspan)\s*=\s*['\"]?(\d+)"
 HEADER_SCAN, NAME_LOOKBACK, LEFT_ROWS = 12, 50, (2, 5)
@@ -22,7 +23,10 @@ SUB_ITEMS = "子项"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 # --- end of fixed values ---
 
-GRID = T.StructType([T.StructField("cells", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("row_spans", T.ArrayType(T.BooleanType()))])
+CELLS = T.StructType([T.StructField("cells", T.ArrayType(T.StringType())), T.StructField("high", T.BooleanType())])
+
+#: Rows of tables that are Python objects at a time.
+ROWS_AT_ONCE = 1000
 
 
 #: What a cell's text must hold for cleaning to change it: tags, entities, runs of white space or white space that becomes another.
@@ -38,45 +42,65 @@ def _text(fragment: str) -> str:
     return fragment.strip()
 
 
-def grid(table: str) -> tuple[list[list[str]], list[bool]]:
-    """Cells with spans filled in, rows without empty cells at their end; and which rows have a cell that spans rows."""
-    below: dict[int, tuple[str, int]] = {}  # column -> text and rows that it still covers
-    cells, spans = [], []
-    for row in re.findall(ROW, table):
-        found = re.findall(CELL, row)
-        if not found:
-            continue
-        line: list[str] = []
-
-        def covered(line: list[str] = line) -> None:
-            while below.get(len(line), ("", 0))[1] > 0:
-                text, left = below[len(line)]
-                below[len(line)] = text, left - 1
-                line.append(text)
-
-        high = False
-        for attributes, inner in found:
-            covered()
-            span = {k.lower(): max(1, int(v)) for k, v in reversed(re.findall(SPAN, attributes))} if attributes else {}
-            rows, text = span.get("rowspan", 1), _text(inner)
-            high |= rows > 1
-            for _ in range(span.get("colspan", 1)):
-                if rows > 1:
-                    below[len(line)] = text, rows - 1
-                line.append(text)
-        covered()
-        while line and not line[-1]:
-            line.pop()
-        cells.append(line)
-        spans.append(high)
-    return cells, spans
+def _row(row: str, below: dict[int, tuple[str, int]]) -> tuple[list[str], bool] | None:
+    """A row's cells with spans filled in, without empty cells at its end, and whether one of them spans rows; null for a row without cells. below: column -> text and rows that it still covers, which is brought up to date."""
+    found = re.findall(CELL, row)
+    if not found:
+        return None
+    line: list[str] = []
 
+    def covered() -> None:
+        while below.get(len(line), ("", 0))[1] > 0:
+            text, left = below[len(line)]
+            below[len(line)] = text, left - 1
+            line.append(text)
 
-@F.arrow_udf(GRID)
-def table_grid(tables: pa.Array) -> pa.Array:
-    found = [grid(t or "") for t in tables.to_pylist()]
-    parts = [pa.array([c for c, _ in found], pa.list_(pa.list_(pa.string()))), pa.array([s for _, s in found], pa.list_(pa.bool_()))]
-    return pa.StructArray.from_arrays(parts, names=["cells", "row_spans"])
+    high = False
+    for attributes, inner in found:
+        covered()
+        span = {k.lower(): max(1, int(v)) for k, v in reversed(re.findall(SPAN, attributes))} if attributes else {}
+        rows, text = span.get("rowspan", 1), _text(inner)
+        high |= rows > 1
+        for _ in range(span.get("colspan", 1)):
+            if rows > 1:
+                below[len(line)] = text, rows - 1
+            line.append(text)
+    covered()
+    while line and not line[-1]:
+        line.pop()
+    return line, high
+
+
+@F.arrow_udf(CELLS)
+def table_rows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Cells of a task's rows of tables (number, html), which come in order: what spans rows is carried from row to row and batch to batch, and a table's first row begins anew."""
+    below: dict[int, tuple[str, int]] = {}
+    for numbers, rows in batches:
+        parts = []
+        for at in range(0, len(rows), ROWS_AT_ONCE):
+            found = []
+            for number, row in zip(numbers.slice(at, ROWS_AT_ONCE).to_pylist(), rows.slice(at, ROWS_AT_ONCE).to_pylist(), strict=True):
+                if not number:
+                    below = {}
+                found.append(None if row is None else _row(row, below))
+            columns = [pa.array([x and x[0] for x in found], pa.list_(pa.string())), pa.array([x and x[1] for x in found], pa.bool_())]
+            parts.append(pa.StructArray.from_arrays(columns, names=["cells", "high"]))
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("cells", pa.list_(pa.string())), ("high", pa.bool_())]))
+
+
+def grids(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, table_name and __g (cells, row_spans): of each table its rows of cells, and which of them have a cell that spans rows.
+
+    Tables become rows before Python sees them, so that it holds a few rows at a time, however long a table is; rows are put
+    together again by the table's keys, by which the records are grouped later anyway."""
+    others = [] if "table_name" in keys else ["table_name"]
+    rows = tables.select(*keys, *others, F.posexplode_outer(F.regexp_extract_all("table_html", F.lit(ROW), F.lit(0))).alias("__row", "__html"))
+    # not deterministic, as it looks at the rows before: Spark leaves it where it stands
+    rows = rows.select(*keys, *others, "__row", table_rows.asNondeterministic()("__row", "__html").alias("__c"))
+    # the name goes along with the first row
+    rows = rows.select(*keys, *(F.when(F.coalesce("__row", F.lit(0)) == 0, F.col(c)).alias(c) for c in others), F.when(F.col("__c.cells").isNotNull(), F.struct("__row", "__c.cells", "__c.high")).alias("__own"))
+    listed = rows.groupBy(*keys).agg(*(F.max(c).alias(c) for c in others), F.array_sort(F.collect_list("__own")).alias("__r"))
+    return listed.select(*keys, *others, F.struct(F.col("__r.cells").alias("cells"), F.col("__r.high").alias("row_spans")).alias("__g"))
 
 
 def _table_name(lines: Column) -> Column:
@@ -151,7 +175,7 @@ def numbered(names: Column) -> Column:
 
 def parse_tables(tables: DataFrame, keys: list[str]) -> DataFrame:
     """keys, table_name, columns, header_rows, is_transposed, row_count, rows (array of arrays, blank rows left out), data_row_spans."""
-    out = tables.withColumn("__g", table_grid("table_html")).withColumn("is_transposed", has_left_header(F.col("__g.cells")))
+    out = grids(tables, keys).withColumn("is_transposed", has_left_header(F.col("__g.cells")))
     out = out.withColumn("cells", F.when(F.col("is_transposed"), transpose(F.col("__g.cells"))).otherwise(F.col("__g.cells")))
     out = out.withColumn("header_rows", header_rows(F.col("cells"))).withColumn("__names", plain_names(F.col("cells"), F.col("header_rows"))).withColumn("columns", numbered(F.col("__names")))
     n = F.size("columns")

@@ -123,3 +123,24 @@ def test_names_and_cells(spark):
     parsed = tables.parse_tables(tables.find_tables(docs), keys)
     row = parsed.first()
     assert (row["columns"], row["rows"]) == (["a", "a__2", "b"], [["1", "x", ""], ["2", "y", "z"]])
+
+
+def test_rows_get_to_python_instead_of_tables(spark):
+    """What spans rows is carried over batches of rows, tables begin anew, rows without cells don't count; no function sees a table or a line whole that needs no formula."""
+    long = "<table>" + "".join(f"<tr><td rowspan='3'>{k}</td><td>x</td></tr><tr><td>y</td></tr><tr></tr><tr><td>z</td></tr>" for k in range(600)) + "</table>"
+    texts = [long, "<table><tr><td>a</td><td rowspan='9'>b</td></tr></table>", "<table><tr><td>c</td></tr></table>", "<table></table>"]
+    docs = spark.createDataFrame([("d", "\n".join(texts))], "source_file string, text string").coalesce(1)
+    keys = ["source_file", "table_index"]
+    found = tables.grids(tables.find_tables(docs), keys)
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.table_index: (r["__g"]["cells"], r["__g"]["row_spans"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    rows = [[str(k), x] for k in range(600) for x in "xyz"]
+    assert got == {1: (rows, [r[1] == "x" for r in rows]), 2: ([["a", "b"]], [True]), 3: ([["c"]], [False]), 4: ([], [])}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "table_rows(__row" in plan(tables.parse_tables(tables.find_tables(docs), keys))
+    from siltstone.operators import lines
+    assert "_formulas(CASE WHEN" in plan(lines.parse(lines.explode_lines(docs)))
