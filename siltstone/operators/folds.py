@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RUN = T.ArrayType(T.IntegerType())
+#: The same for Arrow: numbers, and lists of them.
+NUMBERS, LISTS = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
+#: Items of a batch's rows that are Python objects at a time, but for a row that has more.
+ITEMS = 1 << 16
+
+
+def by_rows(fold: Callable[..., list | None], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """What a fold makes of each row's arrays, null where the first is: rows are taken a stretch of bounded items at a time, so that of a batch of long rows only numbers are held."""
+    sizes = columns[0].value_lengths().fill_null(0).to_pylist()
+    out, first, items = [], 0, 0
+    for k, n in enumerate([*sizes, ITEMS]):
+        if k > first and (items + n > ITEMS or k == len(sizes)):
+            rows = zip(*(c.slice(first, k - first).to_pylist() for c in columns), strict=True)
+            out.append(pa.array([None if row[0] is None else fold(*row) for row in rows], kind))
+            first, items = k, 0
+        items += n
+    return pa.concat_arrays(out) if out else pa.array([], kind)
 
 
 def filled_runs(halves: Iterable[int], least: int) -> list[list[int]]:
@@ -78,9 +95,9 @@ def _apart(fold: Callable[..., Column]) -> Callable[..., Column]:
 
 
 def runs_until(halves: Column, least: int) -> Column:
-    @F.pandas_udf(T.ArrayType(RUN))
-    def fold(x: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else filled_runs(map(int, a), least) for a in x], dtype=object)
+    @F.arrow_udf(T.ArrayType(RUN))
+    def fold(x: pa.Array) -> pa.Array:
+        return by_rows(lambda a: filled_runs(a, least), LISTS, x)
 
     return _apart(fold)(halves)
 
@@ -88,32 +105,32 @@ def runs_until(halves: Column, least: int) -> Column:
 def runs_within(halves: Column, most: int) -> Column:
     """Of an array of arrays: each one's runs."""
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(RUN)))
-    def fold(x: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else [fitting_runs(map(int, own), most) for own in a] for a in x], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.ArrayType(RUN)))
+    def fold(x: pa.Array) -> pa.Array:
+        return by_rows(lambda a: [fitting_runs(own, most) for own in a], pa.list_(LISTS), x)
 
     return _apart(fold)(halves)
 
 
 def bins(sizes: Column, limit: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def fold(x: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else bin_numbers(map(int, a), limit) for a in x], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def fold(x: pa.Array) -> pa.Array:
+        return by_rows(lambda a: bin_numbers(a, limit), NUMBERS, x)
 
     return _apart(fold)(sizes)
 
 
 def groups(sizes: Column, least: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def fold(x: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else group_numbers(map(int, a), least) for a in x], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def fold(x: pa.Array) -> pa.Array:
+        return by_rows(lambda a: group_numbers(a, least), NUMBERS, x)
 
     return _apart(fold)(sizes)
 
 
 def chosen(sizes: Column, originals: Column, promoted: Column, limit: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def fold(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else choices(map(int, a), map(int, b), map(bool, c), limit) for a, b, c in zip(x, y, z, strict=True)], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def fold(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        return by_rows(lambda a, b, c: choices(a, b, c, limit), NUMBERS, x, y, z)
 
     return _apart(fold)(sizes, originals, promoted)

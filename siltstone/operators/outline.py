@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Settings
 from ..functions.text import token_half
+from .folds import LISTS, by_rows
 from .lines import latest_before
 
 
@@ -155,9 +156,9 @@ def _merged(measured_blocks: DataFrame, runs: Callable[[Column], Column], doc: s
 def merge_shells(measured_blocks: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:
     """Merges empty blocks into what they head. A group is one document's blocks."""
 
-    @F.pandas_udf(RUNS)
-    def found(shell: pd.Series, level: pd.Series, chars: pd.Series) -> pd.Series:
-        return pd.Series([_shell_runs(*(list(x) for x in row), settings) for row in zip(shell, level, chars, strict=True)])
+    @F.arrow_udf(RUNS)
+    def found(shell: pa.Array, level: pa.Array, chars: pa.Array) -> pa.Array:
+        return by_rows(lambda *row: _shell_runs(*row, settings), LISTS, shell, level, chars)
 
     each = lambda b, f: F.transform(b, f)
     return _merged(measured_blocks, lambda b: found(each(b, lambda x: x["shell"]), each(b, lambda x: x["heading_level"]), each(b, lambda x: F.length(x["title"]))), doc, end=1)
@@ -166,9 +167,9 @@ def merge_shells(measured_blocks: DataFrame, doc: str = "source_file", settings:
 def merge_tiny(measured_blocks: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT) -> DataFrame:
     """Merges blocks below the least size within their root chapter."""
 
-    @F.pandas_udf(RUNS)
-    def found(half: pd.Series, root: pd.Series) -> pd.Series:
-        return pd.Series([_tiny_runs([int(x) for x in h], list(r), settings) for h, r in zip(half, root, strict=True)])
+    @F.arrow_udf(RUNS)
+    def found(half: pa.Array, root: pa.Array) -> pa.Array:
+        return by_rows(lambda *row: _tiny_runs(*row, settings), LISTS, half, root)
 
     each = lambda b, f: F.transform(b, f)
     return _merged(measured_blocks, lambda b: found(each(b, lambda x: x["half"]), each(b, lambda x: F.coalesce(F.get(x["breadcrumb"], F.lit(0)), F.lit("")))), doc, end=2)
@@ -215,9 +216,9 @@ def split_oversized(lines: DataFrame, measured_blocks: DataFrame, doc: str = "so
     found = now.groupBy(doc, "__at").agg(F.min("line_no").cast("int").alias("first_line"), F.max("line_no").cast("int").alias("last_line"), F.coalesce(F.sum("half"), F.lit(0)).alias("half"), F.first(head, ignorenulls=True).alias("h"))
     listed = found.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("__at", "first_line", "last_line", "half", "h"))).alias("s"))
 
-    @F.pandas_udf(RUNS)
-    def cut(level: pd.Series, half: pd.Series, block: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([_pieces(*(x.tolist() for x in row), settings) for row in zip(level, half, block, own, strict=True)], dtype=object)
+    @F.arrow_udf(RUNS)
+    def cut(level: pa.Array, half: pa.Array, block: pa.Array, own: pa.Array) -> pa.Array:
+        return by_rows(lambda *row: _pieces(*row, settings), LISTS, level, half, block, own)
 
     each = lambda f: F.transform("s", f)
     listed = listed.withColumn("pieces", cut(each(lambda x: x["h"]["level"]), each(lambda x: x["half"]), each(lambda x: x["h"]["block"]["no"]), each(lambda x: x["h"]["block"]["heading_level"])))

@@ -82,3 +82,17 @@ def test_null_and_empty_groups(spark):
     assert [tuple(r) for r in both] == [(1, None, None, None), (2, [], [], [])]
     none = spark.createDataFrame([], "query_id int, rank int, tokens int, original_tokens int, promoted boolean")
     assert fusion.budget(none).count() == 0
+
+
+def test_folds_take_rows_a_stretch_at_a_time(monkeypatch):
+    """Each row is folded by itself, whatever stretches a batch is cut into; null rows stay null."""
+    import pyarrow as pa
+
+    rows = [[1] * 4, [], None, [2] * 25, [3], [4] * 10, [5] * 9, None]
+    monkeypatch.setattr(folds, "ITEMS", 10)
+    most, concat = [], pa.concat_arrays
+    monkeypatch.setattr(folds.pa, "concat_arrays", lambda parts: most.extend(parts) or concat(parts))
+    got = folds.by_rows(lambda a: [len(a), sum(a)], folds.NUMBERS, pa.array(rows, pa.list_(pa.int64())))
+    assert got.to_pylist() == [None if r is None else [len(r), sum(r)] for r in rows]
+    assert [len(x) for x in most] == [3, 1, 1, 1, 2]
+    assert folds.by_rows(len, folds.NUMBERS, pa.array([], pa.list_(pa.int64()))).to_pylist() == []
