@@ -15,6 +15,8 @@ from .search import terms, top
 BUCKETS = 64
 #: Chunks of a group, about; a row holds what one term has in one group.
 GROUP = 128
+#: Groups that a task counts and lists at most, about.
+GROUPS_A_TASK = 16
 #: Groups whose rows of a bucket go into one file.
 GROUPS_A_FILE = 1 << 16
 #: Up to so many terms of a batch are named in the scan, so that Parquet skips row groups without them.
@@ -49,12 +51,18 @@ def grouped(docs: DataFrame, groups: int) -> DataFrame:
 
     Groups are dealt by a hash of the chunk, so that a stop word has as many rows as there are groups and no task gets all of
     its postings. The largest frequency and the shortest text bound what the group's chunks can get from the term, whatever
-    the collection's average length becomes."""
-    tokens = docs.select("chunk_id", F.coalesce("role", F.lit("")).alias("role"), terms(F.col("text")).alias("tokens"))
-    each = tokens.select("chunk_id", "role", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    counted = each.groupBy("term", "role", "chunk_id", "dl").agg(F.count("*").alias("tf")).withColumn("chunks", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)))
+    the collection's average length becomes.
+
+    Texts move once, to the task of their group, which counts and lists all that the group has: occurrences and counts, which
+    are many times as much, aren't shuffled. There are as many tasks as keep a task's groups bounded."""
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(usual, groups), -(-groups // GROUPS_A_TASK))
+    dealt = docs.select("chunk_id", F.coalesce("role", F.lit("")).alias("role"), "text", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).alias("chunks")).repartition(tasks, "chunks")
+    tokens = dealt.select("chunk_id", "role", "chunks", terms(F.col("text")).alias("tokens"))
+    each = tokens.select("chunk_id", "role", "chunks", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    counted = each.groupBy("chunks", "term", "role", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     rows = F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "dl")))
-    one = counted.groupBy("term", "role", "chunks").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), rows.alias("rows"))
+    one = counted.groupBy("chunks", "term", "role").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), rows.alias("rows"))
     return one.select("term", "role", "chunks", "n", "most_tf", "least_dl", F.col("rows.chunk_id").alias("ids"), F.col("rows.tf").alias("tfs"), F.col("rows.dl").alias("dls"))
 
 
@@ -69,11 +77,14 @@ def insert(docs: DataFrame, name: str, key: str | None = None) -> str:
     if spark.table(f"{name}_inserts").where(F.col("key") == key).limit(1).count():
         return key
     attempt = uuid.uuid4().hex
-    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(terms(F.col("text"))).cast("long")), F.lit(0)).cast("long").alias("total")).first()
-    rows = grouped(docs, max(1, -(-size.n // GROUP))).withColumn("insert", F.lit(attempt)).withColumn("bucket", bucket(F.col("term")))
+    n = docs.count()
+    rows = grouped(docs, max(1, -(-n // GROUP))).withColumn("insert", F.lit(attempt)).withColumn("bucket", bucket(F.col("term")))
     placed = rows.repartition("bucket", F.floor(F.col("chunks") / GROUPS_A_FILE)).sortWithinPartitions("bucket", "term", "role")
     placed.select(*spark.table(f"{name}_postings").columns).write.insertInto(f"{name}_postings")
-    spark.createDataFrame([(key, attempt, size.n, size.total)], "key string, insert string, n bigint, total bigint").write.insertInto(f"{name}_inserts")
+    # all occurrences are in the lists: no text is taken apart a second time for their number
+    own = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
+    total = spark.table(f"{name}_postings").where(F.col("insert") == attempt).agg(F.coalesce(F.sum(own), F.lit(0))).first()[0]
+    spark.createDataFrame([(key, attempt, n, total)], "key string, insert string, n bigint, total bigint").write.insertInto(f"{name}_inserts")
     return key
 
 

@@ -145,3 +145,15 @@ def test_similar_pairs_are_all_candidates(spark, least):
         assert len(met) < 0.1 * len(asked) * len(entries)
     got = {(r.asked, r.entry) for r in catalog._alike(a, e, least).collect()}
     assert got == wanted
+
+
+def test_texts_move_once(spark):
+    """Texts are dealt to their groups before anything is counted: the counts need no shuffle of their own, and all occurrences are in the lists."""
+    docs = spark.createDataFrame([(k, f"a b{k % 3} a c{k}" if k % 5 else None, "r" if k % 2 else None) for k in range(40)], "chunk_id long, text string, role string")
+    found = postings.grouped(docs, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    rows = found.collect()
+    assert sum(sum(r.tfs) for r in rows) == 32 * 4 and {r.chunks for r in rows} == {0, 1, 2}
+    assert sum(r.n for r in rows if r.term == "a") == 32 and all(r.most_tf == 2 and r.least_dl == 4 for r in rows if r.term == "a")
+    assert all(len(r.ids) == len(r.tfs) == len(r.dls) == r.n and list(r.ids) == sorted(r.ids) for r in rows)
