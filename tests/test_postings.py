@@ -157,3 +157,12 @@ def test_texts_move_once(spark):
     assert sum(sum(r.tfs) for r in rows) == 32 * 4 and {r.chunks for r in rows} == {0, 1, 2}
     assert sum(r.n for r in rows if r.term == "a") == 32 and all(r.most_tf == 2 and r.least_dl == 4 for r in rows if r.term == "a")
     assert all(len(r.ids) == len(r.tfs) == len(r.dls) == r.n and list(r.ids) == sorted(r.ids) for r in rows)
+
+
+def test_terms_run_no_lambda(spark):
+    """Empty pieces go by a function that Spark compiles; the terms are those of a plain split."""
+    texts = ["", None, "--", " A-b  c", "İx 漢字、b_c", "x"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", search.terms(F.col("text")).alias("t"))
+    assert "lambdafunction" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.text: r.t for r in frame.collect()}
+    assert got == {"": [], None: [], "--": [], " A-b  c": ["a", "b", "c"], "İx 漢字、b_c": ["i", "x", "漢字", "b", "c"], "x": ["x"]}
