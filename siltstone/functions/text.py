@@ -115,14 +115,15 @@ def _plain(fragment: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _formulas(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda x: x if x is None else re.sub(r"\$([^$]+)\$", lambda m: _plain(m[1]), x))
+def latex_clean(lines: pd.Series) -> pd.Series:
+    """Formulas between dollar signs become plain text."""
+    return lines.map(lambda x: x if x is None or "$" not in x else re.sub(r"\$([^$]+)\$", lambda m: _plain(m[1]), x))
 
 
-def latex_clean(text: Column) -> Column:
-    """Formulas between dollar signs become plain text. Other texts, which may be a whole table in a line, don't get to Python."""
+def without_formulas(text: Column) -> Column:
+    """latex_clean; texts without a dollar sign, which may be a whole table in a line, don't get to Python."""
     given = F.contains(text, F.lit("$"))
-    return F.when(given, _formulas(F.when(given, text))).otherwise(text)
+    return F.when(given, latex_clean(F.when(given, text))).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())

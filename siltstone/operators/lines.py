@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import BOILERPLATE, NOISE, TAIL, heading, is_image, is_table, latex_clean, starts_like, utrim
+from ..functions.text import BOILERPLATE, NOISE, TAIL, heading, is_image, is_table, starts_like, utrim, without_formulas
 from ..staging import stage
 
 FLAGS = ("is_noise", "is_table", "is_empty", "is_image", "is_tail_section")
@@ -44,7 +44,7 @@ def parse(lines: DataFrame, doc: str = "source_file", settings: Settings = DEFAU
     body = plain & ~F.col("__noise") & ~F.col("is_table")
     out = out.withColumn("is_image", body & is_image(F.col("raw"))).withColumn("__noise", F.col("__noise") | (body & starts_like(line, BOILERPLATE, True)))
     shown = ~F.col("__noise") & ~F.col("is_table") & plain & ~F.col("is_image")
-    out = out.withColumn("cleaned", F.when(shown, utrim(latex_clean(F.when(shown, F.col("raw")))) if latex else line).otherwise(""))
+    out = out.withColumn("cleaned", F.when(shown, utrim(without_formulas(F.when(shown, F.col("raw")))) if latex else line).otherwise(""))
     out = out.withColumn("__h", heading(F.col("cleaned"), settings)).withColumn("heading_level", F.col("__h.level")).withColumn("heading_title", F.col("__h.title"))
     out = sticky(out, starts_like(line, TAIL), "is_tail_section", doc).withColumn("__noise", F.col("__noise") | F.col("is_tail_section"))
     images = F.col("is_image") & ~F.col("__noise")

@@ -143,4 +143,4 @@ def test_rows_get_to_python_instead_of_tables(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "table_rows(__row" in plan(tables.parse_tables(tables.find_tables(docs), keys))
     from siltstone.operators import lines
-    assert "_formulas(CASE WHEN" in plan(lines.parse(lines.explode_lines(docs)))
+    assert "latex_clean(CASE WHEN" in plan(lines.parse(lines.explode_lines(docs)))
