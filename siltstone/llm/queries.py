@@ -41,7 +41,8 @@ def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix.deduplicate(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    # strings of 400 bytes go; passages of over 50 words are often shorter, and are counted
+    return suffix.deduplicate(documents, passages=suffix.PASSAGE).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "n_passages")
 
 
 def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

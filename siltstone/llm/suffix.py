@@ -8,6 +8,9 @@ of its anchor: they meet in blocks, all of an anchor in one, where a transform o
 anchor with too many kinds for a block is narrowed first: counts of its single strings' hashes say which strings can't recur,
 and what is left of each neighbourhood takes the same way again. If even then an anchor has too many kinds, its strings are
 counted one by one, by 128 bits of their bytes.
+
+Where shorter passages are wanted too, they are looked for first: a long string that recurs lies in a run of shorter ones that
+do, so that only these runs are looked at for it.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -27,6 +31,10 @@ from .common import Rolling, discard, signed, sliced, small, stage, text_bytes,
 LENGTH = 400
 STRETCH = 64
 
+#: Bytes of a string of a passage, its stretches, and words that a passage has more than.
+PASSAGE = (200, 48)
+PASSAGE_WORDS = 50
+
 #: Starts of strings that are looked at together.
 SEGMENT = 1 << 19
 
@@ -37,6 +45,9 @@ MOST_STARTS = 4096
 BLOCK_BYTES = 1 << 18
 BLOCK_NEIGHBOURS = 1500
 
+#: Codes of neighbouring suffixes that are compared one by one before intervals are extended.
+NEAR_CODES = 24
+
 FOUND = "anchor bigint, places int, one bigint, two bigint, key bigint, first bigint, last bigint"
 
 
@@ -139,20 +150,21 @@ def suffix_array(codes: np.ndarray, separators: int, depth: int) -> np.ndarray:
     # a stretch that meets a separator equals no other: behind the separator its place counts
     order = np.argsort(packed, kind="stable")
     value = packed[order]
-    new = np.r_[False, (value[1:] != value[:-1]) | apart[order[1:]] | apart[order[:-1]]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new)
+    new = np.r_[True, (value[1:] != value[:-1]) | apart[order[1:]] | apart[order[:-1]]]
+    # a suffix's rank is the place of the first that equals it so far; only those that equal others are sorted further
+    rank, active = np.empty(n, np.int64), np.arange(n)
+    rank[order] = np.maximum.accumulate(np.where(new, active, 0))
+    active = active[~(new & np.r_[new[1:], True])]
     span = 6
-    while span < depth:
-        second = np.zeros(n, np.int64)
-        second[: n - span] = rank[span:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key)
-        value = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[False, value[1:] != value[:-1]])
-        if rank[order[-1]] == n - 1:
-            break
+    while span < depth and len(active):
+        at = order[active]
+        key = rank[at] * n + rank[at + span]  # they agree for `span` codes, so that none ends there
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[active] = at
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[at] = active[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        active = active[~(new & np.r_[new[1:], True])]
         span *= 2
     return order
 
@@ -162,17 +174,27 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, stop: int) -> np.ndarr
 
     Breadth first by length: an interval of suffixes that begin with a string is extended backward by each code before
     them. The end of an extended interval has the string's length as its value if it has none yet, and only then the
-    interval stays in the queue. After `stop` rounds what has no value is longer."""
+    interval stays in the queue. After `stop` rounds what has no value is longer. The first rounds, in which the queue holds
+    nearly all suffixes, are left out: neighbours are compared for NEAR_CODES codes, and the queue begins with the intervals
+    that those rounds would leave."""
     n = len(codes)
+    out = np.full(n + 1, -1, np.int64)
+    out[0] = out[n] = 0
+    left, depth = np.arange(1, n), min(NEAR_CODES, stop)
+    for value in range(depth):
+        same = codes[order[left - 1] + value] == codes[order[left] + value]
+        out[left[~same]] = value
+        left = left[same]
+    bounds = np.flatnonzero(out >= 0)
+    low, high = bounds[:-1], bounds[1:]
+    ended = out[high] == depth - 1
+    low, high = low[ended], high[ended]
     before = codes[order - 1]  # the transform
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     back = place[order - 1]  # where the suffix that is longer by one code stands
-    out = np.full(n + 1, -1, np.int64)
-    out[0] = out[n] = 0
-    low, high = np.array([0]), np.array([n])
     span = np.int64(codes.max()) + 2
-    for value in range(stop):
+    for value in range(depth, stop):
         if not len(low):
             break
         sizes = high - low
@@ -341,49 +363,100 @@ def recurring_spans(df: DataFrame, length: int = LENGTH, stretch: int = STRETCH)
     return _recurring(stage(_find_anchors(df, length, stretch), "anchors"), df, length)
 
 
-def deduplicate(df: DataFrame, text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH, replace: bool = False) -> DataFrame:
+def recurring_within(df: DataFrame, runs: DataFrame, length: int, stretch: int) -> DataFrame:
+    """As recurring_spans, staged, for df (key, text) of whose strings of `length` bytes all that recur lie in the runs (key, spans: start, end; sorted, they may overlap): nothing else is looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            data, offsets = text_bytes(batch.column(1))
+            rows = [(key, a, data[begin + a : begin + b].tobytes()) for key, begin, spans in zip(batch.column(0).to_pylist(), offsets[:-1], _maximal(batch.column(2)), strict=True) for a, b in spans if b - a >= length]
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 3, kinds, strict=True)], ["of", "shift", "text"])
+
+    cut = df.join(runs, "key").select("key", "text", "spans").mapInArrow(tidy(run), "of bigint, shift bigint, text binary")
+    pieces = stage(cut.withColumn("key", F.monotonically_increasing_id()), "pieces", release=True)
+    found = recurring_spans(pieces, length, stretch).join(pieces.select("key", "of", "shift"), "key")
+    out = stage(found.select(F.col("of").alias("key"), (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end")), "within", release=True)
+    discard(pieces)
+    return out
+
+
+def _maximal(lists: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """Of each list of sorted spans the maximal runs; those that overlap or touch are one. Null lists have none."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(lists))]
+    owner, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+    if len(flat):
+        start, end = flat.field("start").to_numpy(), flat.field("end").to_numpy()
+        base = owner * (end.max() + 1)
+        upto = np.maximum.accumulate(base + end)
+        at = np.flatnonzero(np.r_[True, (base + start)[1:] > upto[:-1]])
+        last = np.r_[at[1:], len(upto)] - 1
+        for k, a, b in zip(owner[at].tolist(), start[at].tolist(), (upto - base)[last].tolist(), strict=True):
+            out[k].append((a, b))
+    return out
+
+
+def _words(text: bytes, start: int, end: int) -> int:
+    """Words of a text that lie in a stretch of it as a whole."""
+    cut = [k for k in (start, end) if 0 < k < len(text) and not text[k - 1 : k].isspace() and not text[k : k + 1].isspace()]
+    return max(0, len(text[start:end].split()) - len(cut))
+
+
+def _lists(spans: DataFrame, name: str) -> DataFrame:
+    spans = spans.groupBy("key", "start").agg(F.max("end").alias("end"))
+    return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
+
+
+def deduplicate(df: DataFrame, text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH, replace: bool = False, passages: tuple[int, int] | None = None) -> DataFrame:
     """All columns, with n_bytes, n_removed, n_spans, kept (binary: the bytes that are left; null with replace) and kept_sha256 added or replaced.
 
     Every byte in a string of `length` bytes that also starts anywhere else goes, judged on the input; strings don't cross
     texts. With replace the text column gets what is left, without bytes of characters that were cut in two (nulls stay).
-    Null texts are empty. Repeated rows are equal texts: each is a place of its own. An empty table gives none."""
-    names = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+    Null texts are empty. Repeated rows are equal texts: each is a place of its own. An empty table gives none.
+
+    With passages (bytes of a shorter string, its stretch) shorter strings that start anywhere else are found too, and stay:
+    n_repeated has the bytes that they cover, n_passages their maximal runs with over PASSAGE_WORDS whole words."""
+    names = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256") + (("n_repeated", "n_passages") if passages else ())
     # rows get their numbers once and are written with them: nothing rests on their content's hash or on their order
     keyed = stage(df.drop(*names).withColumn("__key", F.monotonically_increasing_id()), "rows")
     texts = keyed.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = recurring_spans(texts, length, stretch)
-    spans = spans.groupBy("key", "start").agg(F.max("end").alias("end")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    if passages:
+        if passages[0] > length:
+            raise ValueError("passages are shorter than what goes")
+        short = stage(_lists(recurring_spans(texts, *passages), "spans"), "passages", release=True)
+        spans = _lists(recurring_within(texts, short, length, stretch), "__spans")
+        spans = short.withColumnRenamed("spans", "__short").join(spans, "key", "left")
+    else:
+        spans = _lists(recurring_spans(texts, length, stretch), "__spans")
     spans = stage(spans, "spans", release=True).withColumnRenamed("key", "__key")
     joined = keyed.join(spans, "__key", "left").drop("__key")
-    at = joined.columns.index(text_col)
+    at, own_columns = joined.columns.index(text_col), len(keyed.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             data, offsets = text_bytes(batch.column(at))
             out = []
-            for a, b, spans in zip(offsets[:-1], offsets[1:], batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                text, parts, done, removed, runs = data[a:b].tobytes(), [], 0, 0, 0
-                upto = -1
-                for span in spans or ():
-                    s, e = span["start"], span["end"]
-                    if s > upto:
-                        parts.append(text[done:s])
-                        runs += 1
-                        removed += e - s
-                    elif e > upto:
-                        removed += e - upto
-                    upto = max(upto, e)
-                    done = upto
+            shorter = _maximal(batch.column(own_columns)) if passages else [[]] * batch.num_rows
+            for a, b, runs, found in zip(offsets[:-1], offsets[1:], _maximal(batch.column(batch.num_columns - 1)), shorter, strict=True):
+                text, parts, done, removed = data[a:b].tobytes(), [], 0, 0
+                for s, e in runs:
+                    parts.append(text[done:s])
+                    removed += e - s
+                    done = e
                 kept = b"".join(parts) + text[done:]
-                out.append((b - a, removed, runs, kept, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            own = batch.columns[:-1]
+                row = (b - a, removed, len(runs), kept, hashlib.sha256(kept).hexdigest())
+                if passages:
+                    row += (sum(e - s for s, e in found), sum(_words(text, s, e) > PASSAGE_WORDS for s, e in found))
+                out.append(row)
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())[: len(names)]
+            own = batch.columns[:own_columns]
             if replace:
                 null = batch.column(at).is_null().to_pylist()
                 own[at] = pa.array([None if gone else k.decode("utf-8", "ignore") for gone, k in zip(null, columns[3], strict=True)], pa.string())
                 columns[3] = [None] * len(null)
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names[:own_columns], *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
-    return joined.mapInArrow(tidy(run), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:own_columns])
+    more = ", n_repeated bigint, n_passages bigint" if passages else ""
+    return joined.mapInArrow(tidy(run), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string{more}")

@@ -170,6 +170,45 @@ def test_dedup_of_documents_against_windows(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == expected
 
 
+@pytest.mark.parametrize("cap", [1500, 2])
+def test_shorter_passages_against_windows(spark, monkeypatch, cap):
+    monkeypatch.setattr(suffix, "BLOCK_NEIGHBOURS", cap)
+    monkeypatch.setattr(suffix, "PASSAGE_WORDS", 12)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefg é") for _ in range(n))
+    short, long = [text(70) for _ in range(3)], text(260)
+    texts = [text(90) + rng.choice(short) + text(rng.randint(0, 60)) + rng.choice([long, long[40:180], ""]) + text(50) for _ in range(40)]
+    texts += [None, "", "a b " * 200, long, long, long + long, text(5000), text(39), " ".join("é" * 12), "w " * 13 + text(70)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix.deduplicate(clash(frame, "n_repeated", "spans"), length=100, stretch=24, passages=(40, 16)).collect()}
+    raw = [(t or "").encode() for t in texts]
+    again = Counter(b[i : i + 40] for b in raw for i in range(len(b) - 39))
+    for k, (b, (n, removed, runs, kept)) in enumerate(zip(raw, plain_dedup(texts, 100), strict=True)):
+        r = got[k]
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) == (n, removed, runs, kept, hashlib.sha256(kept).hexdigest())
+        covered = np.zeros(len(b), bool)
+        for i in range(len(b) - 39):
+            if again[b[i : i + 40]] > 1:
+                covered[i : i + 40] = True
+        words = [sum(m.start() >= x.start() and m.end() <= x.end() for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)) for x in re.finditer(rb"\x01+", covered.tobytes())]
+        assert (r.n_repeated, r.n_passages) == (covered.sum(), sum(w > 12 for w in words)), k
+    assert suffix.deduplicate(frame.limit(0), passages=(200, 48)).count() == 0
+
+
+def test_passages_of_over_fifty_words_show(spark, tmp_path):
+    """51 short words are fewer bytes than a string that goes: they stay, but the query counts them. 50 words are no passage."""
+    rng = random.Random(13)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 6))) for _ in range(n))
+    passage, less = text(51), text(50)
+    assert 200 <= len(passage) < 400
+    texts = [f"{text(80)} {passage} {text(30)}", f"{text(9)}\n{passage}\n{text(70)}", f"{text(60)} 1{less}2 {text(60)}", f"{text(20)} 3{less}4 {text(20)}", text(200), passage[: len(passage) // 3]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_suffix_dedup(spark, f"file://{tmp_path}").collect()}
+    assert [got[k].n_passages for k in range(6)] == [1, 1, 0, 0, 0, 0]
+    assert [got[k].n_repeated >= n for k, n in enumerate((len(passage), len(passage), len(less) - 2, len(less) - 2, 1, 1))] == [True] * 4 + [False] * 2
+    assert all((got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (0, 0, hashlib.sha256(t.encode()).hexdigest()) for k, t in enumerate(texts))
+
+
 # ------------------------------------------------------------------ packing
 
 
