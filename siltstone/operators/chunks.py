@@ -95,6 +95,24 @@ def sized(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return blocks
 
 
+def _merged_rows(rows: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
+    """merge_small for groups of any length: keys, chunk_no (of a run's first), chunk."""
+    placed = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("chunk_no"))).withColumn("__half", F.col("chunk.half"))
+    placed = placed.withColumn("__run", folds.run_rows(F.col("__n"), F.col("__half"), settings.chunk_min))
+    runs = placed.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("__x"))
+    each = lambda f: F.transform("__x", lambda x: x["chunk"][f])
+    first, last = F.get("__x", F.lit(0)), F.element_at("__x", -1)["chunk"]
+    chunk = _chunk(first["chunk"]["title"], F.array_join(each("content"), "\n\n"), first["chunk"]["start_line"], last["end_line"], first["chunk"]["heading_level"], _total(each("half")))
+    return runs.select(*keys, first["chunk_no"].alias("chunk_no"), chunk.alias("chunk"))
+
+
+def sized_rows(raw: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:
+    """`sized` for groups of any length: keys, chunk_no (any order), chunk, a row for each chunk, so that no row holds a whole group."""
+    merged = _merged_rows(raw, keys, settings).withColumn("__parts", split_large(F.array("chunk"), settings))
+    split = merged.select(*keys, "chunk_no", F.posexplode_outer("__parts").alias("__part", "chunk"))
+    return _merged_rows(split.select(*keys, F.struct("chunk_no", "__part").alias("chunk_no"), "chunk"), keys, settings)
+
+
 def with_breadcrumb(chunks: Column, breadcrumb: Column) -> Column:
     """Puts the way to the block on a line before each content and counts it."""
     way = F.array_join(breadcrumb, " > ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -134,3 +134,34 @@ def chosen(sizes: Column, originals: Column, promoted: Column, limit: int) -> Co
         return by_rows(lambda a, b, c: choices(a, b, c, limit), NUMBERS, x, y, z)
 
     return _apart(fold)(sizes, originals, promoted)
+
+
+def _in_order(start: Callable[[int], tuple[int, int]], step: Callable[[int, int, int], tuple[int, int]], places: Column, sizes: Column) -> Column:
+    """The number of each row of a task's groups, whose rows come in order: places: a row's place in its group from 1; start, step: the state and the number that a size begins with, or leads to. Nothing of a group is held."""
+
+    @F.arrow_udf(T.IntegerType())
+    def fold(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        state = number = 0
+        for batch in batches:
+            out = []
+            for place, size in zip(*(x.to_pylist() for x in batch), strict=True):
+                state, number = start(size) if place == 1 else step(state, number, size)
+                out.append(number)
+            yield pa.array(out, pa.int32())
+
+    return _apart(fold)(places, sizes)
+
+
+def run_rows(places: Column, halves: Column, least: int) -> Column:
+    """filled_runs, row by row: the number of a row's run."""
+    return _in_order(lambda own: (own, 0), lambda half, number, own: (half + own, number) if half // 2 + 1 < least else (own, number + 1), places, halves)
+
+
+def bin_rows(places: Column, sizes: Column, limit: int) -> Column:
+    """bin_numbers, row by row."""
+    return _in_order(lambda size: (size, 0), lambda used, number, size: (size, number + 1) if used > 0 and used + size > limit else (used + size, number), places, sizes)
+
+
+def group_rows(places: Column, sizes: Column, least: int) -> Column:
+    """group_numbers, row by row."""
+    return _in_order(lambda size: (size, 0), lambda used, number, size: (size, number + 1) if used >= least else (used + size, number), places, sizes)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import BOILERPLATE, NOISE, TAIL, heading, is_image, is_table, starts_like, utrim, without_formulas
+from ..functions.text import BOILERPLATE, NOISE, TAIL, heading, is_blank, is_image, is_table, ordered_join, starts_like, utrim, without_formulas
 from ..staging import stage
 
 FLAGS = ("is_noise", "is_table", "is_empty", "is_image", "is_tail_section")
@@ -31,6 +31,32 @@ def explode_lines(docs: DataFrame, doc: str = "source_file", text: str = "text")
     return lines.select(doc, (F.col("p") + 1).alias("line_no"), "raw")
 
 
+def pieces_of(docs: DataFrame, doc: str = "source_file", text: str = "text") -> DataFrame:
+    """doc, piece, text: documents as pieces in order, which are lines, and of lines with tables their rows.
+
+    However a document is cut, a piece ends behind a line end or before a <, so that no tag and no line end stands in two."""
+    return docs.select(doc, F.posexplode_outer(F.split(text, r"(?<=\n)|(?<=\r)(?!\n)|(?i)(?=<tr\b)")).alias("piece", "text")).where("piece IS NOT NULL")
+
+
+def of_pieces(pieces: DataFrame, doc: str = "source_file") -> DataFrame:
+    """doc, line_no (from 1), raw of documents that come as pieces (doc, piece, text; see pieces_of), so that no row has to hold a whole one.
+
+    Of a line that begins with a table only the beginning is kept, as nothing else of it is looked at."""
+    order = Window.partitionBy(doc).orderBy("piece")
+    parts = pieces.select(doc, "piece", F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n").alias("__parts"))
+    before = F.coalesce(F.sum(F.size("__parts") - 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(doc, "piece", "__parts", before.alias("__before"), F.lead(F.lit(True)).over(order).isNull().alias("__end"))
+    own = parts.select(doc, "piece", "__before", "__end", (F.size("__parts") - 1).alias("__last"), F.posexplode_outer("__parts").alias("__at", "raw"))
+    # what a piece has behind its last line end is the beginning of the next piece's first line
+    own = own.where((F.col("raw") != "") | (F.col("__at") < F.col("__last")) | F.col("__end"))
+    own = own.select(doc, (F.col("__before") + F.col("__at") + 1).cast("int").alias("line_no"), "piece", "raw")
+    line = Window.partitionBy(doc, "line_no").orderBy("piece")
+    shown = F.when(~is_blank(F.col("raw")), is_table(F.col("raw")))
+    own = own.withColumn("__shown", shown).withColumn("__table", F.first("__shown", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("__after", F.count("__shown").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    own = own.where(~F.coalesce("__table", F.lit(False)) | (F.col("__after") == 0))
+    return own.groupBy(doc, "line_no").agg(ordered_join("piece", "raw", "").alias("raw"))
+
+
 def parse(lines: DataFrame, doc: str = "source_file", settings: Settings = DEFAULT, latex: bool = True) -> DataFrame:
     """Adds cleaned, heading_level, heading_title and the flags.
 

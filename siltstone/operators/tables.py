@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import utrim
+from ..functions.text import WHITE, utrim
+from ..staging import small
 
 # --- fixed values: what a table, a row, a cell and a span look like; limits ---
 TABLE = r"(?is)<table\b.*?>.*?</table>"
@@ -103,6 +104,156 @@ def grids(tables: DataFrame, keys: list[str]) -> DataFrame:
     return listed.select(*keys, *others, F.struct(F.col("__r.cells").alias("cells"), F.col("__r.high").alias("row_spans")).alias("__g"))
 
 
+#: What one looks for in a document that comes in pieces: where tables and their rows begin and end.
+TAGS = re.compile(r"<(?:table\b|/table>|tr\b|/tr>)", re.I).finditer
+OUTSIDE, OPENING, INSIDE = range(3)
+
+FOUND = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("table_index", T.IntegerType()), ("row_no", T.IntegerType()), ("cells", T.ArrayType(T.StringType())), ("high", T.BooleanType()), ("line_no", T.IntegerType()), ("table_name", T.StringType()))]))
+FOUND_KINDS = (pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.int32(), pa.string())
+
+
+class _Reader:
+    """Reads a document piece by piece and holds no more of it than a row of a table, a line of text, and the last line that may name a table."""
+
+    def __init__(self) -> None:
+        self.table = self.row = OUTSIDE
+        self.index = self.rows = self.line_ends = self.lines = 0
+        self.partial = ""
+        #: The last usable line and its number.
+        self.usable = ("", -1)
+        self.held: list[str] = []
+
+    def _feed(self, text: str) -> None:
+        """Counts the lines of what stands before the next table, tables included."""
+        self.line_ends += text.count("\n") + (len(re.findall("\r(?!\n)", text)) if "\r" in text else 0)
+        *ended, partial = (text + ".").splitlines()
+        partial = partial[:-1]
+        if not ended and self.partial == "<":
+            return
+        if ended:
+            ended[0] = self.partial + ended[0]
+            for k in range(len(ended) - 1, -1, -1):
+                if line := self._own(ended[k]):
+                    self.usable = line, self.lines + k
+                    break
+            self.lines += len(ended)
+        else:
+            partial = self.partial + partial
+        self.partial = "<" if partial.strip(WHITE).startswith("<") else partial
+
+    @staticmethod
+    def _own(line: str) -> str:
+        line = line.strip(WHITE)
+        return "" if line.startswith("<") else line
+
+    def _name(self) -> str:
+        if own := self._own(self.partial):
+            return own
+        last, number = self.usable
+        return last if number >= self.lines + bool(self.partial) - NAME_LOOKBACK else ""
+
+    def _opened(self) -> None:
+        if self.table == OPENING:
+            self.table = INSIDE
+        if self.row == OPENING:
+            self.row = INSIDE
+
+    def read(self, text: str) -> Iterator[tuple]:
+        """(table, number, cells, spans rows, null, null) of each row that ends in this piece, (table, null, null, null, line, name) of each table that does."""
+        fed = seen = start = 0
+        for tag in TAGS(text):
+            a, b = tag.span()
+            if OPENING in (self.table, self.row) and text.find(">", seen, a) >= 0:
+                self._opened()
+            seen, kind = b, tag[0].lower()
+            if kind == "<table":
+                if self.table == OUTSIDE:
+                    self._feed(text[fed:a])
+                    fed = a
+                    self.table, self.index, self.rows, self.below = OPENING, self.index + 1, 0, {}
+                    self.shown = self.line_ends + 1, self._name()
+            elif self.table == OUTSIDE:
+                continue
+            elif kind == "<tr":
+                if self.row == OUTSIDE:
+                    self.row, start, self.held = OPENING, a, []
+            elif kind == "</table>" and self.table == INSIDE:
+                yield self.index, None, None, None, *self.shown
+                self.table = self.row = OUTSIDE
+            elif kind == "</tr>" and self.row == INSIDE:
+                self.row = OUTSIDE
+                if found := _row("".join([*self.held, text[start:b]]), self.below):
+                    yield self.index, self.rows, *found, None, None
+                    self.rows += 1
+                self._opened()
+            else:
+                self._opened()
+        if OPENING in (self.table, self.row) and text.find(">", seen) >= 0:
+            self._opened()
+        if self.row != OUTSIDE:
+            self.held.append(text[start:])
+        self._feed(text[fed:])
+
+
+@F.arrow_udf(FOUND)
+def tables_read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """What a task's pieces (place in the document from 1, text), which come in order, hold of tables."""
+    reader = _Reader()
+    for places, texts in batches:
+        parts = []
+        for at in range(0, max(1, len(texts)), ROWS_AT_ONCE):
+            found, ends = [], [0]
+            for place, text in zip(places.slice(at, ROWS_AT_ONCE).to_pylist(), texts.slice(at, ROWS_AT_ONCE).to_pylist(), strict=True):
+                if place == 1:
+                    reader = _Reader()
+                found += reader.read(text or "")
+                ends.append(len(found))
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(FOUND_KINDS)]
+            parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=FOUND.elementType.names)))
+        yield pa.concat_arrays(parts)
+
+
+def read_tables(pieces: DataFrame, doc: str = "source_file") -> DataFrame:
+    """doc, table_index (from 1), row_no (from 0), cells, high of each row of the tables of documents that come as pieces (doc, piece, text; see lines.pieces_of); and a row with line_no and table_name for each table that ends. The tables are those of `find_tables` and `grids`, but no row holds a whole one."""
+    placed = pieces.select(doc, "text", F.row_number().over(Window.partitionBy(doc).orderBy("piece")).alias("__n"))
+    found = placed.select(doc, tables_read.asNondeterministic()("__n", "text").alias("__t"))
+    return found.select(doc, F.explode_outer("__t").alias("__x")).where("__x IS NOT NULL").select(doc, "__x.*")
+
+
+def table_heads(found: DataFrame, doc: str = "source_file") -> DataFrame:
+    """doc, table_index, line_no, table_name, columns, header_rows, is_transposed, data_row_spans, cells (of a transposed table, which is small) of what `read_tables` found, by the upper rows."""
+    upper = F.array_sort(F.collect_list(F.when(F.col("row_no") < HEADER_SCAN, F.struct("row_no", "cells"))))
+    out = found.groupBy(doc, "table_index").agg(F.max("line_no").alias("line_no"), F.max("table_name").alias("table_name"), F.max(F.when(F.col("cells").isNotNull(), F.size("cells"))).alias("__width"), F.max(F.when(F.col("high"), F.col("row_no"))).alias("__high"), upper.alias("__upper"))
+    out = out.where(F.col("line_no").isNotNull()).withColumn("__upper", F.transform("__upper", lambda x: x["cells"]))
+    out = out.withColumn("is_transposed", has_left_header(F.col("__upper"))).withColumn("cells", F.when(F.col("is_transposed"), transpose(F.col("__upper"))).otherwise(F.col("__upper")))
+    out = out.withColumn("header_rows", header_rows(F.col("cells")))
+    # a row as wide as the widest stands for those that aren't here
+    width = F.when(F.col("is_transposed"), F.lit(0)).otherwise(F.coalesce("__width", F.lit(0)))
+    out = out.withColumn("__names", plain_names(F.concat("cells", F.array(F.array_repeat(F.lit(""), width))), F.col("header_rows"))).withColumn("columns", numbered(F.col("__names")))
+    spans = ~F.col("is_transposed") & F.coalesce(F.col("__high") >= F.col("header_rows"), F.lit(False))
+    return out.select(doc, "table_index", "line_no", "table_name", "columns", "header_rows", "is_transposed", spans.alias("data_row_spans"), F.when(F.col("is_transposed"), F.col("cells")).alias("cells"))
+
+
+def record_rows(found: DataFrame, heads: DataFrame, doc: str = "source_file") -> tuple[DataFrame, list[str]]:
+    """The records of `records`, and their keys (doc, table_index, line_no, table_name), of rows and heads of tables. heads: staged. Rows go on with the one before them by a window; only what is one record is put together."""
+    keys = [doc, "table_index", "line_no", "table_name"]
+    shown = [*keys, "columns", "data_row_spans", "row_no", "cells"]
+    plain = found.where("row_no IS NOT NULL").select(doc, "table_index", "row_no", "cells").join(small(heads.where("NOT is_transposed").drop("cells")), [doc, "table_index"]).where("row_no >= header_rows")
+    sideways = heads.where("is_transposed").select(*(c for c in shown if c not in ("row_no", "cells")), "header_rows", F.posexplode_outer("cells").alias("row_no", "cells")).where("row_no >= header_rows")
+    n = F.size("columns")
+    rows = plain.select(*shown).unionByName(sideways.select(*shown)).where((n > 0) & F.exists("cells", lambda x: x != ""))
+    filled = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.greatest(n - F.size("cells"), F.lit(0)))), F.lit(1), n)
+    rows = rows.withColumn("row", F.when(F.size("cells") == n, F.col("cells")).otherwise(filled)).drop("cells")
+    order = Window.partitionBy(*keys).orderBy("row_no")
+    goes_on = (F.get("row", F.lit(0)) == "") & (F.size(F.filter("row", lambda x: x != "")) <= 2)
+    rows = rows.withColumn("__new", (F.row_number().over(order) == 1) | ~F.coalesce(goes_on, F.lit(False)))
+    rows = rows.withColumn("record_no", F.sum(F.col("__new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    one = rows.groupBy(*keys, "record_no").agg(F.first("columns").alias("columns"), F.first("data_row_spans").alias("data_row_spans"), F.array_sort(F.collect_list(F.struct("row_no", "row"))).alias("__rows"))
+    row = F.get(join_continuations(F.transform("__rows", lambda x: x["row"])), F.lit(0))
+    one = one.withColumn("__row", F.when(F.size("__rows") == 1, F.get("__rows", F.lit(0))["row"]).otherwise(row))
+    return one.select(*keys, "columns", "data_row_spans", F.col("record_no").cast("int").alias("record_no"), F.map_from_arrays("columns", "__row").alias("record")), keys
+
+
 def _table_name(lines: Column) -> Column:
     """The last usable line of those before a table."""
     usable = F.filter(F.transform(F.slice(F.reverse(lines), 1, NAME_LOOKBACK), utrim), lambda x: (x != "") & ~F.startswith(x, F.lit("<")))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.text import ordered_join, token_half, tokens_of
 from ..operators import chunks as ch
+from ..operators import folds, outline, roles, tables
 from ..operators import lines as ln
-from ..operators import outline, roles, tables
 from ..operators.lines import latest_before
-from ..staging import discard, stage
+from ..staging import discard, small, stage
 
 
 # --- fixed values: what marks the parts of a table's block ---
@@ -29,9 +29,10 @@ def lines_of(found: DataFrame, lines: DataFrame) -> DataFrame:
 def text_chunks(docs: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Blocks (source_file, block_no, ...), and chunks (source_file, block_no, chunk_idx, ...) with the way to them in front.
 
+    Documents are texts (source_file, text), or come as pieces (source_file, piece, text; see lines.pieces_of), whatever their length.
     Lines are parsed once, into a staged table that blocks, cuts and chunks read, and that is emptied when blocks and chunks
     are staged themselves."""
-    lines = ln.parse(ln.explode_lines(docs), settings=settings)
+    lines = ln.parse(ln.of_pieces(docs) if "piece" in docs.columns else ln.explode_lines(docs), settings=settings)
     lines = stage(lines.select("source_file", "line_no", "cleaned", "heading_level", "heading_title", "is_noise", "is_table", "is_empty"), "lines")
     found = outline.measured_blocks(lines, settings=settings)
     found = outline.merge_shells(found, settings=settings)
@@ -52,37 +53,37 @@ def table_chunks(docs: DataFrame, blocks: DataFrame, settings: Settings = DEFAUL
     Each table hangs below the latest of the blocks (those that have chunks) that doesn't start after it. The way to it
     stands before each content and counts. A table above the largest size is cut into parts of chunks in order; a part below
     the least size takes in the next one of its line, as do small tables that share a line."""
-    found = stage(tables.find_tables(docs), "tables")
-    keys = ["source_file", "table_index"]
-    at = ln.offsets_to_lines(docs, found.select("source_file", F.col("start_char").alias("offset")).distinct()).withColumnRenamed("offset", "start_char")
-    placed = found.join(at, ["source_file", "start_char"])
+    found = stage(tables.read_tables(docs if "piece" in docs.columns else ln.pieces_of(docs)), "tables")
+    heads = stage(tables.table_heads(found), "heads")
     starts = blocks.select("source_file", F.col("start_line").alias("line_no"), F.col("breadcrumb").alias("__trail"))
-    placed = latest_before(placed.select(*keys, "table_name", "line_no"), starts, ["source_file"], ["line_no"], "__trail")
-    placed = stage(placed.withColumn("breadcrumb", F.concat(F.coalesce("__trail", F.array().cast("array<string>")), F.array("table_name"))), "placed")
-    grouped = tables.group_spans(tables.records(tables.parse_tables(found, keys), keys), keys)
+    placed = latest_before(heads.select("source_file", "table_index", "table_name", "line_no"), starts, ["source_file"], ["line_no"], "__trail")
+    placed = stage(placed.select("source_file", "table_index", F.concat(F.coalesce("__trail", F.array().cast("array<string>")), F.array("table_name")).alias("breadcrumb")), "placed")
+    records, keys = tables.record_rows(found, heads)
+    grouped = tables.group_spans(records, keys)
     text = ch.record_text(F.col("columns"), F.col("record"))
     items = F.array_join(F.transform("sub_items", lambda m, i: F.concat(F.lit("  " + tables.SUB_ITEMS), (i + 1).cast("string"), F.lit(": "), F.array_join(F.transform(F.filter(F.map_entries(m), lambda e: F.trim(e["value"]) != ""), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; "))), "\n")
     content = F.concat_ws("\n", F.nullif(text, F.lit("")), F.nullif(items, F.lit("")))
     hint = F.array_join(F.slice(F.filter(F.map_values("record"), lambda v: F.trim(v) != ""), 1, 2), " - ")
-    rows = grouped.withColumn("content", content).withColumn("hint", F.when(hint == "", F.concat(F.lit("#"), (F.col("record_no") + 1).cast("string"))).otherwise(hint)).join(placed.select(*keys, "table_name", "line_no"), keys)
+    rows = grouped.select(*keys, "record_no", content.alias("content"), F.when(hint == "", F.concat(F.lit("#"), (F.col("record_no") + 1).cast("string"))).otherwise(hint).alias("hint"))
     raw = rows.select(*keys, F.col("record_no").alias("chunk_no"), ch._chunk(F.concat_ws(" | ", "table_name", "hint"), F.col("content"), F.col("line_no"), F.col("line_no"), F.lit(99), token_half(F.col("content"))).alias("chunk"))
-    sized = ch.sized(ch.in_order(raw, keys), settings).join(placed.select(*keys, "table_name", "line_no", "breadcrumb"), keys)
-    sized = sized.withColumn("chunks", ch.with_breadcrumb(F.col("chunks"), F.col("breadcrumb")))
-    tokens = F.transform("chunks", lambda c: tokens_of(c["half"]).cast("long"))
-    sized = sized.withColumn("tokens", tokens).withColumn("bins", ch.bins_in_order(F.col("tokens"), settings.block_max)).withColumn("parts", F.array_max("bins") + 1)
-    chunk = F.struct(F.col("pos").alias("at"), F.col("x.chunks").alias("chunk"), F.col("x.tokens").alias("tokens"))
-    parts = sized.select(*keys, "parts", "line_no", "table_name", "breadcrumb", F.posexplode(F.arrays_zip("chunks", "tokens", "bins")).alias("pos", "x"))
-    parts = parts.groupBy(*keys, "parts", "line_no", "table_name", "breadcrumb", F.col("x.bins").alias("part")).agg(F.sum("x.tokens").alias("tokens"), F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    sized = ch.sized_rows(raw, keys, settings).join(small(placed), ["source_file", "table_index"])
+    sized = sized.withColumn("chunk", F.get(ch.with_breadcrumb(F.array("chunk"), F.col("breadcrumb")), F.lit(0))).drop("breadcrumb").withColumn("tokens", tokens_of(F.col("chunk.half")).cast("long"))
+    sized = sized.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("chunk_no"))).drop("chunk_no")
+    sized = stage(sized.withColumn("part", folds.bin_rows(F.col("at"), F.col("tokens"), settings.block_max)), "records")
+    discard(found)
+    # parts of tables, and which of them are one block, are told by numbers; the chunks meet them once
+    parts = sized.groupBy(*keys, "part").agg(F.sum("tokens").alias("tokens"))
     name = F.concat("table_name", F.lit(PART[0]), (F.col("part") + 1).cast("string"), F.lit(PART[1]))
-    row = F.struct("table_index", "part", "tokens", F.when(F.col("parts") > 1, name).otherwise(F.col("table_name")).alias("title"), "breadcrumb", F.transform("chunks", lambda c: c["chunk"]).alias("chunks"))
-    lines = parts.groupBy("source_file", "line_no").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    lines = lines.withColumn("groups", ch.groups_in_order(F.transform("rows", lambda r: r["tokens"]), settings.block_min))
-    flat = lines.select("source_file", "line_no", F.posexplode(F.arrays_zip("rows", "groups")).alias("at", "x")).select("source_file", "line_no", "at", "x.groups", "x.rows.*")
-    merged = flat.groupBy("source_file", "line_no", "groups").agg(F.max_by("title", "at").alias("block_title"), F.min_by("breadcrumb", "at").alias("breadcrumb"), F.array_sort(F.collect_list(F.struct("at", "chunks"))).alias("rows"))
-    order = Window.partitionBy("source_file").orderBy("line_no", "groups")
-    merged = merged.withColumn("table_block", F.row_number().over(order) - 1)
-    out = merged.select("source_file", "table_block", "block_title", "line_no", "breadcrumb", F.posexplode(F.flatten(F.transform("rows", lambda r: r["chunks"]))).alias("chunk_idx", "c"))
-    return out.select("source_file", "table_block", "block_title", "chunk_idx", "c.title", "c.content", F.col("line_no").alias("start_line"), tokens_of(F.col("c.half")).alias("token_estimate"), "breadcrumb")
+    parts = parts.withColumn("title", F.when(F.max("part").over(Window.partitionBy("source_file", "table_index")) > 0, name).otherwise(F.col("table_name")))
+    parts = parts.withColumn("__n", F.row_number().over(Window.partitionBy("source_file", "line_no").orderBy("table_index", "part")))
+    parts = stage(parts.withColumn("group", folds.group_rows(F.col("__n"), F.col("tokens"), settings.block_min)), "parts")
+    merged = parts.join(placed, ["source_file", "table_index"]).groupBy("source_file", "line_no", "group").agg(F.max_by("title", "__n").alias("block_title"), F.min_by("breadcrumb", "__n").alias("breadcrumb"))
+    merged = merged.withColumn("table_block", F.row_number().over(Window.partitionBy("source_file").orderBy("line_no", "group")) - 1)
+    blocks_of = stage(parts.select("source_file", "line_no", "table_index", "part", "group").join(merged, ["source_file", "line_no", "group"]).drop("line_no", "group"), "table_blocks")
+    out = sized.join(small(blocks_of), ["source_file", "table_index", "part"])
+    order = Window.partitionBy("source_file", "table_block").orderBy("table_index", "at")
+    out = out.withColumn("chunk_idx", F.row_number().over(order) - 1)
+    return out.select("source_file", "table_block", "block_title", "chunk_idx", "chunk.title", "chunk.content", F.col("line_no").alias("start_line"), tokens_of(F.col("chunk.half")).alias("token_estimate"), "breadcrumb")
 
 
 def all_chunks(text: DataFrame, text_blocks: DataFrame, table: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def all_chunks(text: DataFrame, text_blocks: DataFrame, table: DataFrame) -> Dat
 
 
 def ingested(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Documents (source_file, text) to all their chunks: lines, blocks and their merges, chunks, tables, one order."""
+    """Documents (source_file, text; or as pieces) to all their chunks: lines, blocks and their merges, chunks, tables, one order."""
     blocks, text = text_chunks(docs, settings)
     filled = blocks.join(text.select("source_file", "block_no").distinct(), ["source_file", "block_no"], "left_semi")
     return all_chunks(text, blocks, table_chunks(docs, filled, settings))

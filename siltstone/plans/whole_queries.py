@@ -156,15 +156,15 @@ FILL = 130
 
 
 def _brand_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_file, text: a heading for each part with a paragraph, then the same parts as a table."""
+    """source_file, piece, text: a heading for each part with a paragraph, then the same parts as a table. A document comes as pieces, as its length grows with the parts."""
     fill = F.lit(" ".join(["word"] * FILL))
     part = read(spark, sf_dir, "part")
     body = F.concat(F.lit("## part "), F.col("p_partkey").cast("string"), F.lit("\n"), "p_name", F.lit(" "), fill, F.lit("\n"))
     row = F.concat(F.lit("<tr><td>"), F.col("p_partkey").cast("string"), F.lit("</td><td>"), "p_name", F.lit("</td><td>"), fill, F.lit("</td></tr>"))
-    every = part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", body.alias("body"), row.alias("row")))).alias("x"))
-    joined = lambda c: F.array_join(F.transform("x", lambda r: r[c]), "")
-    text = F.concat(F.lit("# "), "p_brand", F.lit("\n"), joined("body"), F.lit("Records\n<table><tr><td>No</td><td>Name</td><td>Note</td></tr>"), joined("row"), F.lit("</table>"))
-    return every.select(F.col("p_brand").alias("source_file"), text.alias("text"))
+    piece = lambda section, text: F.struct(F.lit(section).alias("section"), F.col("p_partkey").cast("long").alias("key"), F.col("p_name").alias("name"), text.alias("text"))
+    own = part.select("p_brand", F.inline(F.array(piece(1, body), piece(3, row))))
+    once = part.select("p_brand").distinct().select("p_brand", F.lit(0).cast("long").alias("key"), F.lit("").alias("name"), F.inline(F.array(*(F.struct(F.lit(k).alias("section"), text.alias("text")) for k, text in ((0, F.concat(F.lit("# "), "p_brand", F.lit("\n"))), (2, F.lit("Records\n<table><tr><td>No</td><td>Name</td><td>Note</td></tr>")), (4, F.lit("</table>")))))))
+    return own.unionByName(once).select(F.col("p_brand").alias("source_file"), F.struct("section", "key", "name").alias("piece"), "text")
 
 
 INGEST = f"""WITH RECURSIVE p AS (SELECT p_brand AS b, p_partkey AS k, p_name AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n, repeat('word ', {FILL - 1}) || 'word' AS fill FROM part),
