@@ -113,10 +113,11 @@ class Rolling:
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit hashes."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0x7FB5D329728EA185)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x81DADEF4BC2DD44D)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def signed(x: np.ndarray) -> pa.Array:

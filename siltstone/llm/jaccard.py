@@ -26,6 +26,10 @@ BITMAP_BITS = 1024
 BITMAP_SETS = 384
 BITMAP_BLOCK = 2048
 
+#: Keys that a task sorts and deals at once, and elements of sets whose keys are worth a part.
+KEYS_AT_ONCE = 1 << 21
+PART_ELEMENTS = 1 << 21
+
 #: Bytes of text whose words are hashed at once.
 PIECE_BYTES = 1 << 20
 
@@ -117,20 +121,26 @@ class Plan:
                 picked = np.array(list(combinations(range(n), n - k)), np.int64).reshape(comb(n, k), n - k)
                 every = np.sum(mix(elements ^ salt))
                 out.append(mix(every - np.sum(mix(elements ^ salt)[picked], axis=1, dtype=np.uint64) + salt))
-        for r, classes, spare in self.lists(n) if self.rule.largest(n) > self.light else ():
+        heavy = self.rule.largest(n) > self.light
+        spread = mix(elements) >> np.uint64(32) if heavy else elements
+        for r, classes, spare in self.lists(n) if heavy else ():
             salt = np.uint64((r << 32) | 2)
-            owner = (mix(elements ^ salt) % np.uint64(classes)).astype(np.int64)
-            order = np.argsort(owner, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(owner[order]) > 0])
-            named = owner[order][starts]
-            sums = np.add.reduceat(elements[order], starts)
-            if classes - len(named) > spare:
-                empty = np.setdiff1d(np.arange(classes), named)
-                named, sums = np.r_[named, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
-            out.append(mix(mix(sums + salt) + named.astype(np.uint64)))
+            # the upper half of the hash tells the class: no division
+            owner = ((spread * np.uint64(classes)) >> np.uint64(32)).astype(np.int64)
+            sums = np.zeros(classes, np.uint64)
+            np.add.at(sums, owner, elements)
+            named = np.bincount(owner, minlength=classes) > 0
+            found = mix(mix(sums + salt) + np.arange(classes, dtype=np.uint64))
+            out.append(found if classes - np.count_nonzero(named) > spare else found[named])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique of what isn't empty, by a sort: for arrays as short as a text's the library's hash table costs more."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]]
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     """The set of each text: sorted distinct 64-bit hashes of its runs of `words` words, A-Z lower-cased."""
     base = int(offsets[0])
@@ -152,7 +162,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarr
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= words:
-            out.append(np.unique(runs[a : b - words + 1]))
+            out.append(_distinct(runs[a : b - words + 1]))
         elif b > a:
             whole = np.uint64(b - a)
             for h in hashes[a:b]:
@@ -199,13 +209,35 @@ def _short(digest: bytes) -> np.uint64:
     return np.uint64(int.from_bytes(digest[:8], "big"))
 
 
-def _keys(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """(key, short), each set once in a task."""
+def _firsts(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each key in order the first set, and the edges (rows a, b, each once) from it to its others."""
+    order = np.argsort(keys)
+    keys, owners = keys[order], owners[order]
+    new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    first = owners[new][np.cumsum(new) - 1] if len(keys) else owners
+    links = owners != first
+    edges = np.unique(np.stack([owners[links], first[links]], axis=1), axis=0) if links.any() else np.zeros((0, 2), np.uint64)
+    return keys[new], owners[new], edges
+
+
+def _listed(df: DataFrame, rule: Rule, parts: int, text_col: str) -> DataFrame:
+    """(part, keys, owners, edges): keys with the short of a set that has them, dealt to so many parts by key, as arrays of numbers; each set once in a task.
+
+    What meets under a key already here gives its edges here, and one of it goes on: so a key that many sets have is few numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Plan(rule), set()
+        bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+
+        def dealt(found: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+            keys, firsts, edges = _firsts(np.concatenate(found), np.concatenate(owners))
+            at = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+            spread = [0, *(len(edges) * k // parts for k in range(1, parts + 1))]
+            cut = lambda x, ends: pa.array([x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), cut(keys, at), cut(firsts, at), cut(edges, spread)], ["part", "keys", "owners", "edges"])
+
+        keys, owners, count = [], [], 0
         for batch in batches:
-            keys, owners, count = [], [], 0
             for elements in _sets(batch, 0, rule.words):
                 if not len(elements) or (own := set_digest(elements)) in seen:
                     continue
@@ -215,34 +247,25 @@ def _keys(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
                 keys.append(found)
                 owners.append(np.full(len(found), _short(own), np.uint64))
                 count += len(found)
-                if count > 500_000:
-                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(owners))], ["key", "short"])
+                if count > KEYS_AT_ONCE:
+                    yield dealt(keys, owners)
                     keys, owners, count = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(owners))], ["key", "short"])
+        if keys:
+            yield dealt(keys, owners)
 
-    return df.select(text_col).mapInArrow(tidy(run), "key bigint, short bigint")
+    return df.select(text_col).mapInArrow(tidy(run), "part int, keys binary, owners binary, edges binary")
 
 
-def _scan_lists(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) from each list's first set to its others, by their shorts. The rows of a list come one after the other; none is held."""
+def _edges(df: DataFrame, rule: Rule, parts: int, text_col: str) -> DataFrame:
+    """Edges (a, b) from each key's first set to its others, by their shorts; a part at a time is held."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_first = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            first = np.where(at >= 0, own[np.maximum(at, 0)], last_first if last_first is not None else 0)
-            last_key, last_first = key[-1], first[-1]
-            links = own != first
-            if links.any():
-                a, b = np.unique(np.stack([own[links], first[links]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def run(table: pa.Table) -> pa.Table:
+        numbers = lambda name: np.concatenate([np.frombuffer(x.as_py(), np.uint64) for chunk in table[name].chunks for x in chunk] or [np.zeros(0, np.uint64)])
+        _, _, edges = _firsts(numbers("keys"), numbers("owners"))
+        edges = np.unique(np.concatenate([edges, numbers("edges").reshape(-1, 2)]), axis=0)
+        return pa.table([signed(edges[:, 0]), signed(edges[:, 1])], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "short").mapInArrow(tidy(run), "a bigint, b bigint")
+    return _listed(df, rule, parts, text_col).groupBy("part").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _candidates(edges: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -315,7 +338,7 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     """id, kept columns, n_shingles, class, class_id (its smallest id), n_links (linked classes), component_id: the smallest id that is reached by links, and component: a class that stands for all of them.
 
     1. Each text becomes a set of shingle hashes; texts with equal sets are one class.
-    2. Each class gets keys (see Plan); the rows of a key are read in order and give candidate edges to its first class.
+    2. Each class gets keys (see Plan), which are sorted as arrays; those of a key give candidate edges to its first class.
     3. Components of the candidate edges are narrowed down by bitmaps, which bound how much two sets differ, and what is left
        is searched for links by the sets themselves: small components whole, many to a task; large ones are ordered by size
        and cut into blocks, and only blocks whose sizes can link are compared. Bitmaps come with the digests, sets from the
@@ -331,7 +354,9 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     numbers = digests.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.first("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits"), F.min("of_text").alias("of_text"))
     numbers = stage(numbers.withColumn("class", F.monotonically_increasing_id()), "numbers")
     found = stage(digests.drop("bits").join(numbers.select("digest", "class").hint("merge"), "digest", "left").drop("digest"), "classes")
-    edges = stage(_scan_lists(_keys(df, rule, text_col)).distinct(), "edges", release=True)
+    # a set has about as many keys as elements, with the short of its set twice as many numbers
+    elements = numbers.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    edges = stage(_edges(df, rule, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-elements // PART_ELEMENTS)), text_col), "edges", release=True)
     first = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     candidates = stage(components(_candidates(edges, stage(numbers.select(first.alias("short"), "class"), "shorts"))), "clusters", release=True)
     discard(digests, edges)

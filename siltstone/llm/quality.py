@@ -38,8 +38,14 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     lines = _lines(text)
     step = df.withColumn("__words", F.transform(_words(text), lambda w: F.xxhash64(w)))
     step = step.withColumn("n_words", F.size("__words").cast("long"))
-    windows = F.when(F.col("n_words") > WINDOW_WORDS, F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - WINDOW_WORDS + 1), lambda i: F.xxhash64(F.slice("__words", i, F.lit(WINDOW_WORDS))))).otherwise(F.array().cast("array<bigint>"))
-    step = step.withColumn("__windows", windows).drop("__words")
+    # a window's hash from those of two shorter ones, so that no window is taken out by itself
+    step = step.withColumn("__windows", F.when(F.col("n_words") > WINDOW_WORDS, F.col("__words")).otherwise(F.array().cast("array<bigint>"))).drop("__words")
+    reach = 1
+    while reach < WINDOW_WORDS:
+        by = min(reach, WINDOW_WORDS - reach)
+        rest = F.greatest(F.size("__windows") - by, F.lit(0))
+        step = step.withColumn("__windows", F.zip_with(F.slice("__windows", F.lit(1), rest), F.slice("__windows", F.lit(by + 1), rest), lambda a, b: F.xxhash64(a, b)))
+        reach += by
     recurs = F.size(F.array_distinct("__windows")) < F.size("__windows")
     step = step.withColumn("__sorted", F.when(recurs, F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("__windows")
     rest = F.slice("__sorted", F.lit(2), F.size("__sorted"))
